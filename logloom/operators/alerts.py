@@ -457,7 +457,8 @@ def rule_timing(incidents: DataFrame, rules: DataFrame) -> DataFrame:
     base = rules.select(
         F.col("id").alias("rule_id"), "name", F.coalesce("cooldown_seconds", F.lit(0)).alias("_quiet")
     )
-    quiet_end = F.timestamp_micros(F.unix_micros("last_triggered_at") + F.col("_quiet") * 1_000_000)
+    quiet_end = F.timestamp_micros(F.unix_micros("last_triggered_at") + F.col("_quiet").cast("long") * 1_000_000
+    )
     return base.join(stats, "rule_id", "left").select(
         "rule_id",
         "name",

@@ -50,7 +50,7 @@ def expand_schedules(
         .otherwise(F.lit(False))
     )
     hour, minute = _start_clock()
-    clock = F.timestamp_seconds(F.unix_date(day) * DAY + hour * 3600 + minute * 60)
+    clock = F.timestamp_seconds(F.unix_date(day).cast("long") * DAY + hour * 3600 + minute * 60)
     starts = F.to_utc_timestamp(clock, tz)
     ends = F.timestamp_seconds(F.unix_seconds(starts) + minutes * 60)
     windows = (

@@ -45,7 +45,7 @@ SQL: dict[str, str] = {
           CASE WHEN event_id % 10 = 0 THEN NULL ELSE 'sample ' || event_id END AS sample_log,
           event_id AS sample_log_id, 'host-' || (user_id % 12) AS host, 'kernel' AS app_name,
           60 * (1 + event_id % 120) AS window_seconds,
-          CASE WHEN event_id % 2 = 0 THEN event_id % 97 END AS ai_audit_id, ts AS triggered_at,
+          CASE WHEN event_id % 2 = 0 THEN event_id % 997 END AS ai_audit_id, ts AS triggered_at,
           CASE WHEN user_id % 13 = 0 THEN 'm' || (user_id % 120) END AS maintenance_session_id
         FROM events WHERE event_type = 'error'""",
     "sessions": """
@@ -169,7 +169,7 @@ class Tables:
             F.concat(F.lit("host-"), (uid % 12).cast("string")).alias("host"),
             F.lit("kernel").alias("app_name"),
             (60 * (1 + eid % 120)).alias("window_seconds"),
-            F.when(eid % 2 == 0, eid % 97).alias("ai_audit_id"),
+            F.when(eid % 2 == 0, eid % 997).alias("ai_audit_id"),
             F.col("ts").alias("triggered_at"),
             F.when(uid % 13 == 0, F.concat(F.lit("m"), (uid % 120).cast("string"))).alias("maintenance_session_id"),
         )
@@ -263,14 +263,14 @@ class Tables:
 
 
 # id, name, type, channel, apps, severity, pattern, count, window, cooldown, enabled, order.
-# The logs hold one row per few minutes, so windows last hours.
+# The logs hold one row per few minutes, so threshold windows last hours.
 ALERT_RULE_ROWS = [
     (1, "kernel errors", "pattern", 1, "kernel", 3, "*", 1, 60, 7200, True, 1),
     (2, "many severe", "threshold", None, "", 3, None, 12, 21600, 3600, True, 2),
     (3, "web or ssh", "threshold", 2, "ngin*, sshd", None, "user 1", 20, 43200, 50000, True, 3),
     (4, "regex", "threshold", None, None, 7, r"k=\d{2}$", 40, 43200, 600, True, 4),
     (5, "storm", "rate", 3, "", 6, "", 1, 86400, 7200, False, 5),
-    (6, "slow storm", "rate", None, None, 7, "from", 1, 7200, 900, True, 6),
+    (6, "slow storm", "rate", None, None, 7, "from", 1, 2, 900, True, 6),
     (7, "off", "threshold", None, None, None, "error", 1, 60, 60, False, 7),
     (8, "broken", "pattern", None, None, None, "(unclosed", 1, 60, 60, True, 8),
     (9, "path", "pattern", None, "cron", None, r"C:\Temp", 1, 60, 60, True, 9),

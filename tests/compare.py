@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
 import math
 import sys
 import time
@@ -81,7 +82,9 @@ if __name__ == "__main__":
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
+    logging.getLogger("DataFrameQueryContextLogger").disabled = True
+    logging.getLogger("SQLQueryContextLogger").disabled = True
     con = connect(sf_dir)
     bad = 0
     for name in entry_module.queries():
