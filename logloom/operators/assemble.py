@@ -69,12 +69,20 @@ class Limits:
     seconds: float = fixed.ENTRY_MAX_SECONDS
     gap: float | None = fixed.ENTRY_GAP_SECONDS
 
+    @property
+    def gap_micros(self) -> int | None:
+        return None if self.gap is None else round(self.gap * 1_000_000)
+
+    @property
+    def micros(self) -> int:
+        return round(self.seconds * 1_000_000)
+
 
 @dataclass
 class EntryFold:
     """The lines of one stream in order, put into entries under the limits.
 
-    ``add`` takes a line with its kind (``continues``, ``conditional`` with what it needs) and
+    ``add`` takes a line with its arrival in microseconds and its kind (``continues``, ``conditional`` with what it needs) and
     returns the entries that it completes.
     """
 
@@ -86,8 +94,8 @@ class EntryFold:
     chars: int = 0
     raw_chars: int = 0
     bytes: int = 0
-    start: float = 0.0
-    last: float = 0.0
+    start: int = 0
+    last: int = 0
     traceback: bool = False
     python: bool = False
 
@@ -106,13 +114,13 @@ class EntryFold:
         self.__init__(self.limits)
         return [entry] if message.strip() else []
 
-    def expired(self, now: float) -> bool:
-        gap = self.limits.gap
+    def expired(self, now: int) -> bool:
+        gap = self.limits.gap_micros
         return self.first is not None and (
-            (gap is not None and now - self.last > gap) or now - self.start >= self.limits.seconds
+            (gap is not None and now - self.last > gap) or now - self.start >= self.limits.micros
         )
 
-    def add(self, line: dict, now: float, continues: bool, blank: bool, ends: bool) -> list[dict]:
+    def add(self, line: dict, now: int, continues: bool, blank: bool, ends: bool) -> list[dict]:
         out = self.take() if self.expired(now) else []
         joins = continues or (blank and self.traceback) or (ends and self.python)
         if not joins:
@@ -201,14 +209,14 @@ def assemble_multiline(
             "_blank": message == "",
             "_ends": ~is_continuation(message) & _ends_traceback(message),
             "_mark": has_traceback_mark(message),
-            "_now": F.unix_micros("received_at") / F.lit(1e6),
+            "_now": F.unix_micros("received_at"),
         }
     )
     if limits.gap is not None:
         cut = running(
             cut, ["stream_key"], order, {"_prev": ("last", F.col("received_at"))}, inclusive=False
         )
-        waited = (F.unix_micros("received_at") - F.unix_micros("_prev")) > int(limits.gap * 1e6)
+        waited = (F.unix_micros("received_at") - F.unix_micros("_prev")) > limits.gap_micros
         late = F.col("_prev").isNull() | waited
     else:
         late = F.lit(False)
@@ -246,7 +254,7 @@ def assemble_multiline(
         | (octets >= limits.bytes)
         | (chars > limits.chars + 1)
         | (raw_chars > limits.chars + 1)
-        | (span >= limits.seconds)
+        | (span >= limits.micros)
         | depends
     )
     sized = cut.withColumn("_hard", (size > 1) & hard)
@@ -320,7 +328,7 @@ def attach_orphan_lines(
         chunk_seconds=chunk_seconds,
         inclusive=False,
     )
-    in_time = F.unix_micros("received_at") - F.unix_micros("_last") <= int(gap * 1e6)
+    in_time = F.unix_micros("received_at") - F.unix_micros("_last") <= round(gap * 1_000_000)
     in_trace = F.coalesce(F.col("_marked") >= F.col("_started"), F.lit(False))
     continues = F.col("_by_message") | F.col("_by_raw") | (F.col("_conditional") & in_trace)
     joins = F.coalesce(

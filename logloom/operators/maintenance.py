@@ -173,10 +173,11 @@ def maintenance_drops(
     droppers = sessions.filter(F.col("log_handling") == "drop_errors").select(
         "session_id", "created_at", "expires_at", "ended_at", "target_app", "target_host"
     )
-    order = [F.desc("expires_at"), F.asc("session_id")]
-    listed = droppers.limit(compiled + 1).collect()
+    # A stream has no second pass over its rows, so its sessions are always conditions
+    head = droppers if logs.isStreaming else droppers.limit(compiled + 1)
+    listed = head.collect()
     severe = F.coalesce(F.col("severity") <= 3, F.lit(False))
-    if len(listed) <= compiled:
+    if logs.isStreaming or len(listed) <= compiled:
         listed.sort(key=lambda s: s["session_id"])
         listed.sort(key=lambda s: s["expires_at"], reverse=True)
         chains = []
