@@ -37,6 +37,17 @@ def _is_object(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
 
+def exact_json(text: Column) -> Column:
+    """The text as a variant when it is exactly one JSON value, otherwise null.
+
+    The parser stops after the first value and ignores what follows. Inside an array and inside
+    an object nothing but the closing bracket may follow, so both readings must succeed.
+    """
+    in_array = _as_array(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when((F.size(in_array) == 1) & in_object.isNotNull(), F.get(in_array, 0))
+
+
 def explode_records(bodies: DataFrame, strict: bool = False) -> DataFrame:
     """Request bodies as records.
 
@@ -45,7 +56,7 @@ def explode_records(bodies: DataFrame, strict: bool = False) -> DataFrame:
     """
     text = strip(F.coalesce("body", F.lit("")))
     # A body is one JSON value when it parses as such; otherwise each of its lines is one
-    whole = F.try_parse_json(text)
+    whole = exact_json(text)
     single = whole.isNotNull() & (_is_object(whole) | text.startswith("["))
     pieces = F.when(single, F.array(text)).otherwise(F.split(text, "\r\n|\n|\r"))
     others = [c for c in bodies.columns if c != "body"]
@@ -53,7 +64,7 @@ def explode_records(bodies: DataFrame, strict: bool = False) -> DataFrame:
         bodies.select(*others, F.explode(pieces).alias("_line"))
         .withColumn("_line", strip("_line"))
         .filter(F.col("_line") != "")
-        .withColumn("_v", F.try_parse_json("_line"))
+        .withColumn("_v", exact_json(F.col("_line")))
     )
     value = F.col("_v")
     items = F.when(_is_object(value), F.array(value)).when(
