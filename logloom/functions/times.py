@@ -8,7 +8,8 @@ from . import fixed
 from .common import col, let, strip
 
 # Date, optional time with optional fraction, optional offset.
-_ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?)(Z|[+-]\d{2}:?\d{2}(?::?\d{2})?)?)?$"
+_ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:Z|[+-]\d{2}:?\d{2}(?::?\d{2})?)?)?$"
+_OFFSET = r"(?:Z|[+-]\d{2}:?\d{2}(?::?\d{2})?)$"
 
 
 def seconds_between(a: Column, b: Column) -> Column:
@@ -29,18 +30,12 @@ def iso_struct(c: Column | str) -> Column:
     """ISO text as ``struct(ts, naive)``: the UTC instant (a missing offset read as UTC), or null."""
 
     def read(text: Column) -> Column:
-        time = F.regexp_replace(F.regexp_extract(text, _ISO, 2), ",", ".")
-        time = F.when(F.length(time) == 0, F.lit("00:00:00")).when(
-            F.length(time) == 5, F.concat(time, F.lit(":00"))
-        ).otherwise(time)
-        zone = F.regexp_extract(text, _ISO, 3)
-        offset = F.when(zone.isin("", "Z"), F.lit("+00:00")).otherwise(
-            F.regexp_replace(F.left(zone, F.lit(6)), r"^([+-]\d{2}):?(\d{2}).*$", "$1:$2")
+        naive = (F.length(text) < 17) | ~text.rlike(_OFFSET)
+        full = F.when(F.length(text) == 10, F.concat(text, F.lit(" 00:00:00Z"))).otherwise(
+            F.concat(F.translate(text, ",", "."), F.when(naive, "Z").otherwise(""))
         )
-        stamp = F.concat(F.regexp_extract(text, _ISO, 1), F.lit(" "), time, offset)
         return F.when(
-            text.rlike(_ISO),
-            F.struct(stamp.try_cast("timestamp").alias("ts"), (zone == "").alias("naive")),
+            text.rlike(_ISO), F.struct(full.try_cast("timestamp").alias("ts"), naive.alias("naive"))
         )
 
     return let(strip(col(c)), read)
@@ -139,11 +134,11 @@ def container_ts(c: Column | str) -> Column:
     """``struct(ts, rest)`` of a container line; ``ts`` is null without an RFC 3339 prefix.
 
     Fractions are cut, not rounded, to microseconds."""
-    c = col(c)
-    stamp = F.regexp_extract(c, _CONTAINER_TS, 1)
-    micros = F.regexp_replace(stamp, r"(\.\d{6})\d+", "$1")
-    has = c.rlike(_CONTAINER_TS)
-    return F.struct(
-        F.when(has, parse_iso(micros)).alias("ts"),
-        F.when(has, F.regexp_extract(c, _CONTAINER_TS, 2)).otherwise(c).alias("rest"),
-    )
+    line = col(c)
+
+    def read(stamp: Column) -> Column:
+        micros = F.regexp_replace(stamp, r"(\.\d{6})\d+", "$1")
+        rest = F.when(stamp != "", F.substr(line, F.length(stamp) + 2)).otherwise(line)
+        return F.struct(parse_iso(micros).alias("ts"), rest.alias("rest"))
+
+    return let(F.regexp_extract(line, _CONTAINER_TS, 1), read)

@@ -7,7 +7,6 @@ anything runs in order, so a log storm costs no more than a quiet day after that
 
 from __future__ import annotations
 
-import math
 from collections import deque
 from collections.abc import Iterator
 
@@ -17,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from ..functions import fixed, redact
 from ..functions.common import blank_to_null
 from ..functions.text import message_key
+from ..session import stage
 from .counts import host_group
+from .ordered import CHUNK, running
 from .rules import match_alert_rules, ordered_rules
 
 SEC = F.unix_seconds
@@ -59,38 +60,36 @@ def _settings_map(values: dict[int, int]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
-def window_counts(counts: DataFrame, rules: list[Row]) -> DataFrame:
+def window_counts(counts: DataFrame, rules: list[Row], chunk_seconds: int = 86_400) -> DataFrame:
     """Per rule and second: the matches within the rule's window up to that second.
 
-    Seconds are scaled so that one frame serves all window lengths. Time is cut into chunks much
-    longer than the window; the seconds a chunk's start still looks back on are copied into it, so
-    a busy rule spreads over many tasks.
+    Matches enter the window in their second and leave it ``window + 1`` seconds later, so the
+    count is a running sum of entries and departures: linear in the seconds whatever the window,
+    and cut into chunks of time, so a busy rule spreads over many tasks.
     """
-    settings = rule_settings(rules)
-    widths = {k: v[1] for k, v in settings.items()}
-    frame = math.lcm(*widths.values()) if widths else 1
-    if frame > 10**9:
-        parts = [
-            window_counts(counts, [r for r in rules if widths[r["id"]] == w])
-            for w in sorted(set(widths.values()))
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    counts = counts.filter(F.col("rule_id").isin(*widths)) if widths else counts.limit(0)
-    chunk = max(86_400, 10 * max(widths.values(), default=1))
-    width = F.try_element_at(_settings_map(widths), F.col("rule_id"))
-    home = F.floor(F.col("sec") / chunk)
-    chunks = F.array_distinct(F.array(home, F.floor((F.col("sec") + width) / chunk)))
-    spread = counts.withColumns({"_home": home, "_w": width}).withColumn("_c", F.explode(chunks))
-    place = (F.col("sec") - F.col("_c") * chunk) * F.floor(F.lit(frame) / F.col("_w"))
-    over = Window.partitionBy("rule_id", "_c").orderBy("_place").rangeBetween(-frame, 0)
-    return (
-        spread.withColumn("_place", place.cast("long"))
-        .withColumn("window_count", F.sum("n").over(over))
-        .filter(F.col("_home") == F.col("_c"))
-        .select("rule_id", "sec", "n", "window_count")
+    widths = {k: v[1] for k, v in rule_settings(rules).items()}
+    if not widths:
+        return counts.withColumn("window_count", F.col("n")).limit(0)
+    width = F.try_element_at(_settings_map(widths), F.col("rule_id")).cast("long")
+    moves = F.array(
+        F.struct(F.col("sec").alias("at"), F.col("n").alias("change"), F.col("n").alias("n")),
+        F.struct(
+            (F.col("sec") + width + 1).alias("at"), (-F.col("n")).alias("change"),
+            F.lit(None).cast("long").alias("n"),
+        ),
+    )
+    steps = (
+        counts.filter(F.col("rule_id").isin(*widths))
+        .select("rule_id", F.inline(moves))
+        .groupBy("rule_id", "at")
+        .agg(F.sum("change").alias("change"), F.sum("n").alias("n"))
+        .withColumn(CHUNK, F.floor(F.col("at") / chunk_seconds))
+    )
+    summed = running(
+        steps, ["rule_id"], ["at"], {"window_count": ("sum", F.col("change"))}, ts="at"
+    )
+    return summed.filter("n IS NOT NULL").select(
+        "rule_id", F.col("at").alias("sec"), "n", "window_count"
     )
 
 
@@ -385,15 +384,22 @@ def fire_alerts(
 ) -> DataFrame:
     """All incidents that the rules would have raised over the stored logs.
 
-    ``matches`` may hold the (log, rule) matches, written or cached by the caller; otherwise the
-    logs are scanned for the counts and again for the rows of firings.
+    The (log, rule) matches are written once to the shared folder, because the counts and the
+    rows of firings both read them; ``matches`` may hold them already.
     """
     listed = ordered_rules(rules)
     if as_of is not None:
         logs = logs.filter(F.col("timestamp") <= as_of)
     if matches is None:
-        matches = match_alert_rules(logs, listed)
-    segments = apply_cooldown(per_second(matches), listed)
+        text = F.coalesce(blank_to_null(F.col("message")), F.col("raw"), F.lit(""))
+        matches = stage(
+            match_alert_rules(logs, listed).select(
+                "rule_id", "id", "timestamp", "source_ip", "source_alias", "app_name",
+                text.alias("message"), F.lit("").alias("raw"),
+            ),
+            "matches",
+        )
+    segments = stage(apply_cooldown(per_second(matches), listed), "segments")
     return incidents_of(matches, segments, rules)
 
 
@@ -407,7 +413,10 @@ def incidents_of(matches: DataFrame, segments: DataFrame, rules: DataFrame) -> D
         F.greatest(F.coalesce("window_seconds", F.lit(1)), F.lit(1)).alias("window_seconds"),
     )
     rate_ids = [r["id"] for r in _of_type(listed, rate=True)]
-    held = firing_matches(matches, segments)
+    # Read three times below, and no larger than the firings
+    held = stage(
+        firing_matches(matches, segments).withColumn("host", host_group()), "firing-matches"
+    )
     newest = F.max_by(
         F.struct("id", "timestamp", "message", "app_name", host_group().alias("host")),
         F.struct("timestamp", "id"),

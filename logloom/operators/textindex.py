@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import words
 from ..functions.text import term_words
 from ..session import join_dimension
-from .filters import SEARCH_FIELDS
+from .filters import SEARCH_FIELDS, any_of
 
 BUCKET = "token_bucket"
 
@@ -42,13 +42,13 @@ def write_postings(postings: DataFrame, path: str, buckets: int = 256, mode: str
     )
 
 
-def _chosen(postings: DataFrame, token: str, prefix: bool, field: str | None, buckets: int) -> DataFrame:
+def _condition(postings: DataFrame, token: str, prefix: bool, field: str | None, buckets: int) -> Column:
     cond = F.col("token").startswith(token) if prefix else F.col("token") == token
     if field:
         cond = cond & (F.col("field") == field)
     if BUCKET in postings.columns and (not prefix or len(token) >= 3):
         cond = cond & (F.col(BUCKET) == token_bucket(F.lit(token), buckets))
-    return postings.filter(cond)
+    return cond
 
 
 def lookup(
@@ -56,7 +56,8 @@ def lookup(
 ) -> DataFrame:
     """Ids of the rows with the word."""
     token = term_words(term)[0]
-    return _chosen(postings, token, prefix, field, buckets).select("log_id").distinct()
+    cond = _condition(postings, token, prefix, field, buckets)
+    return postings.filter(cond).select("log_id").distinct()
 
 
 def lookup_phrase(
@@ -68,14 +69,21 @@ def lookup_phrase(
 ) -> DataFrame:
     """Ids of the rows with the phrase's words in a row inside one field."""
     tokens = term_words(phrase)
-    found = None
-    for i, token in enumerate(tokens):
-        last = i == len(tokens) - 1
-        here = _chosen(postings, token, prefix and last, field, buckets).select(
-            "log_id", "field", (F.col("pos") - i).alias("start")
-        ).distinct()
-        found = here if found is None else found.join(here, ["log_id", "field", "start"], "left_semi")
-    return found.select("log_id").distinct()
+    last = len(tokens) - 1
+    conds = [_condition(postings, w, prefix and i == last, field, buckets) for i, w in enumerate(tokens)]
+    # Where the phrase would start if this posting is its i-th word; one start per word it may be
+    starts = F.array_compact(
+        F.array(*[F.when(c, F.struct((F.col("pos") - i).alias("start"), F.lit(i).alias("i"))) for i, c in enumerate(conds)])
+    )
+    return (
+        postings.filter(any_of(*conds))
+        .select("log_id", "field", F.inline(starts))
+        .groupBy("log_id", "field", "start")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") == len(tokens))
+        .select("log_id")
+        .distinct()
+    )
 
 
 def logs_of(logs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -374,25 +374,25 @@ POSTINGS = """, p AS (SELECT id AS log_id, field, i - 1 AS pos, w[i] AS token FR
 
 @query("logs", POSTINGS + "SELECT field, token, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM p GROUP BY 1, 2")
 def word_index(t):
-    p = textindex.build_postings(t.logs())
+    p = textindex.build_postings(t.spread(t.logs()))
     return p.groupBy("field", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("positions"))
 
 
 @query("logs", POSTINGS + "SELECT DISTINCT log_id FROM p WHERE token LIKE 'purch%'")
 def index_prefix(t):
-    return textindex.lookup(textindex.build_postings(t.logs()), "purch")
+    return textindex.lookup(textindex.build_postings(t.spread(t.logs())), "purch")
 
 
 @query("logs", """SELECT id, message FROM logs WHERE regexp_matches(message, 'user 14 from ')""")
 def index_phrase(t):
-    ids = textindex.lookup_phrase(textindex.build_postings(t.logs()), "user 14 from")
+    ids = textindex.lookup_phrase(textindex.build_postings(t.spread(t.logs())), "user 14 from")
     return textindex.logs_of(t.logs(), ids).select("id", "message")
 
 
 @query("logs", POSTINGS + """SELECT log_id, count(*) AS n FROM p WHERE log_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1""")
 def index_after_delete(t):
     ids = t.read("orders").filter("o_orderstatus = 'O'").select("o_orderkey")
-    left = textindex.drop_postings(textindex.build_postings(t.logs()), ids)
+    left = textindex.drop_postings(textindex.build_postings(t.spread(t.logs())), ids)
     return left.groupBy("log_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -461,14 +461,14 @@ def parsed_syslog(t):
         )
         .otherwise(F.col("raw"))
     )
-    lines = t.logs().select("id", "received_at", "source_ip", line.alias("value"))
+    lines = t.spread(t.logs()).select("id", "received_at", "source_ip", line.alias("value"))
     rows = syslog.parse_syslog(lines)
     return rows.select("id", us("timestamp", "ts_us"), "app_name", "facility", "format", "message", "hostname")
 
 
 @query("logs", """SELECT source_ip, 'plain' AS format, count(*) AS line_count, count(*) AS arrival_time_count FROM logs GROUP BY 1""")
 def syslog_shapes(t):
-    lines = t.logs().select("received_at", "source_ip", F.col("raw").alias("value"))
+    lines = t.spread(t.logs()).select("received_at", "source_ip", F.col("raw").alias("value"))
     return syslog.parse_report(syslog.parse_syslog(lines))
 
 
@@ -479,7 +479,7 @@ def container_rows(t):
     body = F.when(
         F.col("id") % 2 == 0, F.concat(F.lit('level=warn msg="'), "message", F.lit('"'))
     ).otherwise(F.col("message"))
-    lines = t.logs().select(
+    lines = t.spread(t.logs()).select(
         "id", "received_at", F.concat(stamp, body).alias("value"), F.lit("abc").alias("container_id"),
         F.lit("/web").alias("container_name"), F.create_map(F.lit("a"), F.lit("b")).alias("labels"),
     )

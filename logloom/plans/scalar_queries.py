@@ -19,13 +19,13 @@ ANSI = r"\x1b(?:\[[0-9;?]*[ -/]*[@-~]|\].*?(?:\x07|\x1b\\)|[@-Z\\-_])"
 def cleaned_text(t):
     esc = F.char(F.lit(27))
     noisy = F.concat(esc, F.lit("[31m"), "text", F.char(F.lit(7)), esc, F.lit("[0m"))
-    return t.read("documents").select("doc_id", F.md5(L.clean_text(noisy)).alias("clean"))
+    return t.spread(t.read("documents")).select("doc_id", F.md5(L.clean_text(noisy)).alias("clean"))
 
 
 @query("", """SELECT doc_id, CASE WHEN length(text) > 900 THEN left(text, 888) || ' [truncated]' ELSE text END AS text
   FROM documents""")
 def capped_text(t):
-    return t.read("documents").select("doc_id", L.cap_text("text", 900, " [truncated]").alias("text"))
+    return t.spread(t.read("documents")).select("doc_id", L.cap_text("text", 900, " [truncated]").alias("text"))
 
 
 @query("", """SELECT event_id, CASE WHEN regexp_matches(v, '^[0-9]+$') THEN
@@ -182,7 +182,7 @@ def message_keys(t):
     FROM (SELECT doc_id, x, string_split(x, chr(10)) AS p FROM
       (SELECT doc_id, trim(text, E' \t\n\r\x0b\x0c') AS x FROM documents)))""")
 def message_samples(t):
-    return t.read("documents").select("doc_id", L.sample_text("text").alias("sample"))
+    return t.spread(t.read("documents")).select("doc_id", L.sample_text("text").alias("sample"))
 
 
 @query("logs", """SELECT id, '[' || CASE WHEN hour("timestamp") >= 23 THEN
@@ -214,7 +214,7 @@ def split_words(t):
 @query("", """SELECT lang, count(*) AS documents, CAST(sum(len(regexp_extract_all(
   lower(strip_accents(text)), '[\\p{L}\\p{N}]+'))) AS BIGINT) AS words FROM documents GROUP BY lang""")
 def words_per_language(t):
-    return t.read("documents").groupBy("lang").agg(
+    return t.spread(t.read("documents")).groupBy("lang").agg(
         F.count(F.lit(1)).alias("documents"), F.sum(F.size(L.words("text"))).alias("words")
     )
 
@@ -225,7 +225,7 @@ TOKEN_SQL = r"""regexp_replace({0}, '((?:access[_-]?token|refresh[_-]?token|auth
 
 @query("", f"SELECT doc_id, {TOKEN_SQL.format('text')} AS text FROM documents")
 def redacted_documents(t):
-    return L.redact_table(t.read("documents").select("doc_id", "text"), ["text"])
+    return L.redact_table(t.spread(t.read("documents")).select("doc_id", "text"), ["text"])
 
 
 @query("", r"""SELECT event_id, CASE event_type WHEN 'click' THEN 'Authorization: Bearer [REDACTED]'
@@ -241,12 +241,12 @@ def redacted_secrets(t):
         .when(kind == "signup", F.concat(F.lit("db_password=\"a b "), uid, F.lit("\" "), uid))
         .otherwise(F.concat(F.lit("secret: x"), uid, F.lit(", k "), F.col("props")))
     )
-    return t.read("events").select("event_id", L.redact(text).alias("text"))
+    return t.spread(t.read("events")).select("event_id", L.redact(text).alias("text"))
 
 
 @query()
 def secret_kinds(t):
-    return L.secret_hits(t.read("documents"), "text")
+    return L.secret_hits(t.spread(t.read("documents")), "text")
 
 
 @query("", """SELECT event_id, event_type || ' done' AS shown FROM events""")
@@ -300,7 +300,7 @@ def json_records(t):
         F.lit('{"ts":'), stamp, level, alias, F.lit(',"app":"'), F.col("event_type"), F.lit('","facility":"'),
         (F.col("user_id") - 100).cast("string"), F.lit('","msg":"'), F.replace("props", F.lit('"'), F.lit('\\"')), F.lit('"}'),
     )
-    bodies = t.read("events").select("event_id", body.alias("body"))
+    bodies = t.spread(t.read("events")).select("event_id", body.alias("body"))
     found = records.explode_records(bodies).withColumn("received_at", F.lit(AS_OF).cast("timestamp"))
     rows = records.normalize_json_records(found, "received_at", max_age_days=31)
     return rows.select(

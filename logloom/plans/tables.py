@@ -16,6 +16,10 @@ from ..session import ensure_utc
 AS_OF = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
 CUTOFF = dt.datetime(2024, 1, 16, tzinfo=dt.timezone.utc)
 
+# Tables between these sizes (the upper one per core) may have fewer splits than cores.
+SPREAD_MIN_BYTES = 1 << 20
+SPREAD_BYTES = 64 << 20
+
 SQL: dict[str, str] = {
     "logs": """
         SELECT event_id AS id, ts AS "timestamp", ts + to_seconds(event_id % 7) AS received_at,
@@ -109,6 +113,17 @@ class Tables:
         stamps = {f.name: F.col(f.name).cast("timestamp") for f in df.schema if f.dataType.typeName() == "timestamp_ntz"}
         return df.withColumns(stamps) if stamps else df
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """A small table in fewer splits than cores, dealt out to all of them; for queries that
+        work long on each row.
+
+        A file with one row group is one task however many cores wait. The shuffle is bounded by
+        the size checked here; larger tables come in enough splits and stay as they are.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # noqa: SLF001
+        return df.repartition(cores) if SPREAD_MIN_BYTES < size < cores * SPREAD_BYTES else df
+
     def logs(self) -> DataFrame:
         e = self.read("events")
         uid, eid = F.col("user_id"), F.col("event_id")
@@ -240,7 +255,7 @@ class Tables:
 
     def doc_lines(self) -> DataFrame:
         """The lines of the documents as streams: one line per second, document by document."""
-        return self.read("documents").select(
+        return self.spread(self.read("documents")).select(
             "doc_id", F.posexplode(F.split("text", "\n")).alias("_p", "message")
         ).select("doc_id", (F.col("_p") + 1).cast("long").alias("seq"), "message")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,6 +30,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """The frame written once to the shared folder and read from there.
+
+    For a result that several later steps read: it is computed once, survives lost executors, and
+    its readers take only the columns they need.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     """Whether the table is proven to hold at most ``max_rows`` rows (reads no more than that)."""
     return df.limit(max_rows + 1).count() <= max_rows

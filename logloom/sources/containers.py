@@ -71,10 +71,9 @@ def parse_container_lines(
     """Lines (``value``, ``container_id``, ``container_name``, ``labels``, ``received_at``) as log
     rows without id. Lines with neither time nor text are left out."""
     alias = source_alias or source_ip
-    staged = lines.withColumn("_p", container_ts("value"))
-    staged = staged.withColumns({"_ts": F.col("_p.ts"), "_body": F.col("_p.rest")}).filter(
-        F.col("_ts").isNotNull() | (F.col("_body") != "")
-    )
+    # An empty line has neither; testing the line itself keeps the parsing out of the filter
+    staged = lines.filter(F.col("value") != "").withColumn("_p", container_ts("value"))
+    staged = staged.withColumns({"_ts": F.col("_p.ts"), "_body": F.col("_p.rest")})
     staged = staged.withColumn("_m", container_message("_body", detect_severity("_body")))
     made = {
         "timestamp": normalize_ts(F.col("_ts"), F.col("received_at")),

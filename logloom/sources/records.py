@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed
-from ..functions.common import blank_to_null, strip
+from ..functions.common import blank_to_null, let, strip
 from ..functions.severity import severity_code
 from ..functions.text import cap_text, clean_text, replace_surrogates
 from ..functions.times import parse_epoch, parse_iso
@@ -43,9 +43,14 @@ def exact_json(text: Column) -> Column:
     The parser stops after the first value and ignores what follows. Inside an array and inside
     an object nothing but the closing bracket may follow, so both readings must succeed.
     """
-    in_array = _as_array(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when((F.size(in_array) == 1) & in_object.isNotNull(), F.get(in_array, 0))
+
+    def sure(items: Column) -> Column:
+        # Only a bracket in the text can end the array early
+        whole = (F.size(items) == 1) & (~text.contains("]") | in_object.isNotNull())
+        return F.when(whole, F.get(items, 0))
+
+    return let(_as_array(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))), sure)
 
 
 def explode_records(bodies: DataFrame, strict: bool = False) -> DataFrame:
@@ -55,17 +60,21 @@ def explode_records(bodies: DataFrame, strict: bool = False) -> DataFrame:
     array is bad: with ``strict`` it is an error, otherwise a row with ``bad_text``.
     """
     text = strip(F.coalesce("body", F.lit("")))
-    # A body is one JSON value when it parses as such; otherwise each of its lines is one
-    whole = exact_json(text)
-    single = whole.isNotNull() & (_is_object(whole) | text.startswith("["))
-    pieces = F.when(single, F.array(text)).otherwise(F.split(text, "\r\n|\n|\r"))
     others = [c for c in bodies.columns if c != "body"]
-    lines = (
-        bodies.select(*others, F.explode(pieces).alias("_line"))
-        .withColumn("_line", strip("_line"))
-        .filter(F.col("_line") != "")
-        .withColumn("_v", exact_json(F.col("_line")))
+    # A body is one JSON value when it parses as such; otherwise each of its lines is one
+    whole = bodies.select(*others, text.alias("_body")).withColumn("_whole", exact_json(F.col("_body")))
+    single = F.col("_whole").isNotNull() & (
+        _is_object(F.col("_whole")) | F.col("_body").startswith("[")
     )
+
+    def pair(line: Column, value: Column) -> Column:
+        return F.struct(line.alias("_line"), value.alias("_v"))
+
+    split = F.filter(F.transform(F.split("_body", "\r\n|\n|\r"), strip), lambda x: x != "")
+    pieces = F.when(single, F.array(pair(F.col("_body"), F.col("_whole")))).otherwise(
+        F.transform(split, lambda x: pair(x, exact_json(x)))
+    )
+    lines = whole.select(*others, F.inline(pieces))
     value = F.col("_v")
     items = F.when(_is_object(value), F.array(value)).when(
         F.col("_line").startswith("["), F.filter(_as_array(value), _is_object)
@@ -82,13 +91,33 @@ def explode_records(bodies: DataFrame, strict: bool = False) -> DataFrame:
     return found.filter(F.col("record").isNotNull() | F.col("bad_text").isNotNull())
 
 
+# Fields that records may carry.
+FIELDS = (
+    "message", "msg", "timestamp", "time", "ts", "source_ip", "source_alias", "app_name", "app",
+    "facility", "severity", "level", "raw",
+)
+
+
+def _with_fields(records: DataFrame) -> DataFrame:
+    """Every field read once: its text in ``_t_name``, its JSON type in ``_k_name``."""
+    found = records.withColumns(
+        {f"_f_{n}": F.try_variant_get("record", f"$.{n}", "variant") for n in FIELDS}
+    )
+    return found.withColumns(
+        {
+            **{f"_t_{n}": F.try_variant_get(f"_f_{n}", "$", "string") for n in FIELDS},
+            **{f"_k_{n}": F.schema_of_variant(f"_f_{n}") for n in FIELDS},
+        }
+    )
+
+
 def _type(name: str) -> Column:
-    return F.schema_of_variant(F.variant_get("record", f"$.{name}", "variant"))
+    return F.col(f"_k_{name}")
 
 
 def field_text(name: str) -> Column:
     """A field of the record as text; null when missing or JSON null."""
-    return F.try_variant_get("record", f"$.{name}", "string")
+    return F.col(f"_t_{name}")
 
 
 def _is_number(name: str) -> Column:
@@ -160,7 +189,7 @@ def normalize_json_records(
         )
     )
     level = F.coalesce(field_text("severity"), field_text("level"))
-    staged = records.withColumns(
+    staged = _with_fields(records).withColumns(
         {
             "_ip": identity(_truthy("source_ip"), sender),
             "_message": message,

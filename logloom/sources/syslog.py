@@ -35,7 +35,7 @@ VALKEY = (
 APP_PIPE = r"(?s)^\[([^\]]+)\]\s*\|\s*(\d{2}/\d{2}/\d{4})\s+(\d{2}:\d{2}:\d{2}(?:[.,]\d+)?)\s+(.*)"
 LOGFMT = r"""(?s)^(?:time|ts)=["']?([^"'\s]+)["']?\s+(.*)"""
 LOGFMT_LEVEL = r"""\b(?:level|lvl|severity)=["']?([a-zA-Z]+)["']?"""
-LOGFMT_MSG = r"""\bmsg=(?:"([^"]*)"|'([^']*)'|(\S+))"""
+LOGFMT_MSG = r"""\bmsg=("[^"]*"|'[^']*'|\S+)"""
 BRACKET_LEVEL = r"(?s)^\[([a-zA-Z]+)\]\s*(.*)"
 
 # Forms of the host, app and process id before the message.
@@ -197,9 +197,16 @@ def app_pipe_instant(content: Column, received: Column, tz: str) -> Column:
 
 
 def logfmt_message(text: Column) -> Column:
-    """The ``msg=`` value of a logfmt text, null without one."""
-    value = F.concat(*[_part(text, LOGFMT_MSG, g) for g in (1, 2, 3)])
-    return F.when(text.rlike(LOGFMT_MSG), value)
+    """The ``msg=`` value of a logfmt text without its quotes, null without one."""
+
+    def bare(value: Column) -> Column:
+        # A value that starts with a quote and has no closing one never ends in that quote
+        quoted = (F.length(value) > 1) & (
+            (value.startswith('"') & value.endswith('"')) | (value.startswith("'") & value.endswith("'"))
+        )
+        return F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).when(value != "", value)
+
+    return F.when(text.contains("msg="), let(_part(text, LOGFMT_MSG, 1), bare))
 
 
 def logfmt_severity(text: Column) -> Column:
