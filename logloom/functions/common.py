@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
@@ -32,8 +33,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def lookup(table: dict, key: Column) -> Column:
     """The literal table's value for the key, or null."""
-    entries = [F.lit(x) for pair in table.items() for x in pair]
-    return F.try_element_at(F.create_map(*entries), key)
+    return F.try_element_at(F.expr(_map_text(tuple(table.items()))), key)
+
+
+@lru_cache(maxsize=64)
+def _map_text(items: tuple) -> str:
+    """A literal map as SQL text: one expression to hand over instead of one per entry."""
+
+    def text(v) -> str:
+        return str(v) if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return "map(" + ", ".join(text(v) for pair in items for v in pair) + ")"
 
 
 def group_or_null(c: Column, pattern: str, group: int = 1) -> Column:

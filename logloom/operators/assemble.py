@@ -207,11 +207,10 @@ def assemble_multiline(
             CHUNK: time_chunk("received_at", chunk_seconds),
             "_cont": is_continuation(message),
             "_blank": message == "",
-            "_ends": ~is_continuation(message) & _ends_traceback(message),
             "_mark": has_traceback_mark(message),
             "_now": F.unix_micros("received_at"),
         }
-    )
+    ).withColumn("_ends", ~F.col("_cont") & _ends_traceback(message))
     if limits.gap is not None:
         cut = running(
             cut, ["stream_key"], order, {"_prev": ("last", F.col("received_at"))}, inclusive=False

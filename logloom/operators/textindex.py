@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import words
 from ..functions.text import term_words
-from ..session import join_dimension
+from ..session import join_dimension, stage
 from .filters import SEARCH_FIELDS, any_of
 
 BUCKET = "token_bucket"
@@ -87,8 +87,9 @@ def lookup_phrase(
 
 
 def logs_of(logs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of a lookup."""
-    return join_dimension(logs, ids.withColumnRenamed("log_id", "id"), ["id"], "left_semi")
+    """The rows of a lookup. The ids are written once, so their size is known before the join."""
+    found = stage(ids.withColumnRenamed("log_id", "id"), "lookup")
+    return join_dimension(logs, found, ["id"], "left_semi")
 
 
 def drop_postings(postings: DataFrame, ids: DataFrame) -> DataFrame:

@@ -107,8 +107,15 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = ensure_utc(spark), sf_dir
+        self.frames: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
+        """A given table; its schema is looked up once."""
+        if name not in self.frames:
+            self.frames[name] = self._open(name)
+        return self.frames[name]
+
+    def _open(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         stamps = {f.name: F.col(f.name).cast("timestamp") for f in df.schema if f.dataType.typeName() == "timestamp_ntz"}
         return df.withColumns(stamps) if stamps else df

@@ -57,10 +57,14 @@ INCIDENTS = fields(
 HOST_ALIASES = fields("ip string, alias string, notes string")
 
 
-def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
+def conform(
+    df: DataFrame, schema: T.StructType, defaults: dict | None = None, fill: bool = True
+) -> DataFrame:
     """The frame with exactly the schema's columns and types.
 
-    Missing columns take their default; a missing column without one is an error.
+    Missing columns take their default; a missing column without one is an error. ``fill`` also
+    replaces nulls by the default; a table written that way is read without, so that filters on
+    these columns reach the files.
     """
     defaults = defaults or {}
     missing = [f.name for f in schema if f.name not in df.columns and f.name not in defaults]
@@ -69,7 +73,7 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -
     cols = []
     for f in schema:
         c = F.col(f.name) if f.name in df.columns else F.lit(defaults[f.name])
-        if f.name in defaults:
+        if fill and f.name in defaults:
             c = F.coalesce(c, F.lit(defaults[f.name]))
         cols.append(c.cast(f.dataType).alias(f.name))
     return df.select(*cols)

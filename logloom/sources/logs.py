@@ -15,7 +15,7 @@ TEXT_COLUMNS = ("source_ip", "source_alias", "app_name", "message", "raw")
 def read_logs(spark: SparkSession, path: str, include_raw: bool = True) -> DataFrame:
     """The stored rows with checked columns; ``log_date`` stays for partition pruning."""
     stored = spark.read.parquet(path)
-    rows = conform(stored, LOGS, LOG_DEFAULTS)
+    rows = conform(stored, LOGS, LOG_DEFAULTS, fill=False)
     if "log_date" in stored.columns:
         rows = conform_with_date(stored)
     return rows if include_raw else rows.drop("raw")
@@ -24,7 +24,7 @@ def read_logs(spark: SparkSession, path: str, include_raw: bool = True) -> DataF
 def conform_with_date(stored: DataFrame) -> DataFrame:
     """The log columns and the partition column, in one projection."""
     schema = T.StructType([*LOGS.fields, T.StructField("log_date", T.DateType())])
-    return conform(stored, schema, LOG_DEFAULTS)
+    return conform(stored, schema, LOG_DEFAULTS, fill=False)
 
 
 def assign_ids(rows: DataFrame, after: int, order: list[str] = ("received_at", "seq")) -> DataFrame:

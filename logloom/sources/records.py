@@ -98,15 +98,22 @@ FIELDS = (
 )
 
 
+# Those whose JSON type decides how they are read.
+TYPED = ("timestamp", "time", "ts", "source_ip", "source_alias", "app_name", "app", "facility")
+
+
 def _with_fields(records: DataFrame) -> DataFrame:
     """Every field read once: its text in ``_t_name``, its JSON type in ``_k_name``."""
     found = records.withColumns(
-        {f"_f_{n}": F.try_variant_get("record", f"$.{n}", "variant") for n in FIELDS}
+        {
+            **{f"_f_{n}": F.try_variant_get("record", f"$.{n}", "variant") for n in TYPED},
+            **{f"_t_{n}": F.try_variant_get("record", f"$.{n}", "string") for n in FIELDS if n not in TYPED},
+        }
     )
     return found.withColumns(
         {
-            **{f"_t_{n}": F.try_variant_get(f"_f_{n}", "$", "string") for n in FIELDS},
-            **{f"_k_{n}": F.schema_of_variant(f"_f_{n}") for n in FIELDS},
+            **{f"_t_{n}": F.try_variant_get(f"_f_{n}", "$", "string") for n in TYPED},
+            **{f"_k_{n}": F.schema_of_variant(f"_f_{n}") for n in TYPED},
         }
     )
 

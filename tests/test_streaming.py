@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from helpers import alert_rule, alert_rules, at, drop_rule, drop_rules, log, logs
 from pyspark.sql import functions as F
 
@@ -11,6 +12,15 @@ from logloom.plans.tables import Tables
 from logloom.schema import LOGS
 
 
+@pytest.fixture(autouse=True)
+def few_tasks(spark):
+    """State is kept per partition and every one starts a worker in every batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def write_in_order(df, folder, n, order="id"):
     """The rows as n files, each later in time than the one before."""
     rows = sorted(df.collect(), key=lambda r: r[order])
@@ -58,7 +68,7 @@ def test_alerts_equal_batch(spark, folder):
     )
     listed = rules.ordered_rules(table)
     df = storm(spark)
-    path = write_in_order(df, folder, 4)
+    path = write_in_order(df, folder, 3)
     got = to_table(streaming.alert_segments(read_stream(spark, path, LOGS), listed), "seg", folder)
     want = alerts.apply_cooldown(alerts.per_second(rules.match_alert_rules(df, listed)), listed)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
@@ -85,7 +95,7 @@ def test_entries_equal_batch(spark, folder):
     rows.append(("end", at(t + 1000), 999, "end", "end", 6))
     schema = "stream_key string, received_at timestamp, seq long, message string, raw string, severity int"
     df = spark.createDataFrame(rows, schema)
-    path = write_in_order(df, folder, 4, "seq")
+    path = write_in_order(df, folder, 3, "seq")
     limits = assemble.Limits(lines=6, seconds=1.0)
     stream = streaming.assemble_stream(read_stream(spark, path, df.schema), limits)
     got = to_table(stream, "entries", folder).filter("stream_key <> 'end'")
