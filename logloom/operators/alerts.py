@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from ..functions import fixed, redact
 from ..functions.common import blank_to_null
 from ..functions.text import message_key
-from ..session import stage
+from ..session import join_dimension, stage
 from .counts import host_group
 from .ordered import CHUNK, running
 from .rules import match_alert_rules, ordered_rules
@@ -112,7 +112,7 @@ def threshold_crossings(matches: DataFrame, rules: list[Row]) -> DataFrame:
     if not chosen:
         return with_second(matches).withColumn("window_count", F.lit(0).cast("long")).limit(0)
     seconds = crossing_seconds(matches, chosen).select("rule_id", "sec", "window_count")
-    return with_second(matches).join(seconds, ["rule_id", "sec"])
+    return join_dimension(with_second(matches), stage(seconds, "crossings"), ["rule_id", "sec"], "inner")
 
 
 def rate_crossings(matches: DataFrame, rules: list[Row]) -> DataFrame:
@@ -213,9 +213,8 @@ def placed_matches(matches: DataFrame, seconds: DataFrame) -> DataFrame:
     The order is (timestamp, id). A second is cut by microsecond and range of ids, the cuts are
     numbered in parallel and offset by the sizes of the cuts before them.
     """
-    chosen = with_second(matches).join(
-        seconds.select("rule_id", "sec").distinct(), ["rule_id", "sec"], "left_semi"
-    )
+    wanted = seconds.select("rule_id", "sec").distinct()
+    chosen = join_dimension(with_second(matches), wanted, ["rule_id", "sec"], "left_semi")
     keys = ["rule_id", "sec", "_us", "_block"]
     cut = chosen.withColumns(
         {"_us": F.unix_micros("timestamp"), "_block": F.floor(F.col("id") / 100_000)}
@@ -240,16 +239,15 @@ def firing_matches(matches: DataFrame, segments: DataFrame) -> DataFrame:
     """Every match that a firing's window held, with the firing (``fire_sec``, ``k``).
 
     A match belongs to at most one firing. Only firing seconds need the order inside them; all
-    other seconds belong to their firing as a whole.
+    other seconds belong to their firing as a whole. A second of a storm may hold many matches, so
+    the joins do not hash on it alone; ``segments`` are best written before, as they are counted.
     """
     fire_rows = segments.filter("first_place IS NOT NULL")
     whole = segments.filter("first_place IS NULL AND used_places = 0").select(
         "rule_id", "sec", "fire_sec"
     )
-    entire = (
-        with_second(matches)
-        .join(whole, ["rule_id", "sec"])
-        .withColumns({"k": F.lit(0).cast("long"), "place": F.lit(None).cast("long")})
+    entire = join_dimension(with_second(matches), whole, ["rule_id", "sec"], "inner").withColumns(
+        {"k": F.lit(0).cast("long"), "place": F.lit(None).cast("long")}
     )
     placed = placed_matches(matches, fire_rows)
     last = F.col("first_place") + (F.col("firings") - 1) * F.col("step")
@@ -257,7 +255,7 @@ def firing_matches(matches: DataFrame, segments: DataFrame) -> DataFrame:
         F.ceil((F.col("place") - F.col("first_place")) / F.col("step"))
     )
     fired = (
-        placed.join(fire_rows.drop("used_places"), ["rule_id", "sec"])
+        join_dimension(placed, fire_rows.drop("used_places"), ["rule_id", "sec"], "inner")
         .filter(F.col("place") <= last)
         .withColumn("k", number.cast("long"))
         .drop("first_place", "step", "firings")
@@ -266,7 +264,7 @@ def firing_matches(matches: DataFrame, segments: DataFrame) -> DataFrame:
         "rule_id", "sec", "fire_sec", "used_places"
     )
     leftover = (
-        placed.join(rest, ["rule_id", "sec"])
+        join_dimension(placed, rest, ["rule_id", "sec"], "inner")
         .filter(F.col("place") > F.col("used_places"))
         .withColumn("k", F.lit(0).cast("long"))
         .drop("used_places")

@@ -7,6 +7,7 @@ for the days that lost rows, and no others.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -192,7 +193,7 @@ def rewrite_days(spark: SparkSession, path: str, cond: Column) -> dict[str, int]
     rewritten = [r["log_date"] for r in hit if r["kept"]]
     removed = [r["log_date"] for r in hit if not r["kept"]]
     if rewritten:
-        stage = f"{checkpoint_dir(spark)}/rewrite-{spark.sparkContext.applicationId}-{id(cond)}"
+        stage = f"{checkpoint_dir(spark)}/rewrite-{uuid.uuid4().hex}"
         kept = logs.filter(F.col("log_date").isin(*rewritten) & ~cond)
         kept.write.mode("overwrite").partitionBy("log_date").parquet(stage)
         (

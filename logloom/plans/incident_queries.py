@@ -485,3 +485,47 @@ def container_rows(t):
     )
     rows = containers.parse_container_lines(lines)
     return rows.select("id", us("timestamp", "ts_us"), "app_name", "severity", "message", "raw")
+
+
+@query("logs", """SELECT id, CASE WHEN id % 3 = 1 THEN coalesce(parent, 'unknown') ELSE app_name END AS app_name FROM (SELECT *,
+    last_value(CASE WHEN id % 3 <> 1 THEN app_name END IGNORE NULLS) OVER (PARTITION BY source_ip ORDER BY received_at, id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM logs)""")
+def orphans_attached(t):
+    lost = F.col("id") % 3 == 1
+    lines = t.logs().withColumns(
+        {
+            "seq": F.col("id"),
+            "app_name": F.when(lost, "unknown").otherwise(F.col("app_name")),
+            "message": F.when(lost, F.concat(F.lit("  at "), "message")).otherwise(F.col("message")),
+        }
+    )
+    out = assemble.attach_orphan_lines(lines, gap=1e7, chunk_seconds=3600)
+    return out.select("id", "app_name")
+
+
+@query("logs", """SELECT id, 'kept' AS fate, epoch_us(coalesce(ts, received_at)) AS ts_us, coalesce(sev, 6) AS severity FROM (SELECT *,
+    CASE WHEN id % 7 <> 0 THEN "timestamp" END AS ts, CASE WHEN id % 9 <> 0 THEN severity END AS sev FROM logs) WHERE id % 11 <> 0
+  UNION ALL SELECT id, 'no arrival time', CASE WHEN id % 7 <> 0 THEN epoch_us("timestamp") END,
+    CASE WHEN id % 9 <> 0 THEN severity END FROM logs WHERE id % 11 = 0""")
+def salvaged_rows(t):
+    damaged = t.logs().withColumns(
+        {
+            "received_at": F.when(F.col("id") % 11 != 0, F.col("received_at")),
+            "timestamp": F.when(F.col("id") % 7 != 0, F.col("timestamp")),
+            "severity": F.when(F.col("id") % 9 != 0, F.col("severity")),
+        }
+    )
+    good, bad = stored.salvage_rows(damaged)
+    shape = lambda df, fate: df.select("id", fate.alias("fate"), us("timestamp", "ts_us"), "severity")
+    return shape(good, F.lit("kept")).unionByName(shape(bad, F.col("problem")))
+
+
+@query("logs", """SELECT id, '[a@1 x="' || id || '"][b y="' || facility || '"]' AS sd, CAST(id AS VARCHAR) AS x, CAST(facility AS VARCHAR) AS y FROM logs""")
+def structured_fields(t):
+    text = lambda c: F.col(c).cast("string")
+    sd = F.concat(F.lit('[a@1 x="'), text("id"), F.lit('"][b y="'), text("facility"), F.lit('"]'))
+    raw = F.concat(F.lit("<34>1 - host app 7 - "), sd, F.lit(" "), "message")
+    params = L.structured_params(raw)
+    return t.logs().select(
+        "id", L.structured_data(raw).alias("sd"), params["x"].alias("x"), params["y"].alias("y")
+    )

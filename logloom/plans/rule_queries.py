@@ -136,6 +136,21 @@ def newest_match_per_app(t):
     return found.select("rule_id", "app", "id", "message")
 
 
+# With a cooldown longer than the window nothing before a firing can matter to the next one, so a
+# statement can follow the firings: the next is the first crossing after the cooldown.
+@query("logs", MATCHES + f""", crossed AS (SELECT DISTINCT rule_id, sec, quiet FROM (
+    SELECT rule_id, epoch_us("timestamp") // 1000000 AS sec, 7200 AS quiet, {_windowed(60)} AS n, 1 AS needed FROM matches WHERE rule_id = 1
+    UNION ALL SELECT rule_id, epoch_us("timestamp") // 1000000, 50000, {_windowed(43200)}, 20 FROM matches WHERE rule_id = 3) WHERE n >= needed),
+  follow AS (SELECT a.rule_id, a.sec, min(b.sec) AS next_sec FROM crossed a LEFT JOIN crossed b ON a.rule_id = b.rule_id AND b.sec >= a.sec + a.quiet GROUP BY 1, 2),
+  fired AS (SELECT rule_id, min(sec) AS sec FROM crossed GROUP BY 1 UNION ALL
+    SELECT f.rule_id, f.next_sec FROM fired JOIN follow f ON f.rule_id = fired.rule_id AND f.sec = fired.sec WHERE f.next_sec IS NOT NULL)
+  SELECT CAST(rule_id AS BIGINT) AS rule_id, sec AS fire_sec FROM fired""")
+def firings_with_long_cooldown(t):
+    listed = [r for r in rules.ordered_rules(t.alert_rules()) if r["cooldown_seconds"] > r["window_seconds"] and r["id"] in (1, 3)]
+    matches = rules.match_alert_rules(t.logs(), listed)
+    return alerts.firings(alerts.apply_cooldown(alerts.per_second(matches), listed)).select("rule_id", "fire_sec")
+
+
 @query()
 def alert_backtest(t):
     out = alerts.fire_alerts(t.logs(), t.alert_rules())

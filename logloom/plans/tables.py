@@ -99,7 +99,7 @@ SQL: dict[str, str] = {
 def with_sql(names: str, body: str) -> str:
     """The oracle statement with the definitions of the named tables in front."""
     ctes = ", ".join(f"{n} AS ({SQL[n]})" for n in names.split())
-    return f"WITH {ctes} {body.strip()}" if ctes else body.strip()
+    return f"WITH RECURSIVE {ctes} {body.strip()}" if ctes else body.strip()
 
 
 class Tables:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,14 +18,19 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@lru_cache(maxsize=None)
+def _own_folder(application: str) -> str:
+    """A folder for sessions without a shared one, as in tests."""
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where unset."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if not path:
-        path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own_folder(spark.sparkContext.applicationId)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions import fixed
 from ..operators.alerts import SEGMENTS, Fold, incidents_of, rule_settings
 from ..operators.rules import match_alert_rules, ordered_rules
+from ..session import stage
 
 _NAMES = [f.split()[0] for f in SEGMENTS.split(", ")]
 
@@ -93,6 +94,8 @@ def write_alerts(
 
     Reads the stored rows of the firings' time only. A repeated batch replaces its incidents.
     """
+    # Read several times; the stateful query behind a batch must run once
+    segments = stage(segments, "segments")
     span = segments.agg(F.min("sec").alias("lo"), F.max("fire_sec").alias("hi")).first()
     if span["lo"] is None:
         return
