@@ -349,7 +349,26 @@ def digests_per_day(t):
     return reports.daily_digest(t.logs()).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@query()
+def _counted(n: str, one: str, many: str) -> str:
+    return f"format('{{:,}}', {n}) || CASE WHEN {n} = 1 THEN ' {one}' ELSE ' {many}' END"
+
+
+ERROR_PARTS = ", ".join(
+    f"CASE WHEN {c}_count > 0 THEN {_counted(c + '_count', one, many)} END"
+    for c, one, many in (("emerg", "emerg", "emergs"), ("alert", "alert", "alerts"), ("crit", "crit", "crits"), ("err", "error", "errors"))
+)
+
+
+@query("logs metrics", f""", g AS (SELECT {GROUPED} FROM logs WHERE severity <= 3 AND {SINCE} GROUP BY 1 ORDER BY min_severity, error_count DESC, entity LIMIT 3),
+  e AS (SELECT string_agg('- **' || entity || '**: ' || CASE WHEN emerg_count + alert_count + crit_count > 0
+      THEN {_counted("error_count", "event", "events")} || ' (' || concat_ws(', ', {ERROR_PARTS}) || ')'
+      ELSE {_counted("error_count", "error", "errors")} END, chr(10) ORDER BY min_severity, error_count DESC, entity) AS x FROM g),
+  v AS (SELECT app_name AS service, count(*) AS n FROM logs WHERE {SINCE} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3),
+  s AS (SELECT string_agg('- **' || service || '**: ' || {_counted("n", "log", "logs")}, chr(10) ORDER BY n DESC, service) AS x FROM v),
+  d AS (SELECT 2000000 - coalesce(arg_min(db_size_bytes, recorded_at) FILTER (recorded_at >= TIMESTAMP '2024-01-30'), arg_max(db_size_bytes, recorded_at)) AS n FROM metrics)
+  SELECT concat_ws(chr(10), '### 24-Hour Analytical Rollup', '- **Total Logs Ingested:** ' || (SELECT format('{{:,}}', count(*)) FROM logs WHERE {SINCE}),
+    '- **System Storage Delta:** ' || (SELECT '+' || CASE WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f KB', n / 1024.0) END FROM d),
+    '', '### Top Apps / Hosts with Errors or Above', (SELECT x FROM e), '', '### Top Logging Services', (SELECT x FROM s)) AS body""")
 def digest_body(t):
     return reports.digest_text(t.logs(), t.metrics(), 2_000_000, AS_OF)
 
@@ -361,7 +380,25 @@ def storage_samples(t):
     return out.select(us("recorded_at"), "total_logs_count", "disk_used_percent")
 
 
-@query()
+@query("logs incidents sessions schedules metrics", WINDOWS + """, x AS (SELECT * FROM logs WHERE severity <= 4 AND "timestamp" >= TIMESTAMP '2024-01-30'),
+  a AS (SELECT app_name AS name, count(*) AS n FROM x WHERE severity <= 3 AND app_name <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5),
+  h AS (SELECT coalesce(nullif(source_alias, ''), source_ip) AS name, count(*) AS n FROM x WHERE severity <= 3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5),
+  f AS (SELECT * FROM incidents WHERE maintenance_session_id IS NULL AND NOT (rule_id IS NULL AND rule_name IN ('Daily Digest', 'On-Demand Analysis'))),
+  o AS (SELECT true AS own, expires_at AS until, log_handling = 'drop_errors' AS dr FROM sessions WHERE is_active AND expires_at > TIMESTAMP '2024-01-31'
+    UNION ALL SELECT false, window_end, false FROM planned WHERE window_start <= TIMESTAMP '2024-01-31' AND window_end > TIMESTAMP '2024-01-31'),
+  m AS (SELECT max(epoch_us(until)) AS until_us, count(*) AS n, count(*) FILTER (own) AS own, bool_or(dr) AS dr FROM o)
+  SELECT count(*) FILTER (severity <= 3) AS error_count_24h, count(*) FILTER (severity <= 3 AND "timestamp" >= TIMESTAMP '2024-01-30 23:00:00') AS error_count_1h,
+    count(*) FILTER (severity = 0) AS emergency_24h, count(*) FILTER (severity = 1) AS alert_24h, count(*) FILTER (severity = 2) AS critical_24h,
+    count(*) FILTER (severity = 3) AS error_24h, count(*) FILTER (severity = 4) AS warning_24h,
+    (SELECT string_agg(name, ', ' ORDER BY n DESC, name) FROM a) AS top_error_apps, (SELECT string_agg(name, ', ' ORDER BY n DESC, name) FROM h) AS top_error_hosts,
+    (SELECT round(count(*) / 5.0, 2) FROM logs WHERE received_at > TIMESTAMP '2024-01-30 23:59:55' AND received_at <= TIMESTAMP '2024-01-31') AS ingest_rate,
+    (SELECT arg_max(db_size_bytes, recorded_at) FROM metrics) AS db_size_bytes, (SELECT arg_max(total_logs_count, recorded_at) FROM metrics) AS total_logs_count,
+    (SELECT count(*) FILTER (triggered_at >= TIMESTAMP '2024-01-30 23:45:00') > 0 FROM f) AS alert_active,
+    (SELECT count(*) FILTER (triggered_at >= TIMESTAMP '2024-01-30 23:45:00') FROM f) AS recent_firing_count,
+    (SELECT max(epoch_us(triggered_at)) FROM f) AS last_triggered_at, (SELECT arg_max(rule_name, (triggered_at, id)) FROM f) AS last_rule_name,
+    (SELECT n > 0 FROM m) AS maintenance_active, (SELECT until_us FROM m) AS maintenance_until,
+    (SELECT CAST(coalesce(greatest((until_us - epoch_us(TIMESTAMP '2024-01-31')) // 1000000, 0), 0) AS BIGINT) FROM m) AS remaining_seconds,
+    (SELECT own FROM m) AS active_sessions_count, (SELECT CASE WHEN dr THEN 'drop_errors' ELSE 'silence_alerts' END FROM m) AS log_handling FROM x""")
 def system_report(t):
     out = reports.system_metrics(t.logs(), t.incidents(), t.sessions(), t.schedules(), t.metrics(), AS_OF)
     return out.withColumns({c: F.unix_micros(c) for c in ("last_triggered_at", "maintenance_until")})
