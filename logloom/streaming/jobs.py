@@ -49,11 +49,15 @@ def stream_ids(batch: DataFrame, batch_id: int, order: list[str] = ("received_at
     return numbered.withColumn("id", F.shiftleft(F.lit(batch_id).cast("long"), 40) + F.col("id"))
 
 
-def replace_batch(rows: DataFrame, batch_id: int, path: str, by: str) -> None:
+def replace_batch(rows: DataFrame, batch_id: int, path: str, by: str, key: str, tasks: int = 4) -> None:
     """Writes a micro-batch under its own id. A repeated batch replaces its first attempt, so
-    every row is stored once."""
+    every row is stored once.
+
+    Each value of ``by`` goes to at most ``tasks`` tasks, spread by ``key``: few files, and no
+    task that holds a busy day or a common word alone."""
     (
-        rows.withColumn(BATCH, F.lit(batch_id).cast("long"))
+        rows.repartition(by, F.pmod(F.xxhash64(key), F.lit(tasks)))
+        .withColumn(BATCH, F.lit(batch_id).cast("long"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(by, BATCH)
@@ -64,13 +68,13 @@ def replace_batch(rows: DataFrame, batch_id: int, path: str, by: str) -> None:
 def append_batch(batch: DataFrame, batch_id: int, path: str, order: list[str] = ("received_at", "seq")) -> None:
     """Stores a micro-batch of log rows by day."""
     rows = batch if "id" in batch.columns else stream_ids(batch, batch_id, list(order))
-    replace_batch(with_log_date(conform(rows, LOGS, LOG_DEFAULTS)), batch_id, path, "log_date")
+    replace_batch(with_log_date(conform(rows, LOGS, LOG_DEFAULTS)), batch_id, path, "log_date", "id")
 
 
 def index_batch(batch: DataFrame, batch_id: int, path: str, buckets: int = 256) -> None:
     """Adds the words of a micro-batch to the index."""
     postings = build_postings(batch).withColumn(BUCKET, token_bucket(F.col("token"), buckets))
-    replace_batch(postings, batch_id, path, BUCKET)
+    replace_batch(postings, batch_id, path, BUCKET, "log_id")
 
 
 def fan_out(*sinks: Sink) -> Sink:
