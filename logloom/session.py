@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,18 +20,28 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Folders of staged results, newest scope last; the first list is outside any scope.
+_STAGED: list[list[tuple[SparkSession, str]]] = [[]]
+
+
 @lru_cache(maxsize=None)
 def _own_folder(application: str) -> str:
-    """A folder for sessions without a shared one, as in tests."""
+    """A folder for local sessions without a shared one, as in tests."""
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process gets a temporary folder; any other master raises,
+    because executors of other machines would not see it.
+    """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = _own_folder(spark.sparkContext.applicationId)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
@@ -40,13 +52,27 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """The frame written once to the shared folder and read from there.
 
     For a result that several later steps read: it is computed once, survives lost executors, and
-    its readers take only the columns they need.
+    its readers take only the columns they need. Inside ``stage_scope`` the folder goes when the
+    scope ends.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _STAGED[-1].append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def stage_scope():
+    """Removes, at its end, the folders that ``stage`` wrote inside; use the results before that."""
+    _STAGED.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _STAGED.pop():
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     """Whether the table is proven to hold at most ``max_rows`` rows (reads no more than that)."""
     return df.limit(max_rows + 1).count() <= max_rows
