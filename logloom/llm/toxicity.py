@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +15,7 @@ from .shared import byte_ranges, id_remainder, lower_ascii, slices, text_binary
 # Labelled rows that are learnt from, at most about as many of each label (taken by a hash of the
 # id), and the longest text among them, in bytes. Words are marked from all of them; the field is
 # fitted to the toxic ones and as many others.
-SAMPLE_ROWS = {0: 7500, 1: 2500}
+SAMPLE_ROWS = {0: 3600, 1: 1200}
 SAMPLE_BYTES = 200_000
 # A word marks toxic passages if this share of its contexts and of its texts (each as a rate within
 # its label) is toxic, and so many are that chance gives this number of false marks.
@@ -43,7 +45,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 @dataclass
 class Words:
     """The words of some texts: byte ranges, hashes, each text's first word, and hashed affixes (word
-    beginnings by length, then the last three bytes; 0 where the word is shorter)."""
+    beginnings by length, then the last three bytes; 0 where the word is shorter, 32 bits each)."""
 
     starts: np.ndarray
     ends: np.ndarray
@@ -52,7 +54,7 @@ class Words:
     affixes: np.ndarray
 
     def buckets(self) -> np.ndarray:
-        return (self.affixes >> np.uint64(46)).astype(np.int64)
+        return self.affixes >> np.uint32(32 - 18)
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -69,7 +71,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     first = np.searchsorted(starts, offsets, "left")
     if not len(starts):
         empty = np.zeros(0, np.int64)
-        return Words(empty, empty, first, np.zeros(0, np.uint64), np.zeros((len(_HEADS) + 1, 0), np.uint64))
+        return Words(empty, empty, first, np.zeros(0, np.uint64), np.zeros((len(_HEADS) + 1, 0), np.uint32))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
     inverse = _powers(_INVERSE, n)
@@ -78,9 +80,25 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
         x = (sums[high] - sums[low]) * inverse[low]
         return (x ^ (x >> np.uint64(31))) * _MIX
 
-    affixes = [np.where(ends - starts >= k, hashed(starts, np.minimum(starts + k, ends)) + np.uint64(k), 0) for k in _HEADS]
-    affixes.append(np.where(ends - starts >= 3, hashed(np.maximum(ends - 3, starts), ends), 0))
-    return Words(starts, ends, first, hashed(starts, ends), np.array(affixes, np.uint64))
+    affixes = np.zeros((len(_HEADS) + 1, len(starts)), np.uint32)
+    for at, k in enumerate(_HEADS):
+        keys = (hashed(starts, np.minimum(starts + k, ends)) >> np.uint64(32)) ^ np.uint64(k)
+        affixes[at] = np.where(ends - starts >= k, keys, 0)
+    affixes[-1] = np.where(ends - starts >= 3, hashed(np.maximum(ends - 3, starts), ends) >> np.uint64(32), 0)
+    return Words(starts, ends, first, hashed(starts, ends), affixes)
+
+
+def find_all(texts: list[bytes]) -> Words:
+    """The words of many texts, found slice by slice; the byte ranges are left out."""
+    offsets = np.concatenate([[0], np.cumsum(np.array([len(t) for t in texts], np.int64))])
+    parts = []
+    for i, j in slices(offsets):
+        parts.append(find_words(np.frombuffer(b"".join(texts[i:j]), np.uint8), offsets[i : j + 1] - offsets[i]))
+    counts = [np.diff(w.first) for w in parts] or [np.zeros(0, np.int64)]
+    none = np.zeros(0, np.int64)
+    hashes = np.concatenate([w.hashes for w in parts] or [np.zeros(0, np.uint64)])
+    affixes = np.concatenate([w.affixes for w in parts] or [np.zeros((len(_HEADS) + 1, 0), np.uint32)], axis=1)
+    return Words(none, none, np.concatenate([[0], np.cumsum(np.concatenate(counts))]), hashes, affixes)
 
 
 class Chains:
@@ -172,7 +190,7 @@ class Model:
     def emission(self, words: Words) -> np.ndarray:
         slot = (words.hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
         own = np.where((self.keys[slot] == words.hashes)[:, None], self.weights[slot], 0)
-        score = self.bias + own[:, 0] + self.affixes[words.buckets()].sum(axis=0)
+        score = self.bias + own[:, 0] + sum(self.affixes[b] for b in words.buckets())
         if len(score) > 1:
             inner = np.ones(len(score), bool)  # words with a word before them in the same text
             inner[words.first[words.first < len(score)]] = False
@@ -231,20 +249,15 @@ def mark_words(words: Words, toxic: np.ndarray) -> np.ndarray:
     return (found & (label == 1)).astype(float)
 
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(t) for t in texts], np.int64)
-    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
-
-
 def fit(texts: list[bytes], toxic: list[int], rounds: int = 15, rate: float = 0.3, decay: float = 1e-4) -> Model:
     """Learns the field by gradient ascent on its log-likelihood (AdaGrad), then the document score
     from the expected toxic words. Without texts of both labels every score is 0.5 or the one seen."""
     labels = np.asarray(toxic, np.int64)
-    every = find_words(*_joined(texts))
+    every = find_all(texts)
     tags = mark_words(every, labels)
     keep = np.flatnonzero((labels == 1) | (np.cumsum(labels == 0) <= max(labels.sum(), 100)))
-    tags = tags[np.isin(np.repeat(np.arange(len(labels)), np.diff(every.first)), keep)]
-    words = find_words(*_joined([texts[k] for k in keep]))
+    tags = tags[np.repeat(np.isin(np.arange(len(labels)), keep), np.diff(every.first))]
+    words = find_all([texts[k] for k in keep])
     names, word = np.unique(words.hashes, return_inverse=True)
     n = len(word)
     inner = np.ones(n, bool)
@@ -264,7 +277,7 @@ def fit(texts: list[bytes], toxic: list[int], rounds: int = 15, rate: float = 0.
         value += rate * slope / np.sqrt(grown[name])
 
     for _ in range(rounds if n else 0):
-        emission = bias[0] + own[word, 0] + affixes[buckets].sum(axis=0)
+        emission = bias[0] + own[word, 0] + sum(affixes[b] for b in buckets)
         emission[forth] += own[word[back], 1]
         emission[back] += own[word[forth], 2]
         p, moves = chains.marginals(emission, np.exp(move), pairs=True)
@@ -278,7 +291,7 @@ def fit(texts: list[bytes], toxic: list[int], rounds: int = 15, rate: float = 0.
             ]
         )
         step("own", own, slope)
-        step("affixes", affixes, np.bincount(buckets.ravel(), np.tile(miss, len(buckets)), _AFFIXES))
+        step("affixes", affixes, sum(np.bincount(b, miss, _AFFIXES) for b in buckets))
         step("bias", bias, np.array([miss.sum()]))
         step("move", move, seen - moves)
     keys, weights = np.zeros(1 << _TABLE_BITS, np.uint64), np.zeros((1 << _TABLE_BITS, 3))
@@ -286,7 +299,10 @@ def fit(texts: list[bytes], toxic: list[int], rounds: int = 15, rate: float = 0.
         slot = int(names[k]) >> (64 - _TABLE_BITS)
         keys[slot], weights[slot] = names[k], own[k]
     model = Model(keys, weights.astype(np.float32), affixes.astype(np.float32), float(bias[0]), np.exp(move), 1.0, 0.0)
-    mass = model.mass(Chains(every.first).marginals(model.emission(every), model.move), every.first)
+    mass = np.zeros(len(texts))
+    for low in range(0, len(texts), 500):
+        part = find_all(texts[low : low + 500])
+        mass[low : low + 500] = model.mass(Chains(part.first).marginals(model.emission(part), model.move), part.first)
     x, a, b = np.log(mass + 0.01), 0.0, 0.0
     for _ in range(200):  # logistic regression with a little decay, by Newton steps
         p = 1 / (1 + np.exp(-(a + b * x)))
@@ -313,14 +329,21 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     limits = F.create_map(*[F.lit(x) for t in (0, 1) for x in (t, min(1.0, SAMPLE_ROWS[t] / max(1, sizes.get(t, 0))))])
-    chosen = F.broadcast(known.where(share < limits[F.col("toxic")]))  # about 10,000 ids at most
+    chosen = F.broadcast(known.where(share < limits[F.col("toxic")]))  # about 5,000 ids
     rows = (
         docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-        .join(chosen, "doc_id").select(text_binary(F.col("text")), "toxic", "doc_id")
-        .collect()
+        .join(chosen, "doc_id").select("doc_id", "toxic", text_binary(F.col("text")).alias("text"))
     )
-    rows.sort(key=lambda r: (r[2], r[1], bytes(r[0])))
-    return fit([bytes(r[0]) for r in rows], [r[1] for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [x.to_pydict() for x in batches]
+        found = sorted((d, y, t) for x in parts for d, y, t in zip(x["doc_id"], x["toxic"], x["text"], strict=True))
+        model = fit([t for _, _, t in found], [y for _, y, _ in found])
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    # One task fits the bounded sample, so that the driver holds the finished model only.
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found[0]) if found else fit([], [])
 
 
 SCORED = "struct<score:double,toxic_words:double,spans:array<struct<start:int,end:int>>>"

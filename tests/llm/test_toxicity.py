@@ -36,8 +36,10 @@ def test_marginals_equal_enumeration(monkeypatch, lane):
 
 def test_words_and_hashes():
     texts = ["Ab, aB über", "", "x" * 9 + " ab", "b"]
-    data, offsets = T._joined([t.encode() for t in texts])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
     words = T.find_words(data, offsets)
+    assert np.array_equal(T.find_all([t.encode() for t in texts]).affixes, words.affixes)
     assert words.first.tolist() == [0, 3, 3, 5, 6]
     assert [bytes(data[s:e]).decode() for s, e in zip(words.starts, words.ends)] == ["Ab", "aB", "über", "x" * 9, "ab", "b"]
     assert words.hashes[0] == words.hashes[1] == words.hashes[4] and len(set(words.hashes.tolist())) == 4
