@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .language import languages
 from .packing import pack_documents
+from .secret_scan import secrets
 from .shared import table
 from .simhash import simhash_components
 from .toxicity import toxicity
@@ -45,3 +46,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document; spans as ``kind:start:end`` in code points."""
+    found = secrets(table(spark, sf_dir, "documents"))
+    text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.withColumn("spans", text)
