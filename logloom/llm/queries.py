@@ -12,6 +12,7 @@ from .language import languages
 from .packing import pack_documents
 from .secret_scan import secrets
 from .shared import table
+from .sharding import shard_documents
 from .simhash import simhash_components
 from .toxicity import toxicity
 
@@ -65,3 +66,9 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 ORACLES["op2_benchmark_decontamination"] = decontamination.ORACLE
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document."""
+    return shard_documents(table(spark, sf_dir, "documents"))
