@@ -10,6 +10,7 @@ from . import decontamination
 from .decontamination import contaminations
 from .language import languages
 from .packing import pack_documents
+from .scoring import score_texts
 from .secret_scan import secrets
 from .shared import table
 from .sharding import shard_documents
@@ -72,3 +73,9 @@ ORACLES["op2_benchmark_decontamination"] = decontamination.ORACLE
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard and slot of every document."""
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document."""
+    return score_texts(table(spark, sf_dir, "documents"))
