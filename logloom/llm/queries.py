@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontamination
 from .decontamination import contaminations
+from .embeddings import embedding_components
 from .language import languages
 from .packing import pack_documents
 from .scoring import score_texts
@@ -79,3 +80,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model score of every document."""
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embedding_components(table(spark, sf_dir, "embeddings"))
