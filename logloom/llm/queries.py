@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination
+from . import chat, decontamination
+from .chat import conversation_digests, format_conversations, with_probe
 from .decontamination import contaminations
 from .embeddings import embedding_components
 from .language import languages
@@ -86,3 +87,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, read back from the formatter's output."""
+    return conversation_digests(format_conversations(with_probe(spark, table(spark, sf_dir, "conversations"))))
+
+
+ORACLES["op7_chat_formatting"] = chat.ORACLE
