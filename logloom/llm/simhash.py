@@ -222,3 +222,25 @@ def components_by_fingerprint(slim: DataFrame, budget: int = 2) -> DataFrame:
     )
     ids = own.groupBy("component").agg(F.min("least").alias("component_id"))
     return own.select("fp", "component").join(ids, "component")
+
+
+def one_of_each_group(docs: DataFrame, budget: int = 2) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the one with the least ``doc_id``.
+
+    A row without id stays only if its group has none with one; of rows with one id in a group one
+    stays. Rows that share an id but are not near copies are different documents. All columns are
+    kept. The rows are written to the shared folder with a number each, so that the choice holds
+    when a task runs again.
+    """
+    names = [f"_{k}_of_{len(docs.columns)}" for k in ("print", "row")]
+    while set(names) & set(docs.columns):
+        names = [f"_{n}" for n in names]
+    fp, row = names
+    held = stage(docs.withColumn(fp, fingerprint(F.col("text"))).withColumn(row, F.monotonically_increasing_id()), "rows")
+    slim = held.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row").alias("row"))
+    chosen = (
+        slim.join(components_by_fingerprint(slim, budget).select("fp", "component"), "fp")
+        .groupBy("component").agg(F.min(order)["row"].alias(row))
+    )
+    return held.join(chosen.select(row), row, "left_semi").select(docs.columns)
