@@ -152,6 +152,12 @@ def _automaton(key: int, broadcast: Broadcast) -> Automaton:
     return Automaton(broadcast.value)
 
 
+@lru_cache(maxsize=1)
+def _known(key: int, broadcast: Broadcast) -> dict[bytes, int]:
+    table = broadcast.value
+    return dict(zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (``word``) and of full-length n-grams (``gram``), summed per task."""
     words: Counter[bytes] = Counter()
@@ -223,12 +229,25 @@ def train(texts: DataFrame) -> tuple[DataFrame, Grams, int, int]:
         shorter = shorter.withColumn("context", F.shiftrightunsigned("gram", 8))
         kept = shorter.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
         found = shorter.join(F.broadcast(kept), "context") if k > 1 else shorter  # 1 / SHARE contexts at most
-        table = found.select("gram", "n").toPandas().sort_values("gram")
-        codes.append(table["gram"].to_numpy(np.int64).astype(np.uint64))
-        sums.append(table["n"].to_numpy(np.float64))
+        table = found.select("gram", "n").toArrow()
+        order = np.argsort(table["gram"].to_numpy())
+        codes.append(table["gram"].to_numpy()[order].view(np.uint64))
+        sums.append(table["n"].to_numpy()[order].astype(np.float64))
     return words, Grams(codes, sums), tokens, distinct
 
 
+def _common_count(words: DataFrame) -> int:
+    """The count from which on words are common: with it there are ``COMMON_WORDS`` of them at most."""
+    steps = words.groupBy(F.floor(F.log2("n") * 64).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n"))
+    least, total = 1 << 62, 0
+    for _, found, n in sorted(steps.collect(), reverse=True):
+        total += found
+        if total > COMMON_WORDS:
+            break
+        least = n
+    return least
+
+
 def score_texts(docs: DataFrame, base_pseudo: int = 1) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
@@ -246,15 +265,15 @@ def score_texts(docs: DataFrame, base_pseudo: int = 1) -> DataFrame:
         F.coalesce(id_remainder(F.col("doc_id"), 7) == 2, F.lit(True)).alias("held_out"),
     )
     words, grams, tokens, distinct = train(rows.where("not held_out"))
-    most = words.orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
-    common = spark.sparkContext.broadcast({bytes(w): n for w, n in most.collect()})
+    least = _common_count(words)
+    common = spark.sparkContext.broadcast(words.where(F.col("n") >= least).toArrow())  # COMMON_WORDS rows at most
     model = spark.sparkContext.broadcast(grams)
     key = model._jbroadcast.id() if hasattr(model, "_jbroadcast") else id(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, automaton = common.value, _automaton(key, model)
+        known, automaton = _known(key, common), _automaton(key, model)
         logs: dict[int, float] = {}
         place = TaskContext.get().partitionId() << 40
         rare = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
@@ -303,9 +322,9 @@ def score_texts(docs: DataFrame, base_pseudo: int = 1) -> DataFrame:
 
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_common long, common_sum double, score double, rare array<struct<word:binary,n:int>>"
     scored = stage(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, kinds), "scored")
-    counted = words.join(most.select("word"), "word", "left_anti") if distinct > COMMON_WORDS else words.limit(0)
+    counted = words.where(F.col("n") < least).withColumnRenamed("n", "c")
     rare = (
-        scored.select("row", F.inline("rare")).join(counted.withColumnRenamed("n", "c"), "word")
+        scored.select("row", F.inline("rare")).join(counted, "word")
         .groupBy("row").agg(F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10((F.col("c") + base_pseudo) / base_pseudo)).alias("rare_sum"))
     )
     floor = math.log10(base_pseudo) if base_pseudo else 0.0
