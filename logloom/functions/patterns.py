@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from re import _parser as regex_parser
 
 from pyspark.sql import Column, SparkSession, functions as F
 
@@ -94,7 +95,7 @@ def java_regex(pattern: str) -> str | None:
     """A rule's regular expression in Java's dialect, any case, or null when it is not valid."""
     out = re.sub(r"\(\?P<(\w+)>", lambda m: "(?<" + m.group(1).replace("_", "") + ">", pattern)
     out = re.sub(r"\(\?P=(\w+)\)", lambda m: r"\k<" + m.group(1).replace("_", "") + ">", out)
-    out = "(?iu)" + out.replace(r"\Z", r"\z")
+    out = "(?iuU)" + out.replace(r"\Z", r"\z")
     return out if _java_accepts(out) else None
 
 
@@ -104,3 +105,67 @@ META = set("*+?[](){}^$|\\")
 
 def trimmed(pattern: str | None) -> str:
     return (pattern or "").strip(BLANKS)
+
+
+# Sets of texts longer than this are not worth a test before a pattern.
+_TEXTS_MAX = 24
+
+
+def _better(a: set[str] | None, b: set[str] | None) -> set[str] | None:
+    """The set whose shortest text is longer; of equals the smaller set."""
+    known = [x for x in (a, b) if x and all(x)]
+    return max(known, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+def _texts(nodes) -> tuple[set[str] | None, set[str] | None]:
+    """All texts that a part of a parsed pattern can match (none if they are too many), and a set
+    of texts one of which every match holds."""
+    run, complete = {""}, True
+    best: set[str] | None = None
+    for op, arg in nodes:
+        name = str(op)
+        whole: set[str] | None = None
+        part: set[str] | None = None
+        if name == "LITERAL":
+            whole = {chr(arg)}
+        elif name == "IN" and all(str(k) == "LITERAL" for k, _ in arg):
+            whole = {chr(c) for _, c in arg}
+        elif name in ("AT", "ASSERT", "ASSERT_NOT"):
+            whole = {""}
+        elif name == "SUBPATTERN":
+            whole, part = _texts(arg[3])
+        elif name == "ATOMIC_GROUP":
+            whole, part = _texts(arg)
+        elif name == "BRANCH":
+            found = [_texts(b) for b in arg[1]]
+            if all(w is not None for w, _ in found):
+                whole = set().union(*(w for w, _ in found))
+            needed = [_better(w, p) for w, p in found]
+            part = set().union(*needed) if all(needed) else None
+        elif "REPEAT" in name:
+            low, high, inner = arg
+            whole, part = _texts(inner)
+            if (int(low), int(high)) == (0, 1) and whole is not None:
+                whole, part = whole | {""}, None
+            elif (int(low), int(high)) != (1, 1):
+                part = _better(whole, part) if int(low) else None
+                whole = None
+        best = _better(best, part)
+        joined = {a + b for a in run for b in whole} if whole is not None else set()
+        if whole is not None and len(joined) <= _TEXTS_MAX:
+            run = joined
+        else:
+            best, complete = _better(best, run), False
+            run = whole if whole is not None and len(whole) <= _TEXTS_MAX else {""}
+    return run if complete else None, _better(best, run)
+
+
+@lru_cache(maxsize=None)
+def required_texts(pattern: str, lower: bool = False) -> tuple[str, ...]:
+    """Texts one of which occurs in every match of the pattern; none if it needs no particular text.
+
+    With ``lower`` they are lower-case, for a test on lower-case text.
+    """
+    _, found = _texts(list(regex_parser.parse(pattern)))
+    texts = {t.lower() for t in found or ()} if lower else set(found or ())
+    return tuple(sorted(t for t in texts if not any(o != t and o in t for o in texts)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from . import fixed
 from .common import col, contains_any, let, lookup, strip
+from .patterns import required_texts
 from .text import clean_text
 
 
@@ -54,17 +55,15 @@ def decode_pri(c: Column | str) -> Column:
     )
 
 
-# Where a level may stand in a line, in the order they are tried; each with
-# texts of which one must occur before the pattern is worth running.
+# Where a level may stand in a line, in the order they are tried.
 _LEVEL_SPOTS = (
-    (r"""\b(?:level|lvl|severity)\s*=\s*["']?([a-zA-Z]+)["']?""", ("level", "lvl", "severity")),
-    (r"""["'](?:level|severity)["']\s*:\s*["']([a-zA-Z]+)["']""", ("level", "severity")),
-    (r"\[\s*([a-zA-Z]+)\s*\]", ("[",)),
-    (r"(?:^|[\s\]])([a-zA-Z]+):(?:\s|$)", (":",)),
+    r"""\b(?:level|lvl|severity)\s*=\s*["']?([a-zA-Z]+)["']?""",
+    r"""["'](?:level|severity)["']\s*:\s*["']([a-zA-Z]+)["']""",
+    r"\[\s*([a-zA-Z]+)\s*\]",
+    r"(?:^|[\s\]])([a-zA-Z]+):(?:\s|$)",
     (
         r"^(?:[0-9T:.,Z+-]{8,}|\w{3}\s+\d+\s+[0-9:]{8})(?:\s+[0-9:.,Z+-]+)?"
-        r"(?:\s+(?:UTC|GMT|CET|EET|WET|MSK|[A-Z]{1,2}[SD]T))?\s+\[?([a-zA-Z]+)\]?\b",
-        (),
+        r"(?:\s+(?:UTC|GMT|CET|EET|WET|MSK|[A-Z]{1,2}[SD]T))?\s+\[?([a-zA-Z]+)\]?\b"
     ),
 )
 
@@ -74,7 +73,8 @@ def detect_severity(c: Column | str) -> Column:
 
     def from_header(header: Column) -> Column:
         found = []
-        for pattern, needles in _LEVEL_SPOTS:
+        for pattern in _LEVEL_SPOTS:
+            needles = required_texts(pattern)
             names = F.regexp_extract_all(header, F.lit(pattern), F.lit(1))
             codes = F.filter(F.transform(names, severity_of_name), lambda x: x.isNotNull())
             first = F.get(codes, 0)

@@ -402,7 +402,10 @@ def fire_alerts(
 
 
 def incidents_of(matches: DataFrame, segments: DataFrame, rules: DataFrame) -> DataFrame:
-    """Incidents from matches and the result of ``apply_cooldown``."""
+    """Incidents from matches and the result of ``apply_cooldown``.
+
+    ``match_count`` is the exact number of matches behind a firing. ``trigger_count`` is the stored
+    figure: of threshold rules at most one above the threshold."""
     key = ["rule_id", "fire_sec", "k"]
     listed = ordered_rules(rules)
     settings = rules.filter("is_enabled").select(
@@ -446,6 +449,7 @@ def incidents_of(matches: DataFrame, segments: DataFrame, rules: DataFrame) -> D
         "channel_id",
         "triggered_at",
         "trigger_count",
+        F.col("held_count").alias("match_count"),
         F.left(sample, F.lit(fixed.INCIDENT_SAMPLE_CHARS)).alias("sample_log"),
         F.when(rate, F.col("_app_newest.id")).otherwise(F.col("_newest.id")).alias("sample_log_id"),
         "incident_summary",

@@ -19,6 +19,14 @@ def instant(as_of) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
 
 
+def since(logs: DataFrame, as_of, hours: float) -> DataFrame:
+    """The rows from ``hours`` before ``as_of`` on; earlier days are not opened where rows have a
+    ``log_date``."""
+    low = hours_before(instant(as_of), hours)
+    recent = logs.filter(F.col("timestamp") >= low)
+    return recent.filter(F.col("log_date") >= F.to_date(low)) if "log_date" in logs.columns else recent
+
+
 def host_group() -> Column:
     return F.coalesce(blank_to_null(F.col("source_alias")), F.col("source_ip"), F.lit("unknown"))
 
@@ -79,7 +87,7 @@ def error_stats(logs: DataFrame, as_of=None) -> DataFrame:
     """Errors of the last 24 hours and the last hour, and rows per severity 0-4, in one pass."""
     now = instant(as_of)
     ts, sev = F.col("timestamp"), F.col("severity")
-    recent = logs.filter((sev <= 4) & (ts >= hours_before(now, 24)))
+    recent = since(logs, as_of, 24).filter(sev <= 4)
     per_code = {0: "emergency", 1: "alert", 2: "critical", 3: "error", 4: "warning"}
     return recent.agg(
         F.count_if(sev <= 3).alias("error_count_24h"),
@@ -90,9 +98,7 @@ def error_stats(logs: DataFrame, as_of=None) -> DataFrame:
 
 def _top_errors(logs: DataFrame, group: Column, as_of, k: int) -> DataFrame:
     return (
-        logs.filter(
-            (F.col("severity") <= 3) & (F.col("timestamp") >= hours_before(instant(as_of), 24))
-        )
+        since(logs, as_of, 24).filter(F.col("severity") <= 3)
         .groupBy(group.alias("name"))
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.desc("count"), "name")

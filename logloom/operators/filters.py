@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -195,7 +195,7 @@ class LogFilter:
     container_aliases: list[str] = field(default_factory=list)
     as_of: dt.datetime | None = None
     tz: str = "UTC"
-    log_date: bool = False
+    log_date: bool | None = None  # None: bound the days whenever the rows have a ``log_date``
 
     def is_empty(self) -> bool:
         return not (
@@ -206,7 +206,7 @@ class LogFilter:
 
 def log_filter(spec: LogFilter, live: bool = False) -> Column:
     """All criteria as one condition; cheap ones come first."""
-    conds = [time_range(spec.start, spec.end, spec.as_of, spec.tz, spec.log_date)]
+    conds = [time_range(spec.start, spec.end, spec.as_of, spec.tz, bool(spec.log_date))]
     if spec.ids:
         conds.append(F.col("id").isin(*spec.ids))
     if spec.severity_max is not None:
@@ -221,6 +221,13 @@ def log_filter(spec: LogFilter, live: bool = False) -> Column:
     return all_of(*conds)
 
 
+def matching(logs: DataFrame, spec: LogFilter) -> DataFrame:
+    """The rows of a filter. Time bounds also bound ``log_date`` where the rows have it."""
+    if spec.log_date is None:
+        spec = replace(spec, log_date="log_date" in logs.columns)
+    return logs.filter(log_filter(spec))
+
+
 def live_filter(
     severity: int | None = None,
     hosts: list[str] = (),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-from ..functions.common import blank_to_null
+from ..functions.common import BLANKS, blank_to_null
 from ..functions.patterns import glob_to_regex, is_wild, trimmed
 from ..session import join_dimension
 from .counts import instant
@@ -197,24 +197,31 @@ def maintenance_drops(
             )
         ),
     )
-    marked = logs.withColumn("_day", F.when(severe, day))
-    errors = marked.filter("_day IS NOT NULL").select(
-        "id", "_day", F.col(ts).alias("_ts"), "app_name", "source_alias", "source_ip"
+    no_session = F.lit(None).cast("string").alias("session_id")
+    errors = logs.filter(severe).select(
+        F.struct(*logs.columns).alias("_row"), F.monotonically_increasing_id().alias("_key"), day.alias("_day"),
+        F.col(ts).alias("_ts"), "app_name", "source_alias", "source_ip",
     )
-    met = join_dimension(errors, spans, ["_day"], "inner").filter(
+    target = {c: F.btrim(F.coalesce(F.col(c), F.lit("")), F.lit(BLANKS)) for c in ("target_app", "target_host")}
+    spans = spans.withColumns({f"_{c}": t for c, t in target.items()}).drop("target_app", "target_host")
+    met = join_dimension(errors, spans, ["_day"])
+    hit = (
         (F.col("_ts") >= F.col("created_at"))
         & (F.col("_ts") < F.col("_end"))
-        & (blank_to_null(F.trim("target_app")).isNull() | _wild_sql("app_name", "target_app"))
+        & ((F.col("_target_app") == "") | _wild_sql("app_name", "_target_app"))
         & (
-            blank_to_null(F.trim("target_host")).isNull()
-            | _wild_sql("source_alias", "target_host")
-            | _wild_sql("source_ip", "target_host")
+            (F.col("_target_host") == "")
+            | _wild_sql("source_alias", "_target_host")
+            | _wild_sql("source_ip", "_target_host")
         )
     )
-    chosen = met.groupBy("id").agg(
-        F.min(F.struct((-F.unix_micros("expires_at")).alias("o"), "session_id")).alias("_best")
+    # The row itself goes through the join, so rows need no id and repeated ones stay apart
+    best = F.min(F.when(hit, F.struct((-F.unix_micros("expires_at")).alias("o"), "session_id")))
+    chosen = met.groupBy("_key").agg(F.first("_row").alias("_row"), best.alias("_best"))
+    return (
+        logs.filter(~severe).select("*", no_session)
+        .unionByName(chosen.select("_row.*", F.col("_best.session_id").alias("session_id")))
     )
-    return logs.join(chosen, "id", "left").withColumn("session_id", F.col("_best.session_id")).drop("_best")
 
 
 def session_drop_counts(dropped: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -235,27 +242,39 @@ def silence_incidents(
 ) -> DataFrame:
     """The incidents with ``notified``: false while any window [window_start, window_end) is open.
 
-    Windows are cut into days, so the join has an equal key and needs no nested loop.
+    Overlapping windows are merged first, so an incident meets one window at most, in one left join
+    on its part of the time (``bucket_seconds``). Incidents of a busy part spread by the salt of
+    ``join_dimension``.
     """
 
     def bucket(c: Column) -> Column:
         return F.floor(F.unix_seconds(c) / bucket_seconds)
 
-    spans = windows.select(
-        "window_start",
-        "window_end",
-        F.explode(F.sequence(bucket(F.col("window_start")), bucket(F.col("window_end")))).alias("_b"),
-    )
     at = F.col("triggered_at")
     base = incidents.withColumn("_b", bucket(at))
-    cond = (
-        (base["_b"] == spans["_b"])
-        & (at >= spans["window_start"])
-        & (at < spans["window_end"])
+    spans = merged_windows(windows).select(
+        "window_start", "window_end",
+        F.explode(F.sequence(bucket(F.col("window_start")), bucket(F.col("window_end")))).alias("_b"),
+    )
+    # All windows of a part of the time in one row; they are disjoint and few
+    open_at = spans.groupBy("_b").agg(F.collect_list(F.struct("window_start", "window_end")).alias("_open"))
+    inside = F.exists("_open", lambda w: (at >= w["window_start"]) & (at < w["window_end"]))
+    met = join_dimension(base, open_at, ["_b"]).withColumn("notified", ~F.coalesce(inside, F.lit(False)))
+    return met.select(*incidents.columns, "notified")
+
+
+def merged_windows(windows: DataFrame) -> DataFrame:
+    """Disjoint windows that cover the same time; windows that end before they start are left out."""
+    by_start = Window.orderBy("window_start", "window_end")  # configuration: sessions and planned windows
+    before = by_start.rowsBetween(Window.unboundedPreceding, -1)
+    new = F.col("window_start") > F.max("window_end").over(before)
+    run = F.sum(F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0)).over(by_start)
+    return (
+        windows.select("window_start", "window_end").filter("window_start < window_end")
+        .withColumn("_run", run).groupBy("_run")
+        .agg(F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end"))
+        .drop("_run")
     )
-    quiet = base.join(spans, cond, "left_semi").withColumn("notified", F.lit(False))
-    heard = base.join(spans, cond, "left_anti").withColumn("notified", F.lit(True))
-    return heard.unionByName(quiet).drop("_b")
 
 
 def window_rows(sessions: DataFrame) -> DataFrame:

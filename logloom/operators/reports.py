@@ -6,17 +6,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import bytes_text, fixed
 from ..functions.common import blank_to_null
-from .counts import error_stats, host_group, hours_before, instant, top_error_apps, top_error_hosts
+from .counts import error_stats, host_group, hours_before, instant, since, top_error_apps, top_error_hosts
 from .incidents import alert_state
 from .maintenance import maintenance_status
 
 
-def _since(logs: DataFrame, as_of, hours: int) -> DataFrame:
-    return logs.filter(F.col("timestamp") >= hours_before(instant(as_of), hours))
-
-
 def digest_totals(logs: DataFrame, as_of=None, hours: int = 24) -> DataFrame:
-    return _since(logs, as_of, hours).agg(
+    return since(logs, as_of, hours).agg(
         F.count(F.lit(1)).alias("total_logs"),
         F.count_if(F.col("severity") <= 3).alias("total_errors"),
     )
@@ -51,7 +47,7 @@ def _worst_first() -> list[Column]:
 
 
 def digest_top_errors(logs: DataFrame, as_of=None, k: int = 3, hours: int = 24) -> DataFrame:
-    return _error_groups(_since(logs, as_of, hours), []).orderBy(*_worst_first()).limit(k)
+    return _error_groups(since(logs, as_of, hours), []).orderBy(*_worst_first()).limit(k)
 
 
 def _service() -> Column:
@@ -60,7 +56,7 @@ def _service() -> Column:
 
 def digest_top_services(logs: DataFrame, as_of=None, k: int = 3, hours: int = 24) -> DataFrame:
     return (
-        _since(logs, as_of, hours)
+        since(logs, as_of, hours)
         .groupBy(_service())
         .agg(F.count(F.lit(1)).alias("log_count"))
         .orderBy(F.desc("log_count"), "service")
@@ -203,7 +199,7 @@ def system_metrics(
     now = instant(as_of)
     arrived = F.col("received_at")
     window = (arrived > hours_before(now, seconds / 3600)) & (arrived <= now)
-    rate = logs.agg((F.round(F.count_if(window) / F.lit(float(seconds)), 2)).alias("ingest_rate"))
+    rate = logs.filter(window).agg(F.round(F.count(F.lit(1)) / F.lit(float(seconds)), 2).alias("ingest_rate"))
     newest = metrics.agg(
         F.max_by("db_size_bytes", "recorded_at").alias("db_size_bytes"),
         F.max_by("total_logs_count", "recorded_at").alias("total_logs_count"),

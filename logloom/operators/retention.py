@@ -1,18 +1,21 @@
 """Deleting, pruning and their previews.
 
 Tables are immutable files: a delete is the frame of kept rows. ``rewrite_days`` writes it back
-for the days that lost rows, and no others.
+for the days that lost rows, and no others; deletes, pruning and backfills of stored tables use it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import checkpoint_dir, join_dimension
-from .filters import LogFilter, log_filter
+from ..schema import BATCH, own_batch
+from ..session import checkpoint_dir, join_dimension, stage
+from ..sources.logs import write_days
+from .filters import LogFilter, log_filter, resolve_bound
 from .incidents import history_kind
 
 METRICS_DAYS = 30
@@ -176,39 +179,133 @@ def prune_preview(
     )
 
 
-def rewrite_days(spark: SparkSession, path: str, cond: Column) -> dict[str, int]:
-    """Deletes rows of a table partitioned by ``log_date``; only days that hold such rows are
-    written again.
+Change = Callable[[DataFrame], DataFrame]
 
-    The kept rows of these days go to a staging folder on shared storage first and replace the
-    days from there, so a failure before the swap leaves the table as it was.
+
+def rewrite_days(
+    spark: SparkSession, path: str, touched: Change, change: Change,
+    first: dt.date | None = None, last: dt.date | None = None,
+) -> dict[str, int]:
+    """Changes rows of a stored table; only the days that hold such rows are written again.
+
+    ``touched`` gives the rows that the change concerns, ``change`` the rows of a day after it.
+    Only the days from ``first`` to ``last`` are opened. A changed day keeps the table's layout and
+    its order by host and time, and becomes one batch of as many files as ``append_logs`` makes; a
+    day without rows goes as a folder. New rows are staged first and each day is swapped by renaming
+    its folder, so readers find the old day or the new one. A day to which another writer has
+    added since it was read stops the change before anything is swapped.
     """
-    logs = spark.read.parquet(path)
-    cond = F.coalesce(cond, F.lit(False))
-    hit = logs.groupBy("log_date").agg(
-        F.count_if(cond).alias("gone"), F.count_if(~cond).alias("kept")
-    ).filter("gone > 0").collect()
+    stored = spark.read.parquet(path)
+    bounds = [F.col("log_date") >= F.lit(first)] if first else []
+    bounds += [F.col("log_date") <= F.lit(last)] if last else []
+    for bound in bounds:
+        stored = stored.filter(bound)
+    hit = {r["log_date"]: r["n"] for r in touched(stored).groupBy("log_date").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not hit:
-        return {"deleted": 0, "days_rewritten": 0, "days_removed": 0}
-    rewritten = [r["log_date"] for r in hit if r["kept"]]
-    removed = [r["log_date"] for r in hit if not r["kept"]]
-    if rewritten:
-        stage = f"{checkpoint_dir(spark)}/rewrite-{uuid.uuid4().hex}"
-        kept = logs.filter(F.col("log_date").isin(*rewritten) & ~cond)
-        kept.write.mode("overwrite").partitionBy("log_date").parquet(stage)
-        (
-            spark.read.schema(logs.schema).parquet(stage)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("log_date")
-            .parquet(path)
-        )
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs  # noqa: SLF001
-    for day in removed:
-        folder = hadoop.Path(f"{path}/log_date={day.isoformat()}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)  # noqa: SLF001
-    return {
-        "deleted": sum(r["gone"] for r in hit),
-        "days_rewritten": len(rewritten),
-        "days_removed": len(removed),
-    }
+        return {"touched": 0, "days_rewritten": 0, "days_removed": 0}
+    files = Folder(spark, path)
+    before = {day: files.batches(day) for day in hit}
+    staged = f"{checkpoint_dir(spark)}/rewrite-{uuid.uuid4().hex}"
+    days = stored.filter(F.col("log_date").isin(*hit))
+    write_days(change(days).drop(BATCH).select([c for c in stored.columns if c != BATCH]), staged, own_batch())
+    fresh = Folder(spark, staged)
+    for day in hit:
+        if files.batches(day) != before[day]:
+            raise RuntimeError(f"rows were added to {day} while it was changed; nothing was changed, run it again")
+    written = [day for day in hit if fresh.exists(day)]
+    for day in hit:
+        old = files.put_aside(day)
+        if day in written:
+            files.take(fresh, day)
+        files.delete(old)
+    return {"touched": sum(hit.values()), "days_rewritten": len(written), "days_removed": len(hit) - len(written)}
+
+
+class Folder:
+    """The day folders of a stored table."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
+        self.root = path.rstrip("/")
+        self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+
+    def of(self, day: dt.date):
+        return self._path(f"{self.root}/log_date={day.isoformat()}")
+
+    def exists(self, day: dt.date) -> bool:
+        return self.fs.exists(self.of(day))
+
+    def batches(self, day: dt.date) -> set[str]:
+        return {s.getPath().getName() for s in self.fs.listStatus(self.of(day))}
+
+    def days(self) -> list[dt.date]:
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._path(self.root))]
+        return sorted(dt.date.fromisoformat(n[9:]) for n in names if n.startswith("log_date=") and n[9] != "_")
+
+    def put_aside(self, day: dt.date):
+        """Renames a day to a name that readers skip."""
+        old = self._path(f"{self.root}/_old-{uuid.uuid4().hex}-{day.isoformat()}")
+        if not self.fs.rename(self.of(day), old):
+            raise RuntimeError(f"{day} could not be put aside")
+        return old
+
+    def take(self, other: Folder, day: dt.date) -> None:
+        if not self.fs.rename(other.of(day), self.of(day)):
+            raise RuntimeError(f"{day} could not be put in place; its rows are in {other.root}")
+
+    def delete(self, folder) -> None:
+        self.fs.delete(folder, True)
+
+
+def compact_days(spark: SparkSession, path: str, last: dt.date, min_batches: int = 2) -> int:
+    """Merges the batches of every day up to ``last`` that has at least ``min_batches``; returns
+    the number of days. For days to which nothing is added any more."""
+    files = Folder(spark, path)
+    many = [d for d in files.days() if d <= last and len(files.batches(d)) >= min_batches]
+    whole = lambda rows: rows.filter(F.col("log_date").isin(*many)) if many else rows.limit(0)
+    return rewrite_days(spark, path, whole, lambda rows: rows, min(many, default=None), last)["days_rewritten"]
+
+
+def delete_stored(spark: SparkSession, path: str, spec: LogFilter, delete_all: bool = False) -> dict[str, int]:
+    """Deletes the rows of a filter from a stored table; its time bounds limit the days opened."""
+    cond = F.coalesce(delete_condition(spec, delete_all), F.lit(False))
+    as_of = spec.as_of or dt.datetime.now(dt.timezone.utc)
+    low, high = (resolve_bound(x, as_of, spec.tz) for x in (spec.start, spec.end))
+    return rewrite_days(
+        spark, path, lambda rows: rows.filter(cond), lambda rows: rows.filter(~cond),
+        low.date() if low else None, high.date() if high else None,
+    )
+
+
+def delete_stored_ids(spark: SparkSession, path: str, ids: DataFrame, first: dt.date | None = None, last: dt.date | None = None) -> dict[str, int]:
+    """Deletes rows by id from a stored table."""
+    ids = stage(ids.toDF("id").distinct(), "ids")
+    return rewrite_days(
+        spark, path, lambda rows: join_dimension(rows, ids, ["id"], "left_semi"), lambda rows: delete_by_ids(rows, ids), first, last
+    )
+
+
+def prune_stored(spark: SparkSession, path: str, retention_days: int, as_of: dt.datetime) -> dict[str, int]:
+    """Removes rows older than the retention: older days go as folders without being read, and only
+    the day of the cutoff is written again."""
+    cutoff = cutoff_of(as_of, retention_days)
+    files = Folder(spark, path)
+    gone = [day for day in files.days() if day < cutoff.date()]
+    for day in gone:
+        files.delete(files.put_aside(day))
+    old = F.col("timestamp") < F.lit(cutoff)
+    edge = {"days_rewritten": 0, "days_removed": 0}
+    if cutoff.date() in files.days():
+        edge = rewrite_days(spark, path, lambda rows: rows.filter(old), lambda rows: rows.filter(~old), cutoff.date(), cutoff.date())
+    return {"days_removed": len(gone) + edge["days_removed"], "days_rewritten": edge["days_rewritten"]}
+
+
+def backfill_stored(spark: SparkSession, path: str, column: str, change: Change, first: dt.date | None = None, last: dt.date | None = None) -> dict[str, int]:
+    """Rewrites the days on which ``change`` gives ``column`` another value, as ``backfill_alias``
+    (``source_alias``) and ``backfill_app`` (``app_name``) do."""
+    before = "_before"
+
+    def touched(rows: DataFrame) -> DataFrame:
+        return change(rows.withColumn(before, F.col(column))).filter(~F.col(before).eqNullSafe(F.col(column)))
+
+    return rewrite_days(spark, path, touched, change, first, last)

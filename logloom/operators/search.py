@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..session import join_dimension
-from .filters import LogFilter, log_filter
+from .filters import LogFilter, matching
 
 def newest_first() -> list[Column]:
     return [F.desc("timestamp"), F.desc("id")]
@@ -21,7 +21,7 @@ def search(
     """One page of matching rows, newest first, ids deciding ties."""
     if not 1 <= limit <= 1000 or offset < 0:
         raise ValueError("limit must be 1 to 1000 and offset not negative")
-    page = logs.filter(log_filter(spec)).orderBy(*newest_first())
+    page = matching(logs, spec).orderBy(*newest_first())
     return (page.offset(offset) if offset else page).limit(limit)
 
 
@@ -54,11 +54,13 @@ def search_after(
     limit: int = 100,
 ) -> DataFrame:
     """The page below a cursor. ``next_cursor`` is set on its last row when more rows follow."""
-    cond = log_filter(spec)
+    found = matching(logs, spec)
     if cursor:
         position = decode_cursor(cursor) if isinstance(cursor, str) else cursor
-        cond = cond & after_cursor(position)
-    page = logs.filter(cond).orderBy(*newest_first()).limit(limit + 1)
+        found = found.filter(after_cursor(position))
+        if "log_date" in logs.columns:
+            found = found.filter(F.col("log_date") <= F.to_date(F.timestamp_micros(F.lit(position[0]))))
+    page = found.orderBy(*newest_first()).limit(limit + 1)
     # limit + 1 rows from here on: numbering them in one task is cheap
     place = F.row_number().over(Window.orderBy(*newest_first()))
     total = F.count(F.lit(1)).over(Window.partitionBy())
@@ -82,7 +84,7 @@ def search_after(
 
 def count_logs(logs: DataFrame, spec: LogFilter) -> DataFrame:
     """The exact number of matching rows."""
-    return logs.filter(log_filter(spec)).agg(F.count(F.lit(1)).alias("total"))
+    return matching(logs, spec).agg(F.count(F.lit(1)).alias("total"))
 
 
 def ui_count_cap(limit: int, offset: int = 0) -> int:
@@ -91,7 +93,7 @@ def ui_count_cap(limit: int, offset: int = 0) -> int:
 
 def capped_count(logs: DataFrame, spec: LogFilter, cap: int = fixed.API_COUNT_CAP) -> DataFrame:
     """The number of matching rows up to ``cap``; scanning stops early."""
-    some = logs.filter(log_filter(spec)).select(F.lit(1).alias("_x")).limit(cap)
+    some = matching(logs, spec).select(F.lit(1).alias("_x")).limit(cap)
     n = F.count(F.lit(1))
     return some.agg(n.alias("total"), (n >= cap).alias("total_capped"))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import words
+from ..functions import fixed, words
 from ..functions.text import term_words
+from ..schema import BATCH, own_batch
 from ..session import join_dimension, stage
 from .filters import SEARCH_FIELDS, any_of
 
@@ -37,8 +38,9 @@ def write_postings(postings: DataFrame, path: str, buckets: int = 256, mode: str
     spread = placed.withColumn("_s", F.pmod(F.xxhash64("log_id"), F.lit(8)))
     (
         spread.repartition(BUCKET, "_s").drop("_s")
+        .withColumn(BATCH, F.lit(own_batch()))
         .sortWithinPartitions(BUCKET, "token")
-        .write.mode(mode).partitionBy(BUCKET).parquet(path)
+        .write.mode(mode).partitionBy(BUCKET, BATCH).parquet(path)
     )
 
 
@@ -52,12 +54,18 @@ def _condition(postings: DataFrame, token: str, prefix: bool, field: str | None,
 
 
 def lookup(
-    postings: DataFrame, term: str, prefix: bool = True, field: str | None = None, buckets: int = 256
+    postings: DataFrame, term: str, prefix: bool | None = None, field: str | None = None, buckets: int = 256
 ) -> DataFrame:
-    """Ids of the rows with the word."""
-    token = term_words(term)[0]
-    cond = _condition(postings, token, prefix, field, buckets)
-    return postings.filter(cond).select("log_id").distinct()
+    """Ids of the rows with the term, by the rules of ``has_term``: a term of several words (an
+    address) is looked up as a phrase, and a term without words is in no row."""
+    if prefix is None:
+        prefix = term.endswith("*") or len(term) >= fixed.TERM_PREFIX_MIN_CHARS
+    tokens = term_words(term)
+    if not tokens:
+        return postings.select("log_id").limit(0)
+    if len(tokens) > 1:
+        return lookup_phrase(postings, term, prefix, field, buckets)
+    return postings.filter(_condition(postings, tokens[0], prefix, field, buckets)).select("log_id").distinct()
 
 
 def lookup_phrase(

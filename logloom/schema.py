@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
+# Stored tables keep the rows of each write under a batch: a stream's batch number, or a number of
+# its own, below zero, for any other write.
+BATCH = "batch_id"
+
+
+def own_batch() -> int:
+    return -time.time_ns()
+
+
 _TYPES = {
     "long": T.LongType(),
     "int": T.IntegerType(),

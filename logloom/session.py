@@ -10,8 +10,9 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A dimension table is broadcast only when it is counted to hold at most this many rows.
+# A dimension table is broadcast only when it is counted to hold at most this many rows and bytes.
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def ensure_utc(spark: SparkSession) -> SparkSession:
@@ -73,9 +74,13 @@ def stage_scope():
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Whether the table is proven to hold at most ``max_rows`` rows (reads no more than that)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """Whether the table is proven to hold at most ``max_rows`` rows and ``max_bytes`` bytes as JSON
+    text (reads no more than that many rows)."""
+    some = df.limit(max_rows + 1)
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))), F.lit(0))
+    rows, bytes_ = some.agg(F.count(F.lit(1)), size).first()
+    return rows <= max_rows and bytes_ <= max_bytes
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions import fixed
 from ..functions.text import replace_surrogates
 from ..operators.ordered import ordinal
-from ..schema import INCIDENTS, LOG_DEFAULTS, LOGS, conform, with_log_date
+from ..schema import BATCH, INCIDENTS, LOG_DEFAULTS, LOGS, conform, own_batch, with_log_date
 
 TEXT_COLUMNS = ("source_ip", "source_alias", "app_name", "message", "raw")
 
@@ -44,20 +44,28 @@ def highest_id(spark: SparkSession, path: str) -> int:
     return top or 0
 
 
-def append_logs(rows: DataFrame, path: str, order: list[str] = ("received_at", "seq")) -> None:
-    """Appends rows by day. Rows without ids get them in arrival order after the stored ones."""
-    if "id" not in rows.columns:
-        rows = assign_ids(rows, highest_id(rows.sparkSession, path), list(order))
-    out = with_log_date(conform(rows, LOGS, LOG_DEFAULTS))
+def write_days(rows: DataFrame, path: str, batch: int, mode: str = "append", tasks: int = 8) -> None:
+    """Writes rows with ``log_date`` in the layout of every stored log table: a folder per day, in it
+    one per batch, files sorted by host and time. At most ``tasks`` files per day and batch."""
     (
-        out.repartition("log_date", F.pmod(F.xxhash64("id"), F.lit(8)))
+        rows.withColumn(BATCH, F.lit(batch).cast("long"))
+        .repartition("log_date", F.pmod(F.xxhash64("id"), F.lit(tasks)))
         .sortWithinPartitions("log_date", "source_alias", "timestamp")
-        .write.mode("append")
-        .partitionBy("log_date")
+        .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("log_date", BATCH)
         .parquet(path)
     )
 
 
+def append_logs(rows: DataFrame, path: str, order: list[str] = ("received_at", "seq")) -> None:
+    """Appends rows by day as a batch of their own. Rows without ids get them in arrival order after
+    the stored ones."""
+    if "id" not in rows.columns:
+        rows = assign_ids(rows, highest_id(rows.sparkSession, path), list(order))
+    write_days(with_log_date(conform(rows, LOGS, LOG_DEFAULTS)), path, own_batch())
+
+
 def salvage_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that can be stored, repaired where needed, and the rest with ``problem``.
 
@@ -85,9 +93,13 @@ def salvage_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, marked.filter("problem IS NOT NULL")
 
 
-def write_incidents(incidents: DataFrame, path: str) -> None:
-    """Appends fired alerts; the sample is cut to its first 1,000 characters."""
-    rows = incidents.withColumn("sample_log", F.left("sample_log", F.lit(fixed.INCIDENT_SAMPLE_CHARS)))
+def write_incidents(
+    incidents: DataFrame, path: str, sample_chars: int | None = fixed.INCIDENT_SAMPLE_CHARS
+) -> None:
+    """Appends fired alerts; the sample is cut to its first ``sample_chars`` (None: whole)."""
+    rows = incidents
+    if sample_chars is not None:
+        rows = rows.withColumn("sample_log", F.left("sample_log", F.lit(sample_chars)))
     conform(rows, INCIDENTS).write.mode("append").parquet(path)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.counts import ingest_rate
@@ -12,11 +12,11 @@ from ..operators.dims import resolve_alias
 from ..operators.maintenance import maintenance_drops
 from ..operators.ordered import ordinal
 from ..operators.rules import apply_drop_rules
-from ..operators.textindex import BUCKET, build_postings, token_bucket
-from ..schema import LOG_DEFAULTS, LOGS, conform, with_log_date
+from ..operators.textindex import BUCKET, build_postings, token_bucket, write_postings
+from ..schema import BATCH, LOG_DEFAULTS, LOGS, conform, with_log_date
+from ..sources.logs import write_days
 from ..sources.syslog import parse_syslog
 
-BATCH = "batch_id"
 Sink = Callable[[DataFrame, int], None]
 
 
@@ -49,32 +49,31 @@ def stream_ids(batch: DataFrame, batch_id: int, order: list[str] = ("received_at
     return numbered.withColumn("id", F.shiftleft(F.lit(batch_id).cast("long"), 40) + F.col("id"))
 
 
-def replace_batch(rows: DataFrame, batch_id: int, path: str, by: str, key: str, tasks: int = 4) -> None:
-    """Writes a micro-batch under its own id. A repeated batch replaces its first attempt, so
-    every row is stored once.
+def append_batch(batch: DataFrame, batch_id: int, path: str, order: list[str] = ("received_at", "seq")) -> None:
+    """Stores a micro-batch of log rows by day, in the layout that ``append_logs`` writes.
+
+    A repeated batch replaces its first attempt, so every row is stored once. ``compact_days``
+    merges the batches of closed days."""
+    rows = batch if "id" in batch.columns else stream_ids(batch, batch_id, list(order))
+    write_days(with_log_date(conform(rows, LOGS, LOG_DEFAULTS)), path, batch_id, "overwrite", tasks=4)
+
 
-    Each value of ``by`` goes to at most ``tasks`` tasks, spread by ``key``: few files, and no
-    task that holds a busy day or a common word alone."""
+def index_batch(batch: DataFrame, batch_id: int, path: str, buckets: int = 256) -> None:
+    """Adds the words of a micro-batch to the index. A repeated batch replaces its first attempt."""
+    postings = build_postings(batch).withColumn(BUCKET, token_bucket(F.col("token"), buckets))
     (
-        rows.repartition(by, F.pmod(F.xxhash64(key), F.lit(tasks)))
+        postings.repartition(BUCKET, F.pmod(F.xxhash64("log_id"), F.lit(4)))
         .withColumn(BATCH, F.lit(batch_id).cast("long"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(by, BATCH)
+        .partitionBy(BUCKET, BATCH)
         .parquet(path)
     )
 
 
-def append_batch(batch: DataFrame, batch_id: int, path: str, order: list[str] = ("received_at", "seq")) -> None:
-    """Stores a micro-batch of log rows by day."""
-    rows = batch if "id" in batch.columns else stream_ids(batch, batch_id, list(order))
-    replace_batch(with_log_date(conform(rows, LOGS, LOG_DEFAULTS)), batch_id, path, "log_date", "id")
-
-
-def index_batch(batch: DataFrame, batch_id: int, path: str, buckets: int = 256) -> None:
-    """Adds the words of a micro-batch to the index."""
-    postings = build_postings(batch).withColumn(BUCKET, token_bucket(F.col("token"), buckets))
-    replace_batch(postings, batch_id, path, BUCKET, "log_id")
+def compact_index(spark: SparkSession, path: str, out: str) -> None:
+    """The index written anew to ``out`` with one batch per bucket."""
+    write_postings(spark.read.parquet(path).drop(BUCKET, BATCH), out)
 
 
 def fan_out(*sinks: Sink) -> Sink:
@@ -97,7 +96,7 @@ def start(
     """Starts a query whose progress is kept in ``checkpoint`` (on shared storage)."""
     writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     writer = writer.queryName(name) if name else writer
-    return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
+    return writer.trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
 def store_stream(logs: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -122,20 +121,35 @@ def tail_stream(
     logs: DataFrame, condition: Column, sink: Sink, checkpoint: str, max_events: int | None = None, **trigger
 ) -> StreamingQuery:
     """Hands the rows under a filter to ``sink`` as they arrive; ends after ``max_events``."""
-    seen = 0
+    count_path = f"{checkpoint.rstrip('/')}-events"
     running: list[StreamingQuery] = []
 
     def counted(batch: DataFrame, batch_id: int) -> None:
-        nonlocal seen
         if max_events is None:
             return sink(batch, batch_id)
+        spark = batch.sparkSession
+        # What earlier batches handed on is kept beside the checkpoint, one row per batch
+        seen = _handed_on(spark, count_path, batch_id)
         if seen < max_events:
-            part = batch.orderBy("received_at", "id").limit(max_events - seen)
+            part = batch.orderBy("received_at", "id").limit(max_events - seen).persist()
             sink(part, batch_id)
-            seen += part.count()
+            taken = part.count()
+            part.unpersist()
+            spark.createDataFrame([(taken,)], "taken long").coalesce(1).write.mode(
+                "overwrite"
+            ).parquet(f"{count_path}/{BATCH}={batch_id}")
+            seen += taken
         if seen >= max_events and running:
             running[0].stop()
 
     query = start(logs.filter(condition), counted, checkpoint, **trigger)
     running.append(query)
     return query
+
+
+def _handed_on(spark: SparkSession, path: str, batch_id: int) -> int:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):  # noqa: SLF001
+        return 0
+    earlier = spark.read.schema(f"taken long, {BATCH} long").parquet(path).filter(F.col(BATCH) < batch_id)
+    return earlier.agg(F.coalesce(F.sum("taken"), F.lit(0))).first()[0]

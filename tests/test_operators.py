@@ -8,6 +8,7 @@ import pytest
 from helpers import T0, alert_rule, alert_rules, at, drop_rule, drop_rules, log, logs
 from pyspark.sql import functions as F
 
+from logloom import streaming
 from logloom.operators import (
     alerts,
     assemble,
@@ -445,16 +446,73 @@ def test_store_append_and_rewrite(spark, folder):
     days = Counter(r["log_date"] for r in table.collect())
     first = min(days)
     cond = (F.col("log_date") == F.lit(first)) | (F.col("id") == 20)
-    done = retention.rewrite_days(spark, path, cond)
-    assert done == {"deleted": days[first] + 1, "days_rewritten": 0, "days_removed": 2}
-    done2 = retention.rewrite_days(spark, path, F.col("id") == 5)
-    assert done2 == {"deleted": 1, "days_rewritten": 1, "days_removed": 0}
+
+    def rewrite(c, **bounds):
+        return retention.rewrite_days(spark, path, lambda df: df.filter(c), lambda df: df.filter(~c), **bounds)
+
+    assert rewrite(cond, last=first - dt.timedelta(days=1)) == {"touched": 0, "days_rewritten": 0, "days_removed": 0}
+    done = rewrite(cond)
+    assert done == {"touched": days[first] + 1, "days_rewritten": 0, "days_removed": 2}
+    done2 = rewrite(F.col("id") == 5)
+    assert done2 == {"touched": 1, "days_rewritten": 1, "days_removed": 0}
     left = stored.read_logs(spark, path)
-    assert left.count() == 19 - done["deleted"] and not {5, 20} & set(ids(left))
+    assert left.count() == 19 - done["touched"] and not {5, 20} & set(ids(left))
     pruned = retention.prune_logs(left, 1, at(20 * 30_000))
     assert "PartitionFilters: [isnotnull(log_date" in pruned._jdf.queryExecution().toString()
 
 
+def test_both_writers_share_a_table(spark, folder):
+    path = f"{folder}/logs"
+    rows = logs(spark, *[log(i, i * 9000, severity=i % 8, source_alias=f"h{i % 3}") for i in range(40)])
+    stored.append_logs(rows.filter("id < 15"), path)
+    streaming.append_batch(rows.filter("id BETWEEN 15 AND 29"), 0, path)
+    streaming.append_batch(rows.filter("id BETWEEN 15 AND 29"), 0, path)
+    stored.append_logs(rows.filter("id >= 30"), path)
+    assert ids(stored.read_logs(spark, path)) == list(range(40))
+    spec = filters.LogFilter(severity_max=2, start=at(50_000), as_of=T0)
+    gone = {r["id"] for r in filters.matching(rows, spec).collect()}
+    assert retention.delete_stored(spark, path, spec)["touched"] == len(gone) > 5
+    assert ids(stored.read_logs(spark, path)) == [i for i in range(40) if i not in gone]
+    renamed = retention.backfill_stored(spark, path, "source_alias", lambda df: df.withColumn(
+        "source_alias", F.when(F.col("source_alias") == "h1", "new").otherwise(F.col("source_alias"))))
+    assert renamed["touched"] == sum(i % 3 == 1 for i in range(40) if i not in gone)
+    streaming.append_batch(rows.filter("id < 3").withColumn("id", F.col("id") + 100), 1, path)
+    last = max(r["log_date"] for r in stored.read_logs(spark, path).collect())
+    assert retention.compact_days(spark, path, last) == 1  # the day that was added to
+    assert len(ids(stored.read_logs(spark, path))) == 43 - len(gone)
+    assert retention.prune_stored(spark, path, 1, at(40 * 9000))["days_removed"] >= 2
+    kept = retention.prune_logs(rows.filter(~F.col("id").isin(*gone)), 1, at(40 * 9000))
+    assert ids(stored.read_logs(spark, path)) == ids(kept)
+
+
+def test_change_stops_when_rows_were_added(spark, folder):
+    path = f"{folder}/logs"
+    rows = logs(spark, *[log(i, i) for i in range(10)])
+    stored.append_logs(rows.filter("id < 8"), path)
+
+    def change(df):
+        stored.append_logs(rows.filter("id >= 8"), path)
+        return df.filter("id <> 3")
+
+    with pytest.raises(RuntimeError, match="added"):
+        retention.rewrite_days(spark, path, lambda df: df.filter("id = 3"), change)
+    assert ids(stored.read_logs(spark, path)) == list(range(10))
+
+
+def test_sessions_mean_the_same_however_many(spark):
+    rows = [log(i % 4, i * 10, severity=i % 6, app_name=["kernel", " Kernel ", "cron", ""][i % 4], source_alias=["a", "b1", "", "b2"][i % 4]) for i in range(60)]
+    df = logs(spark, *rows).withColumn("extra", F.lit(1))
+    sessions = spark.createDataFrame(
+        [("m1", "drop_errors", "\tker*\n", None, at(0), at(300), None), ("m2", "drop_errors", "", " b? ", at(100), at(500), at(400)),
+         ("m3", "silence_alerts", None, None, at(0), at(900), None), ("m4", "drop_errors", None, "a", at(-200_000), at(200), None)],
+        "session_id string, log_handling string, target_app string, target_host string, created_at timestamp, expires_at timestamp, ended_at timestamp",
+    )
+    for frame in (df, df.drop("id")):
+        got = [sorted(map(str, maintenance.maintenance_drops(frame, sessions, compiled=n).collect())) for n in (200, 0)]
+        assert got[0] == got[1] and len(got[0]) == 60
+    assert any("m1" in r for r in got[0]) and any("m2" in r for r in got[0])
+
+
 def test_salvage(spark):
     df = logs(spark, log(1), log(2)).withColumns({
         "received_at": F.when(F.col("id") == 1, F.col("received_at")),
@@ -481,6 +539,9 @@ def test_index_on_disk(spark, folder):
     assert sorted(r[0] for r in hits.collect()) == list(range(3, 50, 7))
     assert textindex.lookup_phrase(p, "word3 two", field="message", buckets=8).count() == 7
     assert textindex.lookup_phrase(p, "two word3", buckets=8).count() == 0
+    found = lambda term, **k: sorted(r[0] for r in textindex.lookup(p, term, buckets=8, **k).collect())
+    assert found("word3 two") == list(range(3, 50, 7)) and found("?!") == []
+    assert found("wo") == [] and found("wo*") == list(range(50)) and found("word3", field="app_name") == []
     assert "PartitionFilters: [isnotnull(token_bucket" in hits._jdf.queryExecution().toString()
 
 
