@@ -103,13 +103,13 @@ def stored_after_compaction(t):
     )
 
 
-@query("incidents", """SELECT id, rule_name, epoch_us(triggered_at) AS triggered_at_us, sample_log FROM incidents""")
+@query("incidents", """SELECT sample_log_id, rule_name, epoch_us(triggered_at) AS triggered_at_us, sample_log FROM incidents""")
 def stored_incidents(t):
     path = _folder(t, "incidents")
     missing = [f for f in INCIDENTS if f.name not in t.incidents().columns]
     rows = t.incidents().withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else t.incidents()
     stored.write_incidents(rows, path)
-    return t.spark.read.parquet(path).select("id", "rule_name", us("triggered_at"), "sample_log")
+    return t.spark.read.parquet(path).select("sample_log_id", "rule_name", us("triggered_at"), "sample_log")
 
 
 @query("", """SELECT CASE event_id % 3 WHEN 2 THEN NULL ELSE 'u' || user_id END AS message, count(*) AS n,
