@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -11,11 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import SLICE_BYTES, id_remainder, text_binary
+from .shared import SLICE_BYTES, id_remainder, slices, text_binary
 
 # Rows of each language that are learnt from, about as many at most (taken by a hash of the id),
 # and the longest text among them, in bytes.
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 1000
 SAMPLE_BYTES = 200_000
 # Languages that fit a slot; slots; hash functions.
 MAX_LANGUAGES = 64
@@ -126,6 +128,17 @@ class Filters:
         return out
 
 
+def _counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of some texts and their counts, gathered slice by slice."""
+    grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    offsets = np.concatenate([[0], np.cumsum(np.array([len(t) for t in texts], np.int64))])
+    for i, j in slices(offsets):
+        new, n = np.unique(ngrams(*code_points(texts[i:j]))[0], return_counts=True)
+        grams, at = np.unique(np.concatenate([grams, new]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, n]), len(grams)).astype(np.int64)
+    return grams, counts
+
+
 def fit(texts: dict[str, list[bytes]]) -> Filters:
     """The filters of each language's n-grams, from sample texts per language."""
     languages = sorted(texts)
@@ -133,8 +146,7 @@ def fit(texts: dict[str, list[bytes]]) -> Filters:
         raise ValueError(f"{len(languages)} languages; a slot holds {MAX_LANGUAGES}")
     seen = []
     for language in languages:
-        points, first = code_points(texts[language])
-        grams, n = np.unique(ngrams(points, first)[0], return_counts=True)
+        grams, n = _counted(texts[language])
         seen.append((grams[n >= LEAST], n[n >= LEAST] / max(n.sum(), 1)))
     every = np.unique(np.concatenate([g for g, _ in seen])) if seen else np.zeros(0, np.uint64)
     rates = np.zeros((len(languages), len(every)))
@@ -155,10 +167,19 @@ def learn(docs: DataFrame) -> Filters:
     share = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / float(1 << 30)
     limits = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, SAMPLE_ROWS / n))])
     rows = known.where((share < limits[F.col("lang")]) & (F.octet_length("text") <= SAMPLE_BYTES))
-    texts: dict[str, list[bytes]] = {k: [] for k in sizes}
-    for lang, text in rows.select("lang", text_binary(F.col("text"))).collect():
-        texts[lang].append(bytes(text))
-    return fit(texts)
+    sample = rows.select("lang", text_binary(F.col("text")).alias("text"))
+    names = list(sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[str, list[bytes]] = {k: [] for k in names}
+        for batch in batches:
+            for lang, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+                texts[lang].append(text)
+        yield pa.RecordBatch.from_pydict({"filters": pa.array([pickle.dumps(fit(texts))], pa.binary())})
+
+    # One task fits the bounded sample, so that the driver holds the finished filters only.
+    found = sample.repartition(1).mapInArrow(run, "filters binary").first()
+    return pickle.loads(found[0]) if found else fit({k: [] for k in names})
 
 
 def predict(text: Column, filters: Filters) -> Column:
