@@ -112,7 +112,8 @@ def threshold_crossings(matches: DataFrame, rules: list[Row]) -> DataFrame:
     if not chosen:
         return with_second(matches).withColumn("window_count", F.lit(0).cast("long")).limit(0)
     seconds = crossing_seconds(matches, chosen).select("rule_id", "sec", "window_count")
-    return join_dimension(with_second(matches), stage(seconds, "crossings"), ["rule_id", "sec"], "inner")
+    rows = with_second(matches).filter(F.col("rule_id").isin(*[r["id"] for r in chosen]))
+    return rows.join(seconds, ["rule_id", "sec"])
 
 
 def rate_crossings(matches: DataFrame, rules: list[Row]) -> DataFrame:
@@ -382,25 +383,38 @@ def fire_alerts(
 ) -> DataFrame:
     """All incidents that the rules would have raised over the stored logs.
 
-    The (log, rule) matches are written once to the shared folder, because the counts and the
-    rows of firings both read them; ``matches`` may hold them already.
+    A first pass counts the matches per rule and second; the cooldown is folded over these counts.
+    A second pass reads the logs of the firings' time (and days, where rows have a ``log_date``) and
+    writes the matches of firing seconds, so what is written does not grow with the storms between
+    them. ``matches`` may hold the matches already.
     """
     listed = ordered_rules(rules)
     if as_of is not None:
         logs = logs.filter(F.col("timestamp") <= as_of)
+    counted = match_alert_rules(logs, listed) if matches is None else matches
+    segments = stage(apply_cooldown(per_second(counted), listed), "segments")
     if matches is None:
-        text = F.coalesce(blank_to_null(F.col("message")), F.col("raw"), F.lit(""))
-        matches = stage(
-            match_alert_rules(logs, listed).select(
-                "rule_id", "id", "timestamp", "source_ip", "source_alias", "app_name",
-                text.alias("message"), F.lit("").alias("raw"),
-            ),
-            "matches",
-        )
-    segments = stage(apply_cooldown(per_second(matches), listed), "segments")
+        span = segments.agg(F.min("sec").alias("lo"), F.max("fire_sec").alias("hi")).first()
+        low = F.timestamp_seconds(F.lit(span["lo"] or 0))
+        high = F.timestamp_seconds(F.lit((span["hi"] or 0) + 1))
+        fired = logs.filter((F.col("timestamp") >= low) & (F.col("timestamp") < high))
+        if "log_date" in logs.columns:
+            fired = fired.filter((F.col("log_date") >= F.to_date(low)) & (F.col("log_date") <= F.to_date(high)))
+        matches = match_alert_rules(fired, listed)
     return incidents_of(matches, segments, rules)
 
 
+def _in_firing_seconds(matches: DataFrame, segments: DataFrame) -> DataFrame:
+    """The matches of the seconds that firings hold, with the columns that incidents need."""
+    text = F.coalesce(blank_to_null(F.col("message")), F.col("raw"), F.lit(""))
+    seconds = segments.select("rule_id", "sec").distinct()
+    rows = join_dimension(with_second(matches), seconds, ["rule_id", "sec"], "left_semi")
+    return rows.select(
+        "rule_id", "id", "timestamp", "source_ip", "source_alias", "app_name",
+        text.alias("message"), F.lit("").alias("raw"),
+    )
+
+
 def incidents_of(matches: DataFrame, segments: DataFrame, rules: DataFrame) -> DataFrame:
     """Incidents from matches and the result of ``apply_cooldown``.
 
@@ -414,6 +428,7 @@ def incidents_of(matches: DataFrame, segments: DataFrame, rules: DataFrame) -> D
         F.greatest(F.coalesce("window_seconds", F.lit(1)), F.lit(1)).alias("window_seconds"),
     )
     rate_ids = [r["id"] for r in _of_type(listed, rate=True)]
+    matches = stage(_in_firing_seconds(matches, segments), "matches")
     # Read three times below, and no larger than the firings
     held = stage(
         firing_matches(matches, segments).withColumn("host", host_group()), "firing-matches"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.common import blank_to_null
-from ..session import join_dimension
+from ..session import join_dimension, stage
 
 
 def container_alias_set(current: DataFrame, former: DataFrame) -> DataFrame:
@@ -82,8 +82,13 @@ def facets(
     containers: list[str] = (),
     limit: int = fixed.FACET_LIMIT,
 ) -> DataFrame:
-    """Two rows, hosts and apps: at most ``limit`` names each in alphabetical order."""
-    pairs = host_app_pairs(logs, aliases, containers)
+    """Two rows, hosts and apps: at most ``limit`` names each in alphabetical order.
+
+    The logs are scanned once: their distinct triples, few as they are, are written before both
+    lists read them.
+    """
+    triples = stage(logs.select("source_alias", "source_ip", "app_name").distinct(), "triples")
+    pairs = host_app_pairs(triples, aliases, containers)
     configured = logs.sparkSession.createDataFrame([(c,) for c in containers], "host string")
     hosts = known_hosts(pairs, aliases, configured)
     apps = pairs.select("app").filter(F.col("app") != "").distinct()

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stage
+
 CHUNK = "_chunk"
 
 
@@ -17,6 +19,30 @@ def time_chunk(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_micros(F.col(ts)) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
+    """The 1-based position of each row of the whole table, by ``order``; equal rows in any order.
+
+    The rows are cut into ranges of the full order, with a hash of the row behind it, so rows that
+    share a time, or all other values, still spread. Each range is numbered where it lies; the sizes
+    of the ranges before it, one row per task, are added. The ranges are written once, so that the
+    numbers hold when a task runs again.
+    """
+    place, tie = "_place", "_tie"
+    keys = [*order, tie]
+    ranged = (
+        df.withColumn(tie, F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]))
+        .repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .withColumn(place, F.monotonically_increasing_id()).drop(tie)
+    )
+    held = stage(ranged, "ranges")
+    part = F.shiftright(place, 33)
+    sizes = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.selectExpr("_part", "sum(_n) over (order by _part) - _n as _start")
+    mine = held.withColumn("_part", part).join(F.broadcast(starts), "_part")  # one row per task
+    number = F.col("_start") + F.col(place).bitwiseAND((1 << 33) - 1) + 1
+    return mine.withColumn(name, number.cast("long")).drop("_part", "_start", place)
+
+
 def _join_carry(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     """Chunk rows joined to their summary. The rows are already hashed on these keys by the
     window before, so only the summary moves. Group keys must not be null."""

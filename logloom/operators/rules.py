@@ -21,7 +21,6 @@ from ..functions.patterns import (
     trimmed,
     wildcard_match,
 )
-from ..session import join_dimension
 
 # Rules put into one condition.
 SLICE = 50
@@ -159,49 +158,34 @@ def match_alert_rules(logs: DataFrame, rules: DataFrame | list[Row]) -> DataFram
 def match_rules_indexed(logs: DataFrame, rules: DataFrame) -> DataFrame:
     """The same result as ``match_alert_rules`` for many rules that name their apps exactly.
 
-    Those rules are joined on the app, so a row only meets the rules of its own app; their
-    patterns are evaluated afterwards per row. Rules with wildcards or without an app are
-    evaluated on every row as before.
+    Those rules are grouped by app into one condition per app, so a row meets only the rules of
+    its own app and every pattern is compiled once. Rules with wildcards or without an app are
+    evaluated on every row. No row moves.
     """
     listed = ordered_rules(rules)
-    keyed = [r for r in listed if exact_keys(_get(r, "filter_app"))]
     open_rules = [r for r in listed if not exact_keys(_get(r, "filter_app"))]
-    out = match_alert_rules(logs, open_rules)
-    if not keyed:
-        return out
-    rows = []
-    for r in keyed:
-        pattern = trimmed(_get(r, "match_pattern"))
-        regex = java_regex(pattern) if META & set(pattern) else None
-        if pattern in ("", "*"):
-            kind, text = "all", ""
-        elif regex is not None:
-            kind, text = "regex", regex
-        elif META & set(pattern) - {"\\"}:
-            continue
-        else:
-            kind, text = "text", pattern.lower()
-        rows += [
-            (key, r["id"], _get(r, "filter_severity", 7), kind, text)
-            for key in exact_keys(r["filter_app"])
-        ]
-    index = logs.sparkSession.createDataFrame(
-        rows, "_app string, rule_id long, _worst int, _kind string, _text string"
-    )
-    source = logs
+    by_app: dict[str, list[dict]] = {}
+    for r in listed:
+        for key in exact_keys(_get(r, "filter_app")) or ():
+            by_app.setdefault(key, []).append(r.asDict() | {"filter_app": None})
     if "skip_alert_rules" in logs.columns:
-        source = logs.filter(~F.coalesce("skip_alert_rules", F.lit(False)))
-    met = join_dimension(
-        source.withColumn("_app", F.lower(F.btrim("app_name", F.lit(BLANKS)))), index, ["_app"], "inner"
-    )
-    message, raw, text = F.col("message"), F.col("raw"), F.col("_text")
-    hit = (
-        F.when(F.col("_kind") == "all", F.lit(True))
-        .when(F.col("_kind") == "text", F.contains(F.lower(message), text) | F.contains(F.lower(raw), text))
-        .otherwise(F.regexp_like(message, text) | F.regexp_like(raw, text))
-    )
-    found = met.filter((F.coalesce("severity", F.lit(6)) <= F.col("_worst")) & hit)
-    return out.unionByName(found.select(*logs.columns, "rule_id"))
+        logs = logs.filter(~F.coalesce("skip_alert_rules", F.lit(False)))
+    app = F.lower(F.btrim("app_name", F.lit(BLANKS)))
+    keys = list(by_app)
+    chains = []
+    for i in range(0, len(keys), SLICE):
+        chain = F
+        for key in keys[i : i + SLICE]:
+            own = F.concat(*[_hits(part, alert_predicate) for part in _slices(by_app[key])])
+            chain = chain.when(app == key, own)
+        chains.append(chain)
+    found = [_hits(part, alert_predicate) for part in _slices(open_rules)]
+    if chains:
+        found.append(F.coalesce(*chains, F.array().cast("array<long>")))
+    if not found:
+        return logs.withColumn("rule_id", F.lit(None).cast("long")).limit(0)
+    hits = F.explode(F.concat(*found) if len(found) > 1 else found[0])
+    return logs.withColumn("rule_id", hits).withColumn("rule_id", F.col("rule_id").cast("long"))
 
 
 def rule_coverage(logs: DataFrame, rules: DataFrame, predicate=alert_predicate) -> DataFrame:

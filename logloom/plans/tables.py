@@ -47,7 +47,7 @@ SQL: dict[str, str] = {
           60 * (1 + event_id % 120) AS window_seconds,
           CASE WHEN event_id % 2 = 0 THEN event_id % 997 END AS ai_audit_id, ts AS triggered_at,
           CASE WHEN user_id % 13 = 0 THEN 'm' || (user_id % 120) END AS maintenance_session_id
-        FROM events WHERE event_type = 'error'""",
+        FROM events""",
     "sessions": """
         SELECT 'm' || s_suppkey AS session_id,
           CASE WHEN s_suppkey % 2 = 0 THEN 'drop_errors' ELSE 'silence_alerts' END AS log_handling,
@@ -164,7 +164,7 @@ class Tables:
     def incidents(self) -> DataFrame:
         uid, eid = F.col("user_id"), F.col("event_id")
         no_rule = uid % 11 == 0
-        return self.read("events").filter(F.col("event_type") == "error").select(
+        return self.read("events").select(
             eid.alias("id"),
             F.when(~no_rule, uid % 7).alias("rule_id"),
             F.when(uid % 22 == 0, "Daily Digest").when(no_rule, "On-Demand Analysis")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import fixed
 from ..functions.text import replace_surrogates
-from ..operators.ordered import ordinal
+from ..operators.ordered import numbered
 from ..schema import BATCH, INCIDENTS, LOG_DEFAULTS, LOGS, conform, own_batch, with_log_date
 
 TEXT_COLUMNS = ("source_ip", "source_alias", "app_name", "message", "raw")
@@ -28,9 +28,8 @@ def conform_with_date(stored: DataFrame) -> DataFrame:
 
 
 def assign_ids(rows: DataFrame, after: int, order: list[str] = ("received_at", "seq")) -> DataFrame:
-    """``id`` in arrival order, counted on from ``after``, numbered in parallel by time chunk."""
-    numbered = ordinal(rows, [], list(order), ts=order[0], name="id")
-    return numbered.withColumn("id", (F.col("id") + F.lit(after)).cast("long"))
+    """``id`` in arrival order, counted on from ``after``, numbered in parallel by ranges of the order."""
+    return numbered(rows, list(order), "id").withColumn("id", (F.col("id") + F.lit(after)).cast("long"))
 
 
 def highest_id(spark: SparkSession, path: str) -> int:

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.counts import ingest_rate
 from ..operators.dims import resolve_alias
 from ..operators.maintenance import maintenance_drops
-from ..operators.ordered import ordinal
+from ..operators.ordered import numbered
 from ..operators.rules import apply_drop_rules
 from ..operators.textindex import BUCKET, build_postings, token_bucket, write_postings
 from ..schema import BATCH, LOG_DEFAULTS, LOGS, conform, with_log_date
@@ -45,8 +45,7 @@ def filter_stream(logs: DataFrame, drop_rules: DataFrame, sessions: DataFrame) -
 
 def stream_ids(batch: DataFrame, batch_id: int, order: list[str] = ("received_at", "seq")) -> DataFrame:
     """``id`` in arrival order, ascending over batches and the same when a batch is repeated."""
-    numbered = ordinal(batch, [], list(order), ts=order[0], name="id")
-    return numbered.withColumn("id", F.shiftleft(F.lit(batch_id).cast("long"), 40) + F.col("id"))
+    return numbered(batch, list(order), "id").withColumn("id", F.shiftleft(F.lit(batch_id).cast("long"), 40) + F.col("id"))
 
 
 def append_batch(batch: DataFrame, batch_id: int, path: str, order: list[str] = ("received_at", "seq")) -> None:
