@@ -68,8 +68,9 @@ _LEVEL_SPOTS = (
 )
 
 
-def detect_severity(c: Column | str) -> Column:
-    """Severity that the start of a line states, 6 when it states none."""
+def detect_severity(c: Column | str, chars: int | None = fixed.SEVERITY_HEADER_CHARS) -> Column:
+    """Severity that the first ``chars`` characters of a line state (None: the whole line), 6 when
+    they state none."""
 
     def from_header(header: Column) -> Column:
         found = []
@@ -89,7 +90,7 @@ def detect_severity(c: Column | str) -> Column:
                 F.lit(3),
             )
             .when(line.startswith("panic:"), F.lit(2))
-            .otherwise(let(F.left(line, F.lit(fixed.SEVERITY_HEADER_CHARS)), from_header))
+            .otherwise(let(line if chars is None else F.left(line, F.lit(chars)), from_header))
         )
 
     return let(strip(clean_text(F.coalesce(col(c), F.lit("")))), from_clean)

@@ -23,18 +23,27 @@ def clean_text(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(c), ANSI_PATTERN, ""), CONTROL_PATTERN, "")
 
 
-def cap_text(c: Column | str, n: int = fixed.MAX_TEXT_CHARS, marker: str = "") -> Column:
-    """Text of at most ``n`` characters, ending in ``marker`` when it was cut."""
+def cap_text(c: Column | str, n: int | None = fixed.MAX_TEXT_CHARS, marker: str = "") -> Column:
+    """Text of at most ``n`` characters (None: whole), ending in ``marker`` when it was cut."""
     c = col(c)
+    if n is None:
+        return c
     return F.when(
         F.length(c) > n, F.concat(F.left(c, F.lit(n - len(marker))), F.lit(marker))
     ).otherwise(c)
 
 
-def message_key(message: Column | str, raw: Column | str) -> Column:
-    """The start of a message: the signature that groups repeated messages."""
+def longer_than(c: Column, n: int | None) -> Column:
+    """Whether ``cap_text`` cuts the text."""
+    return F.lit(False) if n is None else F.coalesce(F.length(c) > n, F.lit(False))
+
+
+def message_key(
+    message: Column | str, raw: Column | str, chars: int | None = fixed.MESSAGE_KEY_CHARS
+) -> Column:
+    """The start of a message (None: the whole): the signature that groups repeated messages."""
     text = F.coalesce(F.nullif(col(message), F.lit("")), col(raw), F.lit(""))
-    return strip(F.left(text, F.lit(fixed.MESSAGE_KEY_CHARS)))
+    return strip(text if chars is None else F.left(text, F.lit(chars)))
 
 
 def sample_text(

@@ -503,6 +503,55 @@ def parsed_syslog(t):
     return rows.select("id", us("timestamp", "ts_us"), "app_name", "facility", "format", "message", "hostname")
 
 
+# One line per header shape in turn; the level of rows without a priority value comes from the text.
+@query("logs", r"""SELECT id, CASE id % 9 WHEN 0 THEN 'rfc5424' WHEN 1 THEN 'rfc5424_short' WHEN 2 THEN 'rfc3164' WHEN 3 THEN 'bracket_iso'
+    WHEN 4 THEN 'iso' WHEN 5 THEN 'valkey' WHEN 6 THEN 'app_pipe' WHEN 7 THEN 'logfmt' ELSE 'plain' END AS format,
+  epoch_us(CASE WHEN id % 9 IN (0, 7) THEN "timestamp" WHEN id % 9 IN (1, 8) THEN received_at ELSE date_trunc('second', "timestamp") END)
+    + CASE WHEN id % 9 = 2 THEN epoch_us(received_at) % 1000000 ELSE 0 END AS ts_us,
+  CASE id % 9 WHEN 0 THEN 'box' WHEN 2 THEN 'gate' WHEN 3 THEN 'box' WHEN 4 THEN 'edge' END AS hostname,
+  CASE id % 9 WHEN 0 THEN app_name WHEN 2 THEN 'cron' WHEN 3 THEN 'web' WHEN 4 THEN 'app' WHEN 6 THEN 'keeper' ELSE 'unknown' END AS app_name,
+  CAST(CASE WHEN id % 9 IN (0, 1, 2, 8) THEN least(severity, 6) WHEN id % 9 IN (3, 5, 6) THEN 4 WHEN id % 9 IN (4, 7) THEN 3 END AS INTEGER) AS severity,
+  CASE WHEN id % 9 IN (0, 1, 2, 8) THEN facility ELSE 1 END AS facility,
+  CASE id % 9 WHEN 1 THEN '<' || (facility * 8 + severity) || '>1 short' WHEN 3 THEN 'level=warn ' || message WHEN 4 THEN 'ERROR: ' || message
+    ELSE message END AS message FROM logs""")
+def parsed_header_shapes(t):
+    shape, ts = F.col("id") % 9, F.col("timestamp")
+    pri = F.concat(F.lit("<"), (F.col("facility") * 8 + F.col("severity")).cast("string"), F.lit(">"))
+    at = lambda form: F.date_format(ts, form)
+    iso = at("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    line = (
+        F.when(shape == 0, F.concat(pri, F.lit("1 "), iso, F.lit(" box "), "app_name", F.lit(" 77 - - "), "message"))
+        .when(shape == 1, F.concat(pri, F.lit("1 short")))
+        .when(shape == 2, F.concat(pri, at("MMM "), F.lpad(at("d"), 2, " "), at(" HH:mm:ss"), F.lit(" gate cron[1]: "), "message"))
+        .when(shape == 3, F.concat(F.lit("["), at("yyyy-MM-dd HH:mm:ss"), F.lit("] [box] [web] level=warn "), "message"))
+        .when(shape == 4, F.concat(at("yyyy-MM-dd HH:mm:ss"), F.lit(" UTC edge app: ERROR: "), "message"))
+        .when(shape == 5, F.concat(F.lit("12:M "), at("d MMM yyyy HH:mm:ss"), F.lit(" # "), "message"))
+        .when(shape == 6, F.concat(F.lit("[keeper] | "), at("dd/MM/yyyy HH:mm:ss"), F.lit(" [WARN] "), "message"))
+        .when(shape == 7, F.concat(F.lit('time="'), iso, F.lit('" level=error msg="'), "message", F.lit('"')))
+        .otherwise(F.concat(pri, "message"))
+    )
+    rows = syslog.parse_syslog(t.logs().select("id", "received_at", "source_ip", line.alias("value")))
+    return rows.select("id", "format", us("timestamp", "ts_us"), "hostname", "app_name", "severity", "facility", "message")
+
+
+# Where a level may stand in a line, one spot after another, and lines that state none.
+@query("logs", r"""SELECT id, CAST(CASE id % 8 WHEN 0 THEN 4 WHEN 1 THEN 7 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 5 WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 6 END
+    AS INTEGER) AS severity FROM logs""")
+def detected_severities(t):
+    kind = F.col("id") % 8
+    line = (
+        F.when(kind == 0, F.concat(F.lit("lvl = 'warning' "), "message"))
+        .when(kind == 1, F.concat(F.lit('{"level": "debug", "text": "'), "message", F.lit('"}')))
+        .when(kind == 2, F.concat(F.lit("[main] [ error ] "), "message"))
+        .when(kind == 3, F.concat(F.lit("db FATAL: "), "message"))
+        .when(kind == 4, F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" NOTICE "), "message"))
+        .when(kind == 5, F.concat(F.lit("Traceback (most recent call last):\n"), "message"))
+        .when(kind == 6, F.concat(F.lit("panic: "), "message"))
+        .otherwise(F.col("message"))
+    )
+    return t.logs().select("id", L.detect_severity(line).alias("severity"))
+
+
 @query("logs", """SELECT source_ip, 'plain' AS format, count(*) AS line_count, count(*) AS arrival_time_count FROM logs GROUP BY 1""")
 def syslog_shapes(t):
     lines = t.logs().select("received_at", "source_ip", F.col("raw").alias("value"))

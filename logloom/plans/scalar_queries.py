@@ -195,9 +195,9 @@ def prompt_lines(t):
 
 
 @query("", """SELECT conv_id, turn, trim(text, E' \\t\\n\\r\\x0b\\x0c') AS summary, 'disk full' AS root_cause, 'free space' AS remediation
-  FROM conversations WHERE role <> 'system' AND trim(text, E' \\t\\n\\r\\x0b\\x0c') <> ''""")
+  FROM conversations WHERE trim(text, E' \\t\\n\\r\\x0b\\x0c') <> ''""")
 def report_parts(t):
-    c = t.read("conversations").filter("role <> 'system'")
+    c = t.read("conversations")
     text = F.concat(
         F.lit("## Summary\n"), "text", F.lit("\n## Root Cause Analysis\ndisk full\n## Actionable Remediation\n free space\n")
     )

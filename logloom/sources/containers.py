@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed
 from ..functions.common import blank_to_null, col, let, lookup, strip
 from ..functions.severity import detect_severity, severity_of_name
-from ..functions.text import cap_text, clean_text
+from ..functions.text import cap_text, clean_text, longer_than
 from ..functions.times import container_ts, normalize_ts
 from .syslog import APP_PIPE, BRACKET_LEVEL, VALKEY, logfmt_message, logfmt_severity
 
@@ -67,9 +67,11 @@ def parse_container_lines(
     own_labels: tuple[str, ...] = (),
     source_ip: str = fixed.CONTAINER_SOURCE,
     source_alias: str | None = None,
+    max_chars: int | None = fixed.MAX_TEXT_CHARS,
 ) -> DataFrame:
     """Lines (``value``, ``container_id``, ``container_name``, ``labels``, ``received_at``) as log
-    rows without id. Lines with neither time nor text are left out."""
+    rows without id, with ``truncated``: whether a text was cut to ``max_chars`` (None: never). Lines
+    with neither time nor text are left out."""
     alias = source_alias or source_ip
     # An empty line has neither; testing the line itself keeps the parsing out of the filter
     staged = lines.filter(F.col("value") != "").withColumn("_p", container_ts("value"))
@@ -83,8 +85,9 @@ def parse_container_lines(
         "app_name": display_name("labels", "container_name", "container_id", own_labels),
         "facility": F.lit(1),
         "severity": F.col("_m.severity"),
-        "message": cap_text(clean_text("_m.message")),
-        "raw": cap_text(clean_text("_body")),
+        "message": cap_text(clean_text("_m.message"), max_chars),
+        "raw": cap_text(clean_text("_body"), max_chars),
+        "truncated": longer_than(clean_text("_body"), max_chars),
     }
     kept = [c for c in lines.columns if c not in made and c not in ("value", "labels")]
     return staged.select(*kept, *[c.alias(n) for n, c in made.items()])

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import fixed
 from ..functions.common import blank_to_null, let, strip
 from ..functions.severity import severity_code
-from ..functions.text import cap_text, clean_text, replace_surrogates
+from ..functions.text import cap_text, clean_text, longer_than, replace_surrogates
 from ..functions.times import parse_epoch, parse_iso
 from ..session import join_dimension
 
@@ -165,8 +165,12 @@ def normalize_json_records(
     aliases: DataFrame | None = None,
     max_age_days: int = 30,
     client_ip: Column | str | None = None,
+    max_chars: int | None = fixed.MAX_TEXT_CHARS,
+    identity_chars: int | None = fixed.MAX_IDENTITY_CHARS,
 ) -> DataFrame:
-    """Records as log rows without id, with ``reserved`` (why an identity may not be used).
+    """Records as log rows without id, with ``reserved`` (why an identity may not be used) and
+    ``truncated``: whether message or raw text was cut to ``max_chars`` (None: never). Names are cut
+    to ``identity_chars``.
 
     A time outside [received - ``max_age_days``, received + 300 s] becomes the received time.
     """
@@ -177,12 +181,16 @@ def normalize_json_records(
 
     def identity(first: Column, default: Column) -> Column:
         text = F.coalesce(blank_to_null(strip(replace_surrogates(first))), default)
-        return F.left(text, F.lit(fixed.MAX_IDENTITY_CHARS))
+        return cap_text(text, identity_chars)
+
+    def cleaned(text: Column) -> Column:
+        return clean_text(replace_surrogates(text))
 
     def stored(text: Column) -> Column:
-        return cap_text(clean_text(replace_surrogates(text)))
+        return cap_text(cleaned(text), max_chars)
 
-    message = stored(F.coalesce(field_text("message"), field_text("msg"), F.lit("")))
+    said = F.coalesce(field_text("message"), field_text("msg"), F.lit(""))
+    message = stored(said)
     ts = _record_time()
     age = F.unix_micros(received) - F.unix_micros(ts)
     in_range = (age <= max_age_days * 86_400_000_000) & (age >= -fixed.MAX_FUTURE_SECONDS * 1_000_000)
@@ -223,6 +231,7 @@ def normalize_json_records(
         "message": F.col("_message"),
         "raw": raw,
         "reserved": F.col("reserved"),
+        "truncated": longer_than(cleaned(said), max_chars) | longer_than(cleaned(field_text("raw")), max_chars),
     }
     kept = [c for c in records.columns if c not in made and c not in ("record", "bad_text")]
     return staged.select(*kept, *[c.alias(n) for n, c in made.items()])

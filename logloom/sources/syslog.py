@@ -8,7 +8,7 @@ from ..functions import fixed
 from ..functions.common import let, lookup
 from ..functions.severity import PRI_PATTERN, content_severity, severity_of_name
 from ..functions.structured import SD_RUN
-from ..functions.text import cap_text
+from ..functions.text import cap_text, longer_than
 from ..functions.times import (
     correct_future,
     infer_year,
@@ -214,21 +214,22 @@ def logfmt_severity(text: Column) -> Column:
 
 
 def parse_syslog(
-    lines: DataFrame, received_at: str = "received_at", local_tz: str = "UTC"
+    lines: DataFrame, received_at: str = "received_at", local_tz: str = "UTC",
+    max_chars: int | None = fixed.MAX_TEXT_CHARS,
 ) -> DataFrame:
     """Lines (``value``, ``source_ip`` and the arrival time) as log rows without id, with the
-    sender's ``hostname``, the ``format`` of the header and ``timestamp_read``.
+    sender's ``hostname``, the ``format`` of the header, ``timestamp_read``, and whether the line was
+    ``truncated`` to ``max_chars`` characters (None: never).
 
     Other columns of the input are kept. Nothing moves between tasks, so the same function
     serves a stream.
     """
     received = F.col(received_at)
-    raw = cap_text(
-        F.btrim(F.coalesce("value", F.lit("")), F.lit("\r\n")), fixed.MAX_TEXT_CHARS, fixed.SYSLOG_CUT_MARK
-    )
+    whole = F.btrim(F.coalesce("value", F.lit("")), F.lit("\r\n"))
+    raw = cap_text(whole, max_chars, fixed.SYSLOG_CUT_MARK)
     pri = F.when(F.col("_raw").rlike(PRI_PATTERN), _part(F.col("_raw"), PRI_PATTERN, 1).cast("int"))
     staged = (
-        lines.withColumn("_raw", raw)
+        lines.withColumns({"_raw": raw, "_cut": longer_than(whole, max_chars)})
         .withColumns({"_pri": pri, "_text": F.regexp_replace("_raw", PRI_PATTERN, "")})
         .withColumn("format", syslog_format(F.col("_text")))
     )
@@ -302,6 +303,7 @@ def parse_syslog(
         "raw": F.col("_raw"),
         "hostname": host,
         "timestamp_read": F.col("_ts").isNotNull(),
+        "truncated": F.col("_cut"),
     }
     kept = [c for c in lines.columns if c not in (*made, "value", received_at)]
     return staged.select(*kept, *[c.alias(n) for n, c in made.items()], "format")
