@@ -97,7 +97,27 @@ def rate_windows(t):
     return alerts.rate_crossings(matches, listed)
 
 
-@query()
+# One firing after the other: the next is the first second after the cooldown in which the matches since
+# the later of (last firing, second - window) reach the need; of the last firing's own second
+# those behind the firing match count.
+FIRED = MATCHES + """, rule(rule_id, needed, width, quiet) AS (VALUES (1, 1, 60, 7200), (2, 12, 21600, 3600), (3, 20, 43200, 50000),
+    (4, 40, 43200, 600), (6, 2, 2, 900)),
+  c AS (SELECT rule_id, epoch_us("timestamp") // 1000000 AS sec, count(*) AS n FROM matches GROUP BY ALL),
+  r AS (SELECT c.*, needed, width, quiet, CAST(sum(n) OVER (PARTITION BY rule_id ORDER BY sec) AS BIGINT) AS upto FROM c JOIN rule USING (rule_id)),
+  w AS (SELECT a.*, upto - coalesce(low, 0) AS inside FROM r a LEFT JOIN LATERAL
+    (SELECT max(b.upto) AS low FROM r b WHERE b.rule_id = a.rule_id AND b.sec < a.sec - a.width) ON true),
+  fired(rule_id, sec, place, upto, n) AS (
+    SELECT rule_id, sec, greatest(1, needed - (inside - n)), upto, n FROM w WHERE inside >= needed
+      QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY sec) = 1
+    UNION ALL SELECT rule_id, sec, greatest(1, needed - (held - n)), upto, n FROM (SELECT w.*,
+        CASE WHEN f.sec < w.sec - w.width THEN w.inside ELSE w.upto - f.upto + f.n - f.place END AS held,
+        row_number() OVER (PARTITION BY w.rule_id ORDER BY w.sec) AS p
+      FROM fired f JOIN w ON w.rule_id = f.rule_id AND w.sec > f.sec AND w.sec >= f.sec + w.quiet
+      WHERE CASE WHEN f.sec < w.sec - w.width THEN w.inside ELSE w.upto - f.upto + f.n - f.place END >= w.needed) WHERE p = 1)"""
+
+
+@query("logs", FIRED + """SELECT CAST(rule_id AS BIGINT) AS rule_id, sec AS fire_sec, CAST(0 AS BIGINT) AS k,
+  CAST(place AS BIGINT) AS place FROM fired""")
 def firing_seconds(t):
     listed = rules.ordered_rules(t.alert_rules())
     matches = rules.match_alert_rules(t.logs(), listed)
