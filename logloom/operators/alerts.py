@@ -132,9 +132,9 @@ class Fold:
         self.total = 0
         self.quiet_until: int | None = None
 
-    def add(self, sec: int, n: int) -> tuple[list[tuple[int, int]], int, int] | None:
+    def add(self, sec: int, n: int) -> tuple[list[tuple[int, int, int]], int, int] | None:
         """When the second fires: the earlier seconds of the window with the places used up in
-        them, the place of the first firing match, and the number of firings."""
+        them and all their matches, the place of the first firing match, and the number of firings."""
         while self.held and self.held[0][0] < sec - self.window:
             self.total -= self.held.popleft()[1]
         quiet = self.quiet_until is not None and sec < self.quiet_until
@@ -142,7 +142,7 @@ class Fold:
             self.held.append((sec, n, 0))
             self.total += n
             return None
-        members = [(s, used) for s, _, used in self.held]
+        members = [(s, used, left + used) for s, left, used in self.held]
         first = max(1, self.needed - self.total)
         more = (n - first) // self.needed if self.cooldown == 0 else 0
         used = first + more * self.needed
@@ -156,7 +156,7 @@ class Fold:
 
 SEGMENTS = (
     "rule_id long, sec long, fire_sec long, used_places long, first_place long, step long,"
-    " firings long"
+    " firings long, matches long"
 )
 _SEGMENT_NAMES = [f.split()[0] for f in SEGMENTS.split(", ")]
 
@@ -170,7 +170,8 @@ def apply_cooldown(counts: DataFrame, rules: list[Row]) -> DataFrame:
 
     Rows with ``first_place`` are firing seconds: match ``first_place`` of the second fires, then
     every ``step``-th, ``firings`` in all (more than one only without a cooldown). The other rows
-    are earlier seconds of the window, without their first ``used_places`` matches.
+    are earlier seconds of the window, without their first ``used_places`` matches. ``matches`` is the
+    number of matches in the second.
     """
     settings = rule_settings(rules)
 
@@ -184,8 +185,8 @@ def apply_cooldown(counts: DataFrame, rules: list[Row]) -> DataFrame:
                 fired = state.add(sec, n)
                 if fired:
                     members, first, firings_here = fired
-                    out += [(rule_id, s, sec, used, None, None, None) for s, used in members]
-                    out.append((rule_id, sec, sec, 0, first, state.needed, firings_here))
+                    out += [(rule_id, s, sec, used, None, None, None, total) for s, used, total in members]
+                    out.append((rule_id, sec, sec, 0, first, state.needed, firings_here, n))
             yield pd.DataFrame(out, columns=_SEGMENT_NAMES).astype("Int64")
 
     known = counts.select("rule_id", "sec", "n").filter(F.col("rule_id").isin(*settings))
@@ -256,7 +257,7 @@ def firing_matches(matches: DataFrame, segments: DataFrame) -> DataFrame:
         F.ceil((F.col("place") - F.col("first_place")) / F.col("step"))
     )
     fired = (
-        join_dimension(placed, fire_rows.drop("used_places"), ["rule_id", "sec"], "inner")
+        join_dimension(placed, fire_rows.drop("used_places", "matches"), ["rule_id", "sec"], "inner")
         .filter(F.col("place") <= last)
         .withColumn("k", number.cast("long"))
         .drop("first_place", "step", "firings")

@@ -7,6 +7,7 @@ from .jobs import (
     drop_replays_stream,
     fan_out,
     filter_stream,
+    filtered,
     index_batch,
     mark_stream,
     normalize_stream,

@@ -7,8 +7,9 @@ watermark has passed it, and rows that come later than the watermark allows are
 
 from __future__ import annotations
 
+import time
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import fixed
-from ..operators.alerts import SEGMENTS, Fold, incidents_of, rule_settings
+from ..operators.alerts import SEGMENTS, Fold, incidents_of, per_second, rule_settings
 from ..operators.rules import match_alert_rules, ordered_rules
 from ..session import stage
 
@@ -58,8 +59,8 @@ class RuleWindow(StatefulProcessor):
             fired = fold.add(sec, n)
             if fired:
                 members, first, firings = fired
-                out += [(rule_id, s, sec, used, None, None, None) for s, used in members]
-                out.append((rule_id, sec, sec, 0, first, fold.needed, firings))
+                out += [(rule_id, s, sec, used, None, None, None, total) for s, used, total in members]
+                out.append((rule_id, sec, sec, 0, first, fold.needed, firings, n))
         held = np.array(list(fold.held), dtype=np.int64).tobytes()
         self.state.update((held, fold.total, fold.quiet_until))
         if out:
@@ -88,11 +89,15 @@ def alert_segments(logs: DataFrame, rules: DataFrame | list[Row], delay: str = "
 
 
 def write_alerts(
-    spark: SparkSession, segments: DataFrame, batch_id: int, logs_path: str, rules: DataFrame, out: str
+    spark: SparkSession, segments: DataFrame, batch_id: int, logs_path: str, rules: DataFrame, out: str,
+    wait_seconds: float = 120.0,
 ) -> None:
     """Sink of ``alert_segments``: incidents with sample, culprits and summary.
 
-    Reads the stored rows of the firings' time only. A repeated batch replaces its incidents.
+    Reads the stored rows of the firings' time only. Another query stores them and may be behind, so
+    the sink waits until every second of a firing holds the matches that were counted; after
+    ``wait_seconds`` it fails, and the batch is repeated when the query starts again. A repeated
+    batch replaces its incidents.
     """
     # Read several times; the stateful query behind a batch must run once
     segments = stage(segments, "segments")
@@ -100,10 +105,20 @@ def write_alerts(
     if span["lo"] is None:
         return
     lo, hi = F.timestamp_seconds(F.lit(span["lo"])), F.timestamp_seconds(F.lit(span["hi"] + 1))
-    logs = spark.read.parquet(logs_path).filter((F.col("timestamp") >= lo) & (F.col("timestamp") < hi))
-    if "log_date" in logs.columns:
-        logs = logs.filter((F.col("log_date") >= F.to_date(lo)) & (F.col("log_date") <= F.to_date(hi)))
-    matches = match_alert_rules(logs, rules)
+
+    def stored_matches() -> DataFrame:
+        logs = spark.read.parquet(logs_path).filter((F.col("timestamp") >= lo) & (F.col("timestamp") < hi))
+        if "log_date" in logs.columns:
+            logs = logs.filter((F.col("log_date") >= F.to_date(lo)) & (F.col("log_date") <= F.to_date(hi)))
+        return match_alert_rules(logs, rules)
+
+    expected = segments.select("rule_id", "sec", "matches").distinct()
+    until = time.monotonic() + wait_seconds
+    while _missing(expected, logs_path, stored_matches):
+        if time.monotonic() > until:
+            raise RuntimeError(f"{logs_path} lacks rows of the firings after {wait_seconds} s")
+        time.sleep(min(5.0, wait_seconds / 10))
+    matches = stored_matches()
     incidents = incidents_of(matches, segments, rules).withColumn("batch_id", F.lit(batch_id))
     (
         incidents.write.mode("overwrite")
@@ -111,3 +126,12 @@ def write_alerts(
         .partitionBy("batch_id")
         .parquet(out)
     )
+
+
+def _missing(expected: DataFrame, path: str, matches: Callable[[], DataFrame]) -> bool:
+    """Whether a second of a firing holds fewer stored matches than were counted."""
+    place = expected.sparkSession._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    if not place.getFileSystem(expected.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(place):  # noqa: SLF001
+        return True
+    have = expected.join(per_second(matches()), ["rule_id", "sec"], "left")
+    return have.filter(F.coalesce("n", F.lit(0)) < F.col("matches")).limit(1).count() > 0

@@ -43,6 +43,12 @@ def filter_stream(logs: DataFrame, drop_rules: DataFrame, sessions: DataFrame) -
     return marked.filter("drop_rule_id IS NULL AND session_id IS NULL").drop("drop_rule_id", "session_id")
 
 
+def filtered(sink: Sink, drop_rules: Callable[[], DataFrame], sessions: Callable[[], DataFrame]) -> Sink:
+    """A sink of unfiltered rows that reads rules and sessions anew for every micro-batch, so that
+    changes take effect while the stream runs."""
+    return lambda batch, batch_id: sink(filter_stream(batch, drop_rules(), sessions()), batch_id)
+
+
 def stream_ids(batch: DataFrame, batch_id: int, order: list[str] = ("received_at", "seq")) -> DataFrame:
     """``id`` in arrival order, ascending over batches and the same when a batch is repeated."""
     return numbered(batch, list(order), "id").withColumn("id", F.shiftleft(F.lit(batch_id).cast("long"), 40) + F.col("id"))

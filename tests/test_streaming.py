@@ -76,7 +76,11 @@ def test_alerts_equal_batch(spark, folder):
 
     got = spark.createDataFrame(got.collect(), got.schema)  # a sink's batch, not its memory table
     store, out = f"{folder}/logs", f"{folder}/incidents"
-    streaming.append_batch(df, 0, store)
+    early, late = (df.filter(F.col("id") % 2 == k) for k in (0, 1))
+    streaming.append_batch(early, 0, store)
+    with pytest.raises(RuntimeError, match="lacks rows"):
+        streaming.write_alerts(spark, got, 5, store, table, out, wait_seconds=0.5)
+    streaming.append_batch(late, 1, store)
     streaming.write_alerts(spark, got, 5, store, table, out)
     streaming.write_alerts(spark, got, 5, store, table, out)
     stored = spark.read.parquet(out)
@@ -173,6 +177,18 @@ def test_replays_rates_and_tail(spark, folder):
     assert len(taken) == 7 and "m3" not in taken
 
 
+def test_rules_are_read_for_every_batch(spark):
+    df = logs(spark, log(1, app_name="a"), log(2, app_name="b"))
+    none = spark.createDataFrame([], "session_id string, log_handling string, target_app string, target_host string,"
+                                 " created_at timestamp, expires_at timestamp, ended_at timestamp")
+    tables = iter([drop_rules(spark, drop_rule(1, app_pattern="a")), drop_rules(spark, drop_rule(1, app_pattern="b"))])
+    seen = []
+    sink = streaming.filtered(lambda b, i: seen.append([r["id"] for r in b.collect()]), lambda: next(tables), lambda: none)
+    sink(df, 0)
+    sink(df, 1)
+    assert seen == [[2], [1]]
+
+
 def test_clamped_times(spark):
     df = logs(spark, log(1, 0, timestamp=at(-200_000)), log(2, 0, timestamp=at(1000)), log(3, 0, timestamp=at(10)))
     got = {r["id"]: r["timestamp"] for r in streaming.clamp_event_time(df).collect()}
