@@ -15,7 +15,7 @@ from .shared import byte_ranges, id_remainder, lower_ascii, slices, text_binary
 # Labelled rows that are learnt from, at most about as many of each label (taken by a hash of the
 # id), and the longest text among them, in bytes. Words are marked from all of them; the field is
 # fitted to the toxic ones and as many others.
-SAMPLE_ROWS = {0: 3600, 1: 1200}
+SAMPLE_ROWS = {0: 7500, 1: 2500}
 SAMPLE_BYTES = 200_000
 # A word marks toxic passages if this share of its contexts and of its texts (each as a rate within
 # its label) is toxic, and so many are that chance gives this number of false marks.
@@ -329,7 +329,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     limits = F.create_map(*[F.lit(x) for t in (0, 1) for x in (t, min(1.0, SAMPLE_ROWS[t] / max(1, sizes.get(t, 0))))])
-    chosen = F.broadcast(known.where(share < limits[F.col("toxic")]))  # about 5,000 ids
+    chosen = F.broadcast(known.where(share < limits[F.col("toxic")]))  # about 10,000 ids
     rows = (
         docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
         .join(chosen, "doc_id").select("doc_id", "toxic", text_binary(F.col("text")).alias("text"))
