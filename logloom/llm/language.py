@@ -17,7 +17,7 @@ from .shared import SLICE_BYTES, id_remainder, slices, text_binary
 
 # Rows of each language that are learnt from, about as many at most (taken by a hash of the id),
 # and the longest text among them, in bytes.
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 200_000
 # Languages that fit a slot; slots; hash functions.
 MAX_LANGUAGES = 64
