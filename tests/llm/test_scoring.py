@@ -81,6 +81,21 @@ def test_scores(spark, monkeypatch, common, lane, share):
     assert S.score_texts(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("share, grams", [(1e-5, 1 << 20), (0.01, 1 << 20), (0.01, 5), (2.0, 0)])
+def test_rare_contexts_are_kept(spark, monkeypatch, share, grams):
+    """One text of 300,000 bytes does not take the contexts of the others out of the model."""
+    monkeypatch.setattr(S, "COMMON_SHARE", share, raising=False)
+    monkeypatch.setattr(S, "COMMON_GRAMS", grams, raising=False)
+    long = next(i for i in range(200, 300) if not held(i))
+    rows = ODD[:-1] + [(i, f"the {i % 7} brown fox number {i} jumps, the End") for i in range(20, 120)] + [(long, "word " * 60_000)]
+    score = plain_model([(t or "").encode() for d, t in rows if not held(d)], 6, 0)
+    want = sorted((d or -1, round(score((t or "").encode()), 2)) for d, t in rows)
+    got = S.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for (d, x), (e, y) in zip(sorted((r.doc_id or -1, r.score) for r in got), want, strict=True):
+        assert d == e and math.isclose(x, y, rel_tol=1e-4, abs_tol=0.01), d
+
+
 def test_every_state_is_a_distribution():
     texts = [S.normal(t) for t in (b"a bc abc", b"aab cab", b"")]
     first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
