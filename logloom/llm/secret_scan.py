@@ -67,8 +67,28 @@ def base_spans(text: bytes, hexes: list[tuple[int, int]]) -> list[tuple[int, int
     return found
 
 
+def _beside(tokens: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of the tokens that no base span covers, of any length; both are passed through once."""
+    if not base:
+        return tokens
+    spans = sorted((a, b) for a, b, _ in base)
+    found, k, over = [], 0, 0  # ``over``: the end of the base spans that begin before the place
+    for s, e in tokens:
+        at = s
+        while k < len(spans) and spans[k][0] < e:
+            a, b = spans[k]
+            at = max(at, over)
+            if a > at:
+                found.append((at, a))
+            over, k = max(over, b), k + 1
+        at = max(at, over)
+        if at < e:
+            found.append((at, e))
+    return found
+
+
 def scan(texts: list[bytes]) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int]]]]:
-    """Per text, the base spans and the long tokens beside them, in bytes."""
+    """Per text, the base spans and the long tokens, or their parts, beside them, in bytes."""
     offsets = np.concatenate([[0], np.cumsum(np.array([len(t) for t in texts], np.int64))])
     for i, j in slices(offsets):
         data, at = np.frombuffer(b"".join(texts[i:j]), np.uint8), offsets[i : j + 1] - offsets[i]
@@ -80,7 +100,7 @@ def scan(texts: list[bytes]) -> Iterator[tuple[list[tuple[int, int, int]], list[
                 into[r].append((s, e))
         for k in range(j - i):
             base = base_spans(texts[i + k], hexes[k])
-            yield base, [(s, e) for s, e in tokens[k] if not any(a < e and s < b for a, b, _ in base)]
+            yield base, _beside(tokens[k], base)
 
 
 @dataclass
