@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -191,33 +191,34 @@ def rewrite_days(
     ``touched`` gives the rows that the change concerns, ``change`` the rows of a day after it.
     Only the days from ``first`` to ``last`` are opened. A changed day keeps the table's layout and
     its order by host and time, and becomes one batch of as many files as ``append_logs`` makes; a
-    day without rows goes as a folder. New rows are staged first and each day is swapped by renaming
-    its folder, so readers find the old day or the new one. A day to which another writer has
-    added since it was read stops the change before anything is swapped.
+    day without rows goes. The files of the days are listed first, and exactly these are read and
+    replaced. New rows are staged before they are swapped in by renaming. A day to which another writer
+    has added since it was listed stops the change before anything is swapped; what is added after
+    that stays.
     """
-    stored = spark.read.parquet(path)
-    bounds = [F.col("log_date") >= F.lit(first)] if first else []
-    bounds += [F.col("log_date") <= F.lit(last)] if last else []
-    for bound in bounds:
-        stored = stored.filter(bound)
+    files = Folder(spark, path)
+    before = {day: files.files(day) for day in files.days() if (not first or day >= first) and (not last or day <= last)}
+    listed = [file for found in before.values() for file in found]
+    if not listed:
+        return {"touched": 0, "days_rewritten": 0, "days_removed": 0}
+    stored = spark.read.option("basePath", files.root).parquet(*listed)
     hit = {r["log_date"]: r["n"] for r in touched(stored).groupBy("log_date").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not hit:
         return {"touched": 0, "days_rewritten": 0, "days_removed": 0}
-    files = Folder(spark, path)
-    before = {day: files.batches(day) for day in hit}
     staged = f"{checkpoint_dir(spark)}/rewrite-{uuid.uuid4().hex}"
     days = stored.filter(F.col("log_date").isin(*hit))
     write_days(change(days).drop(BATCH).select([c for c in stored.columns if c != BATCH]), staged, own_batch())
     fresh = Folder(spark, staged)
     for day in hit:
-        if files.batches(day) != before[day]:
+        if files.files(day) != before[day]:
             raise RuntimeError(f"rows were added to {day} while it was changed; nothing was changed, run it again")
     written = [day for day in hit if fresh.exists(day)]
     for day in hit:
-        old = files.put_aside(day)
+        old = files.put_aside(day, before[day])
         if day in written:
             files.take(fresh, day)
         files.delete(old)
+        files.drop_empty(day)
     return {"touched": sum(hit.values()), "days_rewritten": len(written), "days_removed": len(hit) - len(written)}
 
 
@@ -238,20 +239,50 @@ class Folder:
     def batches(self, day: dt.date) -> set[str]:
         return {s.getPath().getName() for s in self.fs.listStatus(self.of(day))}
 
+    def files(self, day: dt.date) -> dict[str, tuple[int, int]]:
+        """Size and time of every file of a day, as far as readers see it."""
+        if not self.exists(day):
+            return {}
+        shown = lambda folder: [s for s in self.fs.listStatus(folder) if s.getPath().getName()[0] not in "_."]
+        found = [s for batch in shown(self.of(day)) for s in (shown(batch.getPath()) if batch.isDirectory() else [batch])]
+        return {s.getPath().toString(): (s.getLen(), s.getModificationTime()) for s in found}
+
     def days(self) -> list[dt.date]:
         names = [s.getPath().getName() for s in self.fs.listStatus(self._path(self.root))]
         return sorted(dt.date.fromisoformat(n[9:]) for n in names if n.startswith("log_date=") and n[9] != "_")
 
-    def put_aside(self, day: dt.date):
-        """Renames a day to a name that readers skip."""
+    def put_aside(self, day: dt.date, files: Iterable[str] | None = None):
+        """Renames a day, or only some of its files, to a name that readers skip. If one of the files
+        is gone, those before it are put back."""
         old = self._path(f"{self.root}/_old-{uuid.uuid4().hex}-{day.isoformat()}")
-        if not self.fs.rename(self.of(day), old):
-            raise RuntimeError(f"{day} could not be put aside")
+        if files is None:
+            if not self.fs.rename(self.of(day), old):
+                raise RuntimeError(f"{day} could not be put aside")
+            return old
+        self.fs.mkdirs(old)
+        moved = []
+        for k, file in enumerate(files):
+            source, target = self._path(file), self._path(old, f"{k}-{self._path(file).getName()}")
+            if not (self.fs.exists(source) and self.fs.rename(source, target)):
+                for place, kept in reversed(moved):
+                    if not self.fs.rename(kept, place):
+                        raise RuntimeError(f"{day} could not be put back; its rows are in {old}")
+                raise RuntimeError(f"rows were added to {day} while it was changed; the day was not changed, run it again")
+            moved.append((source, target))
         return old
 
     def take(self, other: Folder, day: dt.date) -> None:
-        if not self.fs.rename(other.of(day), self.of(day)):
-            raise RuntimeError(f"{day} could not be put in place; its rows are in {other.root}")
+        """Moves the batches of a day from another folder beside those that are there."""
+        self.fs.mkdirs(self.of(day))
+        for name in other.batches(day):
+            if not self.fs.rename(self._path(other.of(day), name), self._path(self.of(day), name)):
+                raise RuntimeError(f"{day} could not be put in place; its rows are in {other.root}")
+
+    def drop_empty(self, day: dt.date) -> None:
+        """Removes the batch folders without files, and the day if nothing is left."""
+        for folder in [*(s.getPath() for s in self.fs.listStatus(self.of(day)) if s.isDirectory()), self.of(day)]:
+            if not len(self.fs.listStatus(folder)):
+                self.fs.delete(folder, False)  # not if something was added meanwhile
 
     def delete(self, folder) -> None:
         self.fs.delete(folder, True)

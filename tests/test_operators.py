@@ -485,6 +485,49 @@ def test_both_writers_share_a_table(spark, folder):
     assert ids(stored.read_logs(spark, path)) == ids(kept)
 
 
+def test_rows_added_while_rows_are_counted_stay(spark, folder):
+    path = f"{folder}/logs"
+    rows = logs(spark, *[log(i, i) for i in range(10)])
+    stored.append_logs(rows.filter("id < 8"), path)
+
+    def touched(df):
+        stored.append_logs(rows.filter("id >= 8"), path)
+        return df.filter("id = 3")
+
+    with pytest.raises(RuntimeError, match="added"):
+        retention.rewrite_days(spark, path, touched, lambda df: df.filter("id <> 3"))
+    assert ids(stored.read_logs(spark, path)) == list(range(10))
+
+
+def test_repeated_batch_stops_a_change(spark, folder):
+    path = f"{folder}/logs"
+    rows = logs(spark, *[log(i, i) for i in range(10)])
+    streaming.append_batch(rows.filter("id < 8"), 0, path)
+
+    def change(df):
+        streaming.append_batch(rows, 0, path)
+        return df.filter("id <> 3").limit(0)
+
+    with pytest.raises(RuntimeError, match="added"):
+        retention.rewrite_days(spark, path, lambda df: df.filter("id = 3"), change)
+    assert ids(stored.read_logs(spark, path)) == list(range(10))
+
+
+def test_rows_added_before_the_swap_stay(spark, folder, monkeypatch):
+    path = f"{folder}/logs"
+    rows = logs(spark, *[log(i, i) for i in range(10)])
+    stored.append_logs(rows.filter("id < 8"), path)
+    aside = retention.Folder.put_aside
+
+    def late(self, *args):
+        stored.append_logs(rows.filter("id >= 8"), path)
+        return aside(self, *args)
+
+    monkeypatch.setattr(retention.Folder, "put_aside", late)
+    retention.rewrite_days(spark, path, lambda df: df.filter("id = 3"), lambda df: df.filter("id <> 3"))
+    assert ids(stored.read_logs(spark, path)) == [i for i in range(10) if i != 3]
+
+
 def test_change_stops_when_rows_were_added(spark, folder):
     path = f"{folder}/logs"
     rows = logs(spark, *[log(i, i) for i in range(10)])
