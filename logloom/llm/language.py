@@ -13,13 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import SLICE_BYTES, id_remainder, slices, text_binary
+from ..session import join_dimension
+from .shared import SLICE_BYTES, id_remainder, slices, stage, text_binary
 
 # Rows of each language that are learnt from, about as many at most (taken by a hash of the id),
 # and the longest text among them, in bytes.
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 200_000
-# Languages that fit a slot; slots; hash functions.
+# Languages of one plane of slots (any number of planes is built); slots; hash functions.
 MAX_LANGUAGES = 64
 SLOT_BITS = 20
 HASHES = 3
@@ -89,10 +90,13 @@ def code_points(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Filters:
-    """Slots of language bits: a language holds an n-gram if its bit is set in all slots hashed to."""
+    """Slots of language bits: a language holds an n-gram if its bit is set in all slots hashed to.
+
+    Each ``MAX_LANGUAGES`` languages in turn have an array of slots, a plane.
+    """
 
     languages: list[str]
-    slots: np.ndarray
+    slots: list[np.ndarray]
     false_rate: np.ndarray
 
     @staticmethod
@@ -101,30 +105,36 @@ class Filters:
 
     @classmethod
     def build(cls, languages: list[str], members: list[np.ndarray]) -> Filters:
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= len(languages))
-        slots = np.zeros(1 << SLOT_BITS, kind)
-        for bit, grams in enumerate(members):
-            for place in cls.places(grams):
-                slots[place] |= kind(1 << bit)
-        filled = [np.mean((slots >> kind(b)) & kind(1)) for b in range(len(languages))]
-        return cls(languages, slots, np.array(filled) ** HASHES)
-
-    def holders(self, grams: np.ndarray) -> np.ndarray:
-        """The languages of each n-gram as bits: one AND over its slots answers for all of them."""
+        planes, filled = [], []
+        for low in range(0, max(len(languages), 1), MAX_LANGUAGES):
+            part = members[low : low + MAX_LANGUAGES]
+            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= len(part))
+            slots = np.zeros(1 << SLOT_BITS, kind)
+            for bit, grams in enumerate(part):
+                for place in cls.places(grams):
+                    slots[place] |= kind(1 << bit)
+            filled += [np.mean((slots >> kind(b)) & kind(1)) for b in range(len(part))]
+            planes.append(slots)
+        return cls(languages, planes, np.array(filled) ** HASHES)
+
+    def holders(self, grams: np.ndarray, plane: int = 0) -> np.ndarray:
+        """The languages of a plane that hold each n-gram, as bits: one AND over its slots answers for all."""
         first, *rest = self.places(grams)
-        bits = self.slots[first]
+        bits = self.slots[plane][first]
         for place in rest:
-            bits = bits & self.slots[place]
+            bits = bits & self.slots[plane][place]
         return bits
 
     def counts(self, grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Expected true hits, text x language: hits less the false ones that the fill implies."""
-        bits, kind = self.holders(grams), self.slots.dtype.type
         total = np.bincount(owner, minlength=n)
         out = np.zeros((n, len(self.languages)))
-        for b, rate in enumerate(self.false_rate):
+        for k, rate in enumerate(self.false_rate):
+            plane, b = divmod(k, MAX_LANGUAGES)
+            if not b:
+                bits, kind = self.holders(grams, plane), self.slots[plane].dtype.type
             hits = np.bincount(owner, (bits >> kind(b)) & kind(1), n)
-            out[:, b] = np.maximum(hits - rate * total, 0) / (1 - rate)
+            out[:, k] = np.maximum(hits - rate * total, 0) / (1 - rate)
         return out
 
 
@@ -142,44 +152,39 @@ def _counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def fit(texts: dict[str, list[bytes]]) -> Filters:
     """The filters of each language's n-grams, from sample texts per language."""
     languages = sorted(texts)
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; a slot holds {MAX_LANGUAGES}")
     seen = []
     for language in languages:
         grams, n = _counted(texts[language])
         seen.append((grams[n >= LEAST], n[n >= LEAST] / max(n.sum(), 1)))
     every = np.unique(np.concatenate([g for g, _ in seen])) if seen else np.zeros(0, np.uint64)
-    rates = np.zeros((len(languages), len(every)))
-    for k, (grams, rate) in enumerate(seen):
-        rates[k, np.searchsorted(every, grams)] = rate
-    best = rates.max(axis=0, initial=0)
-    return Filters.build(languages, [every[(r > 0) & (r >= SHARE * best)] for r in rates])
+    best = np.zeros(len(every))
+    at = [np.searchsorted(every, grams) for grams, _ in seen]
+    for place, (_, rate) in zip(at, seen, strict=True):
+        best[place] = np.maximum(best[place], rate)
+    return Filters.build(languages, [grams[rate >= SHARE * best[place]] for place, (grams, rate) in zip(at, seen, strict=True)])
 
 
 def learn(docs: DataFrame) -> Filters:
-    """Filters from a bounded sample of rows with a language whose id is not held out."""
+    """Filters from a bounded sample of rows of each language whose id is not held out."""
     known = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder(F.col("doc_id"), 3) != 1)
     )
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
-    if not sizes:
-        return fit({})
+    sizes = stage(known.groupBy("lang").agg(F.count("*").alias("_rows")), "languages")
     share = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    limits = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, SAMPLE_ROWS / n))])
-    rows = known.where((share < limits[F.col("lang")]) & (F.octet_length("text") <= SAMPLE_BYTES))
-    sample = rows.select("lang", text_binary(F.col("text")).alias("text"))
-    names = list(sizes)
+    sized = join_dimension(known.where(F.octet_length("text") <= SAMPLE_BYTES), sizes, ["lang"], "inner")
+    rows = sized.where(share < F.least(F.lit(1.0), F.lit(SAMPLE_ROWS) / F.col("_rows")))
+    sample = rows.select("lang", text_binary(F.col("text")).alias("text")).unionByName(sizes.select("lang", F.lit(None).cast("binary").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: dict[str, list[bytes]] = {k: [] for k in names}
+        texts: dict[str, list[bytes]] = {}
         for batch in batches:
             for lang, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
-                texts[lang].append(text)
+                texts.setdefault(lang, []).extend([] if text is None else [text])
         yield pa.RecordBatch.from_pydict({"filters": pa.array([pickle.dumps(fit(texts))], pa.binary())})
 
     # One task fits the bounded sample, so that the driver holds the finished filters only.
     found = sample.repartition(1).mapInArrow(run, "filters binary").first()
-    return pickle.loads(found[0]) if found else fit({k: [] for k in names})
+    return pickle.loads(found[0]) if found else fit({})
 
 
 def predict(text: Column, filters: Filters) -> Column:

@@ -55,6 +55,16 @@ def test_edge_rows(spark):
     assert {r.lang_pred for r in L.languages(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
 
 
+def test_any_number_of_languages(spark):
+    """130 languages, each of words of its own, fill three planes."""
+    def text(k):
+        return " ".join(f"{a}{chr(0x4E00 + k)}{b}" for a in "abc" for b in "xyz")
+
+    rows = [(10 * k + i, text(k), f"l{k:03}") for k in range(130) for i in range(10)]
+    got = L.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == f"l{r.doc_id // 10:03}" for r in got)
+
+
 def test_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     got = QUERIES["op4_language_id"](spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
