@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination
+from . import chat, decontamination, filter_audit as filters
 from .chat import conversation_digests, format_conversations, with_probe
 from .decontamination import contaminations
 from .embeddings import embedding_components
+from .filter_audit import filter_audit
 from .language import languages
 from .packing import pack_documents
 from .scoring import score_texts
@@ -96,3 +97,12 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_chat_formatting"] = chat.ORACLE
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How five filters interact in all orders, per language."""
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = filters.ORACLE
