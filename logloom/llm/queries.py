@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, filter_audit as filters
+from . import chat, decontamination, filter_audit as filters, repair
 from .chat import conversation_digests, format_conversations, with_probe
 from .decontamination import contaminations
 from .embeddings import embedding_components
 from .filter_audit import filter_audit
 from .language import languages
 from .packing import pack_documents
+from .repair import repair_digests
 from .scoring import score_texts
 from .secret_scan import secrets
 from .shared import table
@@ -106,3 +107,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_filter_audit"] = filters.ORACLE
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of every conversation of the damaged table."""
+    return repair_digests(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_conversation_repair"] = repair.ORACLE
