@@ -12,6 +12,7 @@ from .decontamination import contaminations
 from .embeddings import embedding_components
 from .filter_audit import filter_audit
 from .language import languages
+from .multi_index import nearest
 from .packing import pack_documents
 from .repair import repair_digests
 from .scoring import score_texts
@@ -116,3 +117,9 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_conversation_repair"] = repair.ORACLE
+
+
+@query
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    return nearest(table(spark, sf_dir, "embeddings"))
