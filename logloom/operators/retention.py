@@ -1,20 +1,20 @@
 """Deleting, pruning and their previews.
 
 Tables are immutable files: a delete is the frame of kept rows. ``rewrite_days`` writes it back
-for the days that lost rows, and no others; deletes, pruning and backfills of stored tables use it.
+for the batches that lost rows, and no others; deletes, pruning and backfills of stored tables use it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..schema import BATCH, own_batch
-from ..session import checkpoint_dir, join_dimension, stage
+from ..session import join_dimension, stage
 from ..sources.logs import write_days
+from ..sources.stored import PAIRS, Folder, Pair, finish_changes
 from .filters import LogFilter, log_filter, resolve_bound
 from .incidents import history_kind
 
@@ -186,115 +186,59 @@ def rewrite_days(
     spark: SparkSession, path: str, touched: Change, change: Change,
     first: dt.date | None = None, last: dt.date | None = None,
 ) -> dict[str, int]:
-    """Changes rows of a stored table; only the days that hold such rows are written again.
-
-    ``touched`` gives the rows that the change concerns, ``change`` the rows of a day after it.
-    Only the days from ``first`` to ``last`` are opened. A changed day keeps the table's layout and
-    its order by host and time, and becomes one batch of as many files as ``append_logs`` makes; a
-    day without rows goes. The files of the days are listed first, and exactly these are read and
-    replaced. New rows are staged before they are swapped in by renaming. A day to which another writer
-    has added since it was listed stops the change before anything is swapped; what is added after
-    that stays.
+    """Changes rows of a stored table; only the batches that hold such rows are written again.
+
+    ``touched`` gives the rows that the change concerns, ``change`` the rows of a batch after it.
+    Only the days from ``first`` to ``last`` are opened. Rows keep their batch, the layout and the order by
+    host and time; a batch without rows goes, and so does a day. A micro-batch of a stream that is
+    repeated afterwards is recognised, so the table stays as the change left it. Batches that are added
+    meanwhile stay as they are; one that is replaced meanwhile stops the change before
+    anything is swapped. A change that was stopped half way is completed by the next writer. More
+    than ``stored.PAIRS`` batches are changed one part after the other.
     """
-    files = Folder(spark, path)
-    before = {day: files.files(day) for day in files.days() if (not first or day >= first) and (not last or day <= last)}
-    listed = [file for found in before.values() for file in found]
-    if not listed:
+    files = finish_changes(spark, path)
+    days = [d for d in files.days() if (not first or d >= first) and (not last or d <= last)]
+    if not days:
         return {"touched": 0, "days_rewritten": 0, "days_removed": 0}
-    stored = spark.read.option("basePath", files.root).parquet(*listed)
-    hit = {r["log_date"]: r["n"] for r in touched(stored).groupBy("log_date").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not hit:
-        return {"touched": 0, "days_rewritten": 0, "days_removed": 0}
-    staged = f"{checkpoint_dir(spark)}/rewrite-{uuid.uuid4().hex}"
-    days = stored.filter(F.col("log_date").isin(*hit))
-    write_days(change(days).drop(BATCH).select([c for c in stored.columns if c != BATCH]), staged, own_batch())
-    fresh = Folder(spark, staged)
-    for day in hit:
-        if files.files(day) != before[day]:
-            raise RuntimeError(f"rows were added to {day} while it was changed; nothing was changed, run it again")
-    written = [day for day in hit if fresh.exists(day)]
-    for day in hit:
-        old = files.put_aside(day, before[day])
-        if day in written:
-            files.take(fresh, day)
-        files.delete(old)
-        files.drop_empty(day)
-    return {"touched": sum(hit.values()), "days_rewritten": len(written), "days_removed": len(hit) - len(written)}
-
-
-class Folder:
-    """The day folders of a stored table."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
-        self.root = path.rstrip("/")
-        self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
-
-    def of(self, day: dt.date):
-        return self._path(f"{self.root}/log_date={day.isoformat()}")
-
-    def exists(self, day: dt.date) -> bool:
-        return self.fs.exists(self.of(day))
-
-    def batches(self, day: dt.date) -> set[str]:
-        return {s.getPath().getName() for s in self.fs.listStatus(self.of(day))}
-
-    def files(self, day: dt.date) -> dict[str, tuple[int, int]]:
-        """Size and time of every file of a day, as far as readers see it."""
-        if not self.exists(day):
-            return {}
-        shown = lambda folder: [s for s in self.fs.listStatus(folder) if s.getPath().getName()[0] not in "_."]
-        found = [s for batch in shown(self.of(day)) for s in (shown(batch.getPath()) if batch.isDirectory() else [batch])]
-        return {s.getPath().toString(): (s.getLen(), s.getModificationTime()) for s in found}
-
-    def days(self) -> list[dt.date]:
-        names = [s.getPath().getName() for s in self.fs.listStatus(self._path(self.root))]
-        return sorted(dt.date.fromisoformat(n[9:]) for n in names if n.startswith("log_date=") and n[9] != "_")
-
-    def put_aside(self, day: dt.date, files: Iterable[str] | None = None):
-        """Renames a day, or only some of its files, to a name that readers skip. If one of the files
-        is gone, those before it are put back."""
-        old = self._path(f"{self.root}/_old-{uuid.uuid4().hex}-{day.isoformat()}")
-        if files is None:
-            if not self.fs.rename(self.of(day), old):
-                raise RuntimeError(f"{day} could not be put aside")
-            return old
-        self.fs.mkdirs(old)
-        moved = []
-        for k, file in enumerate(files):
-            source, target = self._path(file), self._path(old, f"{k}-{self._path(file).getName()}")
-            if not (self.fs.exists(source) and self.fs.rename(source, target)):
-                for place, kept in reversed(moved):
-                    if not self.fs.rename(kept, place):
-                        raise RuntimeError(f"{day} could not be put back; its rows are in {old}")
-                raise RuntimeError(f"rows were added to {day} while it was changed; the day was not changed, run it again")
-            moved.append((source, target))
-        return old
-
-    def take(self, other: Folder, day: dt.date) -> None:
-        """Moves the batches of a day from another folder beside those that are there."""
-        self.fs.mkdirs(self.of(day))
-        for name in other.batches(day):
-            if not self.fs.rename(self._path(other.of(day), name), self._path(self.of(day), name)):
-                raise RuntimeError(f"{day} could not be put in place; its rows are in {other.root}")
-
-    def drop_empty(self, day: dt.date) -> None:
-        """Removes the batch folders without files, and the day if nothing is left."""
-        for folder in [*(s.getPath() for s in self.fs.listStatus(self.of(day)) if s.isDirectory()), self.of(day)]:
-            if not len(self.fs.listStatus(folder)):
-                self.fs.delete(folder, False)  # not if something was added meanwhile
-
-    def delete(self, folder) -> None:
-        self.fs.delete(folder, True)
+    table = spark.read.parquet(path)
+    if first or last:
+        table = table.filter(F.col("log_date").between(F.lit(days[0]), F.lit(days[-1])))
+    hit = touched(table).groupBy("log_date", BATCH).agg(F.count(F.lit(1)).alias("n")).collect()
+    pairs = sorted((r["log_date"], r[BATCH]) for r in hit)
+    for at in range(0, len(pairs), PAIRS):
+        _replace(spark, files, pairs[at : at + PAIRS], change, table.schema)
+    return _outcome(files, {d for d, _ in pairs}, sum(r["n"] for r in hit))
+
+
+def _outcome(files: Folder, days: set[dt.date], touched: int) -> dict[str, int]:
+    left = set(files.days())
+    return {"touched": touched, "days_rewritten": len(days & left), "days_removed": len(days - left)}
+
+
+def _replace(spark: SparkSession, files: Folder, pairs: list[Pair], change: Change, schema: T.StructType, batch: int | None = None) -> None:
+    """Replaces exactly the files that some (day, batch) pairs hold now; ``batch`` merges them into one."""
+    before = {pair: files.files(pair) for pair in pairs}
+    listed = [p for pair, found in before.items() for p in files.paths(pair, list(found))]
+    stored = spark.read.schema(schema).option("basePath", files.root).parquet(*listed)
+    number = files.new_change()
+    rows = change(stored).select(stored.columns)
+    write_days(rows, files.staging(number), batch)
+    if any(files.files(pair) != found for pair, found in before.items()):
+        files.discard(number)
+        raise RuntimeError("rows were added to a batch while it was changed; nothing was changed, run it again")
+    files.commit(number, {pair: list(found) for pair, found in before.items()})
+    files.finish(number)
 
 
 def compact_days(spark: SparkSession, path: str, last: dt.date, min_batches: int = 2) -> int:
     """Merges the batches of every day up to ``last`` that has at least ``min_batches``; returns
     the number of days. For days to which nothing is added any more."""
-    files = Folder(spark, path)
-    many = [d for d in files.days() if d <= last and len(files.batches(d)) >= min_batches]
-    whole = lambda rows: rows.filter(F.col("log_date").isin(*many)) if many else rows.limit(0)
-    return rewrite_days(spark, path, whole, lambda rows: rows, min(many, default=None), last)["days_rewritten"]
+    files = finish_changes(spark, path)
+    many = {d: found for d in files.days() if d <= last and len(found := files.batches(d)) >= min_batches}
+    schema = spark.read.parquet(path).schema if many else None
+    for day, batches in many.items():
+        _replace(spark, files, [(day, b) for b in batches], lambda rows: rows, schema, own_batch())
+    return len(many)
 
 
 def delete_stored(spark: SparkSession, path: str, spec: LogFilter, delete_all: bool = False) -> dict[str, int]:
@@ -320,10 +264,12 @@ def prune_stored(spark: SparkSession, path: str, retention_days: int, as_of: dt.
     """Removes rows older than the retention: older days go as folders without being read, and only
     the day of the cutoff is written again."""
     cutoff = cutoff_of(as_of, retention_days)
-    files = Folder(spark, path)
+    files = finish_changes(spark, path)
     gone = [day for day in files.days() if day < cutoff.date()]
     for day in gone:
-        files.delete(files.put_aside(day))
+        number = files.new_change()
+        files.commit(number, {(day, b): list(files.files((day, b))) for b in files.batches(day)})
+        files.finish(number)
     old = F.col("timestamp") < F.lit(cutoff)
     edge = {"days_rewritten": 0, "days_removed": 0}
     if cutoff.date() in files.days():

@@ -35,11 +35,16 @@ def _store(t: Tables) -> str:
     path, rows = _folder(t, "store"), t.logs()
     streaming.append_batch(rows.filter("id % 4 = 1"), 0, path)
     streaming.append_batch(rows.filter("id % 4 = 3"), 1, path)
-    streaming.append_batch(rows.filter("id % 4 = 3"), 1, path)  # a repeated batch
+    _repeat(t, path)
     stored.append_logs(rows.filter("id % 2 = 0"), path)
     return path
 
 
+def _repeat(t: Tables, path: str) -> None:
+    """The last micro-batch of ``_store`` once more, as a stream does that starts again."""
+    streaming.append_batch(t.logs().filter("id % 4 = 3"), 1, path)
+
+
 def _back(t: Tables, path: str) -> DataFrame:
     return stored.read_logs(t.spark, path)
 
@@ -64,6 +69,7 @@ def stored_sample(t):
 def stored_after_delete(t):
     path = _store(t)
     retention.delete_stored(t.spark, path, LogFilter(apps=["kernel"], end=dt.datetime(2024, 1, 12, 6), as_of=AS_OF))
+    _repeat(t, path)
     return _back(t, path).select("id", F.col("log_date").cast("string").alias("log_date"))
 
 
@@ -71,6 +77,7 @@ def stored_after_delete(t):
 def stored_after_id_delete(t):
     path = _store(t)
     retention.delete_stored_ids(t.spark, path, t.read("orders").filter("o_orderstatus = 'F'").select("o_orderkey"))
+    _repeat(t, path)
     return _back(t, path).select("id")
 
 
@@ -78,6 +85,7 @@ def stored_after_id_delete(t):
 def stored_after_prune(t):
     path = _store(t)
     retention.prune_stored(t.spark, path, 15, AS_OF + dt.timedelta(hours=5))
+    _repeat(t, path)
     return _back(t, path).select("id")
 
 
@@ -89,6 +97,7 @@ def stored_after_backfills(t):
     retention.backfill_stored(t.spark, path, "source_alias", lambda df: dims.backfill_alias(df, "10.0.0.7", "edge", ["host-7"]))
     retention.backfill_stored(t.spark, path, "app_name", lambda df: dims.backfill_app(df, "sshd", "bastion", containers=["host-7"]))
     stored.append_logs(t.logs().limit(0), path)
+    _repeat(t, path)
     return _back(t, path).select("id", "source_alias", "app_name")
 
 
@@ -97,12 +106,36 @@ def stored_after_backfills(t):
 def stored_after_compaction(t):
     path = _store(t)
     retention.compact_days(t.spark, path, dt.date(2024, 1, 20))
+    _repeat(t, path)
     rows = t.spark.read.parquet(path)
     return rows.groupBy(F.col("log_date").cast("string").alias("log_date")).agg(
         F.count("*").alias("n"), F.count_distinct("batch_id").cast("int").alias("batches")
     )
 
 
+@query("logs", """SELECT id, source_alias, CASE WHEN severity <= 3 AND id % 4 = 1 THEN 'urgent' ELSE app_name END AS app_name,
+  CASE WHEN "timestamp" < TIMESTAMP '2024-01-20' THEN 'merged' WHEN id % 2 = 0 THEN 'own' ELSE CAST(id % 4 // 2 AS VARCHAR) END AS batch
+  FROM logs WHERE "timestamp" >= TIMESTAMP '2024-01-16 05:00:00' AND (severity > 1 OR "timestamp" >= TIMESTAMP '2024-01-25')""")
+def stored_after_many_changes(t):
+    """All kinds of change one after the other, each followed by the last micro-batch once more."""
+    path, spark = _store(t), t.spark
+    retention.compact_days(spark, path, dt.date(2024, 1, 17))
+    _repeat(t, path)
+    retention.delete_stored(spark, path, LogFilter(severity_max=1, end=dt.datetime(2024, 1, 24, 23, 59, 59, 999999), as_of=AS_OF))
+    _repeat(t, path)
+    urgent = F.when(F.expr("severity <= 3 AND id % 4 = 1"), "urgent").otherwise(F.col("app_name"))
+    retention.backfill_stored(spark, path, "app_name", lambda df: df.withColumn("app_name", urgent))
+    _repeat(t, path)
+    retention.prune_stored(spark, path, 15, AS_OF + dt.timedelta(hours=5))
+    _repeat(t, path)
+    retention.compact_days(spark, path, dt.date(2024, 1, 19))
+    _repeat(t, path)
+    batch = F.when(F.col("log_date") < F.lit(dt.date(2024, 1, 20)), "merged").when(F.col("batch_id") < 0, "own")
+    return spark.read.parquet(path).select(
+        "id", "source_alias", "app_name", batch.otherwise(F.col("batch_id").cast("string")).alias("batch")
+    )
+
+
 @query("incidents", """SELECT sample_log_id, rule_name, epoch_us(triggered_at) AS triggered_at_us, sample_log FROM incidents""")
 def stored_incidents(t):
     path = _folder(t, "incidents")

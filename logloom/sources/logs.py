@@ -8,6 +8,7 @@ from ..functions import fixed
 from ..functions.text import replace_surrogates
 from ..operators.ordered import numbered
 from ..schema import BATCH, INCIDENTS, LOG_DEFAULTS, LOGS, conform, own_batch, with_log_date
+from .stored import finish_changes
 
 TEXT_COLUMNS = ("source_ip", "source_alias", "app_name", "message", "raw")
 
@@ -43,13 +44,15 @@ def highest_id(spark: SparkSession, path: str) -> int:
     return top or 0
 
 
-def write_days(rows: DataFrame, path: str, batch: int, mode: str = "append", tasks: int = 8) -> None:
+def write_days(rows: DataFrame, path: str, batch: int | None, mode: str = "append", tasks: int = 8) -> None:
     """Writes rows with ``log_date`` in the layout of every stored log table: a folder per day, in it
-    one per batch, files sorted by host and time. At most ``tasks`` files per day and batch."""
+    one per batch, files sorted by host and time. At most ``tasks`` files per day and batch. Without
+    ``batch`` rows keep the one they have."""
+    if batch is not None:
+        rows = rows.withColumn(BATCH, F.lit(batch).cast("long"))
     (
-        rows.withColumn(BATCH, F.lit(batch).cast("long"))
-        .repartition("log_date", F.pmod(F.xxhash64("id"), F.lit(tasks)))
-        .sortWithinPartitions("log_date", "source_alias", "timestamp")
+        rows.repartition("log_date", BATCH, F.pmod(F.xxhash64("id"), F.lit(tasks)))
+        .sortWithinPartitions("log_date", BATCH, "source_alias", "timestamp")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("log_date", BATCH)
@@ -60,6 +63,7 @@ def write_days(rows: DataFrame, path: str, batch: int, mode: str = "append", tas
 def append_logs(rows: DataFrame, path: str, order: list[str] = ("received_at", "seq")) -> None:
     """Appends rows by day as a batch of their own. Rows without ids get them in arrival order after
     the stored ones."""
+    finish_changes(rows.sparkSession, path)
     if "id" not in rows.columns:
         rows = assign_ids(rows, highest_id(rows.sparkSession, path), list(order))
     write_days(with_log_date(conform(rows, LOGS, LOG_DEFAULTS)), path, own_batch())

@@ -15,6 +15,7 @@ from ..operators.rules import apply_drop_rules
 from ..operators.textindex import BUCKET, build_postings, token_bucket, write_postings
 from ..schema import BATCH, LOG_DEFAULTS, LOGS, conform, with_log_date
 from ..sources.logs import write_days
+from ..sources.stored import finish_changes
 from ..sources.syslog import parse_syslog
 
 Sink = Callable[[DataFrame, int], None]
@@ -57,10 +58,15 @@ def stream_ids(batch: DataFrame, batch_id: int, order: list[str] = ("received_at
 def append_batch(batch: DataFrame, batch_id: int, path: str, order: list[str] = ("received_at", "seq")) -> None:
     """Stores a micro-batch of log rows by day, in the layout that ``append_logs`` writes.
 
-    A repeated batch replaces its first attempt, so every row is stored once. ``compact_days``
+    A repeated batch replaces its first attempt, so every row is stored once; on days where the first
+    attempt was changed since (rows deleted, pruned, backfilled or merged), the change stays. ``compact_days``
     merges the batches of closed days."""
     rows = batch if "id" in batch.columns else stream_ids(batch, batch_id, list(order))
-    write_days(with_log_date(conform(rows, LOGS, LOG_DEFAULTS)), path, batch_id, "overwrite", tasks=4)
+    rows = with_log_date(conform(rows, LOGS, LOG_DEFAULTS))
+    settled = finish_changes(batch.sparkSession, path).settled(batch_id)
+    if settled:
+        rows = rows.filter(~F.col("log_date").isin(*settled))
+    write_days(rows, path, batch_id, "overwrite", tasks=4)
 
 
 def index_batch(batch: DataFrame, batch_id: int, path: str, buckets: int = 256) -> None:

@@ -30,6 +30,7 @@ from logloom.operators.filters import LogFilter
 from logloom.plans.tables import Tables
 from logloom.schema import LOGS
 from logloom.sources import logs as stored
+from logloom.sources.stored import Folder
 
 UTC = dt.timezone.utc
 
@@ -478,7 +479,7 @@ def test_both_writers_share_a_table(spark, folder):
     assert renamed["touched"] == sum(i % 3 == 1 for i in range(40) if i not in gone)
     streaming.append_batch(rows.filter("id < 3").withColumn("id", F.col("id") + 100), 1, path)
     last = max(r["log_date"] for r in stored.read_logs(spark, path).collect())
-    assert retention.compact_days(spark, path, last) == 1  # the day that was added to
+    assert retention.compact_days(spark, path, last) == 2  # where two writers met, and the day that was added to
     assert len(ids(stored.read_logs(spark, path))) == 43 - len(gone)
     assert retention.prune_stored(spark, path, 1, at(40 * 9000))["days_removed"] >= 2
     kept = retention.prune_logs(rows.filter(~F.col("id").isin(*gone)), 1, at(40 * 9000))
@@ -494,9 +495,8 @@ def test_rows_added_while_rows_are_counted_stay(spark, folder):
         stored.append_logs(rows.filter("id >= 8"), path)
         return df.filter("id = 3")
 
-    with pytest.raises(RuntimeError, match="added"):
-        retention.rewrite_days(spark, path, touched, lambda df: df.filter("id <> 3"))
-    assert ids(stored.read_logs(spark, path)) == list(range(10))
+    retention.rewrite_days(spark, path, touched, lambda df: df.filter("id <> 3"))
+    assert ids(stored.read_logs(spark, path)) == [i for i in range(10) if i != 3]
 
 
 def test_repeated_batch_stops_a_change(spark, folder):
@@ -517,18 +517,18 @@ def test_rows_added_before_the_swap_stay(spark, folder, monkeypatch):
     path = f"{folder}/logs"
     rows = logs(spark, *[log(i, i) for i in range(10)])
     stored.append_logs(rows.filter("id < 8"), path)
-    aside = retention.Folder.put_aside
+    swap = Folder.swap_out
 
     def late(self, *args):
-        stored.append_logs(rows.filter("id >= 8"), path)
-        return aside(self, *args)
+        rows.filter("id >= 8").withColumn("log_date", F.to_date("timestamp")).transform(lambda df: stored.write_days(df, path, 7) or df)
+        return swap(self, *args)
 
-    monkeypatch.setattr(retention.Folder, "put_aside", late)
+    monkeypatch.setattr(Folder, "swap_out", late)
     retention.rewrite_days(spark, path, lambda df: df.filter("id = 3"), lambda df: df.filter("id <> 3"))
-    assert ids(stored.read_logs(spark, path)) == [i for i in range(10) if i != 3]
+    assert {i for i in range(10) if i != 3} == set(ids(stored.read_logs(spark, path)))
 
 
-def test_change_stops_when_rows_were_added(spark, folder):
+def test_rows_added_while_others_change_stay(spark, folder):
     path = f"{folder}/logs"
     rows = logs(spark, *[log(i, i) for i in range(10)])
     stored.append_logs(rows.filter("id < 8"), path)
@@ -537,9 +537,76 @@ def test_change_stops_when_rows_were_added(spark, folder):
         stored.append_logs(rows.filter("id >= 8"), path)
         return df.filter("id <> 3")
 
-    with pytest.raises(RuntimeError, match="added"):
-        retention.rewrite_days(spark, path, lambda df: df.filter("id = 3"), change)
-    assert ids(stored.read_logs(spark, path)) == list(range(10))
+    retention.rewrite_days(spark, path, lambda df: df.filter("id = 3"), change)
+    assert ids(stored.read_logs(spark, path)) == [i for i in range(10) if i != 3]
+
+
+@pytest.mark.parametrize("parts", [1, 1000])
+def test_repeated_batches_after_changes(spark, folder, monkeypatch, parts):
+    monkeypatch.setattr(retention, "PAIRS", parts)
+    path = f"{folder}/logs"
+    rows = logs(spark, *[log(i, i * 9000, severity=i % 8, app_name=f"a{i % 3}") for i in range(40)])
+    batches = [rows.filter(F.col("id") % 2 == k) for k in (0, 1)]
+
+    def repeat():
+        before = sorted(map(tuple, stored.read_logs(spark, path).collect()))
+        for k, batch in enumerate(batches):
+            streaming.append_batch(batch, k, path)
+        assert sorted(map(tuple, stored.read_logs(spark, path).collect())) == before
+
+    for k, batch in enumerate(batches):
+        streaming.append_batch(batch, k, path)
+    repeat()
+    retention.delete_stored(spark, path, filters.LogFilter(apps=["a1"], as_of=T0))
+    repeat()
+    retention.delete_stored_ids(spark, path, rows.filter("id IN (2, 3)").select("id"))
+    repeat()
+    retention.backfill_stored(spark, path, "app_name", lambda df: df.withColumn("app_name", F.lit("b")))
+    repeat()
+    assert retention.compact_days(spark, path, at(100_000).date()) >= 1
+    repeat()
+    retention.delete_stored(spark, path, filters.LogFilter(severity_max=0, as_of=T0))
+    repeat()
+    retention.prune_stored(spark, path, 1, at(40 * 9000))
+    repeat()
+    left = {r["id"]: r["app_name"] for r in stored.read_logs(spark, path).collect()}
+    want = [i for i in range(40) if i % 3 != 1 and i not in (2, 3) and i % 8 and i * 9000 >= 40 * 9000 - 86400]
+    assert left == dict.fromkeys(want, "b")
+    # a batch with a day that it never had is stored
+    streaming.append_batch(logs(spark, log(99, 90 * 86_400)), 1, path)
+    assert 99 in ids(stored.read_logs(spark, path))
+    # marks of completed batches can go
+    Folder(spark, path).forget(1)
+    assert not Folder(spark, path).settled(0) and Folder(spark, path).settled(1)
+
+
+@pytest.mark.parametrize("step", ["commit", "settle", "swap_out", "swap_in", "drop_empty"])
+@pytest.mark.parametrize("after", [0, 1])
+def test_stopped_change_is_completed(spark, folder, monkeypatch, step, after):
+    path = f"{folder}/logs"
+    rows = logs(spark, *[log(i, i * 30_000) for i in range(12)])
+    streaming.append_batch(rows.filter("id < 9"), 0, path)
+    streaming.append_batch(rows.filter("id >= 6 AND id < 9").withColumn("id", F.col("id") + 100), 1, path)
+    real, calls = getattr(Folder, step), []
+
+    def stops(self, *args):
+        if len(calls) == after:
+            raise KeyboardInterrupt
+        calls.append(args)
+        done = real(self, *args)
+        if step == "commit":
+            raise KeyboardInterrupt
+        return done
+
+    monkeypatch.setattr(Folder, step, stops)
+    with pytest.raises(KeyboardInterrupt):
+        retention.rewrite_days(spark, path, lambda df: df.filter("id % 5 <> 0"), lambda df: df.filter("id % 5 = 0"))
+    monkeypatch.setattr(Folder, step, real)
+    stored.append_logs(rows.filter("id >= 9"), path)  # the next writer
+    made = step != "commit" or after
+    first = [i for i in [*range(9), 106, 107, 108] if i % 5 == 0 or not made]
+    assert ids(stored.read_logs(spark, path)) == sorted([*first, 9, 10, 11])
+    assert not Folder(spark, path).changes() and not [n for n in Folder(spark, path)._names() if n.startswith("_old-")]
 
 
 def test_sessions_mean_the_same_however_many(spark):
