@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import json
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import join_dimension
-from .shared import stage, text_binary
+from .shared import slices, stage
 
 FILTERS = "ABCDE"
 MIN_WORDS = 200
@@ -21,37 +22,41 @@ MIN_WORDS = 200
 MIN_DISTINCT = 50
 MAX_CAPITALS = 3
 MARKS = "[#$%&*|]"
-# Entries of one CSR shard, and words that a task holds before it hands them on.
-SHARD_ENTRIES = 1 << 18
-HELD_WORDS = 1 << 18
+# Bytes of text of one CSR shard (a longer text is one alone), and words that a task holds before it hands them on.
+SLICE_BYTES = 8 << 20
+HELD_WORDS = 1 << 20
 
 _ROW = "struct<doc_id:bigint,lang:string,capital:boolean,marked:boolean,digest:binary>"
-_ROW_TYPE = pa.struct(
-    [("doc_id", pa.int64()), ("lang", pa.string()), ("capital", pa.bool_()), ("marked", pa.bool_()), ("digest", pa.binary())]
-)
 MATRIX = f"rows array<{_ROW}>, indptr array<bigint>, indices array<bigint>, data array<bigint>"
 
 
-def _code(word: bytes, seed: int, bits: int) -> int:
-    """The first ``bits`` bits of the word's hash as a signed number."""
-    value = xxhash.xxh64_intdigest(word, seed) >> (64 - bits)
-    return value - (1 << 64) if value >> 63 else value
+def codes(words: pa.Array, seed: int, bits: int = 64) -> np.ndarray:
+    """The first ``bits`` bits of each word's hash as signed numbers."""
+    found = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()), np.uint64, len(words))
+    return (found >> np.uint64(64 - bits)).view(np.int64)
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch], seed: int, bits: int) -> Iterator[pa.RecordBatch]:
-    held: set[bytes] = set()
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Runs of rows of about ``SLICE_BYTES`` of text, with the list of words of each; the text is the last column."""
+    for batch in batches:
+        text = batch.column(batch.num_columns - 1)
+        offsets = np.concatenate([[0], np.cumsum(pc.binary_length(text).to_numpy().astype(np.int64))])
+        for first, last in slices(offsets, SLICE_BYTES):
+            # ASCII white space is what ends a word; words of no length lie beside it at the ends of a text.
+            yield batch.slice(first, last - first), pc.ascii_split_whitespace(text.slice(first, last - first))
 
-    def out() -> pa.RecordBatch:
-        words = list(held)
-        held.clear()
-        codes = pa.array([_code(w, seed, bits) for w in words], pa.int64())
-        return pa.RecordBatch.from_arrays([codes, pa.array(words, pa.binary())], ["code", "word"])
 
-    for batch in batches:
-        for text in batch.column(0):
-            held.update(text.as_py().split())  # bytes are split at ASCII white space
-            if len(held) >= HELD_WORDS:
-                yield out()
+def _vocabulary(batches: Iterator[pa.RecordBatch], seed: int, bits: int) -> Iterator[pa.RecordBatch]:
+    def out() -> pa.RecordBatch:
+        words = held.filter(pc.greater(pc.binary_length(held), 0))
+        return pa.RecordBatch.from_arrays([pa.array(codes(words, seed, bits)), words], ["code", "word"])
+
+    held = pa.array([], pa.string())
+    for _, words in _slices(batches):
+        held = pc.unique(pa.concat_arrays([held, pc.unique(words.flatten()).cast(pa.string())]))
+        if len(held) >= HELD_WORDS:
+            yield out()
+            held = held.slice(0, 0)
     yield out()
 
 
@@ -61,68 +66,49 @@ def word_dictionary(docs: DataFrame, bits: int = 64) -> tuple[DataFrame, int]:
     A word's code is its 64-bit hash, so every task can encode alone and no task holds the
     dictionary. Codes are checked over all words: if two words share one, the next seed is taken.
     """
-    texts = docs.select(text_binary(F.col("text")).alias("text"))
+    texts = docs.select(_text())
     seed = 0
     while True:
-        found = texts.mapInArrow(lambda it, s=seed: _vocabulary(it, s, bits), "code long, word binary")
-        words = stage(found.groupBy("code").agg(F.min("word").alias("word"), F.max("word").alias("last")), "words")
-        if words.where("word <> last").isEmpty():
-            return words.select("code", F.col("word").cast("string").alias("word")), seed
+        found = texts.mapInArrow(lambda it, s=seed: _vocabulary(it, s, bits), "code long, word string")
+        words = stage(found.distinct(), "words")
+        if words.groupBy("code").count().where("count > 1").isEmpty():
+            return words, seed
         seed += 1
 
 
-class _Codes(dict):
-    """Codes of the words met so far."""
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
 
-    def __init__(self, seed: int, bits: int):
-        super().__init__()
-        self.seed, self.bits = seed, bits
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = _code(word, self.seed, self.bits)
-        return code
-
-
-def _shards(batches: Iterator[pa.RecordBatch], seed: int, bits: int, entries: int) -> Iterator[pa.RecordBatch]:
-    codes = _Codes(seed, bits)
-    rows: list[dict] = []
-    indptr, indices, data = [0], [], []
-
-    def out() -> pa.RecordBatch:
-        shard = pa.RecordBatch.from_arrays(
+def _shards(batches: Iterator[pa.RecordBatch], seed: int, bits: int) -> Iterator[pa.RecordBatch]:
+    for batch, words in _slices(batches):
+        encoded = words.flatten().dictionary_encode()
+        names = encoded.dictionary
+        row = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy())
+        entry = row * len(names) + encoded.indices.to_numpy()
+        if (empty := pc.index(names, "").as_py()) >= 0:
+            entry = entry[encoded.indices.to_numpy() != empty]
+        entry.sort()
+        first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])[: len(entry)])
+        rows, columns = np.divmod(entry[first], max(len(names), 1))
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        yield pa.RecordBatch.from_arrays(
             [
-                pa.array([rows], pa.list_(_ROW_TYPE)), pa.array([indptr], pa.list_(pa.int64())),
-                pa.array([indices], pa.list_(pa.int64())), pa.array([data], pa.list_(pa.int64())),
+                one(batch.column(0)), one(pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)))),
+                one(pa.array(codes(names, seed, bits)[columns])), one(pa.array(np.diff(first, append=len(entry)))),
             ],
             ["rows", "indptr", "indices", "data"],
         )
-        rows.clear()
-        del indptr[1:], indices[:], data[:]
-        return shard
 
-    for batch in batches:
-        for row, text in zip(batch.column(0), batch.column(1), strict=True):
-            counts = Counter(text.as_py().split())
-            if len(codes) + len(counts) > HELD_WORDS:
-                codes.clear()
-            indices.extend([codes[w] for w in counts])
-            data.extend(counts.values())
-            indptr.append(len(indices))
-            rows.append(row.as_py())
-            if len(indices) >= entries or len(rows) >= entries // 16:
-                yield out()
-    if rows:
-        yield out()
-
-
-def term_matrix(docs: DataFrame, seed: int, bits: int = 64, entries: int = SHARD_ENTRIES) -> DataFrame:
-    """CSR shards of the document-term matrix, each of whole rows of ``docs`` and closed at ``entries``.
+
+def term_matrix(docs: DataFrame, seed: int, bits: int = 64) -> DataFrame:
+    """CSR shards of the document-term matrix, each of whole rows of ``docs`` with about ``SLICE_BYTES`` of text.
 
     Row ``i`` of a shard has the word codes ``indices[indptr[i]:indptr[i + 1]]`` and their counts at
     the same places of ``data``. ``rows`` holds, per row, ``doc_id``, ``lang``, the conditions C
     (``capital``) and D (``marked``), and the SHA-256 of the text.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = _text()
     row = F.struct(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
@@ -130,7 +116,7 @@ def term_matrix(docs: DataFrame, seed: int, bits: int = 64, entries: int = SHARD
         text.rlike(MARKS).alias("marked"),
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
     )
-    return docs.select(row.alias("row"), text_binary(F.col("text")).alias("text")).mapInArrow(lambda it: _shards(it, seed, bits, entries), MATRIX)
+    return docs.select(row.alias("row"), text).mapInArrow(lambda it: _shards(it, seed, bits), MATRIX)
 
 
 def matrix_rows(matrix: DataFrame) -> DataFrame:

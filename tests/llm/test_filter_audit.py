@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import pyarrow as pa
 import pytest
 from logloom.llm import filter_audit as A
 
@@ -75,8 +76,8 @@ def test_matrix_holds_all_counts(spark, rows):
     words, seed = A.word_dictionary(docs)
     word = {r.code: r.word for r in words.collect()}
     got = []
-    shards = A.term_matrix(docs, seed, entries=300).collect()
-    assert len(shards) > 8
+    shards = A.term_matrix(docs, seed).collect()
+    assert len(shards) >= 8
     for s in shards:
         for k, row in enumerate(s.rows):
             at = slice(s.indptr[k], s.indptr[k + 1])
@@ -94,7 +95,7 @@ def test_codes_that_clash_take_another_seed(spark):
         found = {r.code: r.word for r in words.collect()}
         assert sorted(found.values()) == list("abcde")
         for word in "abcde":
-            assert found[A._code(word.encode(), seed, bits)] == word
+            assert found[A.codes(pa.array([word]), seed, bits)[0]] == word
     assert max(seeds) > 0
 
 
@@ -105,3 +106,20 @@ def test_rows_by_text_group(spark, rows):
     for r in A.filter_flags(docs, labels).collect():
         got[r.part, r.mask] += r.n
     assert got == Counter((p, sum(1 << "ABCDE".index(x) for x in f)) for _, p, f in fails(rows))
+
+
+def test_slices_of_any_size():
+    texts = pa.array(["", " a  b", "c " * 50, "b", "", "\n"])
+    rows = pa.array([{"doc_id": k} for k in range(6)])
+    whole = [pa.RecordBatch.from_arrays([rows, texts], ["row", "text"])]
+    want = [[], ["a", "b"], ["c"], ["b"], [], []]
+    word = {int(A.codes(pa.array([w]), 0)[0]): w for w in "abc"}
+    for size in (1, 10, 1000):
+        A.SLICE_BYTES, kept = size, A.SLICE_BYTES
+        try:
+            shards = [s.to_pylist()[0] for s in A._shards(whole, 0, 64)]
+        finally:
+            A.SLICE_BYTES = kept
+        found = [sorted(word[c] for c in s["indices"][a:b]) for s in shards for a, b in zip(s["indptr"], s["indptr"][1:])]
+        assert found == want and [r["doc_id"] for s in shards for r in s["rows"]] == list(range(6))
+        assert sum(sum(s["data"]) for s in shards) == 53
