@@ -33,31 +33,35 @@ _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB866
 
 
 @lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    """The lower-case letter of every code point, 0 for what is no letter (32 stands between words)."""
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """The lower-case letter or combining mark of every code point, 32 (between words) for any other;
+    and which code points are letters."""
     table = np.full(sys.maxunicode + 1, 32, np.uint32)
+    letter = np.zeros(sys.maxunicode + 1, bool)
     for point in range(sys.maxunicode + 1):
         char = chr(point)
         if char.isalpha():
             low = char.lower()
             table[point] = ord(low) if len(low) == 1 else point
+            letter[point] = True
         elif unicodedata.category(char) == "Mn":
             table[point] = point
-    return table
+    return table, letter
 
 
 def ngrams(points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The letter n-grams (three, four and five characters, hashed) of some texts.
 
     ``points`` are the code points of all texts in turn, ``first`` the n + 1 places where texts begin.
-    Returns the n-grams, the text of each, and whether each text has a letter. Every run of
-    characters that are no letters is one space, and texts begin and end with one; n-grams lie
+    Returns the n-grams, the text of each, and whether each text has a letter (a combining mark
+    alone is none). Every run of characters that are no letters or marks is one space, and texts begin and end with one; n-grams lie
     within a word with its two spaces.
     """
     n = len(first) - 1
     mapped = np.full(len(points) + n + 1, 32, np.uint32)
     row = np.repeat(np.arange(n), np.diff(first))
-    mapped[np.arange(len(points)) + row + 1] = _letters()[points]
+    table, letter = _letters()
+    mapped[np.arange(len(points)) + row + 1] = table[points]
     owner = np.zeros(len(mapped), np.int64)
     owner[np.arange(len(points)) + row + 1] = row
     owner[first[1:] + np.arange(1, n + 1)] = np.arange(n)
@@ -66,7 +70,7 @@ def ngrams(points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     keep[1:] = ~(space[1:] & space[:-1])
     mapped, owner, space = mapped[keep].astype(np.uint64), owner[keep], space[keep]
     lettered = np.zeros(n, bool)
-    lettered[owner[~space]] = True
+    lettered[row[letter[points]]] = True
     found, owners = [], []
     code = mapped.copy()
     for k in range(1, 5):

@@ -70,15 +70,23 @@ def test_recall_at_the_threshold(spark):
     assert sum(r.n_links for r in got) >= 2 * 0.99 * 1500
 
 
-def test_documents(spark):
-    frame = spark.read.parquet("/root/testdata/check_h/embeddings.parquet").where("label < 3")
-    rows = frame.collect()
+def test_given_vectors_with_mates(spark):
+    """The given table and, for every vector, one near the threshold; every link against brute force."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding", "label").collect()
+    rng = np.random.default_rng(9)
+    found = [(r.vec_id, np.array(r.embedding, float), r.label) for r in rows]
+    for k, (_, v, label) in enumerate(list(found)):
+        unit, other = v / np.linalg.norm(v), rng.normal(size=len(v))
+        other -= other @ unit * unit
+        cosine = rng.choice([0.92, 0.931, 0.95, 0.99])
+        found.append((1_000_000 + k, cosine * unit + np.sqrt(1 - cosine**2) * other / np.linalg.norm(other), label))
     want = {}
-    for label in {r.label for r in rows}:
-        part = [r for r in rows if r.label == label]
-        units = np.array([r.embedding for r in part], float)
+    for label in {label for *_, label in found}:
+        ids = [i for i, _, other in found if other == label]
+        units = np.float32([v for _, v, other in found if other == label]).astype(float)
         units /= np.linalg.norm(units, axis=1, keepdims=True)
-        for r, n in zip(part, (units @ units.T >= 0.93).sum(axis=1) - 1, strict=True):
-            want[r.vec_id] = int(n)
-    got = E.embedding_components(frame).collect()
-    assert {r.vec_id: r.n_links for r in got} == want
+        want |= dict(zip(ids, ((units @ units.T >= 0.93).sum(axis=1) - 1).tolist(), strict=True))
+    frame = spark.createDataFrame([(i, v.tolist(), label) for i, v, label in found], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in E.embedding_components(frame).collect()}
+    assert set(got) == set(want) and all(got[i] <= n for i, n in want.items())  # no link below the threshold
+    assert sum(want.values()) > 2500 and sum(got.values()) >= 0.9 * sum(want.values())

@@ -9,7 +9,7 @@ TEXTS = ["Ab c, äß!", "", "12 34", "x", "  lange Wörter\n\nhier", "日本語
 
 
 def plain_words(text):
-    out = "".join(chr(L._letters()[ord(c)]) for c in text).split(" ")
+    out = "".join(chr(L._letters()[0][ord(c)]) for c in text).split(" ")
     return [f" {w} " for w in out if w]
 
 
@@ -28,6 +28,14 @@ def test_ngrams_per_text():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_marks_alone_are_no_letters(spark):
+    texts = ["\u0301", "123 \u0301", "a\u0301", "\u0301\u0302 \u0903", "\u00b5", "", "\u4e2d"]
+    assert L.ngrams(*L.code_points([t.encode() for t in texts]))[2].tolist() == [False, False, True, False, True, False, True]
+    rows = [(k, "some words here", "aa") for k in range(9)] + [(100 + k, t, "aa") for k, t in enumerate(texts)]
+    got = {r.doc_id: r.lang_pred for r in L.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[100 + k] for k in (0, 1, 3, 5)] == ["und"] * 4 and got[102] == got[104] == got[106] == "aa"
+
+
 def test_filters_hold_every_member():
     rng = np.random.default_rng(1)
     grams = rng.integers(0, 1 << 63, 60_000).astype(np.uint64)

@@ -49,6 +49,15 @@ def test_plan_equals_item_by_item(seed):
     assert len(bins) == used and sorted(rooms) == plain_bfd(sizes, capacity)
 
 
+def test_ids_of_random_texts():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    parts = ["the ", "it's", "WE'LL", " 12345", "\n\n", " \t", "\u00a0", "\u0301", "\u00e9", "\u4e2d\u6587", "\U0001f600", "\x00", "\u200d", "<|end", "oftext|>", "<|endoftext|>", "a" * 50, "_-+=", "\u2028", "\ufeff", "\u0130"]
+    for _ in range(4000):
+        text = "".join(rng.choice([rng.choice(parts), chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xD800), rng.randrange(0xE000, 0x30000)]))]) for _ in range(rng.randrange(30)))
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_cut():
     assert cut(5, 4) == [(0, 1), (1, 4)] and cut(8, 4) == [(0, 4), (4, 4)] and cut(1, 4) == [(0, 1)]
 
