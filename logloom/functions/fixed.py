@@ -71,3 +71,6 @@ ON_DEMAND_RULE_NAME = "On-Demand Analysis"
 
 # The source address and default alias of container output.
 CONTAINER_SOURCE = "docker"
+
+# Hosts, apps and notes that a review header lists; the rest is counted.
+HEADER_MAX_NAMES = 1000

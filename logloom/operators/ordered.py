@@ -43,6 +43,30 @@ def numbered(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFram
     return mine.withColumn(name, number.cast("long")).drop("_part", "_start", place)
 
 
+def latest_in_order(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """The latest non-null ``value`` of each row's group up to the row, by ``order``.
+
+    Rows are dealt in ranges of the full order with a hash of the row behind it, so neither a group nor an
+    instant of any size is one task. A group that runs over ranges takes over the last value
+    of the ranges before, one small row per group and range. ``order`` must tell rows with a value
+    from rows that ask at the same instant.
+    """
+    place, tie, part = "_place", "_tie", "_part"
+    full = [*keys, *order, tie]
+    ranged = (
+        df.withColumn(tie, F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]))
+        .repartitionByRange(*full).sortWithinPartitions(*full)
+        .withColumn(place, F.monotonically_increasing_id()).drop(tie)
+    )
+    held = stage(ranged, "ranges").withColumn(part, F.shiftright(place, 33))
+    ends = held.groupBy(*keys, part).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(place))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*keys, part, F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    local = Window.partitionBy(*keys, part).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    here = held.withColumn("_here", F.last(value, ignorenulls=True).over(local))
+    return here.join(carry, [*keys, part], "left").select(*df.columns, F.coalesce("_here", "_carry").alias(name))
+
+
 def _join_carry(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     """Chunk rows joined to their summary. The rows are already hashed on these keys by the
     window before, so only the summary moves. Group keys must not be null."""

@@ -191,19 +191,32 @@ BUNDLE = AROUND.replace("SELECT i.id AS incident_id, logs.id AS id", """SELECT i
   || logs.app_name || '] [' || (['EMERG','ALERT','CRIT','ERROR','WARN','NOTICE','INFO','DEBUG'])[severity + 1] || '] ' || message AS line""")
 
 
-@query("logs incidents", f""", l AS ({BUNDLE}), b AS (SELECT incident_id, string_agg(line, chr(10) ORDER BY "timestamp", id) AS bundle,
+def _with_secrets(logs: DataFrame) -> DataFrame:
+    """Logs in which every fifth message ends in a password."""
+    secret = F.when(F.col("id") % 5 == 0, F.concat(F.lit(" password=p"), F.col("id").cast("string"))).otherwise("")
+    return logs.withColumn("message", F.concat("message", secret))
+
+
+REDACTED_BUNDLE = BUNDLE.replace("|| message AS line", "|| message || CASE WHEN logs.id % 5 = 0 THEN ' password=[REDACTED]' ELSE '' END AS line")
+
+
+@query("logs incidents", f""", l AS ({REDACTED_BUNDLE}), b AS (SELECT incident_id, string_agg(line, chr(10) ORDER BY "timestamp", id) AS bundle,
     count(*) AS line_count FROM l GROUP BY 1)
   SELECT incident_id, bundle, false AS truncated, line_count, CAST(floor(length(bundle) / 3.5) AS BIGINT) + 50 AS size_estimate FROM b""")
 def review_bundles(t):
     inc = t.incidents().withColumnRenamed("id", "incident_id")
-    return incidents.bundle_lines(context.incident_logs(inc, t.logs()), redacted=False)
+    return incidents.incident_bundles(context.incident_index(inc, _with_secrets(t.logs())))
 
 
-@query("logs incidents", f""", l AS ({BUNDLE}), s AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY incident_id ORDER BY "timestamp" DESC, id DESC)
-    AS upto, sum(length(line) + 1) OVER (PARTITION BY incident_id) AS total FROM l)
-  SELECT incident_id, id, total - 1 > 400 AS truncated FROM s WHERE total - 1 <= 400
+CUT = f""", l AS ({BUNDLE}), s AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY incident_id ORDER BY "timestamp" DESC, id DESC)
+    AS upto, sum(length(line) + 1) OVER (PARTITION BY incident_id) AS total FROM l),
+  kept AS (SELECT incident_id, id, "timestamp", line, total - 1 > 400 AS truncated FROM s WHERE total - 1 <= 400
     OR (total - 1 > 400 AND upto <= 400 - 51)
-    OR (upto = length(line) + 1 AND total - 1 > 400)""")
+    OR (upto = length(line) + 1 AND total - 1 > 400))
+  """
+
+
+@query("logs incidents", CUT + "SELECT incident_id, id, truncated FROM kept")
 def newest_in_budget(t):
     inc = t.incidents().withColumnRenamed("id", "incident_id")
     rows = context.incident_logs(inc, t.logs())
@@ -212,13 +225,41 @@ def newest_in_budget(t):
     return kept.select("incident_id", "id", "truncated")
 
 
-@query("logs incidents", f""", l AS ({AROUND.replace("logs.id AS id", 'source_alias, source_ip, logs.app_name, "timestamp"')})
-  SELECT incident_id, coalesce(nullif(string_agg(DISTINCT nullif(source_alias, ''), ', ' ORDER BY nullif(source_alias, '')), ''),
+@query("logs incidents", CUT + """SELECT incident_id, count(*) AS line_count, bool_or(truncated) AS truncated,
+  sum(length(line) + 1) - 1 + CASE WHEN bool_or(truncated) THEN 51 ELSE 0 END AS chars FROM kept GROUP BY 1""")
+def cut_bundles(t):
+    """Bundles whose budget cuts some of them, from intervals."""
+    inc = t.incidents().withColumnRenamed("id", "incident_id")
+    out = incidents.incident_bundles(context.incident_index(inc, t.logs()), max_chars=400, redacted=False)
+    return out.select("incident_id", "line_count", "truncated", F.length("bundle").cast("long").alias("chars"))
+
+
+@query("logs incidents", """, i AS (SELECT id AS incident_id, host, epoch_us(triggered_at) - greatest(window_seconds, 60) * 1000000 AS a,
+    epoch_us(triggered_at) + 60000001 AS b FROM incidents),
+  c AS (SELECT host, t, row_number() OVER (PARTITION BY host ORDER BY t) AS n FROM (SELECT host, a AS t FROM i UNION SELECT host, b FROM i))
+  SELECT incident_id, i.host, c.n AS first, d.n - 1 AS last, (SELECT count(*) FROM logs WHERE coalesce(nullif(source_alias, ''), source_ip) = i.host
+      AND epoch_us("timestamp") >= a AND epoch_us("timestamp") < b) AS log_count
+  FROM i JOIN c ON c.host = i.host AND c.t = a JOIN c d ON d.host = i.host AND d.t = b""")
+def runs_of_incidents(t):
+    """Each incident as a run of intervals, and its rows counted by interval."""
+    inc = t.incidents().withColumnRenamed("id", "incident_id")
+    index = context.incident_index(inc, t.logs())
+    held = index.rows.groupBy("place", "interval").agg(F.count("*").alias("n"))
+    sums = index.pairs().join(held, ["place", "interval"], "left").groupBy("incident_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("log_count"))
+    return index.runs.join(sums, "incident_id").select("incident_id", F.col("place.host").alias("host"), "first", "last", "log_count")
+
+
+@query("logs incidents aliases", f""", l AS ({AROUND.replace("logs.id AS id", 'source_alias, source_ip, logs.app_name, "timestamp"')}),
+  n AS (SELECT DISTINCT incident_id, coalesce(nullif(alias, ''), ip) AS name, trim(notes) AS note FROM l JOIN aliases a
+    ON (l.source_ip = a.ip OR l.source_alias = a.alias) WHERE trim(notes) <> ''),
+  m AS (SELECT incident_id, string_agg('- [' || name || ']: ' || note, chr(10) ORDER BY name, note) AS notes
+    FROM (SELECT incident_id, name, max(note) AS note FROM n GROUP BY 1, 2) GROUP BY 1)
+  SELECT l.incident_id, coalesce(nullif(string_agg(DISTINCT nullif(source_alias, ''), ', ' ORDER BY nullif(source_alias, '')), ''),
       arg_min(source_ip, "timestamp")) AS hosts, string_agg(DISTINCT app_name, ', ' ORDER BY app_name) AS apps, count(*) AS log_count,
-    'UTC+01:00' AS offsets FROM l GROUP BY 1""")
+    'UTC+01:00' AS offsets, any_value(notes) AS notes FROM l LEFT JOIN m ON m.incident_id = l.incident_id GROUP BY 1""")
 def bundle_headers(t):
     inc = t.incidents().withColumnRenamed("id", "incident_id")
-    return incidents.bundle_header(context.incident_logs(inc, t.logs()), tz="Europe/Berlin")
+    return incidents.incident_headers(context.incident_index(inc, t.logs()), "Europe/Berlin", t.aliases())
 
 
 @query("logs", """SELECT id FROM logs WHERE NOT (severity <= 2 AND app_name = 'kernel')""")

@@ -432,6 +432,45 @@ def test_system_report(spark):
     assert got[0]["log_handling"] in ("drop_errors", "silence_alerts")
 
 
+def test_incident_index(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [log(i, rnd.choice([rnd.uniform(0, 3000), 900, 900.5]), source_alias=rnd.choice(["web", "db", ""]), app_name=rnd.choice("ab"),
+                message=rnd.choice(["ok", "password=secret" + "x" * 30, "```", "y" * rnd.randrange(700)])) for i in range(900)]
+    df = logs(spark, *rows)
+    spots = [(k, rnd.choice(["web", "db", "10.0.0.1", "gone", None]), at(rnd.choice([rnd.uniform(0, 3000), 900])), rnd.choice([0, None, 30, 400]), rnd.choice("ab")) for k in range(120)]
+    inc = spark.createDataFrame(spots, "incident_id long, host string, triggered_at timestamp, window_seconds int, app_name string")
+    for same_app in (False, True):
+        index = context.incident_index(inc, df, same_app)
+        assert index.rows.count() == index.rows.select("id").distinct().count()  # every row is in one interval
+        want = {
+            (k, r["id"]) for k, host, t, w, app in spots for r in rows
+            if (r["source_alias"] or r["source_ip"]) == host and (not same_app or r["app_name"] == app)
+            and t - dt.timedelta(seconds=max(w or 0, 60)) <= r["timestamp"] <= t + dt.timedelta(seconds=60)
+        }
+        got = context.incident_logs(inc, df, same_app)
+        assert {(r["incident_id"], r["id"]) for r in got.collect()} == want and got.count() == len(want) > 2000
+        for budget in (0, 300, 2000, None):
+            by_rows = incidents.bundle_lines(got, max_chars=budget).collect()
+            assert sorted(incidents.incident_bundles(index, max_chars=budget).collect()) == sorted(by_rows)
+        assert all("secret" not in r["bundle"] for r in by_rows)
+        aliases = spark.createDataFrame([("10.0.0.1", "web", " front "), ("10.0.0.9", "db", "back"), ("x", "", "none")], "ip string, alias string, notes string")
+        for limit in (None, 1):
+            heads = incidents.bundle_header(got, tz="Asia/Tokyo", aliases=aliases, max_names=limit).collect()
+            assert sorted(incidents.incident_headers(index, "Asia/Tokyo", aliases, limit).collect(), key=str) == sorted(heads, key=str)
+    assert {r["apps"] for r in incidents.bundle_header(context.incident_logs(inc, df), max_names=1).collect()} >= {"a, 1 more"}
+
+
+def test_latest_in_order(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice("aab"), rnd.randrange(40) if rnd.random() < 0.9 else 7, k, rnd.choice([None, None, k])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, t int, k long, v long")
+    want, last = {}, {}
+    for g, _, k, v in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        last[g] = v if v is not None else last.get(g)
+        want[k] = last[g]
+    assert {r["k"]: r["x"] for r in ordered.latest_in_order(df, ["g"], ["t", "k"], "v", "x").collect()} == want
+
+
 def test_store_append_and_rewrite(spark, folder):
     path = f"{folder}/logs"
     rows = logs(spark, *[log(i, i * 30_000, severity=i % 8) for i in range(20)])
