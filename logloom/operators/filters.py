@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from dataclasses import dataclass, field, replace
+from typing import TYPE_CHECKING
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,6 +16,9 @@ from ..functions.patterns import split_list
 from ..functions.text import WORD_CLASS, fold, term_words
 from ..session import join_dimension
 
+if TYPE_CHECKING:
+    from .textquery import TextQuery
+
 # Names of the searchable fields and their short forms.
 SEARCH_FIELDS = ("app_name", "source_alias", "message")
 FIELD_NAMES = {
@@ -196,11 +200,12 @@ class LogFilter:
     as_of: dt.datetime | None = None
     tz: str = "UTC"
     log_date: bool | None = None  # None: bound the days whenever the rows have a ``log_date``
+    text: TextQuery | None = None  # any combination of words and phrases
 
     def is_empty(self) -> bool:
         return not (
             self.terms or self.phrases or self.not_terms or self.sources or self.apps or self.ids
-            or self.severity_max is not None or self.start or self.end
+            or self.severity_max is not None or self.start or self.end or self.text is not None
         )
 
 
@@ -218,6 +223,8 @@ def log_filter(spec: LogFilter, live: bool = False) -> Column:
     conds += [has_term(t, live=live) for t in spec.terms]
     conds += [has_phrase(p, live=live) for p in spec.phrases]
     conds += [none_of(has_term(t, live=live)) for t in spec.not_terms]
+    if spec.text is not None:
+        conds.append(spec.text.condition(live))
     return all_of(*conds)
 
 

@@ -60,6 +60,11 @@ def search_after(
         found = found.filter(after_cursor(position))
         if "log_date" in logs.columns:
             found = found.filter(F.col("log_date") <= F.to_date(F.timestamp_micros(F.lit(position[0]))))
+    return page_with_cursor(found, limit)
+
+
+def page_with_cursor(found: DataFrame, limit: int) -> DataFrame:
+    """The newest ``limit`` rows; ``next_cursor`` is set on the last when more follow."""
     page = found.orderBy(*newest_first()).limit(limit + 1)
     # limit + 1 rows from here on: numbering them in one task is cheap
     place = F.row_number().over(Window.orderBy(*newest_first()))

@@ -18,29 +18,33 @@ def token_bucket(token: Column, buckets: int = 256) -> Column:
     return F.pmod(F.xxhash64(F.left(token, F.lit(3))), F.lit(buckets)).cast("int")
 
 
-def build_postings(logs: DataFrame) -> DataFrame:
-    """One row per word of app, alias and message. No shuffle: each row yields its own words."""
+def build_postings(logs: DataFrame, by_day: bool = False) -> DataFrame:
+    """One row per word of app, alias and message. No shuffle: each row yields its own words.
+    ``by_day`` adds ``log_date``, so that searches can open the newest days first."""
+    day = [F.to_date("timestamp").alias("log_date")] if by_day else []
     fields = F.array(
         *[F.struct(F.lit(f).alias("field"), words(F.coalesce(F.col(f), F.lit(""))).alias("w")) for f in SEARCH_FIELDS]
     )
     return (
-        logs.select(F.col("id").alias("log_id"), F.inline(fields))
-        .select("log_id", "field", F.posexplode("w").alias("pos", "token"))
+        logs.select(*day, F.col("id").alias("log_id"), F.inline(fields))
+        .select(*(["log_date"] if by_day else []), "log_id", "field", F.posexplode("w").alias("pos", "token"))
     )
 
 
 def write_postings(postings: DataFrame, path: str, buckets: int = 256, mode: str = "append") -> None:
-    """The index by token bucket, sorted inside its files, so a lookup reads one bucket.
+    """The index by token bucket, sorted inside its files, so a lookup reads one bucket; by day
+    first if the postings have ``log_date``.
 
     Rows of one bucket go to several tasks (by log), so a common word does not fill one.
     """
+    day = ["log_date"] if "log_date" in postings.columns else []
     placed = postings.withColumn(BUCKET, token_bucket(F.col("token"), buckets))
     spread = placed.withColumn("_s", F.pmod(F.xxhash64("log_id"), F.lit(8)))
     (
-        spread.repartition(BUCKET, "_s").drop("_s")
+        spread.repartition(*day, BUCKET, "_s").drop("_s")
         .withColumn(BATCH, F.lit(own_batch()))
-        .sortWithinPartitions(BUCKET, "token")
-        .write.mode(mode).partitionBy(BUCKET, BATCH).parquet(path)
+        .sortWithinPartitions(*day, BUCKET, "token")
+        .write.mode(mode).partitionBy(*day, BUCKET, BATCH).parquet(path)
     )
 
 

@@ -12,13 +12,16 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(tables: str = "", sql: str | None = None):
-    """Registers a query under its function's name; ``tables`` are the derived ones ``sql`` uses."""
+def query(tables: str = "", sql: str | None = None, same_as: str | None = None):
+    """Registers a query under its function's name; ``tables`` are the derived ones ``sql`` uses.
+    ``same_as`` names a query before it that must give the same rows."""
 
     def add(fn: Callable[[Tables], DataFrame]):
         QUERIES[fn.__name__] = fn
         if sql is not None:
             ORACLES[fn.__name__] = with_sql(tables, sql)
+        if same_as is not None:
+            ORACLES[fn.__name__] = ORACLES[same_as]
         return fn
 
     return add

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import project_entry, wildcard_match
-from ..operators import counts, dims, facets, filters, search
+from ..operators import counts, dims, facets, filters, indexsearch, search, textindex
 from ..operators.filters import LogFilter
+from ..operators.textquery import AllOf, AnyOf, NoneOf, Phrase, Term
+from ..schema import with_log_date
+from ..session import checkpoint_dir
 from .registry import query, us
-from .tables import AS_OF
+from .tables import AS_OF, Tables
 
 CONTAINERS = ["host-7", "host-57"]
 
@@ -92,6 +97,50 @@ def field_terms(t):
     return t.logs().filter(cond).select("id")
 
 
+def _indexed(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The derived logs by day, and their word index read back from a shared folder."""
+    path = f"{checkpoint_dir(t.spark)}/index-{uuid.uuid4().hex}"
+    textindex.write_postings(textindex.build_postings(t.logs(), by_day=True), path, buckets=16)
+    return with_log_date(t.logs()), t.spark.read.parquet(path)
+
+
+@query(same_as="search_newest")
+def index_search_newest(t):
+    logs, postings = _indexed(t)
+    page = indexsearch.search_by_index(logs, postings, ERRORS_SPEC, limit=100, buckets=16)
+    return page.select("id", us("timestamp"), "source_ip", "source_alias", "app_name", "severity", "message")
+
+
+@query(same_as="count_matching")
+def index_count_matching(t):
+    return indexsearch.count_by_index(*_indexed(t), ERRORS_SPEC, buckets=16)
+
+
+@query(same_as="phrase_filter")
+def index_phrase_filter(t):
+    text = AllOf(Phrase("user 14 from", "msg"), NoneOf(Term("docker")))
+    return indexsearch.matching_by_index(*_indexed(t), LogFilter(text=text), buckets=16).select("id")
+
+
+@query(same_as="field_terms")
+def index_field_terms(t):
+    text = AnyOf(Phrase("host-1", "host"), Phrase("192.168.1.7"), Term("cr*", "app"))
+    return indexsearch.matching_by_index(*_indexed(t), LogFilter(text=text), buckets=16).select("id")
+
+
+@query("logs", """SELECT id, epoch_us("timestamp") AS timestamp_us FROM logs WHERE severity <= 5
+  AND NOT (regexp_matches(lower(message), '(^|[^a-z0-9])purch') AND NOT regexp_matches(lower(app_name), '(^|[^a-z0-9])sshd'))
+  AND ("timestamp" < TIMESTAMP '2024-01-20 12:00:00' OR ("timestamp" = TIMESTAMP '2024-01-20 12:00:00' AND id < 5000))
+  ORDER BY "timestamp" DESC, id DESC LIMIT 40""")
+def index_search_after(t):
+    """A page below a cursor of rows that lack a word: the index lists the rows to leave out."""
+    logs, postings = _indexed(t)
+    text = NoneOf(AllOf(Term("purch", "message"), NoneOf(Term("sshd", "app"))))
+    cursor = search.encode_cursor(1_705_752_000_000_000, 5000)
+    page = indexsearch.search_after_by_index(logs, postings, LogFilter(severity_max=5, text=text), cursor, limit=40, buckets=16)
+    return page.select("id", us("timestamp"))
+
+
 @query("logs", """SELECT id FROM logs WHERE "timestamp" >= TIMESTAMP '2024-01-29 23:00:00'
   AND "timestamp" <= TIMESTAMP '2024-01-30 18:30:00'""")
 def time_range_local_day(t):

@@ -69,15 +69,16 @@ def append_batch(batch: DataFrame, batch_id: int, path: str, order: list[str] =
     write_days(rows, path, batch_id, "overwrite", tasks=4)
 
 
-def index_batch(batch: DataFrame, batch_id: int, path: str, buckets: int = 256) -> None:
+def index_batch(batch: DataFrame, batch_id: int, path: str, buckets: int = 256, by_day: bool = False) -> None:
     """Adds the words of a micro-batch to the index. A repeated batch replaces its first attempt."""
-    postings = build_postings(batch).withColumn(BUCKET, token_bucket(F.col("token"), buckets))
+    postings = build_postings(batch, by_day).withColumn(BUCKET, token_bucket(F.col("token"), buckets))
+    day = ["log_date"] if by_day else []
     (
-        postings.repartition(BUCKET, F.pmod(F.xxhash64("log_id"), F.lit(4)))
+        postings.repartition(*day, BUCKET, F.pmod(F.xxhash64("log_id"), F.lit(4)))
         .withColumn(BATCH, F.lit(batch_id).cast("long"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET, BATCH)
+        .partitionBy(*day, BUCKET, BATCH)
         .parquet(path)
     )
 

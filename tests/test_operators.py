@@ -18,6 +18,7 @@ from logloom.operators import (
     facets,
     filters,
     incidents,
+    indexsearch,
     maintenance,
     ordered,
     reports,
@@ -27,6 +28,7 @@ from logloom.operators import (
     textindex,
 )
 from logloom.operators.filters import LogFilter
+from logloom.operators.textquery import AllOf, AnyOf, NoneOf, Phrase, Term
 from logloom.plans.tables import Tables
 from logloom.schema import LOGS
 from logloom.sources import logs as stored
@@ -432,6 +434,43 @@ def test_system_report(spark):
     assert got[0]["log_handling"] in ("drop_errors", "silence_alerts")
 
 
+def test_index_answers_filters(spark, folder):
+    rnd = random.Random(21)
+    pool = ["error", "err", "disk", "disk2", "full", "10.0.0.7", "time-out", "é", "timeout", "ok"]
+    rows = [log(i, i * 700, app_name=rnd.choice(["disk", "nginx", "cron"]), source_alias=rnd.choice(["web", "", "err-1"]),
+                severity=rnd.randrange(8), message=" ".join(rnd.choices(pool, k=rnd.randrange(6)))) for i in range(700)]
+    df = logs(spark, *rows).withColumn("log_date", F.to_date("timestamp"))
+    path = f"{folder}/index"
+    textindex.write_postings(textindex.build_postings(df.filter("id % 3 <> 0"), by_day=True), path, buckets=8)
+    streaming.index_batch(df.filter("id % 3 = 0"), 4, path, buckets=8, by_day=True)
+    streaming.index_batch(df.filter("id % 3 = 0"), 4, path, buckets=8, by_day=True)
+    postings = spark.read.parquet(path)
+    texts = [
+        Term("e*"), Phrase("time out", prefix=True), Term("10.0.0.7"), Term("?!"), Phrase("error error"),
+        AllOf(Term("disk", "msg"), NoneOf(Term("full"), Phrase("disk2 ok"))), AnyOf(Term("é"), AllOf(Term("timeout"), Term("err", "host"))),
+        NoneOf(AllOf(Term("error"), NoneOf(Term("disk")))), AllOf(), AnyOf(),
+    ]
+    specs = [LogFilter(text=x) for x in texts] + [
+        LogFilter(terms=["err", "disk"], phrases=["full ok"], as_of=T0), LogFilter(terms=["err"], not_terms=["disk"], severity_max=4, start=at(50_000), end=at(300_000), as_of=T0),
+        LogFilter(apps=["cron"], text=AnyOf(Term("disk"), Term("full")), as_of=T0),
+    ]
+    for k, spec in enumerate(specs):
+        want = ids(filters.matching(df, spec))
+        assert ids(indexsearch.matching_by_index(df, postings, spec, 8)) == want, spec
+        if k % 3 == 0 or not spec.text:
+            assert indexsearch.count_by_index(df, postings, spec, 8).first()["total"] == len(want)
+            page = search.search(df, spec, limit=15, offset=4).collect()
+            assert indexsearch.search_by_index(df, postings, spec, 15, 4, 8).collect() == page
+    spec, cursor, seen = LogFilter(terms=["disk"], severity_max=5), None, []
+    while True:
+        page = indexsearch.search_after_by_index(df, postings, spec, cursor, 150, 8).collect()
+        seen += [r["id"] for r in page]
+        cursor = page[-1]["next_cursor"]
+        if not cursor:
+            break
+    assert sorted(seen) == ids(filters.matching(df, spec)) and len(seen) > 200
+
+
 def test_incident_index(spark, monkeypatch):
     rnd = random.Random(12)
     rows = [log(i, rnd.choice([rnd.uniform(0, 3000), 900, 900.5]), source_alias=rnd.choice(["web", "db", ""]), app_name=rnd.choice("ab"),

@@ -5,8 +5,9 @@ import re
 
 import pytest
 from helpers import alert_rule, alert_rules, drop_rule, drop_rules, log, logs
+from pyspark.sql import functions as F
 
-from logloom.operators import alerts, context, counts, facets, maintenance, rules, search
+from logloom.operators import alerts, context, counts, facets, indexsearch, maintenance, rules, search, textindex, textquery
 from logloom.operators.filters import LogFilter
 from logloom.sources import logs as stored
 from logloom.sources.syslog import parse_syslog
@@ -76,3 +77,15 @@ def test_no_nested_loops(spark):
         maintenance.silence_incidents(incidents, windows),
     ):
         assert "NestedLoop" not in plan(out) and "Cartesian" not in plan(out)
+
+
+def test_index_reads_the_buckets_of_its_words(spark, folder):
+    df = logs(spark, *[log(i, i * 20_000, message=f"word{i} other") for i in range(30)]).withColumn("log_date", F.to_date("timestamp"))
+    textindex.write_postings(textindex.build_postings(df, by_day=True), f"{folder}/index", buckets=32)
+    postings = spark.read.parquet(f"{folder}/index")
+    query = textquery.AllOf(textquery.Term("word7"), textquery.NoneOf(textquery.Phrase("some other")))
+    text = plan(indexsearch.rows_by_words(postings, query, 32))
+    wanted = {r[0] for r in postings.filter("left(token, 3) IN ('wor', 'som', 'oth')").select("token_bucket").distinct().collect()}
+    read = re.search(r"PartitionFilters: \[.*?token_bucket#\d+ IN \(([0-9,]+)\)", text)
+    assert read and wanted <= set(map(int, read[1].split(","))) and len(read[1].split(",")) <= 3
+    assert len(re.findall("Exchange hash", text)) == 1
