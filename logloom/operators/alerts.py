@@ -7,6 +7,7 @@ anything runs in order, so a log storm costs no more than a quiet day after that
 
 from __future__ import annotations
 
+import datetime as dt
 from collections import deque
 from collections.abc import Iterator
 
@@ -161,12 +162,29 @@ SEGMENTS = (
 _SEGMENT_NAMES = [f.split()[0] for f in SEGMENTS.split(", ")]
 
 
+def quiet_stretches(counts: DataFrame, rules: list[Row], chunk_seconds: int = 86_400) -> DataFrame:
+    """The counts with ``stretch``: the second at which the rule's state was last surely empty.
+
+    After a pause longer than the window no match is held, and after one as long as the cooldown the
+    rule is not quiet, whatever fired before. So what follows such a pause does not depend on what was
+    before it. The previous second is carried over chunks of time, one small row each.
+    """
+    pause = _settings_map({k: max(v[1] + 1, v[2]) for k, v in rule_settings(rules).items()})
+    cut = counts.withColumn(CHUNK, F.floor(F.col("sec") / chunk_seconds))
+    before = running(cut, ["rule_id"], ["sec"], {"_before": ("last", F.col("sec"))}, ts="sec", inclusive=False)
+    alone = F.col("_before").isNull() | (F.col("sec") - F.col("_before") >= F.try_element_at(pause, F.col("rule_id")))
+    starts = running(before, ["rule_id"], ["sec"], {"stretch": ("last", F.when(alone, F.col("sec")))}, ts="sec")
+    return starts.select("rule_id", "stretch", "sec", "n")
+
+
 def apply_cooldown(counts: DataFrame, rules: list[Row]) -> DataFrame:
     """When rules fire and which seconds each firing holds, from the matches per rule and second.
 
     After a firing the window is empty and the rule is quiet for its cooldown. What a firing
-    changes decides the next one, so each rule is folded in time order. A rule's rows pass
-    through its task as a stream of at most one row per second, with one window held at a time.
+    changes decides the next one, so seconds are folded in time order; but only within a stretch
+    between pauses that empty the state (``quiet_stretches``), so a rule spreads over as many tasks
+    as it has stretches. A stretch passes through its task as a stream of at most one row per second, with
+    one window held at a time; a rule that never pauses is one stretch.
 
     Rows with ``first_place`` are firing seconds: match ``first_place`` of the second fires, then
     every ``step``-th, ``firings`` in all (more than one only without a cooldown). The other rows
@@ -174,14 +192,16 @@ def apply_cooldown(counts: DataFrame, rules: list[Row]) -> DataFrame:
     number of matches in the second.
     """
     settings = rule_settings(rules)
+    if not settings:
+        return counts.sparkSession.createDataFrame([], SEGMENTS)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
             out = []
-            for rule_id, sec, n in zip(batch["rule_id"], batch["sec"], batch["n"]):
-                if rule_id != current:
-                    current, state = rule_id, Fold(*settings[rule_id])
+            for rule_id, stretch, sec, n in zip(batch["rule_id"], batch["stretch"], batch["sec"], batch["n"]):
+                if (rule_id, stretch) != current:
+                    current, state = (rule_id, stretch), Fold(*settings[rule_id])
                 fired = state.add(sec, n)
                 if fired:
                     members, first, firings_here = fired
@@ -191,8 +211,8 @@ def apply_cooldown(counts: DataFrame, rules: list[Row]) -> DataFrame:
 
     known = counts.select("rule_id", "sec", "n").filter(F.col("rule_id").isin(*settings))
     return (
-        known.repartition(F.col("rule_id"))
-        .sortWithinPartitions("rule_id", "sec")
+        quiet_stretches(known, rules).repartition("rule_id", "stretch")
+        .sortWithinPartitions("rule_id", "stretch", "sec")
         .mapInPandas(fold, SEGMENTS)
     )
 
@@ -209,6 +229,18 @@ def firings(segments: DataFrame) -> DataFrame:
     )
 
 
+def firing_sizes(segments: DataFrame) -> DataFrame:
+    """``rule_id, fire_sec, k, counted``: the matches behind each firing, as they were counted."""
+    own = F.when(F.col("first_place").isNull(), F.col("matches") - F.col("used_places")).otherwise(F.col("first_place"))
+    whole = segments.groupBy("rule_id", "fire_sec").agg(
+        F.sum(own).alias("_first"), F.max("step").alias("step"), F.max("firings").alias("firings")
+    )
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("firings") - 1)).alias("k")
+    return whole.filter("firings IS NOT NULL").select("rule_id", "fire_sec", "_first", "step", k).select(
+        "rule_id", "fire_sec", "k", F.when(F.col("k") == 0, F.col("_first")).otherwise(F.col("step")).alias("counted")
+    )
+
+
 def placed_matches(matches: DataFrame, seconds: DataFrame) -> DataFrame:
     """The matches of the given (rule, second) pairs with their place in the second.
 
@@ -276,12 +308,13 @@ def firing_matches(matches: DataFrame, segments: DataFrame) -> DataFrame:
     return entire.unionByName(fired).unionByName(leftover)
 
 
-def culprit_dimensions() -> Column:
+def culprit_dimensions(key_chars: int | None = fixed.MESSAGE_KEY_CHARS) -> Column:
+    """App, host and message key of a row; ``key_chars`` cuts the key (None: the whole message)."""
     app = F.coalesce(blank_to_null(F.col("app_name")), F.lit("unknown"))
     return F.array(
         F.struct(F.lit("app").alias("kind"), app.alias("name")),
         F.struct(F.lit("host").alias("kind"), host_group().alias("name")),
-        F.struct(F.lit("message").alias("kind"), message_key("message", "raw").alias("name")),
+        F.struct(F.lit("message").alias("kind"), message_key("message", "raw", key_chars).alias("name")),
     )
 
 
@@ -290,14 +323,16 @@ def percent_of(part: Column, whole: Column) -> Column:
     return F.bround(part / whole * 100, 0).cast("long")
 
 
-def culprits(held: DataFrame, keys: list[str] = ("rule_id", "fire_sec", "k")) -> DataFrame:
+def culprits(
+    held: DataFrame, keys: list[str] = ("rule_id", "fire_sec", "k"), key_chars: int | None = fixed.MESSAGE_KEY_CHARS
+) -> DataFrame:
     """Per group: the most frequent app, host and message start with count and percentage.
 
     Counts are exact; equal counts go to the first name in order.
     """
     keys = list(keys)
     counted = (
-        held.select(*keys, F.inline(culprit_dimensions()))
+        held.select(*keys, F.inline(culprit_dimensions(key_chars)))
         .groupBy(*keys, "kind", "name")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -380,7 +415,8 @@ def summarize_incident(df: DataFrame) -> DataFrame:
 
 
 def fire_alerts(
-    logs: DataFrame, rules: DataFrame, as_of=None, matches: DataFrame | None = None
+    logs: DataFrame, rules: DataFrame, as_of=None, matches: DataFrame | None = None,
+    key_chars: int | None = fixed.MESSAGE_KEY_CHARS, sample_chars: int | None = fixed.INCIDENT_SAMPLE_CHARS,
 ) -> DataFrame:
     """All incidents that the rules would have raised over the stored logs.
 
@@ -395,14 +431,19 @@ def fire_alerts(
     counted = match_alert_rules(logs, listed) if matches is None else matches
     segments = stage(apply_cooldown(per_second(counted), listed), "segments")
     if matches is None:
-        span = segments.agg(F.min("sec").alias("lo"), F.max("fire_sec").alias("hi")).first()
-        low = F.timestamp_seconds(F.lit(span["lo"] or 0))
-        high = F.timestamp_seconds(F.lit((span["hi"] or 0) + 1))
-        fired = logs.filter((F.col("timestamp") >= low) & (F.col("timestamp") < high))
-        if "log_date" in logs.columns:
-            fired = fired.filter((F.col("log_date") >= F.to_date(low)) & (F.col("log_date") <= F.to_date(high)))
-        matches = match_alert_rules(fired, listed)
-    return incidents_of(matches, segments, rules)
+        matches = match_alert_rules(of_firing_days(logs, segments), listed)
+    return incidents_of(matches, segments, rules, key_chars, sample_chars)
+
+
+def of_firing_days(logs: DataFrame, segments: DataFrame) -> DataFrame:
+    """The rows of the days on which a firing holds a second; days without one are not opened."""
+    day = F.floor(F.col("sec") / 86_400).alias("day")
+    days = sorted(r[0] for r in segments.select(day).distinct().collect())
+    first, last = (days[0], days[-1]) if days else (0, -1)
+    low, high = (F.timestamp_seconds(F.lit(d * 86_400)) for d in (first, last + 1))
+    rows = logs.filter((F.col("timestamp") >= low) & (F.col("timestamp") < high))
+    dates = [dt.date(1970, 1, 1) + dt.timedelta(days=d) for d in days]
+    return rows.filter(F.col("log_date").isin(*dates)) if "log_date" in logs.columns else rows
 
 
 def _in_firing_seconds(matches: DataFrame, segments: DataFrame) -> DataFrame:
@@ -416,11 +457,15 @@ def _in_firing_seconds(matches: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
-def incidents_of(matches: DataFrame, segments: DataFrame, rules: DataFrame) -> DataFrame:
-    """Incidents from matches and the result of ``apply_cooldown``.
+def incidents_of(
+    matches: DataFrame, segments: DataFrame, rules: DataFrame,
+    key_chars: int | None = fixed.MESSAGE_KEY_CHARS, sample_chars: int | None = fixed.INCIDENT_SAMPLE_CHARS,
+) -> DataFrame:
+    """Incidents from matches and the result of ``apply_cooldown``, one for each firing.
 
-    ``match_count`` is the exact number of matches behind a firing. ``trigger_count`` is the stored
-    figure: of threshold rules at most one above the threshold."""
+    ``match_count`` is the exact number of matches behind a firing, as counted. ``trigger_count`` is the
+    stored figure: of threshold rules at most one above the threshold. Samples and culprits come from
+    ``matches``; ``missing`` tells how many of those counted are not among them."""
     key = ["rule_id", "fire_sec", "k"]
     listed = ordered_rules(rules)
     settings = rules.filter("is_enabled").select(
@@ -444,17 +489,18 @@ def incidents_of(matches: DataFrame, segments: DataFrame, rules: DataFrame) -> D
         newest.alias("_newest"),
     )
     storms = held.filter(F.col("rule_id").isin(*rate_ids) if rate_ids else F.lit(False))
-    blame = culprits(storms)
+    blame = culprits(storms, key_chars=key_chars)
     per_app = newest_per_app(storms, key).select(
         *key, F.col("app").alias("top_app"), F.struct("id", "message").alias("_app_newest")
     )
     blamed = blame.join(per_app, [*key, "top_app"], "left")
-    joined = base.join(blamed, key, "left").join(settings, "rule_id")
+    sizes = firing_sizes(segments)
+    joined = sizes.join(base, key, "left").join(blamed, key, "left").join(settings, "rule_id")
     rate = F.col("rule_type") == "rate"
     counted = joined.withColumn(
         "trigger_count",
-        F.when(rate, F.col("held_count")).otherwise(
-            F.least(F.col("held_count"), F.col("threshold_count") + 1)
+        F.when(rate, F.col("counted")).otherwise(
+            F.least(F.col("counted"), F.col("threshold_count") + 1)
         ).cast("long"),
     )
     sample = F.when(rate, F.col("_app_newest.message")).otherwise(F.col("_newest.message"))
@@ -463,16 +509,17 @@ def incidents_of(matches: DataFrame, segments: DataFrame, rules: DataFrame) -> D
         "rule_name",
         "rule_type",
         "channel_id",
-        "triggered_at",
+        F.coalesce("triggered_at", F.timestamp_seconds("fire_sec")).alias("triggered_at"),
         "trigger_count",
-        F.col("held_count").alias("match_count"),
-        F.left(sample, F.lit(fixed.INCIDENT_SAMPLE_CHARS)).alias("sample_log"),
+        F.col("counted").alias("match_count"),
+        (sample if sample_chars is None else F.left(sample, F.lit(sample_chars))).alias("sample_log"),
         F.when(rate, F.col("_app_newest.id")).otherwise(F.col("_newest.id")).alias("sample_log_id"),
         "incident_summary",
         "window_seconds",
         F.when(rate, F.col("top_host")).otherwise(F.col("_newest.host")).alias("host"),
         F.when(rate, F.col("top_app")).otherwise(F.col("_newest.app_name")).alias("app_name"),
         F.when(rate, measured_rate(F.col("trigger_count"), F.col("window_seconds"))).alias("rate"),
+        (F.col("counted") - F.coalesce("held_count", F.lit(0))).alias("missing"),
     )
 
 

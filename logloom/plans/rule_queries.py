@@ -172,7 +172,40 @@ def firings_with_long_cooldown(t):
     return alerts.firings(alerts.apply_cooldown(alerts.per_second(matches), listed)).select("rule_id", "fire_sec")
 
 
-@query()
+def _top(name: str, value: str) -> str:
+    """The most frequent value behind each firing of the storm rule, with count, percentage and newest match."""
+    return f"""{name} AS (SELECT rule_id, fire_sec, {value} AS name, count(*) AS n, arg_max(id, (epoch_us("timestamp"), id)) AS id,
+    arg_max(message, (epoch_us("timestamp"), id)) AS message, CAST(round_even(count(*) / any_value(held) * 100, 0) AS BIGINT) AS pct
+  FROM h JOIN (SELECT rule_id, fire_sec, held FROM b) USING (rule_id, fire_sec) WHERE rule_id = 6 GROUP BY rule_id, fire_sec, {value} QUALIFY row_number() OVER (PARTITION BY rule_id, fire_sec ORDER BY count(*) DESC, {value}) = 1)"""
+
+
+BACKTEST = FIRED + f""", numbered AS (SELECT rule_id, id, "timestamp", epoch_us("timestamp") // 1000000 AS sec, app_name,
+    coalesce(nullif(source_alias, ''), source_ip) AS host, message,
+    row_number() OVER (PARTITION BY rule_id, epoch_us("timestamp") // 1000000 ORDER BY "timestamp", id) AS p FROM matches),
+  f AS (SELECT rule_id, sec, place, width, lag(sec) OVER w AS last_sec, lag(place) OVER w AS last_place
+    FROM fired JOIN rule USING (rule_id) WINDOW w AS (PARTITION BY rule_id ORDER BY sec)),
+  h AS (SELECT f.sec AS fire_sec, numbered.* FROM f JOIN numbered ON numbered.rule_id = f.rule_id AND numbered.sec BETWEEN f.sec - width AND f.sec
+    AND (numbered.sec < f.sec OR p <= f.place) AND (last_sec IS NULL OR numbered.sec > last_sec OR (numbered.sec = last_sec AND p > last_place))),
+  b AS (SELECT rule_id, fire_sec, count(*) AS held, max(CASE WHEN sec = fire_sec THEN epoch_us("timestamp") END) AS at_us,
+    arg_max(id, (epoch_us("timestamp"), id)) AS id, arg_max(message, (epoch_us("timestamp"), id)) AS message,
+    arg_max(host, (epoch_us("timestamp"), id)) AS host, arg_max(app_name, (epoch_us("timestamp"), id)) AS app_name FROM h GROUP BY ALL),
+  {_top("top_app", "app_name")}, {_top("top_host", "host")}, {_top("top_message", "trim(left(message, 150))")},
+  named(rule_id, rule_name, rule_type, channel_id, threshold, seconds) AS (VALUES (1, 'kernel errors', 'pattern', 1, 1, 60),
+    (2, 'many severe', 'threshold', NULL, 12, 21600), (3, 'web or ssh', 'threshold', 2, 20, 43200),
+    (4, 'regex', 'threshold', NULL, 40, 43200), (6, 'slow storm', 'rate', NULL, 1, 2))
+  SELECT CAST(b.rule_id AS BIGINT) AS rule_id, rule_name, rule_type, CAST(channel_id AS BIGINT) AS channel_id, at_us AS triggered_at,
+    CASE WHEN rule_type = 'rate' THEN held ELSE least(held, threshold + 1) END AS trigger_count, held AS match_count,
+    left(coalesce(a.message, b.message), 1000) AS sample_log, coalesce(a.id, b.id) AS sample_log_id,
+    CASE WHEN rule_type = 'rate' THEN 'Log storm detected: ' || held || ' logs in ' || seconds || 's (' || printf('%.1f', round(held / seconds, 1))
+      || E' logs/s).\n\n### Primary Culprits\n- Top Service / App: ' || a.name || ' (' || a.n || '/' || held || ', ' || a.pct || E'%)\n- Top Host / Source: '
+      || o.name || ' (' || o.n || '/' || held || ', ' || o.pct || E'%)\n- Top Pattern: ' || m.name || ' (x' || m.n || ', ' || m.pct || '%)'
+    ELSE 'Alert triggered with ' || least(held, threshold + 1) || ' matching event(s).' END AS incident_summary, seconds AS window_seconds,
+    coalesce(o.name, b.host) AS host, coalesce(a.name, b.app_name) AS app_name, CASE WHEN rule_type = 'rate' THEN round(held / seconds, 1) END AS rate, CAST(0 AS BIGINT) AS missing
+  FROM b JOIN named USING (rule_id) LEFT JOIN top_app a ON a.rule_id = b.rule_id AND a.fire_sec = b.fire_sec
+  LEFT JOIN top_host o ON o.rule_id = b.rule_id AND o.fire_sec = b.fire_sec LEFT JOIN top_message m ON m.rule_id = b.rule_id AND m.fire_sec = b.fire_sec"""
+
+
+@query("logs", BACKTEST)
 def alert_backtest(t):
     out = alerts.fire_alerts(t.logs(), t.alert_rules())
     return out.withColumn("triggered_at", F.unix_micros("triggered_at"))

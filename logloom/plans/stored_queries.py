@@ -17,7 +17,7 @@ from ..session import checkpoint_dir, stage
 from ..sources import logs as stored, records
 from .incident_queries import LINES, POSTINGS, SESSION_HITS
 from .registry import query, us
-from .rule_queries import DROPPED, MATCHES, _windowed
+from .rule_queries import DROPPED, FIRED
 from .tables import AS_OF, Tables
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -240,22 +240,42 @@ def streamed_store(t):
     return _back(t, path).select("id", us("timestamp"), "message")
 
 
-@query("logs", MATCHES + f""", crossed AS (SELECT DISTINCT rule_id, sec, quiet FROM (
-    SELECT rule_id, epoch_us("timestamp") // 1000000 AS sec, 7200 AS quiet, {_windowed(60)} AS n, 1 AS needed FROM matches WHERE rule_id = 1
-    UNION ALL SELECT rule_id, epoch_us("timestamp") // 1000000, 50000, {_windowed(43200)}, 20 FROM matches WHERE rule_id = 3
-    UNION ALL SELECT rule_id, epoch_us("timestamp") // 1000000, 900, {_windowed(2)}, 2 FROM matches WHERE rule_id = 6) WHERE n >= needed),
-  follow AS (SELECT a.rule_id, a.sec, min(b.sec) AS next_sec FROM crossed a LEFT JOIN crossed b ON a.rule_id = b.rule_id AND b.sec >= a.sec + a.quiet GROUP BY 1, 2),
-  fired AS (SELECT rule_id, min(sec) AS sec FROM crossed GROUP BY 1 UNION ALL
-    SELECT f.rule_id, f.next_sec FROM fired JOIN follow f ON f.rule_id = fired.rule_id AND f.sec = fired.sec WHERE f.next_sec IS NOT NULL)
-  SELECT CAST(rule_id AS BIGINT) AS rule_id, sec AS fire_sec FROM fired""")
+@query("logs", FIRED + "SELECT CAST(rule_id AS BIGINT) AS rule_id, sec AS fire_sec FROM fired")
 def streamed_firings(t):
-    """Pattern, threshold and rate rules whose cooldown is longer than their window, over a stream."""
-    listed = [r for r in rules.ordered_rules(t.alert_rules()) if r["cooldown_seconds"] > r["window_seconds"]]
+    """All enabled rules over a stream."""
+    listed = rules.ordered_rules(t.alert_rules())
     source = _stream(t, _with_end(t.logs(), "timestamp"))
     segments = _run(t, streaming.alert_segments(source, listed, DELAY))
     return alerts.firings(segments).select("rule_id", "fire_sec")
 
 
+def _held(rows: str) -> str:
+    """The rows behind each firing, by their place among ``rows``."""
+    return f"""SELECT f.sec AS fire_sec, x.* FROM f JOIN (SELECT rule_id, id, "timestamp", epoch_us("timestamp") // 1000000 AS sec,
+      row_number() OVER (PARTITION BY rule_id, epoch_us("timestamp") // 1000000 ORDER BY "timestamp", id) AS p FROM {rows}) x
+    ON x.rule_id = f.rule_id AND x.sec BETWEEN f.sec - width AND f.sec
+    AND (x.sec < f.sec OR p <= f.place) AND (last_sec IS NULL OR x.sec > last_sec OR (x.sec = last_sec AND p > last_place))"""
+
+
+@query("logs", FIRED + f""", f AS (SELECT rule_id, sec, place, width, lag(sec) OVER w AS last_sec, lag(place) OVER w AS last_place
+    FROM fired JOIN rule USING (rule_id) WINDOW w AS (PARTITION BY rule_id ORDER BY sec)),
+  every AS ({_held("matches")}), held AS ({_held("(SELECT * FROM matches WHERE id % 40 <> 0)")}),
+  n AS (SELECT rule_id, fire_sec, count(*) AS match_count FROM every GROUP BY ALL),
+  h AS (SELECT rule_id, fire_sec, count(*) AS stored, arg_max(id, (epoch_us("timestamp"), id)) AS newest FROM held GROUP BY ALL)
+  SELECT CAST(n.rule_id AS BIGINT) AS rule_id, n.fire_sec, match_count, match_count - coalesce(stored, 0) AS missing,
+    CASE WHEN n.rule_id <> 6 THEN newest END AS sample_log_id FROM n LEFT JOIN h ON h.rule_id = n.rule_id AND h.fire_sec = n.fire_sec""")
+def streamed_incidents(t):
+    """Incidents of a stream whose store lacks every fortieth row for good."""
+    store, out, table = _folder(t, "store"), _folder(t, "incidents"), t.alert_rules()
+    streaming.append_batch(_with_end(t.logs().filter("id % 40 <> 0"), "timestamp"), 0, store)
+    source = _stream(t, _with_end(t.logs(), "timestamp"))
+    segments = streaming.alert_segments(source, rules.ordered_rules(table), DELAY)
+    _run(t, segments, lambda batch, i: streaming.write_alerts(t.spark, batch, i, store, table, out))
+    return t.spark.read.parquet(out).select(
+        "rule_id", "fire_sec", "match_count", "missing", F.when(F.col("rule_type") != "rate", F.col("sample_log_id")).alias("sample_log_id")
+    )
+
+
 @query("doc_lines", LINES + """SELECT CAST(doc_id AS VARCHAR) AS stream_key, min(seq) AS seq, string_agg(message, chr(10) ORDER BY seq) AS message,
     CAST(count(*) AS INTEGER) AS line_count FROM k GROUP BY doc_id, entry
     HAVING trim(string_agg(message, chr(10) ORDER BY seq), E' \\t\\n\\r\\x0b\\x0c') <> ''""")

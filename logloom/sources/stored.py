@@ -39,6 +39,12 @@ class Folder:
         place = self._at(*names)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(place)) if self.fs.exists(place) else []
 
+    def names(self) -> list[str]:
+        return self._names()
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self._at(name), True)
+
     @staticmethod
     def _pair(pair: Pair) -> tuple[str, str]:
         return f"log_date={pair[0].isoformat()}", f"{BATCH}={pair[1]}"

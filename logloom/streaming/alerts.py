@@ -7,9 +7,8 @@ watermark has passed it, and rows that come later than the watermark allows are
 
 from __future__ import annotations
 
-import time
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,9 +16,11 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import fixed
-from ..operators.alerts import SEGMENTS, Fold, incidents_of, per_second, rule_settings
+from ..operators.alerts import SEGMENTS, Fold, incidents_of, of_firing_days, per_second, rule_settings
 from ..operators.rules import match_alert_rules, ordered_rules
+from ..schema import BATCH, LOGS, with_log_date
 from ..session import stage
+from ..sources.stored import Folder
 
 _NAMES = [f.split()[0] for f in SEGMENTS.split(", ")]
 
@@ -90,48 +91,71 @@ def alert_segments(logs: DataFrame, rules: DataFrame | list[Row], delay: str = "
 
 def write_alerts(
     spark: SparkSession, segments: DataFrame, batch_id: int, logs_path: str, rules: DataFrame, out: str,
-    wait_seconds: float = 120.0,
+    lag_seconds: float = 10.0, final: bool = False,
 ) -> None:
-    """Sink of ``alert_segments``: incidents with sample, culprits and summary.
+    """Sink of ``alert_segments``: incidents with sample, culprits and summary, from the stored rows.
 
-    Reads the stored rows of the firings' time only. Another query stores them and may be behind, so
-    the sink waits until every second of a firing holds the matches that were counted; after
-    ``wait_seconds`` it fails, and the batch is repeated when the query starts again. A repeated
-    batch replaces its incidents.
+    Another query stores the rows and may be behind. Firings are kept open beside the incidents; each batch
+    completes those whose counted matches are all stored, and those that the store has passed: it
+    holds a row more than ``lag_seconds`` later, so what is missing was dropped, salvaged or deleted, and
+    the incident says how many (``missing``). The sink never waits; ``final`` completes all that is open.
+    A repeated batch replaces its incidents. Only the days of open firings are read.
     """
-    # Read several times; the stateful query behind a batch must run once
-    segments = stage(segments, "segments")
-    span = segments.agg(F.min("sec").alias("lo"), F.max("fire_sec").alias("hi")).first()
-    if span["lo"] is None:
+    opened = f"{out.rstrip('/')}/_open"
+    segments.write.mode("overwrite").parquet(f"{opened}/{BATCH}={batch_id}")
+    kept = spark.read.schema(f"{SEGMENTS}, {BATCH} long").parquet(opened).filter(F.col(BATCH) <= batch_id)
+    done = _completed(spark, out, batch_id)
+    waiting = stage(kept.join(done, ["rule_id", "fire_sec"], "left_anti"), "open-firings")
+    _forget_completed(spark, opened, waiting, batch_id)
+    if waiting.isEmpty():
         return
-    lo, hi = F.timestamp_seconds(F.lit(span["lo"])), F.timestamp_seconds(F.lit(span["hi"] + 1))
-
-    def stored_matches() -> DataFrame:
-        logs = spark.read.parquet(logs_path).filter((F.col("timestamp") >= lo) & (F.col("timestamp") < hi))
-        if "log_date" in logs.columns:
-            logs = logs.filter((F.col("log_date") >= F.to_date(lo)) & (F.col("log_date") <= F.to_date(hi)))
-        return match_alert_rules(logs, rules)
-
-    expected = segments.select("rule_id", "sec", "matches").distinct()
-    until = time.monotonic() + wait_seconds
-    while _missing(expected, logs_path, stored_matches):
-        if time.monotonic() > until:
-            raise RuntimeError(f"{logs_path} lacks rows of the firings after {wait_seconds} s")
-        time.sleep(min(5.0, wait_seconds / 10))
-    matches = stored_matches()
-    incidents = incidents_of(matches, segments, rules).withColumn("batch_id", F.lit(batch_id))
-    (
-        incidents.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(out)
+    logs = of_firing_days(_stored(spark, logs_path), waiting)
+    matches = match_alert_rules(logs, rules)
+    have = per_second(matches)
+    whole = waiting.join(have, ["rule_id", "sec"], "left").groupBy("rule_id", "fire_sec").agg(
+        F.min(F.coalesce("n", F.lit(0)) >= F.col("matches")).alias("_whole")
     )
+    passed = F.lit(final) | (F.col("fire_sec") + lag_seconds < F.lit(_newest_second(spark, logs_path)))
+    ready = stage(
+        waiting.join(whole.filter(F.col("_whole") | F.coalesce(passed, F.lit(False))), ["rule_id", "fire_sec"], "left_semi")
+        .drop(BATCH), "ready-firings",
+    )
+    incidents = incidents_of(matches, ready, rules).withColumn("fire_sec", F.unix_seconds("triggered_at"))
+    incidents.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{BATCH}={batch_id}")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rows; none before the first batch of the store."""
+    if Folder(spark, path).days():
+        return spark.read.parquet(path)
+    return with_log_date(spark.createDataFrame([], LOGS))
+
+
+def _newest_second(spark: SparkSession, path: str) -> int | None:
+    """The newest event second of the store, from its last day."""
+    days = Folder(spark, path).days()
+    if not days:
+        return None
+    last = spark.read.parquet(path).filter(F.col("log_date") == F.lit(days[-1]))
+    return last.agg(F.max(F.unix_seconds("timestamp"))).first()[0]
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    return [int(n.split("=")[1]) for n in Folder(spark, path).names() if n.startswith(f"{BATCH}=")]
+
+
+def _completed(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
+    """Firings whose incidents earlier batches wrote."""
+    schema = "rule_id long, fire_sec long"
+    earlier = [b for b in _batches(spark, out) if b < batch_id]
+    if not earlier:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{out.rstrip('/')}/{BATCH}={b}" for b in earlier]).distinct()
 
 
-def _missing(expected: DataFrame, path: str, matches: Callable[[], DataFrame]) -> bool:
-    """Whether a second of a firing holds fewer stored matches than were counted."""
-    place = expected.sparkSession._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    if not place.getFileSystem(expected.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(place):  # noqa: SLF001
-        return True
-    have = expected.join(per_second(matches()), ["rule_id", "sec"], "left")
-    return have.filter(F.coalesce("n", F.lit(0)) < F.col("matches")).limit(1).count() > 0
+def _forget_completed(spark: SparkSession, opened: str, waiting: DataFrame, batch_id: int) -> None:
+    """Removes the open firings of earlier batches that have none left."""
+    left = {r[0] for r in waiting.select(BATCH).distinct().collect()}
+    for b in _batches(spark, opened):
+        if b < batch_id and b not in left:
+            Folder(spark, opened).remove(f"{BATCH}={b}")

@@ -471,6 +471,26 @@ def test_index_answers_filters(spark, folder):
     assert sorted(seen) == ids(filters.matching(df, spec)) and len(seen) > 200
 
 
+def test_one_rule_is_folded_in_many_tasks(spark):
+    rnd, t, rows = random.Random(4), 0, []
+    for i in range(1500):
+        t += rnd.choice([0, 1, 1, 5, 29, 30, 31, 32, 400])
+        rows.append(log(i, t))
+    df = logs(spark, *rows)
+    for window, cooldown in ((30, 0), (10, 30), (30, 31)):
+        table = alert_rules(spark, alert_rule(1, threshold_count=3, window_seconds=window, cooldown_seconds=cooldown))
+        listed = rules.ordered_rules(table)
+        counts_ = alerts.per_second(rules.match_alert_rules(df, listed))
+        cut = alerts.quiet_stretches(counts_, listed, 600)
+        fold, want = alerts.Fold(3, window, cooldown), []
+        for r in sorted(counts_.collect(), key=lambda r: r["sec"]):
+            if fired := fold.add(r["sec"], r["n"]):
+                want.append((r["sec"], fired[1], fired[2]))
+        got = alerts.apply_cooldown(counts_, listed).filter("first_place IS NOT NULL")
+        assert sorted((r["fire_sec"], r["first_place"], r["firings"]) for r in got.collect()) == want
+        assert cut.select("stretch").distinct().count() > 100 and cut.count() == counts_.count()
+
+
 def test_incident_index(spark, monkeypatch):
     rnd = random.Random(12)
     rows = [log(i, rnd.choice([rnd.uniform(0, 3000), 900, 900.5]), source_alias=rnd.choice(["web", "db", ""]), app_name=rnd.choice("ab"),

@@ -1,5 +1,6 @@
 """Streams give what the batch operators give on the same rows."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -12,6 +13,9 @@ from logloom.plans.tables import Tables
 from logloom.schema import LOGS
 
 
+at_seconds = int(at(0).replace(tzinfo=dt.timezone.utc).timestamp())
+
+
 @pytest.fixture(autouse=True)
 def few_tasks(spark):
     """State is kept per partition and every one starts a worker in every batch."""
@@ -77,15 +81,34 @@ def test_alerts_equal_batch(spark, folder):
     got = spark.createDataFrame(got.collect(), got.schema)  # a sink's batch, not its memory table
     store, out = f"{folder}/logs", f"{folder}/incidents"
     early, late = (df.filter(F.col("id") % 2 == k) for k in (0, 1))
-    streaming.append_batch(early, 0, store)
-    with pytest.raises(RuntimeError, match="lacks rows"):
-        streaming.write_alerts(spark, got, 5, store, table, out, wait_seconds=0.5)
+    none = got.limit(0)
+    streaming.write_alerts(spark, got, 5, store, table, out)  # no store yet: nothing fails, nothing waits
+    streaming.append_batch(early.filter("id <> 3000"), 0, store)  # without the last row, nothing is passed
+    streaming.write_alerts(spark, none, 6, store, table, out, lag_seconds=1e6)
+    part = spark.read.parquet(out)
+    batch = alerts.fire_alerts(df, table)
+    assert part.count() < batch.count() and part.filter("missing > 0").count() == 0
     streaming.append_batch(late, 1, store)
-    streaming.write_alerts(spark, got, 5, store, table, out)
-    streaming.write_alerts(spark, got, 5, store, table, out)
+    for _ in range(2):  # a repeated batch replaces its incidents
+        streaming.write_alerts(spark, none, 7, store, table, out, lag_seconds=1e6)
     stored = spark.read.parquet(out)
-    batch = alerts.fire_alerts(df, table)
     assert sorted(stored.select(batch.columns).collect()) == sorted(batch.collect())
+    streaming.write_alerts(spark, none, 8, store, table, out)
+    assert spark.read.parquet(out).count() == batch.count()
+
+
+def test_firings_without_their_rows(spark, folder):
+    """Rows that are never stored do not hold back the incidents behind them."""
+    table = alert_rules(spark, alert_rule(1, threshold_count=2, window_seconds=10, cooldown_seconds=20))
+    listed = rules.ordered_rules(table)
+    df = logs(spark, *[log(i, s) for i, s in enumerate([0, 1, 100, 101, 200, 201, 300])])
+    got = alerts.apply_cooldown(alerts.per_second(rules.match_alert_rules(df, listed)), listed)
+    got = spark.createDataFrame(got.collect(), got.schema)
+    store, out = f"{folder}/logs", f"{folder}/incidents"
+    streaming.append_batch(df.filter("id NOT IN (1, 2, 3, 6)"), 0, store)
+    streaming.write_alerts(spark, got, 0, store, table, out)
+    rows = sorted((r["fire_sec"] - at_seconds, r["match_count"], r["missing"], r["sample_log_id"]) for r in spark.read.parquet(out).collect())
+    assert rows == [(1, 2, 1, 0), (101, 2, 2, None), (201, 2, 0, 5)]
 
 
 def test_entries_equal_batch(spark, folder):
