@@ -508,15 +508,40 @@ def assembled_entries(t):
     return out.select("stream_key", "seq", "message", "severity", "line_count")
 
 
-@query("logs", """, d AS (SELECT *, id AS seq FROM logs UNION ALL SELECT *, id + 50 FROM logs WHERE id % 10 < 3),
+# Entries of ``paused_streams``: a line that starts, or one after a pause, opens a block; a block is cut
+# after as many lines as a limit allows.
+ENTRIES = """, l AS (SELECT doc_id, seq, seq % 13 IN (1, 5) AS opens, CASE WHEN seq % 13 IN (1, 5) THEN 'line ' ELSE '  at ' END || message AS message,
+    seq * 40 + (seq // 9) * 400 AS ms FROM doc_lines),
+  g AS (SELECT *, opens OR coalesce(ms - lag(ms) OVER (PARTITION BY doc_id ORDER BY seq) > 150, true) AS starts FROM l),
+  b AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS block FROM g),
+  i AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, block ORDER BY seq) - 1) // {} AS part FROM b)
+  SELECT CAST(doc_id AS VARCHAR) AS stream_key, min(seq) AS seq, string_agg(message, chr(10) ORDER BY seq) AS message,
+    CAST(count(*) AS INTEGER) AS line_count FROM i GROUP BY doc_id, block, part"""
+
+
+@query("doc_lines", ENTRIES.format(4))
+def assembled_limited_entries(t):
+    """Entries with the default gap and a limit of lines, both reached."""
+    out = assemble.assemble_multiline(t.paused_streams(), assemble.Limits(lines=4))
+    return out.select("stream_key", "seq", "message", "line_count")
+
+
+REPLAYS = """, d AS (SELECT *, id AS seq FROM logs UNION ALL SELECT *, id + 50 FROM logs WHERE id % 10 < 3),
   m AS (SELECT *, max("timestamp") OVER (PARTITION BY app_name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM d),
   f AS (SELECT *, row_number() OVER (PARTITION BY app_name, "timestamp", message ORDER BY seq) AS p FROM m WHERE newest IS NULL OR "timestamp" >= newest)
-  SELECT id, seq FROM f WHERE p = 1""")
-def replays_dropped(t):
+  SELECT id, seq FROM f WHERE p = 1"""
+
+
+def repeated_lines(t):
+    """The derived logs as lines, three of ten delivered again later."""
     first = t.logs().withColumn("seq", F.col("id"))
     again = t.logs().filter("id % 10 < 3").withColumn("seq", F.col("id") + 50)
-    lines = first.unionByName(again).withColumn("ts", F.col("timestamp"))
-    return assemble.drop_replays(lines, key="app_name").select("id", "seq")
+    return first.unionByName(again).withColumn("ts", F.col("timestamp"))
+
+
+@query("logs", REPLAYS)
+def replays_dropped(t):
+    return assemble.drop_replays(repeated_lines(t), key="app_name").select("id", "seq")
 
 
 @query("logs", """SELECT id, epoch_us(CASE id % 3 WHEN 0 THEN "timestamp" WHEN 1 THEN date_trunc('second', "timestamp")
@@ -614,19 +639,32 @@ def container_rows(t):
     return rows.select("id", us("timestamp", "ts_us"), "app_name", "severity", "message", "raw")
 
 
-@query("logs", """SELECT id, CASE WHEN id % 3 = 1 THEN coalesce(parent, 'unknown') ELSE app_name END AS app_name FROM (SELECT *,
+@query("logs", """SELECT id, CASE WHEN id % 3 = 1 AND received_at - last <= INTERVAL 20 MINUTE THEN coalesce(parent, 'unknown')
+    WHEN id % 3 = 1 THEN 'unknown' ELSE app_name END AS app_name FROM (SELECT *,
+    lag(received_at) OVER (PARTITION BY source_ip ORDER BY received_at, id) AS last,
     last_value(CASE WHEN id % 3 <> 1 THEN app_name END IGNORE NULLS) OVER (PARTITION BY source_ip ORDER BY received_at, id
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM logs)""")
-def orphans_attached(t):
+def orphans_attached_in_time(t):
+    """The same with a gap that many orphans miss."""
+    return assemble.attach_orphan_lines(_orphans(t), gap=1200.0, chunk_seconds=3600).select("id", "app_name")
+
+
+def _orphans(t):
     lost = F.col("id") % 3 == 1
-    lines = t.logs().withColumns(
+    return t.logs().withColumns(
         {
             "seq": F.col("id"),
             "app_name": F.when(lost, "unknown").otherwise(F.col("app_name")),
             "message": F.when(lost, F.concat(F.lit("  at "), "message")).otherwise(F.col("message")),
         }
     )
-    out = assemble.attach_orphan_lines(lines, gap=1e7, chunk_seconds=3600)
+
+
+@query("logs", """SELECT id, CASE WHEN id % 3 = 1 THEN coalesce(parent, 'unknown') ELSE app_name END AS app_name FROM (SELECT *,
+    last_value(CASE WHEN id % 3 <> 1 THEN app_name END IGNORE NULLS) OVER (PARTITION BY source_ip ORDER BY received_at, id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM logs)""")
+def orphans_attached(t):
+    out = assemble.attach_orphan_lines(_orphans(t), gap=1e7, chunk_seconds=3600)
     return out.select("id", "app_name")
 
 

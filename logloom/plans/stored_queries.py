@@ -15,7 +15,7 @@ from ..operators.filters import LogFilter
 from ..schema import INCIDENTS
 from ..session import checkpoint_dir, stage
 from ..sources import logs as stored, records
-from .incident_queries import LINES, POSTINGS, SESSION_HITS
+from .incident_queries import ENTRIES, POSTINGS, REPLAYS, SESSION_HITS, repeated_lines
 from .registry import query, us
 from .rule_queries import DROPPED, FIRED
 from .tables import AS_OF, Tables
@@ -276,16 +276,50 @@ def streamed_incidents(t):
     )
 
 
-@query("doc_lines", LINES + """SELECT CAST(doc_id AS VARCHAR) AS stream_key, min(seq) AS seq, string_agg(message, chr(10) ORDER BY seq) AS message,
-    CAST(count(*) AS INTEGER) AS line_count FROM k GROUP BY doc_id, entry
-    HAVING trim(string_agg(message, chr(10) ORDER BY seq), E' \\t\\n\\r\\x0b\\x0c') <> ''""")
+@query("doc_lines", ENTRIES.format(3))
 def streamed_entries(t):
-    lines = _with_end(t.doc_streams(), "received_at")
-    limits = assemble.Limits(gap=30.0, seconds=1e9)
-    out = _run(t, streaming.assemble_stream(_stream(t, lines), limits, DELAY))
+    """Entries of a stream with the default gap reached, and a time limit of three lines."""
+    lines = _with_end(t.paused_streams(), "received_at")
+    out = _run(t, streaming.assemble_stream(_stream(t, lines), assemble.Limits(seconds=0.12), DELAY, slice_seconds=30))
     return out.filter("stream_key <> 'end'").select("stream_key", "seq", "message", "line_count")
 
 
+@query("logs", REPLAYS)
+def streamed_without_old_replays(t):
+    """Two micro-batches; the second delivers lines of both again, however old."""
+    out, state = _folder(t, "out"), _folder(t, "state")
+    keep = lambda rows, i: rows.select("id", "seq").write.mode("overwrite").parquet(f"{out}/batch_id={i}")
+    sink = streaming.without_replays(keep, state, "app_name", "ts")
+    lines = repeated_lines(t)
+    middle = lines.agg(F.expr("max(seq) div 2").alias("m")).first()["m"]
+    for number in (0, 1, 1):  # the second is repeated
+        sink(lines.filter(F.col("seq") <= middle if number == 0 else F.col("seq") > middle), number)
+    return t.spark.read.parquet(out).select("id", "seq")
+
+
+@query("logs", """, d AS (SELECT id, id % 4 AS batch, CASE WHEN id % 4 > 0 AND id % 9 = 0 THEN "timestamp" - INTERVAL 40 DAY
+    WHEN id % 10 = 0 THEN "timestamp" + INTERVAL 9 HOUR ELSE "timestamp" END AS ev, "timestamp" FROM logs),
+  c AS (SELECT id, batch, greatest(least(ev, "timestamp" + INTERVAL 300 SECOND), "timestamp" - INTERVAL 1 DAY) AS ev FROM d),
+  m AS (SELECT batch, max(max(ev)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM c GROUP BY 1)
+  SELECT id, epoch_us(ev) AS timestamp_us, coalesce(ev < newest - INTERVAL 29 DAY, false) AS late FROM c JOIN m USING (batch)""")
+def streamed_late_rows(t):
+    """Times that are too early or too late are bounded by the arrival; rows behind the mark are kept beside."""
+    moved = F.when(F.expr("id % 4 > 0 AND id % 9 = 0"), F.expr("timestamp - interval 40 days")).when(
+        F.expr("id % 10 = 0"), F.expr("timestamp + interval 9 hours")
+    )
+    rows = streaming.clamp_event_time(
+        t.logs().withColumns({"received_at": F.col("timestamp"), "timestamp": F.coalesce(moved, "timestamp")})
+    )
+    out, late, mark = (_folder(t, x) for x in ("out", "late", "mark"))
+    keep = lambda batch, i: batch.select("id", "timestamp").write.mode("overwrite").parquet(f"{out}/batch_id={i}")
+    sink = streaming.late_rows_beside(keep, late, mark, delay_seconds=29 * 86_400)
+    for number in (0, 1, 2, 2, 3):
+        sink(rows.filter(F.col("id") % 4 == number), number)
+    kinds = ((out, False), (late, True))
+    both = [t.spark.read.parquet(p).select("id", us("timestamp"), F.lit(x).alias("late")) for p, x in kinds]
+    return both[0].unionByName(both[1])
+
+
 @query("logs", """SELECT DISTINCT app_name, epoch_us("timestamp") AS timestamp_us, message FROM logs""")
 def streamed_without_replays(t):
     twice = t.logs().unionByName(t.logs().filter("id % 10 < 3"))

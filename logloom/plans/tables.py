@@ -262,6 +262,14 @@ class Tables:
             (F.col("seq") % 8).cast("int").alias("severity"),
         )
 
+    def paused_streams(self) -> DataFrame:
+        """``doc_streams`` with a line every 40 ms, a longer pause after every ninth, and most lines
+        continuing the one before."""
+        start = F.when(F.col("seq") % 13 == 1, "line ").when(F.col("seq") % 13 == 5, "line ").otherwise("  at ")
+        millis = 1_704_067_200_000 + F.col("seq") * 40 + F.floor(F.col("seq") / 9) * 400
+        message = F.concat(start, "message")
+        return self.doc_streams().withColumns({"received_at": F.timestamp_millis(millis), "message": message, "raw": message})
+
     def alert_rules(self) -> DataFrame:
         return self.spark.createDataFrame(ALERT_RULE_ROWS, ALERT_RULES)
 

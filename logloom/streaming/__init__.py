@@ -9,6 +9,7 @@ from .jobs import (
     filter_stream,
     filtered,
     index_batch,
+    late_rows_beside,
     mark_stream,
     normalize_stream,
     rate_stream,
@@ -16,6 +17,7 @@ from .jobs import (
     store_stream,
     stream_ids,
     tail_stream,
+    without_replays,
 )
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -12,63 +12,91 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.assemble import EntryFold, Limits, _ends_traceback, is_continuation
 
 
-
 class OpenEntry(StatefulProcessor):
-    """The open entry of one stream in keyed state; a timer closes it when no line follows."""
+    """The lines of one stream in keyed state, by slices of time, and its open entry.
+
+    Frames of lines are put away as they come, in any order. When the watermark has passed a slice, its
+    lines are sorted and folded; so what is held in memory is one slice of one stream, however
+    many lines of it a micro-batch brings. The entry left open is given out once the watermark has
+    passed its time and no line that may continue it is waiting.
+    """
 
-    def __init__(self, keep: list[str], limits: Limits):
-        self.keep, self.limits = keep, limits
+    def __init__(self, keep: list[str], limits: Limits, slice_ms: int):
+        self.keep, self.limits, self.slice_ms = keep, limits, slice_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entry = handle.getValueState("entry", "fold binary, due long")
-
-    def _load(self) -> tuple[EntryFold, int | None]:
-        if not self.entry.exists():
-            return EntryFold(self.limits), None
-        blob, due = self.entry.get()
-        return pickle.loads(bytes(blob)), due
-
-    def _frame(self, entries: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(entries, columns=[*self.keep, "line_count"])
+        self.entry = handle.getValueState("entry", "fold binary")
+        self.parts = handle.getMapState("parts", "slice long", "n int")
+        self.lines = handle.getMapState("lines", "slice long, part int", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fold, due = self._load()
-        out = []
-        lines = pd.concat(list(rows)).sort_values(["received_at", "seq"])
-        for row in lines.to_dict("records"):
+        for frame in rows:
+            for number, some in frame.groupby(frame["line_now"] // (self.slice_ms * 1000)):
+                at = int(number)
+                n = self.parts.getValue((at,))[0] if self.parts.containsKey((at,)) else 0
+                self.lines.updateValue((at, n), (pickle.dumps(some),))
+                self.parts.updateValue((at,), (n + 1,))
+                if n == 0:
+                    self.handle.registerTimer((at + 1) * self.slice_ms)
+        return iter(())
+
+    def _take_slice(self, at: int) -> list[dict]:
+        """The lines of a slice in order; they leave the state."""
+        if not self.parts.containsKey((at,)):
+            return []
+        frames = []
+        for part in range(self.parts.getValue((at,))[0]):
+            frames.append(pickle.loads(bytes(self.lines.getValue((at, part))[0])))
+            self.lines.removeKey((at, part))
+        self.parts.removeKey((at,))
+        return pd.concat(frames).sort_values(["received_at", "seq"]).to_dict("records")
+
+    def _waiting(self, first: int, last: int) -> bool:
+        """Whether one of some slices holds lines."""
+        if last - first > 64:
+            return any(first <= k[0] <= last for k in self.parts.keys())
+        return any(self.parts.containsKey((at,)) for at in range(first, last + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ended = expiredTimerInfo.getExpiryTimeInMs()
+        at = ended // self.slice_ms - 1
+        fold, out = EntryFold(self.limits), []
+        if self.entry.exists():
+            fold = pickle.loads(bytes(self.entry.get()[0]))
+        for row in self._take_slice(at):
             line = {c: row[c] for c in self.keep}
             out += fold.add(line, row["line_now"], row["line_cont"], row["line_blank"], row["line_ends"])
-        if due is not None:
-            self.handle.deleteTimer(due)
-        if fold.first is None:
-            self.entry.clear()
-        else:
+        if fold.first is not None:
             wait = self.limits.micros - (fold.last - fold.start)
             if self.limits.gap is not None:
                 wait = min(wait, self.limits.gap_micros)
             due = (fold.last + max(wait, 0)) // 1000 + 1
-            self.entry.update((pickle.dumps(fold), due))
-            self.handle.registerTimer(due)
-        if out:
-            yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        fold, _ = self._load()
-        out = fold.take()
-        self.entry.clear()
+            last = due // self.slice_ms
+            if not self._waiting(at + 1, last):
+                if due <= max(ended, timerValues.getCurrentWatermarkInMs()):
+                    out += fold.take()
+                else:
+                    self.handle.registerTimer((last + 1) * self.slice_ms)
+        if fold.first is None:
+            self.entry.clear()
+        else:
+            self.entry.update((pickle.dumps(fold),))
         if out:
-            yield self._frame(out)
+            yield pd.DataFrame(out, columns=[*self.keep, "line_count"])
 
     def close(self) -> None:
         pass
 
 
-def assemble_stream(lines: DataFrame, limits: Limits | None = None, delay: str = "5 seconds") -> DataFrame:
+def assemble_stream(
+    lines: DataFrame, limits: Limits | None = None, delay: str = "5 seconds", slice_seconds: float = 1.0
+) -> DataFrame:
     """Entries of a stream of lines, as ``assemble_multiline`` gives for stored lines.
 
-    State is kept per stream key; an entry is given out when the next one starts, a limit is
-    reached, or the watermark has passed its gap. Needs the RocksDB state store provider.
+    Lines may arrive in any order within ``delay``; they are folded by slices of ``slice_seconds`` of their
+    arrival time once the watermark has passed them. State is kept per stream key. Needs the
+    RocksDB state store provider.
     """
     limits = limits or Limits()
     keep = lines.columns
@@ -83,5 +111,5 @@ def assemble_stream(lines: DataFrame, limits: Limits | None = None, delay: str =
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
     return flagged.groupBy("stream_key").transformWithStateInPandas(
-        OpenEntry(keep, limits), schema + ", line_count int", "Append", "EventTime"
+        OpenEntry(keep, limits, max(1, round(slice_seconds * 1000))), schema + ", line_count int", "Append", "EventTime"
     )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.assemble import drop_replays
 from ..operators.counts import ingest_rate
 from ..operators.dims import resolve_alias
 from ..operators.maintenance import maintenance_drops
@@ -14,8 +15,9 @@ from ..operators.ordered import numbered
 from ..operators.rules import apply_drop_rules
 from ..operators.textindex import BUCKET, build_postings, token_bucket, write_postings
 from ..schema import BATCH, LOG_DEFAULTS, LOGS, conform, with_log_date
+from ..session import join_dimension, stage, stage_scope
 from ..sources.logs import write_days
-from ..sources.stored import finish_changes
+from ..sources.stored import Folder, finish_changes
 from ..sources.syslog import parse_syslog
 
 Sink = Callable[[DataFrame, int], None]
@@ -89,15 +91,14 @@ def compact_index(spark: SparkSession, path: str, out: str) -> None:
 
 
 def fan_out(*sinks: Sink) -> Sink:
-    """One sink that hands a micro-batch to several, in order, computed once."""
+    """One sink that hands a micro-batch to several, in order. The batch is written once to the shared
+    folder, so all of them get the same rows, also when executors are lost in between."""
 
     def all_sinks(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
+        with stage_scope():
+            rows = stage(batch, "fan-out")
             for sink in sinks:
-                sink(batch, batch_id)
-        finally:
-            batch.unpersist()
+                sink(rows, batch_id)
 
     return all_sinks
 
@@ -124,6 +125,76 @@ def drop_replays_stream(
     return lines.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def without_replays(
+    sink: Sink, state_path: str, key: str = "container_id", ts: str = "ts", order: str = "seq"
+) -> Sink:
+    """A sink of lines as they arrive that hands on no line which a reconnect delivered again, however old:
+    none older than the newest line handed on of its ``key``, and none equal to one of that time.
+
+    ``drop_replays`` over micro-batches: per key, the newest time and the hashes of its lines at that time
+    are kept in ``state_path``, one small table per batch, so a repeated batch starts from the state before it.
+    """
+
+    line = F.xxhash64("message")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = Folder(spark, state_path)
+        numbers = sorted(int(n.split("=")[1]) for n in known.names() if n.startswith(f"{BATCH}="))
+        earlier = [n for n in numbers if n < batch_id]
+        kinds = dict(batch.dtypes)
+        state = spark.createDataFrame([], f"{key} {kinds[key]}, newest {kinds[ts]}, lines array<long>")
+        if earlier:
+            state = spark.read.schema(state.schema).parquet(f"{state_path}/{BATCH}={earlier[-1]}")
+        lines = stage(batch, "replays-in")  # a source may give other rows when it is read again
+        met = join_dimension(lines, state, [key]).filter(
+            F.col(ts).isNull() | F.col("newest").isNull() | (F.col(ts) > F.col("newest"))
+            | ((F.col(ts) == F.col("newest")) & ~F.array_contains("lines", line))
+        )
+        fresh = stage(drop_replays(met.select(*lines.columns), key, ts, order), "replays-out")
+        newest = fresh.filter(F.col(ts).isNotNull()).groupBy(key).agg(F.max(ts).alias("newest"))
+        ends = join_dimension(fresh, newest, [key], "inner").filter(F.col(ts) == F.col("newest"))
+        now = ends.groupBy(key, "newest").agg(F.collect_set(line).alias("lines"))
+        both = state.unionByName(now).groupBy(key).agg(
+            F.max("newest").alias("newest"), F.collect_list(F.struct("newest", "lines")).alias("all")
+        )
+        at_newest = F.filter("all", lambda x: x["newest"] == F.col("newest"))
+        both.select(key, "newest", F.array_distinct(F.flatten(F.transform(at_newest, lambda x: x["lines"]))).alias("lines")).write.mode(
+            "overwrite"
+        ).parquet(f"{state_path}/{BATCH}={batch_id}")
+        for old in earlier[:-1]:
+            known.remove(f"{BATCH}={old}")
+        sink(fresh, batch_id)
+
+    return each
+
+
+def late_rows_beside(sink: Sink, late_path: str, mark_path: str, ts: str = "timestamp", delay_seconds: int = 10) -> Sink:
+    """A sink that hands on the rows a watermark of ``delay_seconds`` lets pass, and stores the others.
+
+    The mark is the newest ``ts`` of the batches before, less the delay, as Spark's watermark is; rows behind it
+    go to ``late_path`` by batch, where they can be counted. A repeated batch replaces its late rows.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        numbers = sorted(int(n.split("=")[1]) for n in Folder(spark, mark_path).names() if n.startswith(f"{BATCH}="))
+        earlier = [n for n in numbers if n < batch_id]
+        mark = None
+        if earlier:
+            mark = spark.read.schema("newest long").parquet(f"{mark_path}/{BATCH}={earlier[-1]}").first()[0]
+        rows = stage(batch, "timed-in")
+        behind = F.lit(False) if mark is None else F.coalesce(F.unix_micros(ts) < mark - delay_seconds * 1_000_000, F.lit(False))
+        rows.filter(behind).write.mode("overwrite").parquet(f"{late_path}/{BATCH}={batch_id}")
+        top = rows.agg(F.max(F.unix_micros(ts)).alias("newest"))
+        top.select(F.greatest("newest", F.lit(mark).cast("long")).alias("newest")).write.mode("overwrite").parquet(f"{mark_path}/{BATCH}={batch_id}")
+        for old in earlier[:-1]:
+            Folder(spark, mark_path).remove(f"{BATCH}={old}")
+        sink(rows.filter(~behind), batch_id)
+
+    return each
+
+
 def rate_stream(logs: DataFrame, seconds: int = 5, slide: int = 1, delay: str = "10 seconds") -> DataFrame:
     """Rows per second over a rolling window of arrival time."""
     return ingest_rate(logs.withWatermark("received_at", delay), seconds, slide)
@@ -143,10 +214,10 @@ def tail_stream(
         # What earlier batches handed on is kept beside the checkpoint, one row per batch
         seen = _handed_on(spark, count_path, batch_id)
         if seen < max_events:
-            part = batch.orderBy("received_at", "id").limit(max_events - seen).persist()
-            sink(part, batch_id)
-            taken = part.count()
-            part.unpersist()
+            with stage_scope():
+                part = stage(batch.orderBy("received_at", "id").limit(max_events - seen), "tail")
+                sink(part, batch_id)
+                taken = part.count()
             spark.createDataFrame([(taken,)], "taken long").coalesce(1).write.mode(
                 "overwrite"
             ).parquet(f"{count_path}/{BATCH}={batch_id}")

@@ -131,6 +131,28 @@ def test_entries_equal_batch(spark, folder):
     assert want.filter("line_count > 1").count() > 20
 
 
+def test_one_busy_stream_in_slices(spark, folder, monkeypatch):
+    """One key with most lines, out of order within files: what is held at once is one slice."""
+    rnd = random.Random(9)
+    rows, t = [], 0.0
+    for i in range(3000):
+        t += rnd.choice([0.001, 0.01, 0.02, 0.3])
+        rows.append(("hot" if i % 10 else f"s{i % 7}", at(t), i, rnd.choice(["start", "  at x", "  at y", "", "ValueError: z"]), None, i % 8))
+    rows.append(("end", at(t + 1000), 9999, "end", "end", 6))
+    schema = "stream_key string, received_at timestamp, seq long, message string, raw string, severity int"
+    df = spark.createDataFrame(rows, schema)
+    path = f"{folder}/in"
+    for k in range(3):
+        part = [r for r in rows if min(r[2] // 1100, 2) == k]
+        rnd.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    limits = assemble.Limits(lines=40, seconds=2.0, bytes=300)
+    stream = streaming.assemble_stream(read_stream(spark, path, df.schema), limits, "60 seconds", slice_seconds=0.5)
+    got = to_table(stream, "busy", folder).filter("stream_key <> 'end'")
+    want = assemble.assemble_multiline(df, limits).filter("stream_key <> 'end'")
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and want.filter("line_count > 2").count() > 50
+
+
 def test_normalize_filter_store_and_index(spark, folder):
     lines = spark.createDataFrame(
         [
@@ -200,6 +222,31 @@ def test_replays_rates_and_tail(spark, folder):
     assert len(taken) == 7 and "m3" not in taken
 
 
+def test_replays_of_any_age(spark, folder):
+    rows = [("c1", at(i), f"m{i}", i) for i in range(30)] + [("c2", at(5), f"x{i % 3}", 100 + i) for i in range(9)] + [("c2", None, "no time", 200)]
+    schema = "container_id string, ts timestamp, message string, seq long"
+    batches = [rows[:20], rows[:20] + rows[20:], [*rows[10:12], ("c2", at(5), "x9", 300), ("c2", at(5), "x1", 301), ("c1", at(40), "new", 302), ("c1", at(39), "older", 303)], [("c3", at(0), "a", 400)] * 2]
+    seen = {}
+    sink = streaming.without_replays(lambda b, i: seen.__setitem__(i, sorted(r["message"] for r in b.collect())), f"{folder}/state")
+    for k, part in enumerate(batches):
+        numbered = [(c, t, m, s + 1000 * k) for c, t, m, s in part]
+        for _ in range(2):  # every batch is repeated
+            sink(spark.createDataFrame(numbered, schema), k)
+    assert seen[0] == sorted(f"m{i}" for i in range(20))
+    assert seen[1] == sorted([*(f"m{i}" for i in range(20, 30)), "x0", "x1", "x2", "no time"])
+    assert seen[2] == ["new", "x9"] and seen[3] == ["a"]
+
+
+def test_late_rows_are_kept_beside(spark, folder):
+    df = logs(spark, log(1, 100), log(2, 95), log(3, 80), log(4, 200), log(5, 189), log(6, 190))
+    seen = {}
+    sink = streaming.late_rows_beside(lambda b, i: seen.__setitem__(i, sorted(r["id"] for r in b.collect())), f"{folder}/late", f"{folder}/mark")
+    for number, part in ((0, "id = 1"), (1, "id IN (2, 3, 4)"), (1, "id IN (2, 3, 4)"), (2, "id IN (5, 6)")):
+        sink(df.filter(part), number)
+    assert seen == {0: [1], 1: [2, 4], 2: [6]}
+    assert sorted(r["id"] for r in spark.read.parquet(f"{folder}/late").collect()) == [3, 5]
+
+
 def test_rules_are_read_for_every_batch(spark):
     df = logs(spark, log(1, app_name="a"), log(2, app_name="b"))
     none = spark.createDataFrame([], "session_id string, log_handling string, target_app string, target_host string,"
