@@ -12,9 +12,6 @@ from ..session import join_dimension
 from .counts import instant
 from .rules import SLICE
 
-# Sessions up to this number become conditions on the scan; more are joined by time.
-COMPILED_SESSIONS = 200
-
 DAY = 86_400
 
 
@@ -150,7 +147,7 @@ def one_wildcard(c: str, pattern: str) -> Column:
     )
 
 
-def _wild_sql(c: str, pattern: str) -> Column:
+def _wild_sql(c: str, pattern: Column | str) -> Column:
     """Wildcard match against a pattern column, as a LIKE with the same meaning."""
     low = F.lower(F.trim(pattern))
     like = F.regexp_replace(low, r"([\\%_])", r"\\$1")
@@ -161,23 +158,23 @@ def _wild_sql(c: str, pattern: str) -> Column:
 
 
 def maintenance_drops(
-    logs: DataFrame, sessions: DataFrame, ts: str = "timestamp", compiled: int = COMPILED_SESSIONS
+    logs: DataFrame, sessions: DataFrame, ts: str = "timestamp", compiled: int = -1
 ) -> DataFrame:
     """The logs with ``session_id``: the session that drops the row, or null.
 
     Sessions that drop errors take rows of severity 3 or worse inside their time that match their
-    app and host wildcards; of several the one that expires last counts. A short list becomes
-    conditions on the scan. A longer one is joined by day, with the days that hold most rows
-    spread by salting.
+    app and host wildcards; of several the one that expires last counts. The sessions of each day are
+    one list, the one that counts first in front; a row is joined to the list of its day, and no
+    row is grouped or numbered. That is the same for any number of sessions, for stored rows and for
+    streams. A caller who knows that there are few may have up to ``compiled`` of them as conditions
+    on the scan instead.
     """
     droppers = sessions.filter(F.col("log_handling") == "drop_errors").select(
         "session_id", "created_at", "expires_at", "ended_at", "target_app", "target_host"
     )
-    # A stream has no second pass over its rows, so its sessions are always conditions
-    head = droppers if logs.isStreaming else droppers.limit(compiled + 1)
-    listed = head.collect()
     severe = F.coalesce(F.col("severity") <= 3, F.lit(False))
-    if logs.isStreaming or len(listed) <= compiled:
+    listed = droppers.limit(compiled + 1).collect() if compiled >= 0 else None
+    if listed is not None and len(listed) <= compiled:
         listed.sort(key=lambda s: s["session_id"])
         listed.sort(key=lambda s: s["expires_at"], reverse=True)
         chains = []
@@ -189,7 +186,8 @@ def maintenance_drops(
         found = F.coalesce(*chains) if chains else F.lit(None)
         return logs.withColumn("session_id", F.when(severe, found).cast("string"))
     day = F.floor(F.unix_seconds(F.col(ts)) / DAY)
-    spans = droppers.withColumn("_end", session_end()).withColumn(
+    target = {c: F.btrim(F.coalesce(F.col(c), F.lit("")), F.lit(BLANKS)) for c in ("target_app", "target_host")}
+    spans = droppers.withColumns({**target, "_end": session_end()}).withColumn(
         "_day",
         F.explode(
             F.sequence(
@@ -197,31 +195,20 @@ def maintenance_drops(
             )
         ),
     )
-    no_session = F.lit(None).cast("string").alias("session_id")
-    errors = logs.filter(severe).select(
-        F.struct(*logs.columns).alias("_row"), F.monotonically_increasing_id().alias("_key"), day.alias("_day"),
-        F.col(ts).alias("_ts"), "app_name", "source_alias", "source_ip",
-    )
-    target = {c: F.btrim(F.coalesce(F.col(c), F.lit("")), F.lit(BLANKS)) for c in ("target_app", "target_host")}
-    spans = spans.withColumns({f"_{c}": t for c, t in target.items()}).drop("target_app", "target_host")
-    met = join_dimension(errors, spans, ["_day"])
-    hit = (
-        (F.col("_ts") >= F.col("created_at"))
-        & (F.col("_ts") < F.col("_end"))
-        & ((F.col("_target_app") == "") | _wild_sql("app_name", "_target_app"))
-        & (
-            (F.col("_target_host") == "")
-            | _wild_sql("source_alias", "_target_host")
-            | _wild_sql("source_ip", "_target_host")
-        )
-    )
-    # The row itself goes through the join, so rows need no id and repeated ones stay apart
-    best = F.min(F.when(hit, F.struct((-F.unix_micros("expires_at")).alias("o"), "session_id")))
-    chosen = met.groupBy("_key").agg(F.first("_row").alias("_row"), best.alias("_best"))
-    return (
-        logs.filter(~severe).select("*", no_session)
-        .unionByName(chosen.select("_row.*", F.col("_best.session_id").alias("session_id")))
+    wanted = F.struct(
+        (-F.unix_micros("expires_at")).alias("order"), "session_id", F.col("created_at").alias("start"), F.col("_end").alias("end"),
+        F.col("target_app").alias("app"), F.col("target_host").alias("host"),
     )
+    per_day = spans.groupBy("_day").agg(F.array_sort(F.collect_list(wanted)).alias("_sessions"))
+
+    def hit(s: Column) -> Column:
+        in_time = (F.col(ts) >= s["start"]) & (F.col(ts) < s["end"])
+        host = _wild_sql("source_alias", s["host"]) | _wild_sql("source_ip", s["host"])
+        return in_time & ((s["app"] == "") | _wild_sql("app_name", s["app"])) & ((s["host"] == "") | host)
+
+    met = join_dimension(logs.withColumn("_day", F.when(severe, day)), per_day, ["_day"])
+    chosen = F.get(F.filter("_sessions", hit), 0)["session_id"]
+    return met.select(*logs.columns, F.when(severe, chosen).cast("string").alias("session_id"))
 
 
 def session_drop_counts(dropped: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import bytes_text, fixed
 from ..functions.common import blank_to_null
-from .counts import error_stats, host_group, hours_before, instant, since, top_error_apps, top_error_hosts
+from ..session import stage
+from .counts import host_group, hours_before, instant, since
 from .incidents import alert_state
 from .maintenance import maintenance_status
 
@@ -88,19 +89,27 @@ def delta_text(delta: Column) -> Column:
 def daily_digest(logs: DataFrame, k: int = 3) -> DataFrame:
     """A digest of every day in the logs: totals, worst entities and busiest services.
 
-    Groups are counted per day first; the ranking keeps ``k`` per day before lists are built.
+    One scan counts per day, per day and entity, and per day and service; the ranking keeps ``k`` per day
+    before lists are built.
     """
-    day = F.to_date("timestamp").alias("day")
-    totals = logs.groupBy(day).agg(
-        F.count(F.lit(1)).alias("total_logs"),
-        F.count_if(F.col("severity") <= 3).alias("total_errors"),
+    sev = F.col("severity")
+    rows = logs.select(
+        F.to_date("timestamp").alias("day"), F.when(sev <= 3, digest_entity()).alias("entity"), _service(), sev.alias("severity")
+    )
+    sets = [["day"], ["day", "entity"], ["day", "service"]]
+    groups = rows.groupingSets([[F.col(c) for c in x] for x in sets], *[F.col(c) for c in ("day", "entity", "service")]).agg(
+        F.count(F.lit(1)).alias("log_count"), F.count_if(sev <= 3).alias("error_count"), F.min("severity").alias("min_severity"),
+        F.grouping("entity").alias("_no_entity"), F.grouping("service").alias("_no_service"),
+    )
+    groups = stage(groups, "digest-groups")  # no larger than the names of each day
+    totals = groups.filter("_no_entity = 1 AND _no_service = 1").select(
+        "day", F.col("log_count").alias("total_logs"), F.col("error_count").alias("total_errors")
     )
     errors = _top_lists(
-        _error_groups(logs, [day]), _worst_first(), k, "top_errors", ["entity", "error_count"]
+        groups.filter("_no_entity = 0 AND entity IS NOT NULL"), _worst_first(), k, "top_errors", ["entity", "error_count"]
     )
     services = _top_lists(
-        logs.groupBy(day, _service()).agg(F.count(F.lit(1)).alias("log_count")),
-        [F.desc("log_count"), F.asc("service")], k, "top_services", ["service", "log_count"],
+        groups.filter("_no_service = 0"), [F.desc("log_count"), F.asc("service")], k, "top_services", ["service", "log_count"]
     )
     return totals.join(errors, "day", "left").join(services, "day", "left")
 
@@ -194,12 +203,38 @@ def system_metrics(
 ) -> DataFrame:
     """One row: error figures, ingest rate, alert state, newest storage sample, maintenance.
 
-    Every part is a single row; they are put side by side by an aggregate over their union.
+    Every part is a single row; they are put side by side by an aggregate over their union. All parts of
+    the logs come from one scan of the last day's rows; of a row whose event time is more than a day
+    before it arrived, the rate knows nothing.
     """
     now = instant(as_of)
-    arrived = F.col("received_at")
-    window = (arrived > hours_before(now, seconds / 3600)) & (arrived <= now)
-    rate = logs.filter(window).agg(F.round(F.count(F.lit(1)) / F.lit(float(seconds)), 2).alias("ingest_rate"))
+    day_ago = hours_before(now, 24)
+    arrived, ts, sev = F.col("received_at"), F.col("timestamp"), F.col("severity")
+    recent = ts >= day_ago
+    coming = (arrived > hours_before(now, seconds / 3600)) & (arrived <= now)
+    rows = since(logs, as_of, 24 + seconds / 3600).filter((recent & (sev <= 4)) | coming)
+    error = recent & (sev <= 3)
+    rows = rows.select(
+        F.when(error & (F.col("app_name") != ""), F.col("app_name")).alias("app"), F.when(error, host_group()).alias("host"),
+        F.when(recent, sev).alias("sev"), (ts >= hours_before(now, 1)).alias("last_hour"), coming.alias("coming"),
+    )
+    sev = F.col("sev")
+    per_code = {0: "emergency", 1: "alert", 2: "critical", 3: "error", 4: "warning"}
+    groups = rows.groupingSets([[], [F.col("app")], [F.col("host")]], F.col("app"), F.col("host")).agg(
+        F.count_if(sev <= 3).alias("error_count_24h"), F.count_if((sev <= 3) & F.col("last_hour")).alias("error_count_1h"),
+        *[F.count_if(sev == c).alias(f"{n}_24h") for c, n in per_code.items()],
+        F.round(F.count_if(F.col("coming")) / F.lit(float(seconds)), 2).alias("ingest_rate"),
+        F.grouping("app").alias("_no_app"), F.grouping("host").alias("_no_host"),
+    )
+    groups = stage(groups, "system-groups")  # no larger than the names of a day
+    stats = groups.filter("_no_app = 1 AND _no_host = 1").drop("app", "host", "_no_app", "_no_host")
+
+    def worst(column: str, out: str) -> DataFrame:
+        named = groups.filter(f"_no_{column} = 0 AND {column} IS NOT NULL").select(
+            F.col(column).alias("name"), F.col("error_count_24h").alias("count")
+        )
+        return names(named.orderBy(F.desc("count"), "name").limit(5), out)
+
     newest = metrics.agg(
         F.max_by("db_size_bytes", "recorded_at").alias("db_size_bytes"),
         F.max_by("total_logs_count", "recorded_at").alias("total_logs_count"),
@@ -210,10 +245,9 @@ def system_metrics(
         return df.agg(F.array_join(F.transform(pairs, lambda x: x["name"]), ", ").alias(out))
 
     parts = [
-        error_stats(logs, as_of),
-        names(top_error_apps(logs, as_of), "top_error_apps"),
-        names(top_error_hosts(logs, as_of), "top_error_hosts"),
-        rate,
+        stats,
+        worst("app", "top_error_apps"),
+        worst("host", "top_error_hosts"),
         newest,
         alert_state(incidents, as_of).withColumnRenamed("active", "alert_active"),
         maintenance_status(sessions, schedules, as_of).select(

@@ -40,6 +40,23 @@ def planned_windows(t):
     return w.select("schedule_id", "name", us("window_start", "start_us"), us("window_end", "end_us"))
 
 
+BERLIN = WINDOWS.replace("2023-12-25", "2024-01-25").replace("2024-02-05", "2024-11-20").replace(
+    "FROM schedules WHERE enabled", "FROM (SELECT * REPLACE (CASE WHEN id = 3 THEN '02:30' ELSE start_time END AS start_time) FROM schedules) WHERE enabled"
+).replace("mi + duration_minutes", "mi")
+
+
+@query("schedules", BERLIN + """, u AS (SELECT schedule_id, epoch_us(timezone('Europe/Berlin', window_start))
+      - CASE WHEN window_start >= TIMESTAMP '2024-10-27 02:00:00' AND window_start < TIMESTAMP '2024-10-27 03:00:00' THEN 3600000000 ELSE 0 END AS start_us FROM planned)
+  SELECT schedule_id, start_us, start_us + duration_minutes * 60000000::BIGINT AS end_us FROM u JOIN schedules ON id = schedule_id
+  WHERE start_us + duration_minutes * 60000000::BIGINT > epoch_us(TIMESTAMP '2024-02-01') AND start_us < epoch_us(TIMESTAMP '2024-11-10')""")
+def planned_windows_in_zone(t):
+    """Windows on a wall clock with both changes of a year: one start is skipped, one comes twice."""
+    moved = t.schedules().withColumn("start_time", F.when(F.col("id") == 3, "02:30").otherwise(F.col("start_time")))
+    utc = dt.timezone.utc
+    w = maintenance.expand_schedules(moved, dt.datetime(2024, 2, 1, tzinfo=utc), dt.datetime(2024, 11, 10, tzinfo=utc), "Europe/Berlin")
+    return w.select("schedule_id", us("window_start", "start_us"), us("window_end", "end_us"))
+
+
 @query("schedules", WINDOWS.replace("2024-02-05", "2024-04-05") + """SELECT schedule_id, name, min(epoch_us(window_start)) AS start_us FROM planned
   WHERE window_start > TIMESTAMP '2024-01-31' GROUP BY 1, 2""")
 def next_window_starts(t):
@@ -79,7 +96,13 @@ def session_drops(t):
 
 @query("logs sessions", SESSION_HITS + """SELECT logs.id, session_id FROM logs LEFT JOIN met ON met.id = logs.id AND p = 1""")
 def session_drops_joined(t):
-    return maintenance.maintenance_drops(t.logs(), t.sessions(), compiled=0).select("id", "session_id")
+    return maintenance.maintenance_drops(t.logs(), t.sessions()).select("id", "session_id")
+
+
+@query(same_as="session_drops_joined")
+def session_drops_compiled(t):
+    """Few sessions as conditions on the scan."""
+    return maintenance.maintenance_drops(t.logs(), t.sessions(), compiled=10_000).select("id", "session_id")
 
 
 @query("logs sessions", SESSION_HITS + """, n AS (SELECT session_id, count(*) AS n FROM met WHERE p = 1 GROUP BY 1)

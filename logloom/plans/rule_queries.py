@@ -124,7 +124,7 @@ def firing_seconds(t):
     return alerts.firings(alerts.apply_cooldown(alerts.per_second(matches), listed))
 
 
-@query("logs", MATCHES + """, d AS (SELECT rule_id, unnest([{'kind': 'app', 'name': app_name},
+CULPRITS = MATCHES + """, d AS (SELECT rule_id, unnest([{'kind': 'app', 'name': app_name},
       {'kind': 'host', 'name': coalesce(nullif(source_alias, ''), source_ip)},
       {'kind': 'message', 'name': trim(left(message, 150))}]) AS x FROM matches),
   g AS (SELECT rule_id, x.kind AS kind, x.name AS name, count(*) AS n FROM d GROUP BY ALL),
@@ -137,11 +137,22 @@ def firing_seconds(t):
     CAST(round_even(max(CASE WHEN kind = 'host' THEN n END) / max(total) * 100, 0) AS BIGINT) AS top_host_percent,
     max(CASE WHEN kind = 'message' THEN name END) AS top_message, max(CASE WHEN kind = 'message' THEN n END) AS top_message_count,
     CAST(round_even(max(CASE WHEN kind = 'message' THEN n END) / max(total) * 100, 0) AS BIGINT) AS top_message_percent
-  FROM b WHERE p = 1 GROUP BY rule_id""")
+  FROM b WHERE p = 1 GROUP BY rule_id"""
+
+
+@query("logs", CULPRITS)
 def rule_culprits(t):
     return alerts.culprits(rules.match_alert_rules(t.logs(), t.alert_rules()), ["rule_id"])
 
 
+@query("logs", CULPRITS.replace("trim(left(message, 150))", "trim(repeat(message, 9))"))
+def rule_culprits_by_whole_message(t):
+    """The same over long messages, told apart by the whole text."""
+    long = t.logs().withColumn("message", F.repeat("message", F.lit(9)))
+    return alerts.culprits(rules.match_alert_rules(t.logs(), t.alert_rules()).join(long.select("id", F.col("message").alias("whole")), "id")
+                           .withColumn("message", F.col("whole")), ["rule_id"], key_chars=None)
+
+
 @query("logs", MATCHES + """SELECT CAST(rule_id AS BIGINT) AS rule_id, id, place FROM (SELECT rule_id, id,
     row_number() OVER (PARTITION BY rule_id ORDER BY "timestamp" DESC, id DESC) AS place FROM matches) WHERE place <= 50""")
 def newest_rule_matches(t):

@@ -10,11 +10,12 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, functions as F
 
 from .. import streaming
-from ..operators import alerts, assemble, counts, dims, retention, rules, textindex
+from ..operators import alerts, assemble, counts, dims, maintenance, retention, rules, textindex
 from ..operators.filters import LogFilter
 from ..schema import INCIDENTS
 from ..session import checkpoint_dir, stage
 from ..sources import logs as stored, records
+from ..sources.stored import Folder
 from .incident_queries import ENTRIES, POSTINGS, REPLAYS, SESSION_HITS, repeated_lines
 from .registry import query, us
 from .rule_queries import DROPPED, FIRED
@@ -64,6 +65,17 @@ def stored_sample(t):
     return stored.sample_storage(t.spark, _store(t), AS_OF).select("total_logs_count")
 
 
+@query("logs", """SELECT count(*) AS total_logs_count, true AS bytes_match, true AS files_match FROM logs""")
+def stored_sample_sizes(t):
+    """Bytes and files of the sample against the listing of the folder."""
+    path = _store(t)
+    folder = Folder(t.spark, path)
+    sizes = [size for day in folder.days() for batch in folder.batches(day) for size, _ in folder.files((day, batch)).values()]
+    return stored.sample_storage(t.spark, path, AS_OF).select(
+        "total_logs_count", (F.col("db_size_bytes") == sum(sizes)).alias("bytes_match"), (F.col("file_count") == len(sizes)).alias("files_match")
+    )
+
+
 @query("logs", """SELECT id, CAST("timestamp" AS DATE)::VARCHAR AS log_date FROM logs
   WHERE NOT (app_name = 'kernel' AND "timestamp" <= TIMESTAMP '2024-01-12 06:00:00')""")
 def stored_after_delete(t):
@@ -335,6 +347,48 @@ def streamed_rates(t):
     return out.select(us("window_start"), "count", "rate")
 
 
+@query("logs", """, w AS (SELECT epoch_us(received_at) // 21600000000 * 21600000000 - unnest([0, 1, 2, 3]) * 21600000000 AS window_start_us FROM logs)
+  SELECT window_start_us, count(*) AS count, round(count(*) / 86400.0, 2) AS rate FROM w GROUP BY 1""")
+def streamed_sliding_rates(t):
+    """Rows per second over a day that moves on by six hours."""
+    source = _stream(t, _with_end(t.logs(), "received_at"))
+    out = _run(t, streaming.rate_stream(source, 86_400, 21_600, DELAY)).filter("window_start < timestamp '2024-03-01'")
+    return out.select(us("window_start"), "count", "rate")
+
+
+@query("logs sessions", """, many AS (SELECT 's' || i || session_id AS session_id, created_at + to_minutes(i * 7) AS a,
+    least(expires_at, coalesce(ended_at, expires_at)) + to_minutes(i * 7) AS b, expires_at + to_minutes(i * 7) AS e, coalesce(target_app, '') AS app,
+    coalesce(target_host, '') AS host FROM sessions, unnest(range(0, 60)) AS r(i) WHERE log_handling = 'drop_errors'),
+  met AS (SELECT logs.id, session_id, row_number() OVER (PARTITION BY logs.id ORDER BY e DESC, session_id) AS p FROM logs JOIN many
+    ON severity <= 3 AND "timestamp" >= a AND "timestamp" < b AND (app = '' OR lower(app_name) LIKE replace(replace(lower(trim(app)), '*', '%'), '?', '_'))
+    AND (host = '' OR lower(source_alias) LIKE replace(replace(lower(trim(host)), '*', '%'), '?', '_') OR lower(source_ip) LIKE replace(replace(lower(trim(host)), '*', '%'), '?', '_')))
+  SELECT logs.id, session_id FROM logs LEFT JOIN met ON met.id = logs.id AND p = 1""")
+def streamed_session_drops(t):
+    """A stream of rows and sixty times the sessions, as a table beside it."""
+    i = F.explode(F.sequence(F.lit(0), F.lit(59))).alias("i")
+    later = lambda c: F.timestamp_micros(F.unix_micros(c) + F.col("i").cast("long") * 420_000_000).alias(c)
+    many = t.sessions().select("*", i).select(
+        F.concat(F.lit("s"), F.col("i").cast("string"), "session_id").alias("session_id"), "log_handling", "target_app", "target_host",
+        later("created_at"), later("expires_at"), later("ended_at"),
+    )
+    return _run(t, maintenance.maintenance_drops(_stream(t, t.logs()), many)).select("id", "session_id")
+
+
+@query("logs", "SELECT id FROM logs WHERE severity <= 3 ORDER BY received_at, id LIMIT 700")
+def streamed_tail_limited(t):
+    """A tail that ends after so many rows, started again after its first batch."""
+    source, out, cp = _folder(t, "in"), _folder(t, "tail"), _folder(t, "cp")
+    sink = lambda b, i: b.select("id").write.mode("overwrite").parquet(f"{out}/batch_id={i}")
+    rows, at = t.logs(), F.unix_micros("received_at")
+    middle = rows.agg(F.percentile(at, 0.05)).first()[0]
+    for part in (at <= middle, at > middle):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(source)
+        with _stream_settings(t):
+            stream = t.spark.readStream.schema(rows.schema).parquet(source)
+            streaming.tail_stream(stream, F.col("severity") <= 3, sink, cp, 700, availableNow=True).awaitTermination()
+    return t.spark.read.parquet(out).select("id")
+
+
 @query("logs", """SELECT id FROM logs WHERE severity <= 3""")
 def streamed_tail(t):
     out, cp = _folder(t, "tail"), _folder(t, "cp")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -223,7 +224,8 @@ def tail_stream(
             ).parquet(f"{count_path}/{BATCH}={batch_id}")
             seen += taken
         if seen >= max_events and running:
-            running[0].stop()
+            # From another thread: a query cannot wait for its own end
+            threading.Thread(target=running[0].stop, daemon=True).start()
 
     query = start(logs.filter(condition), counted, checkpoint, **trigger)
     running.append(query)
