@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 from re import _parser as regex_parser
 
@@ -117,10 +118,10 @@ def _better(a: set[str] | None, b: set[str] | None) -> set[str] | None:
     return max(known, key=lambda x: (min(map(len, x)), -len(x)), default=None)
 
 
-def _texts(nodes) -> tuple[set[str] | None, set[str] | None]:
+def _texts(nodes, before: frozenset[str] = frozenset({""})) -> tuple[set[str] | None, set[str] | None]:
     """All texts that a part of a parsed pattern can match (none if they are too many), and a set
-    of texts one of which every match holds."""
-    run, complete = {""}, True
+    of texts one of which every match holds; both with what may stand right ``before`` the part."""
+    run, complete = set(before), True
     best: set[str] | None = None
     for op, arg in nodes:
         name = str(op)
@@ -140,7 +141,8 @@ def _texts(nodes) -> tuple[set[str] | None, set[str] | None]:
             found = [_texts(b) for b in arg[1]]
             if all(w is not None for w, _ in found):
                 whole = set().union(*(w for w, _ in found))
-            needed = [_better(w, p) for w, p in found]
+            # Alternatives share their first letters, which the parser takes out in front of them
+            needed = [_better(*_texts(b, frozenset(run))) for b in arg[1]]
             part = set().union(*needed) if all(needed) else None
         elif "REPEAT" in name:
             low, high, inner = arg
@@ -160,6 +162,26 @@ def _texts(nodes) -> tuple[set[str] | None, set[str] | None]:
     return run if complete else None, _better(best, run)
 
 
+def any_text(texts: Iterable[str]) -> str:
+    """A pattern that matches the longest of some texts at a place, one letter after the other, so that
+    a place without any is left after a letter or two."""
+    tree: dict = {}
+    for text in texts:
+        node = tree
+        for letter in text:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        ways = [re.escape(c) + written(child) for c, child in sorted(node.items()) if c]
+        if not ways:
+            return ""
+        joined = ways[0] if len(ways) == 1 and "" not in node else "(?:" + "|".join(ways) + ")"
+        return joined + ("?" if "" in node else "")
+
+    return written(tree)
+
+
 @lru_cache(maxsize=None)
 def required_texts(pattern: str, lower: bool = False) -> tuple[str, ...]:
     """Texts one of which occurs in every match of the pattern; none if it needs no particular text.

@@ -117,9 +117,12 @@ def host_notes(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     return both.groupBy("host").agg(F.max("note").alias("note"))
 
 
-def notes_text(rows: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The notes as one text: the bare note when the rows have one host, else a line per host."""
+def notes_text(rows: DataFrame, aliases: DataFrame, max_names: int | None = fixed.HEADER_MAX_NAMES) -> DataFrame:
+    """The notes as one text: the bare note when the rows have one host, else a line per host, of the
+    first ``max_names`` hosts (None: all)."""
     notes = host_notes(rows, aliases)
+    if max_names is not None:
+        notes = notes.orderBy("host").limit(max_names)
     hosts = rows.agg(
         F.count_distinct(
             F.coalesce(blank_to_null(F.col("source_alias")), F.col("source_ip"))

@@ -65,10 +65,13 @@ def known_hosts(pairs: DataFrame, aliases: DataFrame, configured: DataFrame) ->
     return hosts.join(renamed.select(F.col("ip").alias("host")), "host", "left_anti")
 
 
-def _listed(names: DataFrame, kind: str, limit: int) -> DataFrame:
-    """The first ``limit`` names in order, and whether there were more."""
-    first = names.toDF("name").orderBy("name").limit(limit + 1)
+def _listed(names: DataFrame, kind: str, limit: int | None) -> DataFrame:
+    """The first ``limit`` names in order (None: all), and whether there were more."""
+    named = names.toDF("name")
+    first = named if limit is None else named.orderBy("name").limit(limit + 1)
     gathered = first.agg(F.sort_array(F.collect_list("name")).alias("names"))
+    if limit is None:
+        return gathered.select(F.lit(kind).alias("kind"), "names", F.lit(False).alias("truncated"))
     return gathered.select(
         F.lit(kind).alias("kind"),
         F.slice("names", 1, limit).alias("names"),
@@ -80,9 +83,9 @@ def facets(
     logs: DataFrame,
     aliases: DataFrame,
     containers: list[str] = (),
-    limit: int = fixed.FACET_LIMIT,
+    limit: int | None = fixed.FACET_LIMIT,
 ) -> DataFrame:
-    """Two rows, hosts and apps: at most ``limit`` names each in alphabetical order.
+    """Two rows, hosts and apps: at most ``limit`` names each (None: all) in alphabetical order.
 
     The logs are scanned once: their distinct triples, few as they are, are written before both
     lists read them.
@@ -95,15 +98,19 @@ def facets(
     return _listed(hosts, "hosts", limit).unionByName(_listed(apps, "apps", limit))
 
 
-def _mapping(pairs: DataFrame, key: str, value: str, limit: int) -> DataFrame:
-    """Each key with its values in order, at most ``limit``.
+def _mapping(pairs: DataFrame, key: str, value: str, limit: int | None) -> DataFrame:
+    """Each key with its values in order, at most ``limit`` (None: all).
 
     The numbering keeps ``limit + 1`` values per key before any list is built; Spark applies it
     on the map side first, so a key with very many values stays small.
     """
+    named = pairs.filter((F.col("host") != "") & (F.col("app") != ""))
+    if limit is None:
+        names = F.sort_array(F.collect_list(value)).alias("names")
+        return named.groupBy(F.col(key).alias("name")).agg(names).withColumn("truncated", F.lit(False))
     place = F.row_number().over(Window.partitionBy(key).orderBy(value))
     return (
-        pairs.filter((F.col("host") != "") & (F.col("app") != ""))
+        named
         .withColumn("_place", place)
         .filter(F.col("_place") <= limit + 1)
         .groupBy(F.col(key).alias("name"))
@@ -116,9 +123,9 @@ def _mapping(pairs: DataFrame, key: str, value: str, limit: int) -> DataFrame:
     )
 
 
-def host_to_apps(pairs: DataFrame, limit: int = fixed.FACET_LIMIT) -> DataFrame:
+def host_to_apps(pairs: DataFrame, limit: int | None = fixed.FACET_LIMIT) -> DataFrame:
     return _mapping(pairs, "host", "app", limit)
 
 
-def app_to_hosts(pairs: DataFrame, limit: int = fixed.FACET_LIMIT) -> DataFrame:
+def app_to_hosts(pairs: DataFrame, limit: int | None = fixed.FACET_LIMIT) -> DataFrame:
     return _mapping(pairs, "app", "host", limit)

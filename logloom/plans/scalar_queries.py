@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as L
+from ..operators import incidents
 from ..sources import records
 from ..sources.containers import display_name
 from .registry import query, us
+from .secret_samples import SAMPLES
 from .tables import AS_OF
 
 ANSI = r"\x1b(?:\[[0-9;?]*[ -/]*[@-~]|\].*?(?:\x07|\x1b\\)|[@-Z\\-_])"
@@ -244,6 +246,51 @@ def redacted_secrets(t):
     return t.read("events").select("event_id", L.redact(text).alias("text"))
 
 
+def _sample_case(values: list[str], number: str = "event_id", which: str = "event_id % 30") -> str:
+    """SQL: the sample text of a row, with its number in place of ``#``."""
+    ways = " ".join(f"WHEN {k} THEN {_sql_text(v)}" for k, v in enumerate(values))
+    return f"replace(CASE {which} {ways} END, '#', CAST({number} AS VARCHAR))"
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _sampled(t):
+    """Events, each with the sample of one secret kind."""
+    texts = F.array(*[F.lit(text) for _, text, _, _ in SAMPLES])
+    text = F.replace(F.get(texts, (F.col("event_id") % 30).cast("int")), F.lit("#"), F.col("event_id").cast("string"))
+    return t.read("events").select("event_id", text.alias("text"))
+
+
+@query("", f"SELECT event_id, {_sample_case([x for _, _, x, _ in SAMPLES])} AS text FROM events")
+def redacted_kinds(t):
+    """Every secret kind."""
+    return _sampled(t).withColumn("text", L.redact("text"))
+
+
+@query("", "SELECT kind, CAST(count(event_id) AS BIGINT) AS row_count, CAST(count(event_id) AS BIGINT) AS match_count FROM (VALUES "
+       + ", ".join(f"('{x}', {k})" for k, (kind, _, _, more) in enumerate(SAMPLES) for x in (kind, *more))
+       + ") AS s(kind, k) LEFT JOIN events ON event_id % 30 = k GROUP BY kind")
+def secret_kinds_sampled(t):
+    """Rows and matches of every kind over the samples."""
+    return L.secret_hits(_sampled(t), "text")
+
+
+@query("", f"""SELECT event_id, 'row ' || event_id AS sample_log, {_sample_case([x for _, _, x, _ in SAMPLES])} AS incident_summary,
+  {_sample_case([x for _, _, x, _ in SAMPLES], which="(event_id + 7) % 30")} AS user_context FROM events""")
+def redacted_history(t):
+    """The free texts of history rows."""
+    shifted = F.col("event_id") + 7
+    texts = F.array(*[F.lit(text) for _, text, _, _ in SAMPLES])
+    other = F.replace(F.get(texts, (shifted % 30).cast("int")), F.lit("#"), F.col("event_id").cast("string"))
+    rows = _sampled(t).select(
+        "event_id", F.concat(F.lit("row "), F.col("event_id").cast("string")).alias("sample_log"),
+        F.col("text").alias("incident_summary"), other.alias("user_context"),
+    )
+    return incidents.redact_history(rows)
+
+
 @query()
 def secret_kinds(t):
     return L.secret_hits(t.read("documents"), "text")
