@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import join_dimension
 from .shared import SLICE_BYTES, id_remainder, slices, stage, text_binary
@@ -20,6 +20,7 @@ from .shared import SLICE_BYTES, id_remainder, slices, stage, text_binary
 # and the longest text among them, in bytes.
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 200_000
+SAMPLE_TOTAL = 24 << 20
 # Languages of one plane of slots (any number of planes is built); slots; hash functions.
 MAX_LANGUAGES = 64
 SLOT_BITS = 20
@@ -168,8 +169,12 @@ def fit(texts: dict[str, list[bytes]]) -> Filters:
     return Filters.build(languages, [grams[rate >= SHARE * best[place]] for place, (grams, rate) in zip(at, seen, strict=True)])
 
 
-def learn(docs: DataFrame) -> Filters:
-    """Filters from a bounded sample of rows of each language whose id is not held out."""
+def sample(docs: DataFrame) -> DataFrame:
+    """``lang, text`` of a bounded number of rows of each language whose id is not held out.
+
+    Of the ids drawn, every row is a candidate, but by a hash of the row at most ``SAMPLE_ROWS`` and a quarter
+    of each language and ``SAMPLE_TOTAL`` bytes are taken, however often an id repeats.
+    """
     known = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder(F.col("doc_id"), 3) != 1)
     )
@@ -177,7 +182,17 @@ def learn(docs: DataFrame) -> Filters:
     share = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / float(1 << 30)
     sized = join_dimension(known.where(F.octet_length("text") <= SAMPLE_BYTES), sizes, ["lang"], "inner")
     rows = sized.where(share < F.least(F.lit(1.0), F.lit(SAMPLE_ROWS) / F.col("_rows")))
-    sample = rows.select("lang", text_binary(F.col("text")).alias("text")).unionByName(sizes.select("lang", F.lit(None).cast("binary").alias("text")))
+    # Spark cuts to the limit of each language before the shuffle
+    order = Window.partitionBy("lang").orderBy("_place", "doc_id")
+    rows = rows.withColumn("_place", F.xxhash64("doc_id", "text")).withColumn("_number", F.row_number().over(order))
+    rows = rows.where(F.col("_number") <= SAMPLE_ROWS * 5 // 4).withColumn(
+        "_bytes", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ).where(F.col("_bytes") <= SAMPLE_TOTAL)
+    return rows.select("lang", text_binary(F.col("text")).alias("text")).unionByName(sizes.select("lang", F.lit(None).cast("binary").alias("text")))
+
+
+def learn(docs: DataFrame) -> Filters:
+    """Filters from the sample of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[str, list[bytes]] = {}
@@ -187,7 +202,7 @@ def learn(docs: DataFrame) -> Filters:
         yield pa.RecordBatch.from_pydict({"filters": pa.array([pickle.dumps(fit(texts))], pa.binary())})
 
     # One task fits the bounded sample, so that the driver holds the finished filters only.
-    found = sample.repartition(1).mapInArrow(run, "filters binary").first()
+    found = sample(docs).repartition(1).mapInArrow(run, "filters binary").first()
     return pickle.loads(found[0]) if found else fit({})
 
 

@@ -8,22 +8,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .shared import byte_ranges, id_remainder, lower_ascii, slices, text_binary
 
-# Labelled rows that are learnt from, at most about as many of each label (taken by a hash of the
-# id), and the longest text among them, in bytes. Words are marked from all of them; the field is
-# fitted to the toxic ones and as many others.
+# Labelled rows that are learnt from: about as many of each label (by a hash of the id), a quarter more
+# at most; the longest text among them, and all their texts, in bytes. Words are marked from all of
+# them; the field is fitted to the toxic ones and as many others.
 SAMPLE_ROWS = {0: 7500, 1: 2500}
 SAMPLE_BYTES = 200_000
+SAMPLE_TOTAL = 96 << 20
 # A word marks toxic passages if this share of its contexts and of its texts (each as a rate within
 # its label) is toxic, and so many are that chance gives this number of false marks.
 MARK_SHARE = 0.95
 MARK_CHANCE = 0.01
 
 _LANE = 128
-_TABLE_BITS = 18
 _AFFIXES = 1 << 18
 # Lengths in bytes of the word beginnings that are features; those from the second on may be marks.
 _HEADS = (3, 4, 5, 6, 7, 8)
@@ -179,8 +179,8 @@ class Chains:
 
 @dataclass
 class Model:
-    keys: np.ndarray  # hash of the word that owns each slot
-    weights: np.ndarray  # slot x (word, word before, word after)
+    keys: np.ndarray  # hashes of the learnt words, in order
+    weights: np.ndarray  # learnt word x (word, word before, word after)
     affixes: np.ndarray  # weight by affix bucket
     bias: float
     move: np.ndarray
@@ -188,8 +188,10 @@ class Model:
     level: float
 
     def emission(self, words: Words) -> np.ndarray:
-        slot = (words.hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
-        own = np.where((self.keys[slot] == words.hashes)[:, None], self.weights[slot], 0)
+        own = np.zeros((len(words.hashes), 3), np.float32)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, words.hashes), len(self.keys) - 1)
+            own = np.where((self.keys[at] == words.hashes)[:, None], self.weights[at], 0)
         score = self.bias + own[:, 0] + sum(self.affixes[b] for b in words.buckets())
         if len(score) > 1:
             inner = np.ones(len(score), bool)  # words with a word before them in the same text
@@ -294,11 +296,8 @@ def fit(texts: list[bytes], toxic: list[int], rounds: int = 15, rate: float = 0.
         step("affixes", affixes, sum(np.bincount(b, miss, _AFFIXES) for b in buckets))
         step("bias", bias, np.array([miss.sum()]))
         step("move", move, seen - moves)
-    keys, weights = np.zeros(1 << _TABLE_BITS, np.uint64), np.zeros((1 << _TABLE_BITS, 3))
-    for k in np.argsort(np.abs(own).sum(axis=1)):  # the heaviest word of a slot stays
-        slot = int(names[k]) >> (64 - _TABLE_BITS)
-        keys[slot], weights[slot] = names[k], own[k]
-    model = Model(keys, weights.astype(np.float32), affixes.astype(np.float32), float(bias[0]), np.exp(move), 1.0, 0.0)
+    order = np.argsort(names)
+    model = Model(names[order], own[order].astype(np.float32), affixes.astype(np.float32), float(bias[0]), np.exp(move), 1.0, 0.0)
     mass = np.zeros(len(texts))
     for low in range(0, len(texts), 500):
         part = find_all(texts[low : low + 500])
@@ -317,10 +316,13 @@ def fit(texts: list[bytes], toxic: list[int], rounds: int = 15, rate: float = 0.
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits the model on a bounded sample of labelled rows whose id is not held out.
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, toxic, text`` of a bounded number of labelled rows whose id is not held out.
 
-    Null ids, labels and texts are passed over.
+    Null ids, labels and texts are passed over, and so are texts of more than ``SAMPLE_BYTES``. An id
+    labelled 0 and 1 is learnt as both. Of the ids drawn, every row is a candidate, but by a hash of the row
+    at most ``SAMPLE_ROWS`` and a quarter of each label and ``SAMPLE_TOTAL`` bytes are taken, so the
+    task that fits is bounded however often an id repeats.
     """
     known = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -333,7 +335,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rows = (
         docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
         .join(chosen, "doc_id").select("doc_id", "toxic", text_binary(F.col("text")).alias("text"))
+        .withColumn("place", F.xxhash64("doc_id", "text"))
     )
+    parts = [rows.where(F.col("toxic") == t).orderBy("place", "doc_id").limit(SAMPLE_ROWS[t] * 5 // 4) for t in (0, 1)]
+    taken = F.sum(F.octet_length("text")).over(Window.orderBy("place", "doc_id", "toxic").rowsBetween(Window.unboundedPreceding, 0))
+    # About 12,500 rows at most from here on
+    return parts[0].union(parts[1]).withColumn("bytes", taken).where(F.col("bytes") <= SAMPLE_TOTAL).select("doc_id", "toxic", "text")
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fits the model on the sample of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [x.to_pydict() for x in batches]
@@ -342,7 +353,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     # One task fits the bounded sample, so that the driver holds the finished model only.
-    found = rows.repartition(1).mapInArrow(run, "model binary").first()
+    found = sample(docs, labels).repartition(1).mapInArrow(run, "model binary").first()
     return pickle.loads(found[0]) if found else fit([], [])
 
 

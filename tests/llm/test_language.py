@@ -78,3 +78,17 @@ def test_held_out_documents(spark):
     got = QUERIES["op4_language_id"](spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     right, all_ = got.where("held_out").selectExpr("count_if(lang = lang_pred)", "count(*)").first()
     assert right / all_ > 0.98
+
+
+def test_sample_is_bounded_however_often_an_id_repeats(spark, monkeypatch):
+    import zlib
+
+    learnt = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"text {i}", "aa") for i in learnt] + [(learnt[0], f"copy {k}", "aa") for k in range(3000)] + [(learnt[1], f"{k} " + "x" * 190_000, "bb") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(L, "SAMPLE_ROWS", 80)
+    monkeypatch.setattr(L, "SAMPLE_TOTAL", 1 << 20)
+    found = L.sample(docs).where("text is not null").collect()
+    sizes = {lang: [len(r.text) for r in found if r.lang == lang] for lang in ("aa", "bb")}
+    assert len(sizes["aa"]) <= 100 and 0 < sum(sizes["bb"]) <= 1 << 20
+    assert len(L.languages(docs).collect()) == len(rows)
