@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import byte_ranges, lower_ascii, slices, text_binary
+from ..session import join_dimension
+from .shared import byte_ranges, lower_ascii, slices, stage, text_binary
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-# Bytes of item texts that are searched for in one pass over the documents; more items take more passes.
-ITEM_BYTES = 16 << 20
+# Bits of a place in the filter of shingles: it grows with the items from the first to the second.
+FILTER_BITS = (20, 23)
+# Texts found contaminated that are broadcast at most (their digests, behind a count of rows and bytes).
+SMALL_ROWS = 800_000
 
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -22,7 +25,6 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _WORD[_a:_b] = True
-_FILTER_BITS = 20
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -74,136 +76,165 @@ class Text:
         return b" ".join(self.data[self.starts[k] : self.ends[k]].tobytes() for k in range(begin, begin + width))
 
 
-class Index:
-    """Items by size, each with the least MinHash values of its shingles.
+def _texts(column: pa.Array) -> Iterator[tuple[int, Text]]:
+    """The texts of a binary column, slice by slice, with the first row of each."""
+    data, offsets = byte_ranges(column)
+    for i, j in slices(offsets):
+        yield i, Text.of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
-    An item of n shingles is contained at the threshold t if ``need = ceil(t n)`` of them are in a
-    document. Then at least one of any ``n - need + 1`` of its shingles is, also of those with the
-    least hash values; so a document is a candidate exactly if it holds a value of that sketch. The
-    length of the sketch depends on n alone: items are kept by size, in classes that double, and
-    each class has its own table. Items of fewer words than a shingle are one shingle of all their words.
-    """
 
-    def __init__(self, texts: list[bytes], containment: float = CONTAINMENT, shingle: int = SHINGLE):
-        self.containment = containment
-        self.grams: list[set[bytes]] = []
-        self.width: list[int] = []
-        kept: dict[tuple[int, int], list[tuple[np.ndarray, int]]] = {}
-        every: dict[int, list[np.ndarray]] = {}
-        for at, raw in enumerate(texts):
-            text = Text.of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            width = min(shingle, len(text.starts))
-            hashes, begins = text.shingles(width) if width else (np.zeros(0, np.uint64), [])
-            self.width.append(width)
-            self.grams.append({text.words(int(b), width) for b in begins})
-            values = np.unique(hashes)
-            if len(values):
-                sketch = values[: len(values) - math.ceil(containment * len(values) - 1e-9) + 1]
-                kept.setdefault((width, len(values).bit_length()), []).append((sketch, at))
-                every.setdefault(width, []).append(values)
-        self.tables = {}
-        for key, parts in sorted(kept.items()):
-            values = np.concatenate([v for v, _ in parts])
-            items = np.concatenate([np.full(len(v), at) for v, at in parts])
-            order = np.argsort(values, kind="stable")
-            self.tables[key] = (values[order], items[order])
-        self.every = {width: np.unique(np.concatenate(v)) for width, v in every.items()}
-        self.filter = {}
-        for width, values in self.every.items():
-            bits = np.zeros(1 << _FILTER_BITS, bool)
-            bits[(values >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            self.filter[width] = bits
-
-    def search(self, text: Text) -> list[tuple[int, int, int, int]]:
-        """``(row, item, shingles of the item, those in the row)`` where enough are contained."""
-        held: dict[tuple[int, int], list[int]] = {}
-        pairs: set[tuple[int, int]] = set()
-        for width, values in self.every.items():
-            hashes, begins = text.shingles(width)
-            maybe = self.filter[width][(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
-            hashes, begins = hashes[maybe], begins[maybe]
-            found = values[np.minimum(np.searchsorted(values, hashes), len(values) - 1)] == hashes
-            hashes, begins = hashes[found], begins[found]
-            rows = np.searchsorted(text.first, begins, "right") - 1
-            for row, begin in zip(rows.tolist(), begins.tolist(), strict=True):
-                held.setdefault((row, width), []).append(begin)
-            for (w, _), (sketch, items) in self.tables.items():
-                if w == width:
-                    low, high = np.searchsorted(sketch, hashes, "left"), np.searchsorted(sketch, hashes, "right")
-                    for k in np.flatnonzero(high > low).tolist():
-                        pairs.update((int(rows[k]), int(i)) for i in items[low[k] : high[k]])
-        strings: dict[tuple[int, int], set[bytes]] = {}
-        out = []
-        for row, item in sorted(pairs):
-            key = (row, self.width[item])
-            if key not in strings:
-                strings[key] = {text.words(b, key[1]) for b in held[key]}
-            grams = self.grams[item]
-            inside = len(grams & strings[key])
-            if inside >= math.ceil(self.containment * len(grams) - 1e-9):
-                out.append((row, item, len(grams), inside))
-        return out
-
-
-MATCHES = "array<struct<item:int,n_shingles:int,n_contained:int>>"
-
-
-def contained_items(text: Column, index: Index) -> Column:
-    """The contained items of each whole text, by their place in the index."""
-
-    @F.arrow_udf(MATCHES)
+ITEM = "struct<width:int,grams:array<struct<hash:bigint,gram:binary>>>"
+_GRAM = pa.struct([("hash", pa.int64()), ("gram", pa.binary())])
+
+
+def item_shingles(text: Column) -> Column:
+    """The distinct shingles of each text, least hash first; a text of fewer words is one shingle."""
+
+    @F.arrow_udf(ITEM)
+    def run(texts: pa.Array) -> pa.Array:
+        found = []
+        for _, part in _texts(texts):
+            for row in range(len(part.first) - 1):
+                low, high = int(part.first[row]), int(part.first[row + 1])
+                width = min(SHINGLE, high - low)
+                one = Text(part.data, part.starts[low:high], part.ends[low:high], np.array([0, high - low]), part.hashes[low:high])
+                hashes, begins = one.shingles(width) if width else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                grams = {one.words(int(b), width): h for h, b in zip(hashes.view(np.int64).tolist(), begins.tolist(), strict=True)}
+                found.append({"width": width, "grams": [{"hash": h, "gram": g} for g, h in sorted(grams.items(), key=lambda x: (x[1], x[0]))]})
+        return pa.array(found, pa.struct([("width", pa.int32()), ("grams", pa.list_(_GRAM))]))
+
+    return run(text)
+
+
+class Filter:
+    """Which hashes may belong to a shingle of an item: two bits of a table per width, so its size does
+    not grow with the items beyond ``FILTER_BITS``."""
+
+    def __init__(self, bits: int, tables: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.bits, self.tables = bits, tables
+
+    @classmethod
+    def of(cls, shingles: DataFrame) -> Filter:
+        """From ``width, hash`` of the shingles of all items; the driver sees places in the tables only."""
+        n = shingles.count()
+        bits = max(FILTER_BITS[0], min(FILTER_BITS[1], (8 * n).bit_length()))
+        tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        mask = (1 << bits) - 1
+        for k, place in enumerate((F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND(mask))):
+            used = shingles.select("width", place.alias("place")).distinct().toArrow()  # at most 2 ** bits per width
+            widths, places = used["width"].to_numpy(), used["place"].to_numpy()
+            for width in np.unique(widths).tolist():
+                tables.setdefault(width, tuple(np.zeros(1 << bits, bool) for _ in range(2)))[k][places[widths == width]] = True
+        return cls(bits, tables)
+
+    def may_hold(self, width: int, hashes: np.ndarray) -> np.ndarray:
+        high, low = self.tables[width]
+        places = hashes.view(np.int64) & ((1 << self.bits) - 1)
+        return high[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)] & low[places]
+
+
+PROBE = "struct<words:int,hits:array<struct<width:int,hash:bigint,gram:binary>>>"
+
+
+def probe(text: Column, known: Filter) -> Column:
+    """The number of words of each whole text, and those of its shingles that the filter lets pass."""
+
+    @F.arrow_udf(PROBE)
     def run(texts: pa.Array) -> pa.Array:
-        data, offsets = byte_ranges(texts)
-        found: list[list[dict[str, int]]] = [[] for _ in range(len(texts))]
-        for i, j in slices(offsets):
-            text = Text.of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            for row, item, n, inside in index.search(text):
-                found[i + row].append({"item": item, "n_shingles": n, "n_contained": inside})
-        item = pa.struct([("item", pa.int32()), ("n_shingles", pa.int32()), ("n_contained", pa.int32())])
-        return pa.array(found, pa.list_(item))
+        words: list[int] = []
+        hits: list[list[dict]] = []
+        for _, part in _texts(texts):
+            words.extend(np.diff(part.first).tolist())
+            rows: list[dict[tuple[int, bytes], int]] = [{} for _ in range(len(part.first) - 1)]
+            for width in known.tables:
+                hashes, begins = part.shingles(width)
+                kept = known.may_hold(width, hashes)
+                begins, values = begins[kept], hashes[kept].view(np.int64).tolist()
+                row = (np.searchsorted(part.first, begins, "right") - 1).tolist()
+                for r, b, h in zip(row, begins.tolist(), values, strict=True):
+                    rows[r][width, part.words(b, width)] = h
+            hits.extend([{"width": w, "hash": h, "gram": g} for (w, g), h in found.items()] for found in rows)
+        kind = pa.struct([("width", pa.int32()), ("hash", pa.int64()), ("gram", pa.binary())])
+        return pa.StructArray.from_arrays([pa.array(words, pa.int32()), pa.array(hits, pa.list_(kind))], names=["words", "hits"])
 
     return run(text_binary(text))
 
 
-def _blocks(benchmark: DataFrame) -> list[tuple[list, Index]]:
-    """Ids and index of the items, in blocks of bounded size."""
+def _digest(text: Column) -> Column:
+    """Texts are told apart by their SHA-256, so copies of a text are searched once."""
+    return F.unhex(F.sha2(text_binary(text), 256))
+
+
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """``uid, item_id, width, grams, n, need, size_class`` of every distinct item that has a word."""
     items = benchmark.select("item_id", text_binary(F.col("text")).alias("text")).distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    parts = max(1, -(-size // ITEM_BYTES))
-    out = []
-    for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, bytes(r[1])))
-        out.append(([r[0] for r in rows], Index([bytes(r[1]) for r in rows])))
-    return out
+    found = items.select("item_id", F.monotonically_increasing_id().alias("uid"), item_shingles(F.col("text")).alias("found"))
+    n = F.size("grams")
+    return stage(
+        found.select("uid", "item_id", "found.*").where(n > 0).withColumns(
+            {"n": n, "need": F.ceil(F.lit(CONTAINMENT) * n - 1e-9).cast("int"), "size_class": F.floor(F.log2(n)).cast("int")}
+        ),
+        "items",
+    )
+
+
+def _pairs(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, digest`` of the documents that hold a shingle of an item, and ``digest, item_id, n, inside`` of
+    the items that a text contains.
+
+    An item of n shingles is contained at the threshold t if ``need = ceil(t n)`` of them are in a text. Then at
+    least one of any ``n - need + 1`` of them is, also of those with the least hash values: its sketch. The
+    sketch's length depends on n, so items are kept by size, in classes that double; a text meets
+    the classes that are not larger than itself. A text that holds a value of a sketch is a candidate, and
+    its shingles are then compared with the item's, as texts.
+    """
+    items = benchmark_items(benchmark)
+    known = Filter.of(items.select("width", F.explode("grams.hash").alias("hash")).distinct())
+    probed = stage(
+        docs.select("doc_id", _digest(F.col("text")).alias("digest"), probe(F.col("text"), known).alias("found"))
+        .select("doc_id", "digest", "found.*").where(F.size("hits") > 0),
+        "probed",
+    )
+    hits = stage(probed.select("digest", "words", F.inline("hits")).distinct(), "hits")
+    sketch = F.slice("grams.hash", 1, F.col("n") - F.col("need") + 1)
+    sketches = items.select("uid", "width", "need", "size_class", F.explode(sketch).alias("hash")).distinct()
+    room = F.col("words") - F.col("width") + 1  # shingles that the text has room for
+    met = join_dimension(hits.withColumn("room", room), stage(sketches, "sketches"), ["width", "hash"], "inner")
+    # A class above the next one needs more shingles than the text has room for
+    possible = (F.col("size_class") <= F.floor(F.log2("room")) + 1) & (F.col("need") <= F.col("room"))
+    candidates = stage(met.where(possible).select("digest", "uid").distinct(), "candidates")
+    grams = items.select("uid", "item_id", "width", "n", "need", F.explode("grams.gram").alias("gram"))
+    wanted = join_dimension(candidates, grams, ["uid"], "inner")
+    contained = (
+        wanted.join(hits.select("digest", "width", "gram").distinct(), ["digest", "width", "gram"])
+        .groupBy("digest", "uid").agg(F.first("item_id").alias("item_id"), F.first("n").alias("n"), F.first("need").alias("need"), F.count("*").alias("inside"))
+        .where(F.col("inside") >= F.col("need"))
+    )
+    return probed.select("doc_id", "digest"), stage(contained.select("digest", "item_id", "n", "inside"), "contained")
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_shingles, n_contained, containment`` where at least 0.8 of an item's distinct
     shingles of five words are anywhere in a document.
 
-    Words are runs of letters and digits with A-Z in lower case. Null and empty texts, of items or
+    Words are runs of letters and digits with A-Z in lower case. An item of fewer words is one shingle: an item of
+    one word is contained in every document with that word. Null and empty texts, of items or
     documents, contain nothing and are nowhere contained; repeated documents are each returned, an
     item repeated with the same id and text counts once; null ids are kept. Empty tables give an
-    empty result.
+    empty result. Neither items nor documents pass the driver; tables are broadcast where counted small.
     """
-    result = None
-    for ids, index in _blocks(benchmark):
-        names = F.array(*[F.lit(i).cast("long") for i in ids]) if ids else F.array(F.lit(None).cast("long"))
-        part = (
-            docs.select("doc_id", F.inline(contained_items(F.col("text"), index)))
-            .withColumn("item_id", F.get(names, F.col("item")))
-            .select("doc_id", "item_id", "n_shingles", "n_contained", (F.col("n_contained") / F.col("n_shingles")).alias("containment"))
-        )
-        result = part if result is None else result.unionByName(part)
-    return result
+    rows, contained = _pairs(docs, benchmark)
+    return join_dimension(rows, contained, ["digest"], "inner", SMALL_ROWS).select(
+        "doc_id", F.col("item_id").cast("long").alias("item_id"), F.col("n").alias("n_shingles"),
+        F.col("inside").cast("int").alias("n_contained"), (F.col("inside") / F.col("n")).alias("containment"),
+    )
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item."""
-    for _, index in _blocks(benchmark):
-        docs = docs.where(F.size(contained_items(F.col("text"), index)) == 0)
-    return docs
+    _, contained = _pairs(docs, benchmark)
+    bad = stage(contained.select(F.col("digest").alias("_digest")).distinct(), "contaminated")
+    return join_dimension(docs.withColumn("_digest", _digest(F.col("text"))), bad, ["_digest"], "left_anti", SMALL_ROWS).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -6,6 +6,7 @@ import re
 
 import pytest
 from compare import connect
+from logloom import session
 from logloom.llm import decontamination as D
 from logloom.llm.queries import QUERIES
 
@@ -32,9 +33,12 @@ def plain(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("item_bytes", [16 << 20, 900])
-def test_planted_items(spark, monkeypatch, item_bytes):
-    monkeypatch.setattr(D, "ITEM_BYTES", item_bytes)
+@pytest.mark.parametrize("bits, small", [((20, 23), 200_000), ((3, 3), -1)])
+def test_planted_items(spark, monkeypatch, bits, small):
+    """Also with a filter that lets much pass, and with tables that count as large."""
+    monkeypatch.setattr(D, "FILTER_BITS", bits)
+    if small < 0:
+        monkeypatch.setattr(session, "is_small", lambda *_: False)
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(60)] + ["Über", "don't", "x-y"]
     some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
