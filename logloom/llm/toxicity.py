@@ -8,12 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import byte_ranges, id_remainder, lower_ascii, slices, text_binary
 
-# Labelled rows that are learnt from: about as many of each label (by a hash of the id), a quarter more
-# at most; the longest text among them, and all their texts, in bytes. Words are marked from all of
+# Labelled rows that are learnt from, about as many of each label and a quarter more at most; the longest text among them, and all their texts, in bytes. Words are marked from all of
 # them; the field is fitted to the toxic ones and as many others.
 SAMPLE_ROWS = {0: 7500, 1: 2500}
 SAMPLE_BYTES = 200_000
@@ -91,14 +90,20 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
 def find_all(texts: list[bytes]) -> Words:
     """The words of many texts, found slice by slice; the byte ranges are left out."""
     offsets = np.concatenate([[0], np.cumsum(np.array([len(t) for t in texts], np.int64))])
-    parts = []
-    for i, j in slices(offsets):
-        parts.append(find_words(np.frombuffer(b"".join(texts[i:j]), np.uint8), offsets[i : j + 1] - offsets[i]))
-    counts = [np.diff(w.first) for w in parts] or [np.zeros(0, np.int64)]
     none = np.zeros(0, np.int64)
-    hashes = np.concatenate([w.hashes for w in parts] or [np.zeros(0, np.uint64)])
-    affixes = np.concatenate([w.affixes for w in parts] or [np.zeros((len(_HEADS) + 1, 0), np.uint32)], axis=1)
-    return Words(none, none, np.concatenate([[0], np.cumsum(np.concatenate(counts))]), hashes, affixes)
+    counts, hashes, affixes = [none], [np.zeros(0, np.uint64)], [np.zeros((len(_HEADS) + 1, 0), np.uint32)]
+    for i, j in slices(offsets):
+        words = find_words(np.frombuffer(b"".join(texts[i:j]), np.uint8), offsets[i : j + 1] - offsets[i])
+        counts.append(np.diff(words.first))
+        hashes.append(words.hashes)
+        affixes.append(words.affixes)
+    joined = np.empty((len(_HEADS) + 1, sum(x.shape[1] for x in affixes)), np.uint32)
+    at = joined.shape[1]
+    while affixes:  # each part goes as it is copied
+        part = affixes.pop()
+        at -= part.shape[1]
+        joined[:, at : at + part.shape[1]] = part
+    return Words(none, none, np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(hashes), joined)
 
 
 class Chains:
@@ -241,10 +246,11 @@ def mark_words(words: Words, toxic: np.ndarray) -> np.ndarray:
     """
     if not len(words.hashes):
         return np.zeros(0)
-    text = np.repeat(np.arange(len(toxic)), np.diff(words.first))
-    label = toxic[text]
-    before = np.concatenate([[np.uint64(0)], words.hashes[:-1]])
-    context = (before * _BASE) ^ (np.append(words.hashes[1:], np.uint64(0)) * _MIX)
+    text = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(words.first))
+    label = toxic.astype(np.int8)[text]
+    context = np.zeros(len(words.hashes), np.uint64)
+    context[1:] = words.hashes[:-1] * _BASE
+    context[:-1] ^= words.hashes[1:] * _MIX
     found = np.zeros(len(label), bool)
     for keys in (words.hashes, *words.affixes[1 : len(_HEADS)]):
         found |= np.isin(keys, _marked(keys, context, text, label))
@@ -259,6 +265,7 @@ def fit(texts: list[bytes], toxic: list[int], rounds: int = 15, rate: float = 0.
     tags = mark_words(every, labels)
     keep = np.flatnonzero((labels == 1) | (np.cumsum(labels == 0) <= max(labels.sum(), 100)))
     tags = tags[np.repeat(np.isin(np.arange(len(labels)), keep), np.diff(every.first))]
+    del every
     words = find_all([texts[k] for k in keep])
     names, word = np.unique(words.hashes, return_inverse=True)
     n = len(word)
@@ -320,27 +327,33 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, toxic, text`` of a bounded number of labelled rows whose id is not held out.
 
     Null ids, labels and texts are passed over, and so are texts of more than ``SAMPLE_BYTES``. An id
-    labelled 0 and 1 is learnt as both. Of the ids drawn, every row is a candidate, but by a hash of the row
-    at most ``SAMPLE_ROWS`` and a quarter of each label and ``SAMPLE_TOTAL`` bytes are taken, so the
-    task that fits is bounded however often an id repeats.
+    labelled 0 and 1 is learnt as both. About ``SAMPLE_ROWS`` ids of each label are drawn; where ids repeat, so
+    that their rows are more, or their texts more than ``SAMPLE_TOTAL`` bytes, rows are drawn
+    from them by a hash of the row's number. So the task that fits is bounded however often an id repeats.
     """
     known = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("toxic").isin(0, 1) & (id_remainder(F.col("doc_id"), 3) != 1)).distinct()
     )
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    limits = F.create_map(*[F.lit(x) for t in (0, 1) for x in (t, min(1.0, SAMPLE_ROWS[t] / max(1, sizes.get(t, 0))))])
-    chosen = F.broadcast(known.where(share < limits[F.col("toxic")]))  # about 10,000 ids
+
+    def chance(*columns: str) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / float(1 << 30)
+
+    def by_label(shares: dict[int, float]) -> Column:
+        return F.create_map(*[F.lit(x) for t in (0, 1) for x in (t, shares.get(t, 1.0))])[F.col("toxic")]
+
+    drawn = by_label({t: min(1.0, SAMPLE_ROWS[t] / n) for t, n in sizes.items()})
+    chosen = F.broadcast(known.where(chance("doc_id") < drawn))  # about 10,000 ids
     rows = (
-        docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-        .join(chosen, "doc_id").select("doc_id", "toxic", text_binary(F.col("text")).alias("text"))
-        .withColumn("place", F.xxhash64("doc_id", "text"))
+        docs.select("doc_id", "text", F.monotonically_increasing_id().alias("number"))
+        .where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).join(chosen, "doc_id")
     )
-    parts = [rows.where(F.col("toxic") == t).orderBy("place", "doc_id").limit(SAMPLE_ROWS[t] * 5 // 4) for t in (0, 1)]
-    taken = F.sum(F.octet_length("text")).over(Window.orderBy("place", "doc_id", "toxic").rowsBetween(Window.unboundedPreceding, 0))
-    # About 12,500 rows at most from here on
-    return parts[0].union(parts[1]).withColumn("bytes", taken).where(F.col("bytes") <= SAMPLE_TOTAL).select("doc_id", "toxic", "text")
+    found = rows.groupBy("toxic").agg(F.count("*"), F.sum(F.octet_length("text"))).collect()
+    shares = {t: min(1.0, SAMPLE_ROWS[t] * 1.25 / n, SAMPLE_TOTAL / 2 / max(size, 1)) for t, n, size in found}
+    if any(x < 1 for x in shares.values()):
+        rows = rows.where(chance("number", "doc_id") < by_label(shares))
+    return rows.select("doc_id", "toxic", text_binary(F.col("text")).alias("text"))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
