@@ -74,3 +74,19 @@ CONTAINER_SOURCE = "docker"
 
 # Hosts, apps and notes that a review header lists; the rest is counted.
 HEADER_MAX_NAMES = 1000
+
+# Texts of incident summaries.
+STORM_HEAD = "Log storm detected: "
+STORM_APP = " logs/s).\n\n### Primary Culprits\n- Top Service / App: "
+STORM_HOST = "\n- Top Host / Source: "
+STORM_MESSAGE = "\n- Top Pattern: "
+PLAIN_HEAD, PLAIN_END = "Alert triggered with ", " matching event(s)."
+
+# Texts of the daily digest.
+DIGEST_HEAD = "### 24-Hour Analytical Rollup"
+DIGEST_TOTAL = "- **Total Logs Ingested:** "
+DIGEST_DELTA = "- **System Storage Delta:** "
+DIGEST_ERRORS = "### Top Apps / Hosts with Errors or Above"
+DIGEST_NO_ERRORS = "- No errors or critical events recorded in the last 24 hours."
+DIGEST_SERVICES = "### Top Logging Services"
+DIGEST_NO_SERVICES = "- No log activity recorded."

@@ -400,14 +400,14 @@ def summarize_incident(df: DataFrame) -> DataFrame:
 
     rate = measured_rate(F.col("trigger_count"), F.col("window_seconds"))
     storm = F.concat(
-        F.lit("Log storm detected: "), F.col("trigger_count").cast("string"), F.lit(" logs in "),
+        F.lit(fixed.STORM_HEAD), F.col("trigger_count").cast("string"), F.lit(" logs in "),
         F.col("window_seconds").cast("string"), F.lit("s ("), F.format_string("%.1f", rate),
-        F.lit(" logs/s).\n\n### Primary Culprits\n- Top Service / App: "), named("app", "Unknown"),
-        F.lit("\n- Top Host / Source: "), named("host", "Unknown"),
-        F.lit("\n- Top Pattern: "), named("message", "N/A"),
+        F.lit(fixed.STORM_APP), named("app", "Unknown"),
+        F.lit(fixed.STORM_HOST), named("host", "Unknown"),
+        F.lit(fixed.STORM_MESSAGE), named("message", "N/A"),
     )
     plain = F.concat(
-        F.lit("Alert triggered with "), F.col("trigger_count").cast("string"), F.lit(" matching event(s).")
+        F.lit(fixed.PLAIN_HEAD), F.col("trigger_count").cast("string"), F.lit(fixed.PLAIN_END)
     )
     return df.withColumn(
         "incident_summary", F.when(F.col("rule_type") == "rate", storm).otherwise(plain)

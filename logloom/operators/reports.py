@@ -167,15 +167,15 @@ def digest_text(logs: DataFrame, metrics: DataFrame, current_bytes: int, as_of=N
     delta = storage_delta(metrics, current_bytes, as_of).select("delta_text").scalar()
     body = F.concat_ws(
         "\n",
-        F.lit("### 24-Hour Analytical Rollup"),
-        F.concat(F.lit("- **Total Logs Ingested:** "), F.format_number("total_logs", 0)),
-        F.concat(F.lit("- **System Storage Delta:** "), delta),
+        F.lit(fixed.DIGEST_HEAD),
+        F.concat(F.lit(fixed.DIGEST_TOTAL), F.format_number("total_logs", 0)),
+        F.concat(F.lit(fixed.DIGEST_DELTA), delta),
         F.lit(""),
-        F.lit("### Top Apps / Hosts with Errors or Above"),
-        listed(errors, "- No errors or critical events recorded in the last 24 hours."),
+        F.lit(fixed.DIGEST_ERRORS),
+        listed(errors, fixed.DIGEST_NO_ERRORS),
         F.lit(""),
-        F.lit("### Top Logging Services"),
-        listed(services, "- No log activity recorded."),
+        F.lit(fixed.DIGEST_SERVICES),
+        listed(services, fixed.DIGEST_NO_SERVICES),
     )
     return totals.select(body.alias("body"))
 
