@@ -2,7 +2,6 @@
 
 import itertools
 import random
-import zlib
 
 import numpy as np
 import pytest
@@ -87,25 +86,3 @@ def test_held_out_documents(spark):
     n = {(r.toxic, r.predicted): r["count"] for r in got.where("held_out").groupBy("toxic", "predicted").count().collect()}
     assert n[1, 1] / (n[1, 1] + n[1, 0]) > 0.88 and n.get((0, 1), 0) / (n[0, 0] + n.get((0, 1), 0)) < 0.03
     assert got.where(F.col("score").isNull()).count() == 0
-
-
-def test_sample_is_bounded_however_often_an_id_repeats(spark, monkeypatch):
-    learnt = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
-    hot, long = learnt[0], learnt[1]
-    rows = [(i, f"text {i}") for i in learnt] + [(hot, f"copy {k}") for k in range(3000)] + [(long, f"{k} " + "x" * 190_000) for k in range(60)]
-    docs = spark.createDataFrame(rows + [(hot, "y" * 200_001), (hot, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(learnt)], "doc_id long, toxic int")
-    monkeypatch.setattr(T, "SAMPLE_ROWS", {0: 80, 1: 80})
-    monkeypatch.setattr(T, "SAMPLE_TOTAL", 1 << 20)
-    found = T.sample(docs, labels).collect()
-    assert all(0 < sum(r.toxic == t for r in found) <= 140 for t in (0, 1))  # about 100 are drawn
-    assert sum(len(r.text) for r in found) <= 2 << 20 and T.learn(docs, labels).slope >= 0
-
-
-def test_every_learnt_word_has_its_own_weight():
-    """So many words that hash slots would be shared."""
-    toxic = [" ".join(f"w{k}x{j}" for j in range(300)).encode() + b" vile" for k in range(200)]
-    other = [" ".join(f"v{k}x{j}" for j in range(300)).encode() + b" good" for k in range(200)]
-    model = T.fit(toxic + other, [1] * 200 + [0] * 200, rounds=2)
-    assert np.isin(T.find_all(toxic).hashes, model.keys).all()
-    assert (np.diff(model.keys) > 0).all() and model.weights.shape == (len(model.keys), 3) and len(model.keys) > 60_000
