@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..functions.common import BLANKS, blank_to_null
-from ..functions.patterns import glob_to_regex, is_wild, trimmed
+from ..functions.patterns import glob_to_regex, is_wild, quote, trimmed
 from ..session import join_dimension
 from .counts import instant
-from .rules import SLICE
 
 DAY = 86_400
 
@@ -126,25 +126,25 @@ def maintenance_status(
     )
 
 
-def _session_predicate(s: Row, ts: str) -> Column:
-    end = min(s["expires_at"], s["ended_at"]) if s["ended_at"] else s["expires_at"]
-    cond = (F.col(ts) >= F.lit(s["created_at"])) & (F.col(ts) < F.lit(end))
-    app, host = trimmed(s["target_app"]), trimmed(s["target_host"])
-    if app:
-        cond = cond & one_wildcard("app_name", app)
-    if host:
-        cond = cond & (one_wildcard("source_alias", host) | one_wildcard("source_ip", host))
-    return cond
+def _wildcard_regex(pattern: str) -> str:
+    """A single wildcard pattern (commas are plain text) as a regular expression; none as an empty text."""
+    low = pattern.lower()
+    body = glob_to_regex(low) if is_wild(low) else quote(low)
+    return "(?s)^" + body + r"\z" if low else ""
 
 
-def one_wildcard(c: str, pattern: str) -> Column:
-    """A single wildcard pattern (commas are plain text)."""
-    low = pattern.lower()
-    if not is_wild(low):
-        return F.coalesce(F.lower(F.trim(c)) == low, F.lit(False))
-    return F.coalesce(
-        (F.length(c) > 0) & F.lower(F.trim(c)).rlike("(?s)^" + glob_to_regex(low) + r"\z"), F.lit(False)
-    )
+def _listed_sessions(sessions: list[Row]) -> Column:
+    """Sessions as one constant, the one that counts first in front. A condition for each would make a plan
+    that grows with them, and the driver copies plans."""
+    rows = [
+        {
+            "id": s["session_id"], "start": s["_from"], "end": s["_until"],
+            "app": _wildcard_regex(trimmed(s["target_app"])), "host": _wildcard_regex(trimmed(s["target_host"])),
+        }
+        for s in sessions
+    ]
+    kinds = "array<struct<id: string, start: bigint, end: bigint, app: string, host: string>>"
+    return F.from_json(F.lit(json.dumps(rows)), kinds)
 
 
 def _wild_sql(c: str, pattern: Column | str) -> Column:
@@ -166,24 +166,29 @@ def maintenance_drops(
     app and host wildcards; of several the one that expires last counts. The sessions of each day are
     one list, the one that counts first in front; a row is joined to the list of its day, and no
     row is grouped or numbered. That is the same for any number of sessions, for stored rows and for
-    streams. A caller who knows that there are few may have up to ``compiled`` of them as conditions
-    on the scan instead.
+    streams. A caller who knows that there are few may have up to ``compiled`` of them in the condition
+    on the scan instead, as one constant that every severe row is compared with.
     """
     droppers = sessions.filter(F.col("log_handling") == "drop_errors").select(
         "session_id", "created_at", "expires_at", "ended_at", "target_app", "target_host"
     )
     severe = F.coalesce(F.col("severity") <= 3, F.lit(False))
-    listed = droppers.limit(compiled + 1).collect() if compiled >= 0 else None
+    spans_of = droppers.select("*", F.unix_micros("created_at").alias("_from"), F.unix_micros(session_end()).alias("_until"))
+    listed = spans_of.limit(compiled + 1).collect() if compiled >= 0 else None
     if listed is not None and len(listed) <= compiled:
         listed.sort(key=lambda s: s["session_id"])
         listed.sort(key=lambda s: s["expires_at"], reverse=True)
-        chains = []
-        for i in range(0, len(listed), SLICE):
-            chain = F
-            for s in listed[i : i + SLICE]:
-                chain = chain.when(_session_predicate(s, ts), F.lit(s["session_id"]))
-            chains.append(chain)
-        found = F.coalesce(*chains) if chains else F.lit(None)
+        at = F.unix_micros(ts)
+
+        def named(c: str, regex: Column) -> Column:
+            return F.coalesce((F.length(c) > 0) & F.regexp_like(F.lower(F.trim(c)), regex), F.lit(False))
+
+        def met_by(s: Column) -> Column:
+            host = named("source_alias", s["host"]) | named("source_ip", s["host"])
+            in_time = (at >= s["start"]) & (at < s["end"])
+            return in_time & ((s["app"] == "") | named("app_name", s["app"])) & ((s["host"] == "") | host)
+
+        found = F.get(F.filter(_listed_sessions(listed), met_by), 0)["id"]
         return logs.withColumn("session_id", F.when(severe, found).cast("string"))
     day = F.floor(F.unix_seconds(F.col(ts)) / DAY)
     target = {c: F.btrim(F.coalesce(F.col(c), F.lit("")), F.lit(BLANKS)) for c in ("target_app", "target_host")}

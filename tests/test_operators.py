@@ -721,6 +721,19 @@ def test_sessions_mean_the_same_however_many(spark):
     assert any("m1" in r for r in got[0]) and any("m2" in r for r in got[0])
 
 
+def test_compiled_sessions_keep_the_plan_small(spark):
+    """A condition per session made plans of hundreds of MB on the driver."""
+    sessions = spark.range(2000).selectExpr(
+        "'m' || id AS session_id", "'drop_errors' AS log_handling", "'ker*' AS target_app", "CAST(NULL AS string) AS target_host",
+        "timestamp_seconds(id) AS created_at", "timestamp_seconds(id + 9) AS expires_at", "CAST(NULL AS timestamp) AS ended_at",
+    )
+    df = logs(spark, log(1, severity=1, app_name="kernel"))
+    out = maintenance.maintenance_drops(df, sessions, compiled=10_000)
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert "from_json" not in plan.toString().lower()  # one constant, not parsed again for every row
+    assert out._jdf.queryExecution().analyzed().toString().lower().count("ker.*") <= 2000 and plan.toString().count("CASE WHEN") <= 2
+
+
 def test_salvage(spark):
     df = logs(spark, log(1), log(2)).withColumns({
         "received_at": F.when(F.col("id") == 1, F.col("received_at")),
