@@ -734,6 +734,22 @@ def test_compiled_sessions_keep_the_plan_small(spark):
     assert out._jdf.queryExecution().analyzed().toString().lower().count("ker.*") <= 2000 and plan.toString().count("CASE WHEN") <= 2
 
 
+def test_file_sizes_alone_broadcast_nothing(spark):
+    """Packed files are far smaller than their rows on the driver."""
+    from logloom.session import bound_broadcasts, join_dimension, stage
+
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    own.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    big = stage(own.range(300_000).selectExpr("id", "'host' AS host", "id div 9 AS n"), "broadcast-test")
+    assert own.conf.get("spark.sql.autoBroadcastJoinThreshold") == str(256 << 10)
+    assert own.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "-1"  # lower limits stay
+    for joined in (big.join(big.withColumnRenamed("n", "m"), ["id", "host"]), join_dimension(big, big.select("id"), ["id"], "left_semi")):
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    assert bound_broadcasts(own).conf.get("spark.sql.autoBroadcastJoinThreshold") == "100k"
+
+
 def test_salvage(spark):
     df = logs(spark, log(1), log(2)).withColumns({
         "received_at": F.when(F.col("id") == 1, F.col("received_at")),
