@@ -157,6 +157,6 @@ def matching_by_index(logs: DataFrame, postings: DataFrame, spec: LogFilter, buc
 def count_by_index(logs: DataFrame, postings: DataFrame, spec: LogFilter, buckets: int = 256) -> DataFrame:
     """The exact number of matching rows. A filter of words alone is counted in the index, without a row read."""
     query, n = text_of(spec), F.count(F.lit(1)).alias("total")
-    if rest_of(spec).is_empty() and not query.true_without_words():
+    if rest_of(spec).is_empty() and any(leaf.words for leaf in query.leaves()) and not query.true_without_words():
         return rows_by_words(postings, query, buckets).filter("fulfils").agg(n)
     return matching_by_index(logs, postings, spec, buckets).agg(n)
