@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, words
@@ -11,6 +13,8 @@ from ..session import join_dimension, stage
 from .filters import SEARCH_FIELDS, any_of
 
 BUCKET = "token_bucket"
+# Postings that one task sorts and writes.
+TASK_ROWS = 500_000
 
 
 def token_bucket(token: Column, buckets: int = 256) -> Column:
@@ -31,6 +35,26 @@ def build_postings(logs: DataFrame, by_day: bool = False) -> DataFrame:
     )
 
 
+def deal_postings(postings: DataFrame, buckets: int = 256, rows: int = TASK_ROWS) -> DataFrame:
+    """The postings with their bucket, dealt so that a task gets about ``rows`` of them, by day first
+    if they have ``log_date``.
+
+    The buckets are counted first. One with a common word is dealt by log over as many parts as its
+    size needs, smaller ones than a task so that tasks come out even, and there are as many tasks as
+    the whole needs.
+    """
+    keys = [*(["log_date"] if "log_date" in postings.columns else []), BUCKET]
+    placed = postings.withColumn(BUCKET, token_bucket(F.col("token"), buckets))
+    sizes = stage(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "bucket-sizes")
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    parts = join_dimension(placed, sizes.withColumn("_parts", F.ceil(F.col("_n") * 4 / rows)).drop("_n"), keys)
+    # A day that is null meets no size
+    spread = parts.withColumn("_s", F.pmod(F.xxhash64("log_id"), F.coalesce("_parts", F.lit(8)))).drop("_parts")
+    tasks = math.ceil(total / rows)
+    dealt = spread.repartition(tasks, *keys, "_s") if tasks > 8 else spread.repartition(*keys, "_s")
+    return dealt.select(*postings.columns, BUCKET)
+
+
 def write_postings(postings: DataFrame, path: str, buckets: int = 256, mode: str = "append") -> None:
     """The index by token bucket, sorted inside its files, so a lookup reads one bucket; by day
     first if the postings have ``log_date``.
@@ -38,10 +62,8 @@ def write_postings(postings: DataFrame, path: str, buckets: int = 256, mode: str
     Rows of one bucket go to several tasks (by log), so a common word does not fill one.
     """
     day = ["log_date"] if "log_date" in postings.columns else []
-    placed = postings.withColumn(BUCKET, token_bucket(F.col("token"), buckets))
-    spread = placed.withColumn("_s", F.pmod(F.xxhash64("log_id"), F.lit(8)))
     (
-        spread.repartition(*day, BUCKET, "_s").drop("_s")
+        deal_postings(postings, buckets)
         .withColumn(BATCH, F.lit(own_batch()))
         .sortWithinPartitions(*day, BUCKET, "token")
         .write.mode(mode).partitionBy(*day, BUCKET, BATCH).parquet(path)

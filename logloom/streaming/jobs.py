@@ -14,7 +14,7 @@ from ..operators.dims import resolve_alias
 from ..operators.maintenance import maintenance_drops
 from ..operators.ordered import numbered
 from ..operators.rules import apply_drop_rules
-from ..operators.textindex import BUCKET, build_postings, token_bucket, write_postings
+from ..operators.textindex import BUCKET, build_postings, deal_postings, write_postings
 from ..schema import BATCH, LOG_DEFAULTS, LOGS, conform, with_log_date
 from ..session import join_dimension, stage, stage_scope
 from ..sources.logs import write_days
@@ -74,10 +74,9 @@ def append_batch(batch: DataFrame, batch_id: int, path: str, order: list[str] =
 
 def index_batch(batch: DataFrame, batch_id: int, path: str, buckets: int = 256, by_day: bool = False) -> None:
     """Adds the words of a micro-batch to the index. A repeated batch replaces its first attempt."""
-    postings = build_postings(batch, by_day).withColumn(BUCKET, token_bucket(F.col("token"), buckets))
     day = ["log_date"] if by_day else []
     (
-        postings.repartition(*day, BUCKET, F.pmod(F.xxhash64("log_id"), F.lit(4)))
+        deal_postings(build_postings(batch, by_day), buckets)
         .withColumn(BATCH, F.lit(batch_id).cast("long"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -471,6 +471,23 @@ def test_index_answers_filters(spark, folder):
     assert sorted(seen) == ids(filters.matching(df, spec)) and len(seen) > 200
 
 
+def test_common_words_are_dealt_over_tasks(spark):
+    """A task gets a bounded number of postings, however often a word comes."""
+    postings = spark.range(4000).selectExpr("id AS log_id", "'message' AS field", "0 AS pos", "if(id % 10 = 0, 'w' || id, 'user') AS token")
+    dealt = textindex.deal_postings(postings.union(postings.limit(0)), 16, rows=200).withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in dealt.groupBy("task").count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) > 10 and max(sizes) <= 800
+    assert dealt.filter("token = 'user'").select("token_bucket").distinct().count() == 1
+
+
+def test_index_keeps_rows_without_a_day(spark, folder):
+    df = logs(spark, log(1, message="user a"), log(2, message="user b")).withColumn("timestamp", F.when(F.col("id") == 1, F.col("timestamp")))
+    textindex.write_postings(textindex.build_postings(df, by_day=True), f"{folder}/i")
+    streaming.index_batch(df, 1, f"{folder}/j", by_day=True)
+    for path in ("i", "j"):
+        assert ids(textindex.lookup(spark.read.parquet(f"{folder}/{path}"), "user").withColumnRenamed("log_id", "id")) == [1, 2]
+
+
 def test_one_rule_is_folded_in_many_tasks(spark):
     rnd, t, rows = random.Random(4), 0, []
     for i in range(1500):
