@@ -188,8 +188,9 @@ def index_terms(t):
 
 @contextmanager
 def _stream_settings(t: Tables):
-    """Keyed state in RocksDB and few state partitions while a query's streams run."""
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions": "4"}
+    """Keyed state in RocksDB, and a state partition for each core while a query's streams run."""
+    cores = t.spark.sparkContext.defaultParallelism
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions": str(max(4, cores))}
     before = {k: t.spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         t.spark.conf.set(k, v)

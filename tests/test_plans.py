@@ -89,3 +89,13 @@ def test_index_reads_the_buckets_of_its_words(spark, folder):
     read = re.search(r"PartitionFilters: \[.*?token_bucket#\d+ IN \(([0-9,]+)\)", text)
     assert read and wanted <= set(map(int, read[1].split(","))) and len(read[1].split(",")) <= 3
     assert len(re.findall("Exchange hash", text)) == 1
+
+
+def test_streams_use_all_cores(spark):
+    from logloom.plans import stored_queries
+    from logloom.plans.tables import Tables
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with stored_queries._stream_settings(Tables(spark, "/root/testdata/sf0.001")):
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) >= spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
