@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import checkpoint_dir, stage
+from ..session import bound_batches, checkpoint_dir, stage
 
 __all__ = ["byte_ranges", "checkpoint_dir", "id_remainder", "slices", "stage", "table", "text_binary"]
 
@@ -22,7 +22,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bound_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_remainder(doc_id: Column, modulus: int) -> Column:

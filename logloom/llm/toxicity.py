@@ -22,6 +22,12 @@ SAMPLE_BYTES = 200_000
 MARK_SHARE = 0.95
 MARK_CHANCE = 0.01
 
+# Bytes of text, texts of a step of the fit, and shares of the pairs of a word and its place that are
+# in memory at once.
+_SLICE_BYTES = 1 << 18
+_STEP_TEXTS = 1000
+_SHARES = 8
+
 _LANE = 128
 _TABLE_BITS = 18
 _AFFIXES = 1 << 18
@@ -57,9 +63,7 @@ class Words:
         return self.affixes >> np.uint32(32 - 18)
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Runs of letters, digits and non-ASCII bytes, A-Z in lower case; ``offsets`` start at 0."""
-    low = lower_ascii(data)
+def _word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = _WORD[data]
     n = len(data)
     edge = np.zeros(n + 1, bool)
@@ -68,7 +72,14 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     before[1:], after[:-1] = inside[:-1], inside[1:]
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    first = np.searchsorted(starts, offsets, "left")
+    return starts, ends, np.searchsorted(starts, offsets, "left")
+
+
+def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Runs of letters, digits and non-ASCII bytes, A-Z in lower case; ``offsets`` start at 0."""
+    low = lower_ascii(data)
+    n = len(data)
+    starts, ends, first = _word_ranges(data, offsets)
     if not len(starts):
         empty = np.zeros(0, np.int64)
         return Words(empty, empty, first, np.zeros(0, np.uint64), np.zeros((len(_HEADS) + 1, 0), np.uint32))
@@ -89,22 +100,21 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def find_all(texts: list[bytes]) -> Words:
-    """The words of many texts, found slice by slice; the byte ranges are left out."""
+    """The words of many texts, counted and then found slice by slice; the byte ranges are left out."""
     offsets = np.concatenate([[0], np.cumsum(np.array([len(t) for t in texts], np.int64))])
     none = np.zeros(0, np.int64)
-    counts, hashes, affixes = [none], [np.zeros(0, np.uint64)], [np.zeros((len(_HEADS) + 1, 0), np.uint32)]
-    for i, j in slices(offsets):
-        words = find_words(np.frombuffer(b"".join(texts[i:j]), np.uint8), offsets[i : j + 1] - offsets[i])
-        counts.append(np.diff(words.first))
-        hashes.append(words.hashes)
-        affixes.append(words.affixes)
-    joined = np.empty((len(_HEADS) + 1, sum(x.shape[1] for x in affixes)), np.uint32)
-    at = joined.shape[1]
-    while affixes:  # each part goes as it is copied
-        part = affixes.pop()
-        at -= part.shape[1]
-        joined[:, at : at + part.shape[1]] = part
-    return Words(none, none, np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(hashes), joined)
+    runs = list(slices(offsets, _SLICE_BYTES))
+
+    def part(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(texts[i:j]), np.uint8), offsets[i : j + 1] - offsets[i]
+
+    counts = np.concatenate([none, *(np.diff(_word_ranges(*part(i, j))[2]) for i, j in runs)])
+    first = np.concatenate([[0], np.cumsum(counts)])
+    hashes, affixes = np.empty(first[-1], np.uint64), np.empty((len(_HEADS) + 1, first[-1]), np.uint32)
+    for i, j in runs:
+        words, at = find_words(*part(i, j)), slice(first[i], first[j])
+        hashes[at], affixes[:, at] = words.hashes, words.affixes
+    return Words(none, none, first, hashes, affixes)
 
 
 class Chains:
@@ -214,7 +224,7 @@ class Model:
 
 
 def _spread(keys: np.ndarray, units: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per key, the distinct units in toxic texts and those in others; also the toxic share."""
+    """Per key, the distinct units in toxic texts and those in others."""
     order = np.lexsort((units, keys))
     k, u, y = keys[order], units[order], label[order]
     new = np.ones(len(k), bool)
@@ -222,20 +232,42 @@ def _spread(keys: np.ndarray, units: np.ndarray, label: np.ndarray) -> tuple[np.
     at = np.flatnonzero(new)
     bad, good = np.maximum.reduceat(y, at), np.maximum.reduceat(1 - y, at)
     names, spot = np.unique(k[at], return_inverse=True)
+    return names, np.bincount(spot, bad), np.bincount(spot, good)
+
+
+def _nearly_all(keys: np.ndarray, units: np.ndarray, label: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, and whether nearly all their distinct units are toxic; a unit's words have one ``share``,
+    and the shares are counted one after the other."""
+    parts = []
+    for k in range(_SHARES):
+        at = np.flatnonzero(share == k)
+        if len(at):
+            parts.append(_spread(keys[at], units[at], label[at]))
+    found, bad, good = (np.concatenate(x) for x in zip(*parts))
+    names, spot = np.unique(found, return_inverse=True)
     n_bad, n_good = np.bincount(spot, bad), np.bincount(spot, good)
     rate_bad, rate_good = n_bad / max(n_bad.sum(), 1), n_good / max(n_good.sum(), 1)
-    share = rate_bad / np.maximum(rate_bad + rate_good, 1e-300)
+    part = rate_bad / np.maximum(rate_bad + rate_good, 1e-300)
     odds = n_bad.sum() / max(n_bad.sum() + n_good.sum(), 1)
     need = np.log(len(names) / MARK_CHANCE) / np.log(1 / min(max(odds, 1e-9), 0.99))
-    return names, (n_bad >= need) & (share >= MARK_SHARE)
+    return names, (n_bad >= need) & (part >= MARK_SHARE)
 
 
-def _marked(keys: np.ndarray, context: np.ndarray, text: np.ndarray, label: np.ndarray) -> np.ndarray:
-    names, by_context = _spread(keys, context, label)
-    _, by_text = _spread(keys, text, label)
+def _marked(keys: np.ndarray, units: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> np.ndarray:
+    (names, by_context), (_, by_text) = (_nearly_all(keys, unit, label, share) for unit, share in units)
     return names[by_context & by_text & (names > 0)]
 
 
+def _among(keys: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted names, looked up in parts."""
+    out = np.zeros(len(keys), bool)
+    for low in range(0, len(keys) if len(names) else 0, _SLICE_BYTES):
+        part = keys[low : low + _SLICE_BYTES]
+        at = np.minimum(np.searchsorted(names, part), len(names) - 1)
+        out[low : low + _SLICE_BYTES] = names[at] == part
+    return out
+
+
 def mark_words(words: Words, toxic: np.ndarray) -> np.ndarray:
     """Tags of the words of labelled texts, from the labels of whole texts.
 
@@ -250,9 +282,10 @@ def mark_words(words: Words, toxic: np.ndarray) -> np.ndarray:
     context = np.zeros(len(words.hashes), np.uint64)
     context[1:] = words.hashes[:-1] * _BASE
     context[:-1] ^= words.hashes[1:] * _MIX
+    units = [(context, (context >> np.uint64(32)).astype(np.uint8) % _SHARES), (text, (text % _SHARES).astype(np.uint8))]
     found = np.zeros(len(label), bool)
     for keys in (words.hashes, *words.affixes[1 : len(_HEADS)]):
-        found |= np.isin(keys, _marked(keys, context, text, label))
+        found |= _among(keys, _marked(keys, units, label))
     return (found & (label == 1)).astype(float)
 
 
@@ -272,8 +305,9 @@ def fit(texts: list[bytes], toxic: list[int], rounds: int = 15, rate: float = 0.
     inner[words.first[words.first < n]] = False
     own = np.zeros((len(names), 3))
     affixes, bias, buckets = np.zeros(_AFFIXES), np.array([-4.0]), words.buckets()
+    words.hashes, words.affixes = words.hashes[:0], words.affixes[:, :0]
     move = np.log(np.array([[0.98, 0.02], [0.9, 0.1]]))
-    chains = Chains(words.first)
+    runs = [words.first[k : k + _STEP_TEXTS + 1] for k in range(0, len(keep), _STEP_TEXTS)]
     before = np.where(inner, np.roll(tags, 1), 0).astype(int)
     seen = np.array([[np.sum((before == i) & (tags == j)) for j in (0, 1)] for i in (0, 1)], float)
     back, forth = np.flatnonzero(inner) - 1, np.flatnonzero(inner)
@@ -288,8 +322,11 @@ def fit(texts: list[bytes], toxic: list[int], rounds: int = 15, rate: float = 0.
         emission = bias[0] + own[word, 0] + sum(affixes[b] for b in buckets)
         emission[forth] += own[word[back], 1]
         emission[back] += own[word[forth], 2]
-        p, moves = chains.marginals(emission, np.exp(move), pairs=True)
-        miss = tags - p
+        miss, moves = tags.copy(), np.zeros((2, 2))
+        for first in runs:
+            p, some = Chains(first).marginals(emission[first[0] : first[-1]], np.exp(move), pairs=True)
+            miss[first[0] : first[-1]] -= p
+            moves += some
         size = len(names)
         slope = np.column_stack(
             [
@@ -364,7 +401,7 @@ def score_text(text: Column, model: Model) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         data, offsets = byte_ranges(texts)
         scores, masses, counts, low, high = [], [], [], [], []
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, _SLICE_BYTES):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             words = find_words(part, at)
             p = Chains(words.first).marginals(model.emission(words), model.move)

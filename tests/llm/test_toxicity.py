@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from logloom.llm import toxicity as T
 from logloom.llm.queries import QUERIES
@@ -86,3 +88,41 @@ def test_held_out_documents(spark):
     n = {(r.toxic, r.predicted): r["count"] for r in got.where("held_out").groupBy("toxic", "predicted").count().collect()}
     assert n[1, 1] / (n[1, 1] + n[1, 0]) > 0.88 and n.get((0, 1), 0) / (n[0, 0] + n.get((0, 1), 0)) < 0.03
     assert got.where(F.col("score").isNull()).count() == 0
+
+
+def test_marking_and_finding_words_need_little_memory_per_word():
+    rng = np.random.default_rng(5)
+    stems = [f"word{k}" for k in range(3000)]
+    texts = [" ".join(rng.choice(stems, 300)).encode() for _ in range(800)]
+    toxic = np.arange(800) % 4 == 0
+    tracemalloc.start()
+    words = T.find_all(texts)
+    found = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    T.mark_words(words, toxic.astype(np.int64))
+    marked = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = len(words.hashes)
+    assert found < 120 * n
+    assert marked < 120 * n
+
+
+def test_shares_count_as_one():
+    rng = np.random.default_rng(6)
+    keys, units = rng.integers(0, 50, 4000).astype(np.uint64), rng.integers(0, 300, 4000).astype(np.uint64)
+    label = (units % 3 == 0).astype(np.int8)
+    whole = T._nearly_all(keys, units, label, np.zeros(4000, np.uint8))
+    parts = T._nearly_all(keys, units, label, (units % T._SHARES).astype(np.uint8))
+    for a, b in zip(whole, parts):
+        assert np.array_equal(a, b)
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark, tmp_path):
+    spark.createDataFrame([(k, "x" * 1000) for k in range(9000)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64())})
+
+    rows = table(spark, str(tmp_path), "documents").mapInArrow(sizes, "n long").collect()
+    assert len(rows) > 1 and max(r[0] for r in rows) < 5 << 20
