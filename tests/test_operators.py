@@ -767,6 +767,30 @@ def test_file_sizes_alone_broadcast_nothing(spark):
     assert bound_broadcasts(own).conf.get("spark.sql.autoBroadcastJoinThreshold") == "100k"
 
 
+def test_many_sessions_are_not_broadcast(spark, monkeypatch):
+    """Sessions too many for a broadcast join by sorting, even where Spark takes their files for small."""
+    from logloom import session
+
+    monkeypatch.setattr(session.is_small, "__defaults__", (session.BROADCAST_MAX_ROWS, 0))
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    own.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
+    sessions = own.range(2000).selectExpr(
+        "concat('m', id) AS session_id", "'drop_errors' AS log_handling", "'ker*' AS target_app", "'' AS target_host",
+        "timestamp_seconds(1704067200 + id) AS created_at", "timestamp_seconds(1704067200 + id + 18000) AS expires_at",
+        "CAST(null AS timestamp) AS ended_at",
+    )
+    rows = own.range(50).selectExpr(
+        "id", "timestamp_seconds(1704067200 + id * 60) AS timestamp", "CAST(id % 8 AS int) AS severity", "'kernel' AS app_name",
+        "'' AS source_alias", "'' AS source_ip",
+    )
+    out = maintenance.maintenance_drops(rows, sessions)
+    found = {r["id"]: r["session_id"] for r in out.collect()}
+    assert found == {k: f"m{min(k * 60, 1999)}" if k % 8 <= 3 else None for k in range(50)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_salvage(spark):
     df = logs(spark, log(1), log(2)).withColumns({
         "received_at": F.when(F.col("id") == 1, F.col("received_at")),
