@@ -51,3 +51,21 @@ def drop_rule(id=1, **k) -> tuple:
 
 def drop_rules(spark, *rules):
     return spark.createDataFrame(list(rules), DROP_RULES)
+
+
+def rows_moved(df) -> int:
+    """The rows that the shuffles of a frame write when it runs."""
+    query = df._jdf.queryExecution()
+    query.toRdd().count()
+    found, left = {}, [query.executedPlan()]
+    while left:
+        node = left.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
+            left.append(node.plan())
+        if node.metrics().contains("shuffleRecordsWritten"):
+            metric = node.metrics().apply("shuffleRecordsWritten")
+            found[metric.id()] = metric.value()
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return sum(found.values())

@@ -5,7 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from helpers import T0, alert_rule, alert_rules, at, drop_rule, drop_rules, log, logs
+from helpers import T0, alert_rule, alert_rules, at, drop_rule, drop_rules, log, logs, rows_moved
 from pyspark.sql import functions as F
 
 from logloom import streaming
@@ -536,6 +536,31 @@ def test_incident_index(spark, monkeypatch):
     assert {r["apps"] for r in incidents.bundle_header(context.incident_logs(inc, df), max_names=1).collect()} >= {"a, 1 more"}
 
 
+def _crowded(spark):
+    """1,500 rows of one host within ten minutes, and 600 incidents that hold most of them."""
+    df = logs(spark, *[log(i, i * 0.4, message="m" * (i % 7)) for i in range(1500)])
+    inc = spark.createDataFrame(
+        [(k, "web", at(k), 560) for k in range(600)], "incident_id long, host string, triggered_at timestamp, window_seconds int"
+    )
+    return df, inc
+
+
+def test_rows_of_incidents_are_not_moved(spark, monkeypatch):
+    """Rows and incidents are shuffled, their pairs are not; blocks that many ask for are copied."""
+    df, inc = _crowded(spark)
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        for runs in (context.BLOCK_RUNS, 50):
+            monkeypatch.setattr(context, "BLOCK_RUNS", runs)
+            got = context.incident_logs(inc, df).select("incident_id", "id")
+            want = {(k, i) for k in range(600) for i in range(1500) if k - 560 <= i * 0.4 <= k + 60}
+            assert rows_moved(got) < 100_000 < 400_000 < len(want)
+            pairs = [(r["incident_id"], r["id"]) for r in got.collect()]
+            assert set(pairs) == want and len(pairs) == len(want)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
 def test_latest_in_order(spark):
     rnd = random.Random(2)
     rows = [(rnd.choice("aab"), rnd.randrange(40) if rnd.random() < 0.9 else 7, k, rnd.choice([None, None, k])) for k in range(3000)]
