@@ -561,6 +561,17 @@ def test_rows_of_incidents_are_not_moved(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
+def test_intervals_of_incidents_are_not_moved(spark):
+    df, inc = _crowded(spark)
+    index = context.incident_index(inc, df)
+    held = index.rows.groupBy("place", "interval").agg(F.count("*").alias("n"))
+    pairs, counts_ = index.pairs(held), index.pairs(held).groupBy("incident_id").agg(F.sum("n").alias("n"))
+    assert rows_moved(counts_) < pairs.count() / 4
+    want = {k: sum(k - 560 <= i * 0.4 <= k + 60 for i in range(1500)) for k in range(600)}
+    assert {r["incident_id"]: r["n"] for r in counts_.collect()} == want
+    assert index.pairs().columns == ["incident_id", "place", "interval"] and index.pairs().count() == pairs.count()
+
+
 def test_latest_in_order(spark):
     rnd = random.Random(2)
     rows = [(rnd.choice("aab"), rnd.randrange(40) if rnd.random() < 0.9 else 7, k, rnd.choice([None, None, k])) for k in range(3000)]
