@@ -572,6 +572,14 @@ def test_intervals_of_incidents_are_not_moved(spark):
     assert index.pairs().columns == ["incident_id", "place", "interval"] and index.pairs().count() == pairs.count()
 
 
+def test_headers_move_names_not_rows(spark):
+    df, inc = _crowded(spark)
+    index, logs_ = context.incident_index(inc, df), context.incident_logs(inc, df)
+    heads = incidents.incident_headers(index)
+    assert rows_moved(heads) < logs_.count() / 20
+    assert sorted(heads.collect()) == sorted(incidents.bundle_header(logs_).collect())
+
+
 def test_latest_in_order(spark):
     rnd = random.Random(2)
     rows = [(rnd.choice("aab"), rnd.randrange(40) if rnd.random() < 0.9 else 7, k, rnd.choice([None, None, k])) for k in range(3000)]
