@@ -580,6 +580,25 @@ def test_headers_move_names_not_rows(spark):
     assert sorted(heads.collect()) == sorted(incidents.bundle_header(logs_).collect())
 
 
+def test_newest_rows_of_incidents(spark):
+    """Rows that the budget cannot come to stay out before they meet their incidents, and the cut is the same."""
+    df, inc = _crowded(spark)
+    lines = df.withColumn("line", F.concat("message", F.lit("x" * 30)))
+    pick = ["incident_id", "timestamp", "id", "line"]
+    every, near = (context.incident_logs(inc, lines, newest=n).select(*pick) for n in (None, ("line", 400)))
+    cut = lambda rows: incidents.newest_within_budget(rows, ["incident_id"], ["timestamp", "id"], max_chars=400)
+    assert near.count() < every.count() / 20 and rows_moved(cut(near)) < every.count() / 10
+    assert sorted(cut(near).collect()) == sorted(cut(every).collect())
+
+
+def test_budget_that_ends_with_a_line(spark):
+    """A group is cut if older lines are left, also where the newest ones take exactly the budget."""
+    for older in (0, 1):
+        df = spark.createDataFrame([("k", at(i), i, "x" * 99) for i in range(1 - older, 5)], "g string, timestamp timestamp, id long, line string")
+        got = incidents.newest_within_budget(df, ["g"], ["timestamp", "id"], max_chars=399)
+        assert {r["truncated"] for r in got.collect()} == {bool(older)}
+
+
 def test_latest_in_order(spark):
     rnd = random.Random(2)
     rows = [(rnd.choice("aab"), rnd.randrange(40) if rnd.random() < 0.9 else 7, k, rnd.choice([None, None, k])) for k in range(3000)]
