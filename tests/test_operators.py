@@ -580,6 +580,26 @@ def test_headers_move_names_not_rows(spark):
     assert sorted(heads.collect()) == sorted(incidents.bundle_header(logs_).collect())
 
 
+def test_bundles_do_not_move_lines_of_incidents(spark):
+    df, inc = _crowded(spark)
+    index, rows = context.incident_index(inc, df), context.incident_logs(inc, df)
+    for budget in (400, 20_000, 100_000):
+        out = incidents.incident_bundles(index, max_chars=budget)
+        assert rows_moved(out) < rows.count() / 20
+        assert sorted(out.collect()) == sorted(incidents.bundle_lines(rows, max_chars=budget).collect())
+
+
+def test_bundles_of_ids_that_come_twice(spark):
+    """Incidents that share an id, on one host or on two, share a bundle and its budget."""
+    df = logs(spark, *[log(i, i * 3, source_alias="web" if i % 3 else "db") for i in range(200)])
+    spots = [(7, "web", 300), (7, "web", 300), (8, "web", 300), (8, "db", 250), (9, "db", 200), (None, "web", 100), (None, "web", 400), (None, "db", 90)]
+    inc = spark.createDataFrame([(k, h, at(s), 120) for k, h, s in spots], "incident_id long, host string, triggered_at timestamp, window_seconds int")
+    index, rows = context.incident_index(inc, df), context.incident_logs(inc, df)
+    for budget in (200, 3000, 100_000):
+        got = incidents.incident_bundles(index, max_chars=budget).collect()
+        assert sorted(got, key=str) == sorted(incidents.bundle_lines(rows, max_chars=budget).collect(), key=str) and len(got) == 4
+
+
 def test_newest_rows_of_incidents(spark):
     """Rows that the budget cannot come to stay out before they meet their incidents, and the cut is the same."""
     df, inc = _crowded(spark)
