@@ -12,12 +12,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.assemble import EntryFold, Limits, _ends_traceback, is_continuation
 
 
+# Streams share the keyed state of a bucket: calls of state, not lines, take most of the time of short streams.
+BUCKETS = 2048
+
+
 class OpenEntry(StatefulProcessor):
-    """The lines of one stream in keyed state, by slices of time, and its open entry.
+    """The lines of the streams of a bucket in keyed state, by slices of time, and their open entries.
 
     Frames of lines are put away as they come, in any order. When the watermark has passed a slice, its
-    lines are sorted and folded; so what is held in memory is one slice of one stream, however
-    many lines of it a micro-batch brings. The entry left open is given out once the watermark has
+    lines are sorted and folded by stream; so what is held in memory is one slice of one bucket, however
+    many lines of it a micro-batch brings. An entry left open is given out once the watermark has
     passed its time and no line that may continue it is waiting.
     """
 
@@ -61,27 +65,34 @@ class OpenEntry(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         ended = expiredTimerInfo.getExpiryTimeInMs()
         at = ended // self.slice_ms - 1
-        fold, out = EntryFold(self.limits), []
-        if self.entry.exists():
-            fold = pickle.loads(bytes(self.entry.get()[0]))
+        folds, out = {}, []
+        if known := self.entry.exists():
+            folds = pickle.loads(bytes(self.entry.get()[0]))
         for row in self._take_slice(at):
+            if row["stream_key"] not in folds:
+                folds[row["stream_key"]] = EntryFold(self.limits)
             line = {c: row[c] for c in self.keep}
-            out += fold.add(line, row["line_now"], row["line_cont"], row["line_blank"], row["line_ends"])
-        if fold.first is not None:
+            out += folds[row["stream_key"]].add(line, row["line_now"], row["line_cont"], row["line_blank"], row["line_ends"])
+        passed, waiting = max(ended, timerValues.getCurrentWatermarkInMs()), {}
+        for fold in folds.values():
+            if fold.first is None:
+                continue
             wait = self.limits.micros - (fold.last - fold.start)
             if self.limits.gap is not None:
                 wait = min(wait, self.limits.gap_micros)
             due = (fold.last + max(wait, 0)) // 1000 + 1
             last = due // self.slice_ms
-            if not self._waiting(at + 1, last):
-                if due <= max(ended, timerValues.getCurrentWatermarkInMs()):
-                    out += fold.take()
-                else:
+            if last not in waiting:
+                waiting[last] = self._waiting(at + 1, last)
+                if not waiting[last] and (last + 1) * self.slice_ms > passed:
                     self.handle.registerTimer((last + 1) * self.slice_ms)
-        if fold.first is None:
+            if not waiting[last] and due <= passed:
+                out += fold.take()
+        folds = {stream: fold for stream, fold in folds.items() if fold.first is not None}
+        if folds:
+            self.entry.update((pickle.dumps(folds),))
+        elif known:
             self.entry.clear()
-        else:
-            self.entry.update((pickle.dumps(fold),))
         if out:
             yield pd.DataFrame(out, columns=[*self.keep, "line_count"])
 
@@ -95,7 +106,7 @@ def assemble_stream(
     """Entries of a stream of lines, as ``assemble_multiline`` gives for stored lines.
 
     Lines may arrive in any order within ``delay``; they are folded by slices of ``slice_seconds`` of their
-    arrival time once the watermark has passed them. State is kept per stream key. Needs the
+    arrival time once the watermark has passed them. State is kept by buckets of stream keys. Needs the
     RocksDB state store provider.
     """
     limits = limits or Limits()
@@ -107,9 +118,10 @@ def assemble_stream(
             "line_blank": message == "",
             "line_ends": ~is_continuation(message) & _ends_traceback(message),
             "line_now": F.unix_micros("received_at"),
+            "line_bucket": F.pmod(F.xxhash64("stream_key"), F.lit(BUCKETS)).cast("int"),
         }
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
-    return flagged.groupBy("stream_key").transformWithStateInPandas(
+    return flagged.groupBy("line_bucket").transformWithStateInPandas(
         OpenEntry(keep, limits, max(1, round(slice_seconds * 1000))), schema + ", line_count int", "Append", "EventTime"
     )

@@ -153,6 +153,32 @@ def test_one_busy_stream_in_slices(spark, folder, monkeypatch):
     assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and want.filter("line_count > 2").count() > 50
 
 
+def test_streams_share_the_state_of_a_bucket(spark, folder, monkeypatch):
+    """Many short streams in one bucket, with pauses, over several micro-batches: the entries of the batch."""
+    from logloom.streaming import entries
+
+    monkeypatch.setattr(entries, "BUCKETS", 1)
+    rnd = random.Random(21)
+    rows = []
+    for k in range(60):
+        t = rnd.uniform(0, 20)
+        for i in range(rnd.randrange(1, 12)):
+            t += rnd.choice([0.01, 0.1, 0.7, 6.0])
+            rows.append((f"s{k}" if k else None, at(t), len(rows), rnd.choice(["start", "  at x", "", "ValueError: z"]), "r", k % 8))
+    rows.append(("end", at(1000), 9999, "end", "end", 6))
+    schema = "stream_key string, received_at timestamp, seq long, message string, raw string, severity int"
+    df = spark.createDataFrame(rows, schema)
+    limits = assemble.Limits(lines=5, seconds=2.0)
+    source = read_stream(spark, write_in_order(df, folder, 3, "received_at"), df.schema)
+    stream = streaming.assemble_stream(source, limits, "30 seconds", slice_seconds=0.5)
+    grouped = stream._jdf.queryExecution().logical().toString()
+    assert "line_bucket" in grouped
+    got = to_table(stream, "shared", folder).filter("stream_key IS NULL OR stream_key <> 'end'")
+    want = assemble.assemble_multiline(df.filter("stream_key IS NOT NULL"), limits).filter("stream_key <> 'end'")
+    assert sorted(got.filter("stream_key IS NOT NULL").collect()) == sorted(want.collect()) and want.count() > 100
+    assert got.filter("stream_key IS NULL").count() > 0
+
+
 def test_normalize_filter_store_and_index(spark, folder):
     lines = spark.createDataFrame(
         [
